@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions.columns import col
 from tidemill.operators.joins import orphan_keys
+from tidemill.session import local_frame
 
 REPORT_SCHEMA = "name string, kind string, status string, failures long, message string"
 
@@ -58,8 +59,10 @@ def singular(label: str, frame: DataFrame) -> Check:
     return Check("singular", label=label, frame=frame)
 
 
-def failing_rows(check: Check, tables: Mapping[str, DataFrame], limit: int | None = None) -> DataFrame:
-    """What a failing check complains about; ``limit`` keeps a few examples."""
+def failing_rows(
+    check: Check, tables: Mapping[str, DataFrame], limit: int | None = None, order: Sequence[str] = ()
+) -> DataFrame:
+    """What a failing check complains about; ``limit`` keeps a few examples, the first by ``order`` if given."""
     if check.kind == "singular":
         out = check.frame
     elif check.kind == "not_null":
@@ -74,6 +77,7 @@ def failing_rows(check: Check, tables: Mapping[str, DataFrame], limit: int | Non
         out = out.join(parents, col(check.column) == F.col("_parent"), "left_anti")
     else:
         raise ValueError(f"unknown kind of check {check.kind!r}")
+    out = out.orderBy(*[F.asc_nulls_last(c) for c in order]) if order else out
     return out if limit is None else out.limit(limit)
 
 
@@ -120,7 +124,7 @@ def run_checks(spark: SparkSession, checks: Sequence[Check], tables: Mapping[str
         except (AnalysisException, KeyError) as e:
             errors.append((check.name, check.kind, "error", None, str(e).splitlines()[0]))
     parts += [_null_failures(group, tables[name]) for name, group in by_table.items()]
-    report = spark.createDataFrame(errors, REPORT_SCHEMA)
+    report = local_frame(spark, errors, REPORT_SCHEMA)
     if parts:
         counted = reduce(DataFrame.union, parts)
         status = F.when(F.col("failures") == 0, "pass").otherwise("fail")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.functions.names import quoted
+from tidemill.session import local_frame
 from tidemill.sources.catalog import LAYER_SUFFIXES, tables_in
 
 SNAPSHOT_SCHEMA = "table_name string, n_rows long"
@@ -26,7 +27,7 @@ def rowcount_snapshot(spark: SparkSession, databases: Sequence[str]) -> DataFram
         for db in databases
         for table in tables_in(spark, db)
     ]
-    return reduce(DataFrame.union, counts) if counts else spark.createDataFrame([], SNAPSHOT_SCHEMA)
+    return reduce(DataFrame.union, counts) if counts else local_frame(spark, [], SNAPSHOT_SCHEMA)
 
 
 def save_snapshot(snapshot: DataFrame, path: str, run_id: str) -> None:

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tidemill.functions.columns import col
-from tidemill.session import stage
+from tidemill.session import local_frame, stage
 
 # monotonically_increasing_id keeps the partition number above these bits, the row number below.
 _ROW_BITS = 33
@@ -54,7 +54,7 @@ def global_rank(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
     for part in sorted(sizes):
         offsets.append((part, before))
         before += sizes[part]
-    offsets_df = df.sparkSession.createDataFrame(offsets, "_part long, _before long")
+    offsets_df = local_frame(df.sparkSession, offsets, "_part long, _before long")
     joined = numbered.join(F.broadcast(offsets_df), "_part")
     return joined.select(*[col(c) for c in df.columns], (F.col("_before") + F.col("_place") + 1).alias(name))
 

@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 from pyspark.errors import AnalysisException, ParseException, PySparkException
 from pyspark.sql import DataFrame, Row, SparkSession
 
-from tidemill.session import child_session
+from tidemill.session import child_session, local_frame
 
 ROW_CAP = 1000
 TIMEOUT_S = 60
@@ -179,7 +179,7 @@ class GuardedSession:
         truncated = len(rows) > self.row_cap
         rows = rows[: self.row_cap]
         provenance = Provenance(sql, int((time.monotonic() - started) * 1000), len(rows), truncated)
-        shown = self.spark.createDataFrame(rows, planned.frame.schema)
+        shown = local_frame(self.spark, rows, planned.frame.schema)
         return Outcome(planned.frame, rows, provenance, warnings=result_sanity(shown).collect())
 
     def _collect(self, frame: DataFrame) -> list[Row]:

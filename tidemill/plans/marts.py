@@ -15,7 +15,7 @@ from tidemill.session import stage
 
 
 def stats_by_group(
-    df: DataFrame, group: str, value: str, second: str, wide_group: int = 200_000, digits: int = 2
+    df: DataFrame, group: str, value: str, second: str, wide_group: int = 200_000, digits: int = 2, second_digits: int = 1
 ) -> DataFrame:
     """Statistics of ``value`` per group, for groups with at least one value, highest average first.
 
@@ -29,7 +29,7 @@ def stats_by_group(
         F.round(F.avg(v), digits).alias("avg_value"),
         F.max(v).alias("max_value"),
         F.min(v).alias("min_value"),
-        F.round(F.avg(col(second)), 1).alias("avg_second"),
+        F.round(F.avg(col(second)), second_digits).alias("avg_second"),
     ]
     key = col(group).alias(group)
     if has_wide_group(df, [group], value, wide_group):

@@ -50,11 +50,12 @@ def any_missing_dropped(df: DataFrame, required: Sequence[str]) -> DataFrame:
 
 def strip_prefix(df: DataFrame, prefix: str) -> DataFrame:
     """``c_custkey`` to ``cust_key``: drop a table prefix and set off a trailing ``key``."""
-    names = []
-    for name in df.columns:
-        short = name.removeprefix(prefix)
-        names.append(f"{short[:-3]}_key" if short.endswith("key") and not short.endswith("_key") else short)
-    return df.toDF(*names)
+    return df.toDF(*stripped_names(df.columns, prefix))
+
+
+def stripped_names(names: Sequence[str], prefix: str) -> list[str]:
+    short = [n.removeprefix(prefix) for n in names]
+    return [f"{n[:-3]}_key" if n.endswith("key") and not n.endswith("_key") else n for n in short]
 
 
 def present_any(names: Sequence[str]) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemill.plans.guarded import GuardedSession
 from tidemill.queries.marts import STATS_BY_NATION_SQL, stats_by_nation
 from tidemill.queries.registry import catalog_tables, layers, query, read
-from tidemill.session import new_scratch
+from tidemill.session import local_frame, new_scratch
 from tidemill.sinks.landing import Dataset, TableSpec, land_dataset, land_source, save_table
 from tidemill.sinks.models import materialize, sandbox_build
 from tidemill.sources.archives import write_zips
@@ -116,7 +116,7 @@ def land_dataset_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = ["customer", "orders", "nation"]
     specs = [TableSpec(f"{sf_dir}/{t}.parquet", t) for t in tables]
     landed = land_dataset(spark, Dataset("tm_sales", specs, new_scratch(spark, "sales")))
-    return spark.createDataFrame(list(landed.items()), "table_name string, n_rows long")
+    return local_frame(spark, list(landed.items()), "table_name string, n_rows long")
 
 
 @query("materialize_mart", STATS_BY_NATION_SQL)

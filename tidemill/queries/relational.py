@@ -551,7 +551,9 @@ def tf_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT vec_id, label, CAST(unnest(embedding) AS DOUBLE) AS component FROM embeddings",
 )
 def tf_unnest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "embeddings").select("vec_id", "label", F.explode("embedding").cast("double").alias("component"))
+    return read(spark, sf_dir, "embeddings").select("vec_id", "label", F.explode("embedding").alias("component")).withColumn(
+        "component", F.col("component").cast("double")
+    )
 
 
 @query(

@@ -7,11 +7,14 @@ needs no recomputation, and keeps column pruning, which an RDD checkpoint would
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
+from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # Runtime settings the results or the skew handling depend on.
 RUNTIME_SETTINGS = {
@@ -24,6 +27,9 @@ RUNTIME_SETTINGS = {
 
 _CHECKPOINT_DIR = "spark.checkpoint.dir"
 
+# Folders made for local sessions that name none, by application.
+_local_roots: dict[str, str] = {}
+
 
 def build_session(app_name: str = "tidemill", master: str | None = None, **settings: str) -> SparkSession:
     """A session with the settings above; ``settings`` use ``__`` for dots (``spark__ui__enabled``)."""
@@ -56,9 +62,10 @@ def scratch_root(spark: SparkSession) -> str:
         return root.rstrip("/")
     if not spark.conf.get("spark.master", "").startswith("local"):
         raise RuntimeError(f"set {_CHECKPOINT_DIR} to a folder every executor can reach")
-    root = tempfile.mkdtemp(prefix="tidemill-")
-    spark.conf.set(_CHECKPOINT_DIR, root)
-    return root
+    app = spark.conf.get("spark.app.id", "app")
+    if app not in _local_roots:
+        _local_roots[app] = tempfile.mkdtemp(prefix="tidemill-")
+    return _local_roots[app]
 
 
 def new_scratch(spark: SparkSession, label: str) -> str:
@@ -80,12 +87,17 @@ def stage(df: DataFrame, label: str) -> DataFrame:
 def child_session(spark: SparkSession) -> SparkSession:
     """A session on the same catalog with its own temp views and settings."""
     child = spark.newSession()
-    for key in (*RUNTIME_SETTINGS, _CHECKPOINT_DIR, "spark.sql.shuffle.partitions"):
+    for key in (*RUNTIME_SETTINGS, "spark.sql.shuffle.partitions"):
         value = spark.conf.get(key, None)
         if value is not None:
             child.conf.set(key, value)
     return child
 
 
-def local_cores() -> int:
-    return int(os.environ.get("BENCH_CPUS", os.cpu_count() or 1))
+def local_frame(spark: SparkSession, rows: Sequence[Sequence], schema: str | T.StructType) -> DataFrame:
+    """A few rows of metadata as a DataFrame of known size, so that the planner may broadcast it."""
+    struct = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    columns = zip(*rows) if rows else [[] for _ in struct.names]
+    arrow = to_arrow_schema(struct)
+    arrays = [pa.array(list(values), type=field.type) for values, field in zip(columns, arrow)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=arrow), schema=struct)

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemill.functions.names import quoted
+from tidemill.session import local_frame
 
 # Database suffixes of the raw, staging and mart layers.
 LAYER_SUFFIXES = ("_raw", "_staging", "_marts")
@@ -81,7 +82,8 @@ def list_columns(spark: SparkSession, databases: list[str] | tuple[str, ...]) ->
         for table in tables_in(spark, db)
         for i, c in enumerate(spark.catalog.listColumns(f"{quoted(db)}.{quoted(table)}"))
     ]
-    return spark.createDataFrame(rows, "database string, table_name string, column_pos int, column_name string, type string")
+    schema = "database string, table_name string, column_pos int, column_name string, type string"
+    return local_frame(spark, rows, schema)
 
 
 def register_parquet(spark: SparkSession, db: str, table: str, path: str) -> None:
