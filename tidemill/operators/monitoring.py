@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +40,18 @@ def load_snapshot(spark: SparkSession, path: str, run_id: str) -> DataFrame:
     return spark.read.schema(SNAPSHOT_SCHEMA).parquet(f"{path.rstrip('/')}/run_id={run_id}")
 
 
+def previous_snapshot(spark: SparkSession, path: str, before: str) -> DataFrame | None:
+    """The latest snapshot of a run before ``before``, if there is one."""
+    try:
+        kept = spark.read.schema(f"{SNAPSHOT_SCHEMA}, run_id string").parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+    last = kept.where(F.col("run_id") < before).agg(F.max("run_id")).first()[0]
+    return None if last is None else load_snapshot(spark, path, last)
+
+
 def rowcount_drift(previous: DataFrame, current: DataFrame, threshold: float = 0.20) -> DataFrame:
     """Tables that are new, dropped or changed by at least ``threshold``; an empty previous table is skipped."""
     p = previous.select("table_name", F.col("n_rows").alias("previous_rows"))

@@ -14,9 +14,12 @@ import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.errors import AnalysisException, ParseException, PySparkException
+from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import types as T
 
+from tidemill.functions.columns import is_numeric
+from tidemill.operators.sanity import result_sanity
 from tidemill.session import child_session, local_frame
 
 ROW_CAP = 1000
@@ -126,13 +129,21 @@ class GuardedSession:
         except ParseException as e:
             return Planned(refusal=Refusal(NON_READ_ONLY, "not a single read-only query", e.getCondition()))
         except AnalysisException as e:
-            kind = NON_READ_ONLY if e.getCondition() == "UNSUPPORTED_DATASOURCE_FOR_DIRECT_QUERY" else DRY_RUN_NOT_PASSED
+            kind = NON_READ_ONLY if self._names_outside(e) else DRY_RUN_NOT_PASSED
             return Planned(refusal=Refusal(kind, e.getCondition() or "analysis failed", str(e)))
         reason = self._outside(frame._jdf.queryExecution().analyzed())
         if reason:
             return Planned(refusal=Refusal(NON_READ_ONLY, reason))
         return Planned(frame=frame)
 
+    def _names_outside(self, error: AnalysisException) -> bool:
+        """Whether the relation Spark could not find is qualified with something else than a database
+        of the session: a file format and a path, for instance."""
+        if error.getCondition() != "TABLE_OR_VIEW_NOT_FOUND":
+            return False
+        parts = re.findall(r"`((?:[^`]|``)+)`", (error.getMessageParameters() or {}).get("relationName", ""))
+        return len(parts) > 1 and parts[-2].lower() not in self.databases
+
     def _outside(self, plan) -> str | None:
         """Why the analysed plan reads more than it may, if it does."""
         name = plan.getClass().getSimpleName()
@@ -163,8 +174,6 @@ class GuardedSession:
 
     def run(self, sql: str) -> Outcome:
         """Run a query; at most the row cap reaches the driver."""
-        from tidemill.operators.sanity import result_sanity
-
         planned = self.plan(sql)
         if planned.refusal is not None:
             return Outcome(refusal=planned.refusal)
@@ -172,15 +181,22 @@ class GuardedSession:
         try:
             # One row more than the cap tells whether the result was cut.
             rows = self._collect(planned.frame.limit(self.row_cap + 1))
-        except PySparkException as e:
-            return Outcome(refusal=Refusal(EXECUTION_ERROR, "execution failed", str(e)))
-        except Exception as e:  # a job cancelled by the timer surfaces as a JVM error
+        except Exception as e:  # Spark errors, and the JVM error of a job the timer cancelled
             return Outcome(refusal=Refusal(EXECUTION_ERROR, "execution failed", str(e)))
         truncated = len(rows) > self.row_cap
         rows = rows[: self.row_cap]
         provenance = Provenance(sql, int((time.monotonic() - started) * 1000), len(rows), truncated)
-        shown = local_frame(self.spark, rows, planned.frame.schema)
-        return Outcome(planned.frame, rows, provenance, warnings=result_sanity(shown).collect())
+        return Outcome(planned.frame, rows, provenance, warnings=result_sanity(self._shown(rows, planned.frame)).collect())
+
+    def _shown(self, rows: Sequence[Row], frame: DataFrame) -> DataFrame:
+        """The collected rows again, with numbers kept and other values reduced to their presence."""
+        fields = [
+            f if is_numeric(f.dataType) else T.StructField(f.name, T.BooleanType()) for f in frame.schema.fields
+        ]
+        values = [
+            tuple(v if is_numeric(f.dataType) or v is None else True for v, f in zip(row, fields)) for row in rows
+        ]
+        return local_frame(self.spark, values, T.StructType(fields))
 
     def _collect(self, frame: DataFrame) -> list[Row]:
         tag = f"guarded-{uuid.uuid4().hex}"

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 
 from tidemill.functions.columns import col
-from tidemill.functions.names import snake_case, unique_names
+from tidemill.functions.names import quoted, snake_case, unique_names
 
 
 def clean_names(names: Sequence[str]) -> list[str]:
@@ -20,6 +20,13 @@ def stage_names(df: DataFrame) -> DataFrame:
     return df.toDF(*clean_names(df.columns))
 
 
+def staging_select(names: Sequence[str], relation: str) -> str:
+    """The same rename as the text of a view on ``db.table``."""
+    renamed = ", ".join(f"{quoted(raw)} AS {quoted(clean)}" for raw, clean in zip(names, clean_names(names)))
+    # The text goes through str.format once more when the view is made.
+    return f"SELECT {renamed} FROM {'.'.join(quoted(p) for p in relation.split('.', 1))}".replace("{", "{{").replace("}", "}}")
+
+
 def stage_columns(
     df: DataFrame,
     columns: Mapping[str, str],

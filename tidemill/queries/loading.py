@@ -60,6 +60,15 @@ def scan_sniffed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_source(spark, _as_text(read(spark, sf_dir, "supplier"), "supplier", ";"))
 
 
+@query("scan_csv_multiline", "SELECT * FROM documents")
+def scan_csv_multiline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with quotes, commas and line breaks, written as CSV and read back."""
+    path = new_scratch(spark, "documents")
+    plain = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "escape": '"', "emptyValue": ""}
+    read(spark, sf_dir, "documents").write.options(header=True, **plain).csv(path)
+    return read_source(spark, path)
+
+
 @query("scan_zip", CUSTOMER_AS_TEXT_SQL)
 def scan_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers zipped into several archives, read back as one table."""

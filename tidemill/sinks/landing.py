@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemill.functions.names import quoted
 from tidemill.sources.catalog import Layers, create_database
 from tidemill.sources.files import read_source
+from tidemill.sources.paths import filesystem
 
 
 @dataclass(frozen=True)
@@ -35,10 +38,37 @@ class Dataset:
 
 
 def save_table(df: DataFrame, db: str, table: str) -> int:
-    """Replace a table and return its row count, which parquet answers from file footers."""
+    """Replace a table and return its row count, which parquet answers from file footers.
+
+    The rows go to a new folder and the name is moved to it when they are complete. A failed write
+    leaves the old table as it was, running readers keep their files, and ``df`` may read the table
+    it replaces. ``remove_old_versions`` frees the space.
+    """
+    spark = df.sparkSession
     name = f"{quoted(db)}.{quoted(table)}"
-    df.write.format("parquet").mode("overwrite").saveAsTable(name)
-    return df.sparkSession.table(name).count()
+    folder = f"{_table_folder(spark, db, table)}/{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    spark.sql(f"CREATE TABLE {name} USING parquet LOCATION '{folder}'")
+    return spark.table(name).count()
+
+
+def _table_folder(spark: SparkSession, db: str, table: str) -> str:
+    return f"{spark.catalog.getDatabase(quoted(db)).locationUri.rstrip('/')}/{table}.versions"
+
+
+def remove_old_versions(spark: SparkSession, db: str, table: str) -> int:
+    """Delete the folders of a table's earlier versions; returns how many there were."""
+    details = spark.sql(f"DESCRIBE TABLE EXTENDED {quoted(db)}.{quoted(table)}").where("col_name = 'Location'").first()
+    current = details["data_type"].rstrip("/").rsplit("/", 1)[-1]
+    files, folder = filesystem(_table_folder(spark, db, table))
+    versions = files.get_file_info(fs.FileSelector(folder, allow_not_found=True))
+    if current not in {v.base_name for v in versions}:
+        raise ValueError(f"{db}.{table} was not written by save_table")
+    old = [v for v in versions if v.base_name != current]
+    for version in old:
+        files.delete_dir(version.path)
+    return len(old)
 
 
 def land_source(spark: SparkSession, spec: TableSpec, db: str) -> int:

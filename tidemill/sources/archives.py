@@ -14,11 +14,11 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.session import new_scratch
+from tidemill.sources.paths import filesystem
 
 # Members taken for data, in any case.
 DATA_EXTENSIONS = (".csv", ".json", ".parquet", ".tsv", ".txt")
@@ -26,13 +26,6 @@ DATA_EXTENSIONS = (".csv", ".json", ".parquet", ".tsv", ".txt")
 _CHUNK = 1 << 20
 
 
-def filesystem(uri: str) -> tuple[fs.FileSystem, str]:
-    """The file system of a Spark path: ``file:/x``, ``/x`` or any scheme Arrow knows."""
-    if uri.startswith("file:"):
-        uri = "/" + uri[len("file:") :].lstrip("/")
-    return fs.FileSystem.from_uri(uri)
-
-
 def data_member(names: list[str], member: str | None) -> str:
     """The named member, else the alphabetically first data file."""
     if member is not None:

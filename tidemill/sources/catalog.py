@@ -18,7 +18,10 @@ _DATASET_NAME = re.compile(r"[a-z0-9][a-z0-9_-]{0,63}", re.IGNORECASE)
 
 @dataclass(frozen=True)
 class Layers:
-    """The databases of one dataset; ``root`` places them in a folder instead of the warehouse."""
+    """The databases of one dataset; ``root`` places them in a folder instead of the warehouse.
+
+    Spark allows no ``-`` in database names, so ``_`` stands for it there.
+    """
 
     dataset: str
     root: str | None = None
@@ -27,21 +30,21 @@ class Layers:
         if not _DATASET_NAME.fullmatch(self.dataset):
             raise ValueError(f"invalid dataset name {self.dataset!r}: 1-64 letters, digits, '_' or '-'")
 
+    @property
+    def databases(self) -> tuple[str, ...]:
+        return tuple(self.dataset.replace("-", "_") + suffix for suffix in LAYER_SUFFIXES)
+
     @property
     def raw(self) -> str:
-        return self.dataset + LAYER_SUFFIXES[0]
+        return self.databases[0]
 
     @property
     def staging(self) -> str:
-        return self.dataset + LAYER_SUFFIXES[1]
+        return self.databases[1]
 
     @property
     def marts(self) -> str:
-        return self.dataset + LAYER_SUFFIXES[2]
-
-    @property
-    def databases(self) -> tuple[str, str, str]:
-        return (self.raw, self.staging, self.marts)
+        return self.databases[2]
 
     def create(self, spark: SparkSession) -> "Layers":
         for db in self.databases:

@@ -76,17 +76,34 @@ def read_json(spark: SparkSession, path: str, columns: Sequence[str] | None = No
 
 
 def read_delimited(
-    spark: SparkSession, path: str, delimiter: str | None = None, schema: T.StructType | str | None = None
+    spark: SparkSession,
+    path: str,
+    delimiter: str | None = None,
+    schema: T.StructType | str | None = None,
+    multi_line: bool | None = None,
 ) -> DataFrame:
-    """Delimited text with a header line; the delimiter is sniffed when none is given."""
+    """Delimited text with a header line; the delimiter is sniffed when none is given.
+
+    ``multi_line`` says whether quoted values hold line breaks, which keeps Spark from splitting the
+    files; when it is not said, the text is searched for such values.
+    """
     delimiter = normalise_delimiter(delimiter) or sniff_delimiter(spark, path)
+    if multi_line is None:
+        multi_line = has_broken_lines(spark, path)
     reader = spark.read.option("sep", delimiter).option("header", True).option("escape", '"')
+    reader = reader.option("multiLine", multi_line)
     if schema is not None:
         return reader.schema(schema).csv(path)
     df = reader.option("inferSchema", True).csv(path)
     return _plain_types(_given_names(df, spark, path, delimiter), widen=True)
 
 
+def has_broken_lines(spark: SparkSession, path: str) -> bool:
+    """Whether some line holds an odd number of quotes, so that a quoted value goes on in the next."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(path).where(quotes % 2 == 1).limit(1).isEmpty()
+
+
 def _given_names(df: DataFrame, spark: SparkSession, path: str, delimiter: str) -> DataFrame:
     """Repeated header names get ``_1``, ``_2``; Spark would rename all of them."""
     header = spark.read.text(path).first()
