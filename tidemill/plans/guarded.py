@@ -43,6 +43,9 @@ _DENIED = re.compile(r"\b(" + "|".join(DENIED_WORDS) + r")\b", re.IGNORECASE)
 _INLINE_LEAVES = frozenset({"CTERelationRef", "LocalRelation", "OneRowRelation", "Range", "UnionLoopRef"})
 _DENIED_NODES = frozenset({"ScriptTransformation"})
 
+# The thread's properties a job group is made of.
+_GROUP_PROPERTIES = ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel")
+
 
 @dataclass(frozen=True)
 class Refusal:
@@ -199,15 +202,18 @@ class GuardedSession:
         return local_frame(self.spark, values, T.StructType(fields))
 
     def _collect(self, frame: DataFrame) -> list[Row]:
-        tag = f"guarded-{uuid.uuid4().hex}"
-        timer = threading.Timer(self.timeout_s, self.spark.interruptTag, [tag])
-        self.spark.addTag(tag)
+        context = self.spark.sparkContext
+        group = f"guarded-{uuid.uuid4().hex}"
+        before = {k: context.getLocalProperty(k) for k in _GROUP_PROPERTIES}
+        context.setJobGroup(group, "guarded query", interruptOnCancel=True)
+        timer = threading.Timer(self.timeout_s, context.cancelJobGroup, [group])
         timer.start()
         try:
             return frame.collect()
         finally:
             timer.cancel()
-            self.spark.removeTag(tag)
+            for key, value in before.items():
+                context.setLocalProperty(key, value)
 
     def chain(self, steps: Sequence[str], display: int | None = None, max_hops: int = MAX_HOPS) -> Chain:
         """Run queries in order; each may read ``hop_N_result`` of those before it.
@@ -223,6 +229,9 @@ class GuardedSession:
                 break
             if outcome.rows:
                 outcome.frame.createOrReplaceTempView(f"hop_{number}_result")
+        # The frames keep the plans; the names belong to this chain only.
+        for number in range(1, len(hops) + 1):
+            self.spark.catalog.dropTempView(f"hop_{number}_result")
         done = [i for i, h in enumerate(hops, start=1) if h.ok]
         if display not in done:
             display = done[-1] if done else None
@@ -235,8 +244,6 @@ class GuardedSession:
         shown = chain.hops[chain.display - 1] if chain.display else None
         if shown is not None and shown.rows:
             shown.frame.createOrReplaceTempView(f"turn_{self.turns}_result")
-        for number in range(1, len(chain.hops) + 1):
-            self.spark.catalog.dropTempView(f"hop_{number}_result")
         return chain
 
 
