@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 from tidemill.functions.columns import col, display, is_numeric, is_temporal
 from tidemill.functions.names import quoted
 from tidemill.operators.relationships import QUERY_KEY_NAME
-from tidemill.session import local_frame
+from tidemill.session import local_frame, side_by_side
 
 PROFILE_SCHEMA = """
     table_name string, table_pos int, row_count long, column_count int, column_pos int, name string, type string,
@@ -100,11 +100,10 @@ def exact_distincts(df: DataFrame, fields: Sequence[T.StructField], rows: int) -
     """
     if not fields:
         return {}
-    hashed = [f for f in fields if isinstance(f.dataType, (T.StringType, T.BinaryType))]
-    counts = _count_distincts(df, {f.name: F.xxhash64(col(f.name)) for f in hashed})
-    exact = {name: n for name, n in counts.items() if n == rows}
-    rest = {f.name: _hashable(f) for f in fields if f.name not in exact}
-    return {**exact, **_count_distincts(df, rest)}
+    wide = {f.name for f in fields if isinstance(f.dataType, (T.StringType, T.BinaryType))}
+    counts = _count_distincts(df, {f.name: F.xxhash64(col(f.name)) if f.name in wide else _hashable(f) for f in fields})
+    repeated = {name: col(name) for name in wide if counts[name] != rows}
+    return {**counts, **_count_distincts(df, repeated)}
 
 
 def _count_distincts(df: DataFrame, expressions: dict[str, Column]) -> dict[str, int]:
@@ -204,13 +203,17 @@ def profile_table(df: DataFrame, table: str = "", position: int = 0, options: Pr
 
 def profile_tables(tables: dict[str, DataFrame], options: ProfileOptions = ProfileOptions()) -> DataFrame:
     """Profiles of several tables in declaration order."""
-    return reduce(DataFrame.union, [profile_table(df, name, i, options) for i, (name, df) in enumerate(tables.items())])
+    spark = next(iter(tables.values())).sparkSession
+    jobs = [(df, name, i, options) for i, (name, df) in enumerate(tables.items())]
+    return reduce(DataFrame.union, side_by_side(spark, profile_table, jobs))
 
 
 def profile_many_columns(tables: dict[str, DataFrame], options: ProfileOptions = ProfileOptions()) -> DataFrame:
     """Column statistics of several tables, without samples."""
-    rows = [row for i, (name, df) in enumerate(tables.items()) for row in _profile_rows(df, name, i, options)]
-    return local_frame(next(iter(tables.values())).sparkSession, rows, PROFILE_SCHEMA)
+    spark = next(iter(tables.values())).sparkSession
+    jobs = [(df, name, i, options) for i, (name, df) in enumerate(tables.items())]
+    rows = [row for part in side_by_side(spark, _profile_rows, jobs) for row in part]
+    return local_frame(spark, rows, PROFILE_SCHEMA)
 
 
 def candidate_keys(profile: DataFrame) -> DataFrame:

@@ -90,12 +90,15 @@ def grouped_median(
     return ranged_median(df, keys, value, name)
 
 
-def ranged_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "median") -> DataFrame:
+def ranged_median(
+    df: DataFrame, keys: Sequence[str], value: str, name: str = "median", empty_groups: bool = True
+) -> DataFrame:
     """Exact median per group with no task holding more than one range partition of one group.
 
     Equal values are counted first, so a frequent value is a single weighted row. The weighted rows
     are range partitioned by group and value; sums per partition tell in which partition the middle
-    of each group lies, and only that partition's rows of the group are sorted.
+    of each group lies, and only that partition's rows of the group are read again and sorted.
+    ``empty_groups`` keeps groups of nothing but NULLs, at the cost of one more pass.
     """
     keys = list(keys)
     key_cols = [col(k) for k in keys]
@@ -105,9 +108,10 @@ def ranged_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "m
         .agg(F.count(F.lit(1)).alias("_w"))
     )
     ranges = weighted.repartitionByRange(*[F.asc_nulls_first(c) for c in (*keys, "_v")])
-    weighted = stage(ranges.withColumn("_part", F.spark_partition_id()), "median")
+    # A task writes one partition, so this is one folder per task.
+    weighted = stage(ranges.withColumn("_part", F.spark_partition_id()), "median", ["_part"])
 
-    # One row per group and partition it touches.
+    # One row per group and partition it touches, and of these the one or two around the middle.
     cells = weighted.groupBy(*key_cols, "_part").agg(F.sum("_w").alias("_n"))
     by_group = Window.partitionBy(*key_cols)
     cells = cells.select(
@@ -121,11 +125,16 @@ def ranged_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "m
     high = (F.floor(F.col("_total") / 2) + 1).cast("long")
     inside = lambda t: (t > F.col("_before")) & (t <= F.col("_before") + F.col("_n"))
     cells = cells.where(inside(low) | inside(high)).select(
-        *key_cols, "_part", "_before", low.alias("_low"), high.alias("_high")
-    )
-
-    near = weighted.join(
-        cells.select(*[col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_part").alias("_p"), "_before", "_low", "_high"),
+        *[col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
+        F.col("_part").alias("_p"), "_before", low.alias("_low"), high.alias("_high"),
+    )
+    # Written, so that the planner knows their size and their parts can be listed.
+    cells = stage(cells, "cells")
+    parts = [r["_p"] for r in cells.select("_p").distinct().collect()]
+
+    # The list has at most one entry per shuffle partition; folders outside it are not read.
+    near = weighted.where(F.col("_part").isin(parts)).join(
+        cells,
         reduce(lambda a, b: a & b, [col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
         & (F.col("_part") == F.col("_p")),
     )
@@ -137,7 +146,8 @@ def ranged_median(df: DataFrame, keys: Sequence[str], value: str, name: str = "m
         F.max(F.when(holds("_low"), F.col("_v"))).alias("_a"), F.max(F.when(holds("_high"), F.col("_v"))).alias("_b")
     )
     medians = middles.select(*key_cols, ((F.col("_a") + F.col("_b")) / 2).alias(name))
-    # Groups with nothing but NULLs keep a row with a NULL median.
+    if not empty_groups:
+        return medians
     groups = df.select(*key_cols).distinct()
     return groups.join(medians, _same_keys(groups, medians, keys), "left").select(
         *[groups[k] for k in keys], medians[name].cast(T.DoubleType())

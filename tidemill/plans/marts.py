@@ -34,8 +34,8 @@ def stats_by_group(
     key = col(group).alias(group)
     if has_wide_group(df, [group], value, wide_group):
         stats = df.groupBy(key).agg(*aggs)
-        medians = ranged_median(df, [group], value, "median_value").withColumnRenamed(group, "_group")
-        stats = stats.join(medians, col(group).eqNullSafe(F.col("_group")))
+        medians = ranged_median(df, [group], value, "median_value", empty_groups=False).withColumnRenamed(group, "_group")
+        stats = stats.join(medians, col(group).eqNullSafe(F.col("_group")), "left")
     else:
         stats = df.groupBy(key).agg(*aggs, F.median(v).alias("median_value"))
     return (

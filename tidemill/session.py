@@ -9,12 +9,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.util import inheritable_thread_target
 
 # Runtime settings the results or the skew handling depend on.
 RUNTIME_SETTINGS = {
@@ -74,12 +77,15 @@ def new_scratch(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/tidemill/{app}/{label}-{uuid.uuid4().hex[:12]}"
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to the scratch folder and return it read back."""
+def stage(df: DataFrame, label: str, folders: Sequence[str] = ()) -> DataFrame:
+    """Write ``df`` once to the scratch folder and return it read back.
+
+    ``folders`` are columns that get a folder per value, which filters on them then skip.
+    """
     spark = df.sparkSession
     path = new_scratch(spark, label)
     schema = df.schema
-    df.write.parquet(path)
+    df.write.partitionBy(*folders).parquet(path)
     # The schema is known, so reading back needs no inference job.
     return spark.read.schema(schema).parquet(path)
 
@@ -94,6 +100,17 @@ def child_session(spark: SparkSession) -> SparkSession:
     return child
 
 
+def side_by_side(spark: SparkSession, step: Callable[..., Any], arguments: Iterable[tuple], at_once: int = 4) -> list:
+    """Run a step for several tables with their jobs overlapping; results in the given order.
+
+    A job's last tasks leave most of a cluster idle; the next table's job fills it.
+    """
+    with ThreadPoolExecutor(at_once) as pool:
+        # The wrapper hands the caller's job properties to the thread.
+        running = [pool.submit(inheritable_thread_target(spark)(step), *args) for args in arguments]
+        return [r.result() for r in running]
+
+
 def local_frame(spark: SparkSession, rows: Sequence[Sequence], schema: str | T.StructType) -> DataFrame:
     """A few rows of metadata as a DataFrame of known size, so that the planner may broadcast it."""
     struct = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema

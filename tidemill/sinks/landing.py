@@ -10,6 +10,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemill.functions.names import quoted
+from tidemill.session import side_by_side
 from tidemill.sources.catalog import Layers, create_database
 from tidemill.sources.files import read_source
 from tidemill.sources.paths import filesystem
@@ -81,4 +82,5 @@ def land_dataset(spark: SparkSession, dataset: Dataset) -> dict[str, int]:
     """Land every declared table into the dataset's raw database; row counts by table."""
     layers = dataset.layers
     create_database(spark, layers.raw, dataset.root)
-    return {spec.table: land_source(spark, spec, layers.raw) for spec in dataset.tables}
+    counts = side_by_side(spark, land_source, [(spark, spec, layers.raw) for spec in dataset.tables])
+    return {spec.table: n for spec, n in zip(dataset.tables, counts)}
