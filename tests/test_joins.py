@@ -76,3 +76,10 @@ def test_set_operations(spark):
     assert rows(sets.union(a, b)) == [(None,), (1,), (2,), (3,)]
     assert rows(sets.intersect(a, b)) == [(None,), (1,)]
     assert rows(sets.subtract(a, b)) == [(2,)]
+
+
+def test_set_operations_shuffle_once(spark):
+    a, b = spark.range(10).toDF("v"), spark.range(5, 15).toDF("v")
+    for operation in (sets.union, sets.intersect, sets.subtract):
+        physical = plan_of(operation(a, b)).split("== Physical Plan ==")[1]
+        assert physical.count("Exchange hashpartitioning") == 1 and "Join" not in physical

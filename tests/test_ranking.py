@@ -4,7 +4,15 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from tidemill.operators.ranking import global_rank, grouped_median, has_wide_group, ranged_median, top_k, top_values
+from tidemill.operators.ranking import (
+    global_rank,
+    grouped_median,
+    has_wide_group,
+    numbered_ranges,
+    ranged_median,
+    top_k,
+    top_values,
+)
 
 from conftest import plan_of, rows
 
@@ -36,6 +44,18 @@ def test_global_rank_uses_no_window_and_many_tasks(skewed):
     assert "Window" not in plan and "SinglePartition" not in plan
 
 
+def test_a_frequent_value_spans_partitions(spark):
+    """A third of the rows have one value; no partition may hold them all."""
+    n = 30_000
+    df = spark.range(n).select("id", F.when(F.col("id") % 3 == 0, 0.5).otherwise(F.rand(1)).alias("v"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        parts = numbered_ranges(df, [F.asc("v"), F.asc("id")]).groupBy("_part").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(parts) == 8 and max(r["count"] for r in parts) < 2 * n / 8
+
+
 def test_global_rank_of_nothing(skewed):
     _, df = skewed
     assert global_rank(df.where("false"), [F.asc("id")], "rank").count() == 0

@@ -37,17 +37,7 @@ def global_rank(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
     partition numbers are only stable when they are data. ``order`` must end in a unique column,
     which also lets a frequent sort value span several partitions.
     """
-    order = list(order)
-    numbered = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    numbered = numbered.withColumn("_place", F.monotonically_increasing_id())
-    numbered = stage(
-        numbered.select(
-            *[col(c) for c in df.columns],
-            F.shiftright("_place", _ROW_BITS).alias("_part"),
-            F.col("_place").bitwiseAND(F.lit((1 << _ROW_BITS) - 1)).alias("_place"),
-        ),
-        "rank",
-    )
+    numbered = stage(numbered_ranges(df, order), "rank")
     # One row per shuffle partition, so both the collect and the broadcast are bounded by that number.
     sizes = {r["_part"]: r["n"] for r in numbered.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}
     offsets, before = [], 0
@@ -59,6 +49,17 @@ def global_rank(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
     return joined.select(*[col(c) for c in df.columns], (F.col("_before") + F.col("_place") + 1).alias(name))
 
 
+def numbered_ranges(df: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """``df`` range partitioned and sorted, with the partition (``_part``) and the place in it (``_place``)."""
+    ranges = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranges = ranges.withColumn("_place", F.monotonically_increasing_id())
+    return ranges.select(
+        *[col(c) for c in df.columns],
+        F.shiftright("_place", _ROW_BITS).alias("_part"),
+        F.col("_place").bitwiseAND(F.lit((1 << _ROW_BITS) - 1)).alias("_place"),
+    )
+
+
 def _same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
 
