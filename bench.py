@@ -7,7 +7,7 @@ import os
 import time
 
 from tidemill.queries import QUERIES
-from tidemill.session import build_session
+from tidemill.session import build_session, remove_scratch
 
 HEADLINES = [
     "mart_stats_by_group",
@@ -68,6 +68,7 @@ def main() -> None:
             }
         )
     )
+    remove_scratch(spark)
     spark.stop()
 
 

@@ -9,7 +9,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from tidemill.session import build_session, new_scratch  # noqa: E402
+from tidemill.session import build_session, new_scratch, remove_scratch  # noqa: E402
 from tidemill.sinks.landing import save_table  # noqa: E402
 from tidemill.sources.catalog import Layers  # noqa: E402
 
@@ -42,6 +42,7 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    remove_scratch(session)
     session.stop()
 
 

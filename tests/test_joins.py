@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemill.operators import sets
-from tidemill.operators.joins import fanout, join_preaggregated, orphan_keys, with_scalars
+from tidemill.operators.joins import fanout, join_preaggregated, orphan_keys, orphan_rows, with_scalars
 
 from conftest import plan_of, rows
 
@@ -57,6 +57,27 @@ def test_orphans(family):
     assert found == {k: sum(ck == k for ck, _ in children) for k in expected}
 
 
+def test_orphan_rows(family):
+    parents, children, p, c = family
+    known = {k for k, _ in parents}
+    assert rows(orphan_rows(c, "pk", p.union(p), "k")) == sorted((k, i) for k, i in children if k is not None and k not in known)
+
+
+def test_orphan_rows_shuffle_keys_only(family):
+    _, _, p, c = family
+    plan = plan_of(orphan_rows(c, "pk", p, "k")).split("== Physical Plan ==")[1]
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+
+
+def test_fanout_folds_repeated_parents(family):
+    parents, children, p, c = family
+    found = fanout(p.union(p), c, "k", "pk", "m").first()
+    once = fanout(p, c, "k", "pk", "m").first()
+    for name in ("parent_rows", "matched_rows", "joined_rows"):
+        assert found[name] == 2 * once[name]
+    assert found["sum_after"] == pytest.approx(2 * once["sum_after"]) and found["fanout_factor"] == once["fanout_factor"]
+
+
 def test_scalars_are_no_join(spark):
     df = spark.range(10)
     out = with_scalars(df, df.agg(F.max("id").alias("top"), F.count(F.lit(1)).alias("n")))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.functions.columns import col
-from tidemill.operators.joins import orphan_keys
+from tidemill.operators.joins import orphan_keys, orphan_rows
 from tidemill.session import local_frame
 
 REPORT_SCHEMA = "name string, kind string, status string, failures long, message string"
@@ -72,9 +72,7 @@ def failing_rows(
     elif check.kind == "accepted_values":
         out = _value_counts(check, tables).where(~F.col("value").isin(list(check.values)))
     elif check.kind == "relationship":
-        out = tables[check.table].where(col(check.column).isNotNull())
-        parents = tables[check.to].select(col(check.to_column).alias("_parent"))
-        out = out.join(parents, col(check.column) == F.col("_parent"), "left_anti")
+        out = orphan_rows(tables[check.table], check.column, tables[check.to], check.to_column)
     else:
         raise ValueError(f"unknown kind of check {check.kind!r}")
     out = out.orderBy(*[F.asc_nulls_last(c) for c in order]) if order else out

@@ -22,8 +22,10 @@ def checked_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {
         "labelled": document_labels(spark, sf_dir),
         "orders": read(spark, sf_dir, "orders"),
-        # Customers of some nations only, so that some orders are orphans.
-        "customer": read(spark, sf_dir, "customer").where("c_nationkey < 20"),
+        "customer": read(spark, sf_dir, "customer"),
+        # Not every document is labelled, so that some are orphans.
+        "documents": read(spark, sf_dir, "documents"),
+        "labels": read(spark, sf_dir, "labels"),
     }
 
 
@@ -49,14 +51,13 @@ def check_accepted_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ORPHANS_SQL = """
-    SELECT * FROM orders WHERE o_custkey IS NOT NULL
-    AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey < 20)
+    SELECT * FROM documents WHERE doc_id IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM labels)
 """
 
 
 @query("check_relationship", _ORPHANS_SQL)
 def check_relationship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    check = checks.relationship("orders", "o_custkey", "customer", "c_custkey")
+    check = checks.relationship("documents", "doc_id", "labels", "doc_id")
     return checks.failing_rows(check, checked_tables(spark, sf_dir))
 
 
@@ -87,7 +88,9 @@ _FAILURES_SQL = f"""
         (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) > 1)
     UNION ALL SELECT 'accepted_values_orders_o_orderstatus', 'accepted_values', count(DISTINCT o_orderstatus) FROM orders
         WHERE o_orderstatus NOT IN ('O', 'F')
-    UNION ALL SELECT 'relationship_orders_o_custkey', 'relationship', count(*) FROM ({_ORPHANS_SQL})
+    UNION ALL SELECT 'relationship_documents_doc_id', 'relationship', count(*) FROM ({_ORPHANS_SQL})
+    UNION ALL SELECT 'relationship_orders_o_custkey', 'relationship', count(*) FROM orders
+        WHERE o_custkey IS NOT NULL AND o_custkey NOT IN (SELECT c_custkey FROM customer)
     UNION ALL SELECT 'no_huge_orders', 'singular', count(*) FROM orders WHERE o_totalprice > 499000
 """
 
@@ -105,17 +108,18 @@ def run_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
         checks.unique("labelled", "doc_id"),
         checks.unique("orders", "o_custkey"),
         checks.accepted_values("orders", "o_orderstatus", ["O", "F"]),
+        checks.relationship("documents", "doc_id", "labels", "doc_id"),
         checks.relationship("orders", "o_custkey", "customer", "c_custkey"),
         checks.singular("no_huge_orders", tables["orders"].where("o_totalprice > 499000")),
     ]
     return checks.run_checks(spark, suite, tables).drop("message")
 
 
-@query("failing_rows", f"{_ORPHANS_SQL} ORDER BY o_orderkey LIMIT 5")
+@query("failing_rows", f"{_ORPHANS_SQL} ORDER BY doc_id LIMIT 5")
 def failing_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five examples of a failing check."""
-    check = checks.relationship("orders", "o_custkey", "customer", "c_custkey")
-    return checks.failing_rows(check, checked_tables(spark, sf_dir), limit=5, order=["o_orderkey"])
+    check = checks.relationship("documents", "doc_id", "labels", "doc_id")
+    return checks.failing_rows(check, checked_tables(spark, sf_dir), limit=5, order=["doc_id"])
 
 
 @query(

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemill.session import new_scratch, prepare
+from tidemill.session import fit_shuffles, new_scratch, prepare
 from tidemill.sources.catalog import Layers, create_database, register_parquet
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,7 +32,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return fit_shuffles(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
 
 def catalog_tables(spark: SparkSession, sf_dir: str, db: str, tables: list[str]) -> str:

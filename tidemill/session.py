@@ -14,11 +14,14 @@ from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
 import pyarrow as pa
+from pyarrow.fs import FileType
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.util import inheritable_thread_target
 
+from tidemill.sources.paths import filesystem
+
 # Runtime settings the results or the skew handling depend on.
 RUNTIME_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -29,6 +32,12 @@ RUNTIME_SETTINGS = {
 }
 
 _CHECKPOINT_DIR = "spark.checkpoint.dir"
+_FIRST_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+
+# Input bytes per shuffle partition, and the most partitions a shuffle starts with. Adaptive
+# execution merges what turns out small, but cannot split an ordinary shuffle that starts too coarse.
+SHUFFLE_INPUT_BYTES = 256 << 20
+MAX_SHUFFLE_PARTITIONS = 20_000
 
 # Folders made for local sessions that name none, by application.
 _local_roots: dict[str, str] = {}
@@ -54,6 +63,20 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def fit_shuffles(df: DataFrame) -> DataFrame:
+    """Start later shuffles with as many partitions as the files behind ``df`` call for; returns ``df``.
+
+    The number only grows, and small inputs leave the session's own setting alone.
+    """
+    spark = df.sparkSession
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    wanted = min(-(-size // SHUFFLE_INPUT_BYTES), MAX_SHUFFLE_PARTITIONS)
+    now = spark.conf.get(_FIRST_PARTITIONS, None) or spark.conf.get("spark.sql.shuffle.partitions")
+    if wanted > int(now):
+        spark.conf.set(_FIRST_PARTITIONS, str(wanted))
+    return df
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for intermediate tables.
 
@@ -77,6 +100,17 @@ def new_scratch(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/tidemill/{app}/{label}-{uuid.uuid4().hex[:12]}"
 
 
+def remove_scratch(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables; frames that still read them stop working.
+
+    Databases placed below the scratch folder go with it, so this is the last step of a run.
+    """
+    app = spark.conf.get("spark.app.id", "app")
+    files, folder = filesystem(f"{scratch_root(spark)}/tidemill/{app}")
+    if files.get_file_info(folder).type == FileType.Directory:
+        files.delete_dir(folder)
+
+
 def stage(df: DataFrame, label: str, folders: Sequence[str] = ()) -> DataFrame:
     """Write ``df`` once to the scratch folder and return it read back.
 
@@ -93,7 +127,7 @@ def stage(df: DataFrame, label: str, folders: Sequence[str] = ()) -> DataFrame:
 def child_session(spark: SparkSession) -> SparkSession:
     """A session on the same catalog with its own temp views and settings."""
     child = spark.newSession()
-    for key in (*RUNTIME_SETTINGS, "spark.sql.shuffle.partitions"):
+    for key in (*RUNTIME_SETTINGS, "spark.sql.shuffle.partitions", _FIRST_PARTITIONS):
         value = spark.conf.get(key, None)
         if value is not None:
             child.conf.set(key, value)

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from tidemill.functions.columns import col
 from tidemill.functions.names import unique_names
+from tidemill.session import fit_shuffles
 
 # The delimiters a file without a declared one may use, in order of preference.
 DELIMITERS = (",", "\t", ";", "|")
@@ -45,23 +46,27 @@ def read_source(
     Without ``schema`` text formats are read once more to infer types from every row; at scale,
     pass the schema of an earlier landing.
     """
-    kind = extension(path)
     try:
-        if kind == "zip":
-            from tidemill.sources.archives import read_zip
-
-            return read_zip(spark, path, member, delimiter, schema)
-        if kind == "parquet":
-            return spark.read.parquet(path) if schema is None else spark.read.schema(schema).parquet(path)
-        if kind in ("json", "ndjson"):
-            return read_json(spark, path, schema=schema)
-        return read_delimited(spark, path, delimiter, schema=schema)
+        return fit_shuffles(_reader(spark, path, delimiter, member, schema))
     except AnalysisException as e:
         if e.getCondition() == "PATH_NOT_FOUND":
             raise FileNotFoundError(f"source not found: {path}") from e
         raise
 
 
+def _reader(spark: SparkSession, path: str, delimiter: str | None, member: str | None, schema) -> DataFrame:
+    kind = extension(path)
+    if kind == "zip":
+        from tidemill.sources.archives import read_zip
+
+        return read_zip(spark, path, member, delimiter, schema)
+    if kind == "parquet":
+        return spark.read.parquet(path) if schema is None else spark.read.schema(schema).parquet(path)
+    if kind in ("json", "ndjson"):
+        return read_json(spark, path, schema=schema)
+    return read_delimited(spark, path, delimiter, schema=schema)
+
+
 def read_json(spark: SparkSession, path: str, columns: Sequence[str] | None = None, schema=None) -> DataFrame:
     """One object per line, or one array per file (which Spark cannot split).
 
