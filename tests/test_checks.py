@@ -12,6 +12,9 @@ from tidemill.operators.monitoring import (
     save_snapshot,
 )
 from tidemill.operators.sanity import result_sanity
+from tidemill.sinks.landing import save_table
+from tidemill.sinks.models import save_view
+from tidemill.sources.catalog import Layers
 
 from conftest import plan_of, rows
 
@@ -145,5 +148,14 @@ def test_snapshots(spark, zoo, tmp_path):
     assert load_snapshot(spark, path, "2024-01-01").count() == 2
 
 
+def test_snapshot_leaves_broken_views_out(spark, tmp_path):
+    layers = Layers("broken", str(tmp_path)).create(spark)
+    for name in ("kept", "gone"):
+        save_table(spark.range(4), layers.raw, name)
+        save_view(spark, layers.staging, f"stg_{name}", f"SELECT * FROM {layers.raw}.{name}")
+    spark.sql(f"DROP TABLE {layers.raw}.gone")
+    assert rows(rowcount_snapshot(spark, layers.databases)) == [("broken_raw.kept", 4), ("broken_staging.stg_kept", 4)]
+
+
 def test_snapshot_of_nothing(spark):
     assert rowcount_snapshot(spark, []).count() == 0

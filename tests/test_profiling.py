@@ -149,11 +149,13 @@ def test_suggested_checks(spark):
 
 def test_schema_summary(spark):
     profile = profile_tables({k: v for k, v in tables(spark).items() if k != "cards"})
-    lines = [r["line"] for r in schema_summary(profile, infer_relationships(profile), {"turn_1_result": spark.range(3)}).collect()]
+    prior = spark.sql("SELECT * FROM VALUES (1, NULL), (2, NULL) AS t(id, note)")
+    prior = {"turn_1_result": prior.withColumn("note", F.col("note").cast("string"))}
+    lines = [r["line"] for r in schema_summary(profile, infer_relationships(profile), prior).collect()]
     assert lines[0] == "### `customers`  (3 rows; grain = label)"
     assert "  - `customer_id` int  (null_rate=0%; distinct=3; range=[1 .. 3]; samples=[1, 2, 3])" in lines
     assert "  - `customers` -> `orders` on customer_id [1:many]" in lines
-    assert lines[-1] == "### `turn_1_result`  (id bigint): 3 rows"
+    assert lines[-3:] == ["### `turn_1_result`  (2 rows)", "  - `id` int  (samples=[1, 2])", "  - `note` string"]
 
 
 @pytest.mark.parametrize("name", ["a.b", "x`y", "Body mass (g)"])

@@ -20,14 +20,16 @@ def rowcount_snapshot(spark: SparkSession, databases: Sequence[str]) -> DataFram
     """``(table_name, n_rows)`` of every table and view in the databases.
 
     Counting a parquet table reads no column. All counts are one lazy union, so they run as one job.
+    What cannot be analysed, such as a view on a table that is gone, is left out.
     """
-    counts = [
-        spark.table(f"{quoted(db)}.{quoted(table)}").agg(
-            F.lit(f"{db}.{table}").alias("table_name"), F.count(F.lit(1)).alias("n_rows")
-        )
-        for db in databases
-        for table in tables_in(spark, db)
-    ]
+    counts = []
+    for db in databases:
+        for table in tables_in(spark, db):
+            try:
+                rows = spark.table(f"{quoted(db)}.{quoted(table)}")
+            except AnalysisException:
+                continue
+            counts.append(rows.agg(F.lit(f"{db}.{table}").alias("table_name"), F.count(F.lit(1)).alias("n_rows")))
     return reduce(DataFrame.union, counts) if counts else local_frame(spark, [], SNAPSHOT_SCHEMA)
 
 

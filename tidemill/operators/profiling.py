@@ -22,6 +22,9 @@ from tidemill.functions.names import quoted
 from tidemill.operators.relationships import QUERY_KEY_NAME
 from tidemill.session import local_frame, side_by_side
 
+# Rows of an earlier result that a session has seen.
+SHOWN_ROWS = 1000
+
 PROFILE_SCHEMA = """
     table_name string, table_pos int, row_count long, column_count int, column_pos int, name string, type string,
     null_count long, null_rate double, approx_distinct long, exact_distinct long, is_candidate_key boolean,
@@ -230,6 +233,27 @@ def _shorten(c: Column, limit: int = 40) -> Column:
     return F.when(F.length(c) <= limit, c).otherwise(F.concat(F.substring(c, 1, limit - 1), F.lit("...")))
 
 
+def _prior_lines(position: int, name: str, df: DataFrame) -> DataFrame:
+    """An earlier result: its size, and its columns with the first five values of the rows shown."""
+    count = df.agg(F.count(F.lit(1)).alias("n")).select(
+        F.lit(-1).alias("line_pos"), F.format_string("### `%s`  (%,d rows)", F.lit(name), "n").alias("line")
+    )
+    shown = df.limit(SHOWN_ROWS)
+    firsts = shown.agg(
+        *[F.slice(F.collect_list(display(col(f.name), f.dataType)), 1, 5).alias(f"v{i}") for i, f in enumerate(df.schema)]
+    )
+    lines = []
+    for i, f in enumerate(df.schema):
+        head = F.format_string("  - `%s` %s", F.lit(f.name), F.lit(f.dataType.simpleString()))
+        values = F.concat(F.lit("  (samples=["), F.array_join(f"v{i}", ", "), F.lit("])"))
+        line = F.when(F.size(f"v{i}") > 0, F.concat(head, values)).otherwise(head)
+        lines.append(F.struct(F.lit(i).alias("line_pos"), line.alias("line")))
+    columns = firsts.select(F.inline(F.array(*lines)))
+    return count.union(columns).select(
+        F.lit(2).alias("section"), F.lit(position).alias("table_pos"), "line_pos", "line"
+    )
+
+
 def schema_summary(profile: DataFrame, relationships: DataFrame, prior_results: dict[str, DataFrame] | None = None) -> DataFrame:
     """The profile as readable lines: ``(section, table_pos, line_pos, line)`` in reading order."""
     heads = (
@@ -264,13 +288,5 @@ def schema_summary(profile: DataFrame, relationships: DataFrame, prior_results:
         F.format_string("  - `%s` -> `%s` on %s [%s]", "parent", "child", "column_name", "cardinality").alias("line"),
     )
     parts = [heads, lines, links]
-    for i, (name, df) in enumerate((prior_results or {}).items()):
-        described = f"### `{name}`  ({', '.join(f'{c} {t}' for c, t in df.dtypes)})"
-        count = df.agg(F.count(F.lit(1)).alias("n"))
-        parts.append(
-            count.select(
-                F.lit(2).alias("section"), F.lit(i).alias("table_pos"), F.lit(0).alias("line_pos"),
-                F.format_string("%s: %,d rows", F.lit(described), "n").alias("line"),
-            )
-        )
+    parts += [_prior_lines(i, name, df) for i, (name, df) in enumerate((prior_results or {}).items())]
     return reduce(DataFrame.union, parts).orderBy("section", "table_pos", "line_pos", "line")
