@@ -60,10 +60,6 @@ def numbered_ranges(df: DataFrame, order: Sequence[Column]) -> DataFrame:
     )
 
 
-def _same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
-
-
 def has_wide_group(df: DataFrame, keys: Sequence[str], value: str, limit: int) -> bool:
     """Whether some group holds more than about ``limit`` distinct values (5 % HyperLogLog error)."""
     widths = df.groupBy(*[col(k) for k in keys]).agg(F.approx_count_distinct(col(value)).alias("w"))
@@ -86,7 +82,7 @@ def grouped_median(
     """
     if accuracy is not None:
         return df.groupBy(*[col(k) for k in keys]).agg(F.percentile_approx(col(value), 0.5, accuracy).alias(name))
-    if not has_wide_group(df, keys, value, wide_group):
+    if wide_group > 0 and not has_wide_group(df, keys, value, wide_group):
         return df.groupBy(*[col(k) for k in keys]).agg(F.median(col(value)).alias(name))
     return ranged_median(df, keys, value, name)
 
@@ -99,15 +95,13 @@ def ranged_median(
     Equal values are counted first, so a frequent value is a single weighted row. The weighted rows
     are range partitioned by group and value; sums per partition tell in which partition the middle
     of each group lies, and only that partition's rows of the group are read again and sorted.
-    ``empty_groups`` keeps groups of nothing but NULLs, at the cost of one more pass.
+    ``df`` is read once. ``empty_groups`` keeps groups of nothing but NULLs.
     """
     keys = list(keys)
     key_cols = [col(k) for k in keys]
-    weighted = (
-        df.where(col(value).isNotNull())
-        .groupBy(*key_cols, col(value).cast("double").alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_w"))
-    )
+    # A group's NULLs are one row of no weight: it keeps the group known and moves no middle.
+    rows = df if empty_groups else df.where(col(value).isNotNull())
+    weighted = rows.groupBy(*key_cols, col(value).cast("double").alias("_v")).agg(F.count(col(value)).alias("_w"))
     ranges = weighted.repartitionByRange(*[F.asc_nulls_first(c) for c in (*keys, "_v")])
     # A task writes one partition, so this is one folder per task.
     weighted = stage(ranges.withColumn("_part", F.spark_partition_id()), "median", ["_part"])
@@ -149,7 +143,8 @@ def ranged_median(
     medians = middles.select(*key_cols, ((F.col("_a") + F.col("_b")) / 2).alias(name))
     if not empty_groups:
         return medians
-    groups = df.select(*key_cols).distinct()
-    return groups.join(medians, _same_keys(groups, medians, keys), "left").select(
-        *[groups[k] for k in keys], medians[name].cast(T.DoubleType())
+    groups = weighted.select(*[col(k).alias(f"_g{i}") for i, k in enumerate(keys)]).distinct()
+    same = reduce(lambda a, b: a & b, [F.col(f"_g{i}").eqNullSafe(col(k)) for i, k in enumerate(keys)])
+    return groups.join(medians, same, "left").select(
+        *[F.col(f"_g{i}").alias(k) for i, k in enumerate(keys)], col(name).cast(T.DoubleType()).alias(name)
     )
