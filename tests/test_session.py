@@ -1,38 +1,18 @@
 import os
 
-import pytest
-
 from tidemill import session
-from tidemill.session import child_session, fit_shuffles, remove_scratch, stage
-
-FIRST = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
-
-
-@pytest.fixture
-def wide_table(spark, tmp_path, monkeypatch):
-    spark.range(20_000).write.parquet(str(tmp_path / "t"))
-    monkeypatch.setattr(session, "SHUFFLE_INPUT_BYTES", 1000)
-    yield spark.read.parquet(str(tmp_path / "t"))
-    spark.conf.unset(FIRST)
-
-
-def test_large_inputs_start_with_more_partitions(spark, wide_table, monkeypatch):
-    monkeypatch.setattr(session, "MAX_SHUFFLE_PARTITIONS", 50)
-    assert fit_shuffles(wide_table) is wide_table
-    assert spark.conf.get(FIRST) == "50"
-    assert child_session(spark).conf.get(FIRST) == "50"
+from tidemill.session import remove_scratch, stage
 
+def test_tasks_import_the_package_from_any_folder(spark):
+    """The shipped archive is on the workers' path, so the folder Spark was started in does not matter."""
 
-def test_partitions_never_shrink(spark, wide_table, monkeypatch):
-    spark.conf.set(FIRST, "5000")
-    fit_shuffles(wide_table)
-    assert spark.conf.get(FIRST) == "5000"
+    def where(batches):
+        import sys
 
+        for batch in batches:
+            yield batch.assign(id=sum("tidemill-package.zip" in p for p in sys.path))
 
-def test_small_inputs_change_nothing(spark, tmp_path):
-    spark.range(10).write.parquet(str(tmp_path / "t"))
-    fit_shuffles(spark.read.parquet(str(tmp_path / "t")))
-    assert spark.conf.get(FIRST, None) is None
+    assert spark.range(1).mapInPandas(where, "id long").first()[0] >= 1
 
 
 def test_scratch_is_removed_with_its_tables_only(spark, tmp_path, monkeypatch):

@@ -7,6 +7,8 @@ needs no recomputation, and keeps column pruning, which an RDD checkpoint would
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Sequence
@@ -32,13 +34,6 @@ RUNTIME_SETTINGS = {
 }
 
 _CHECKPOINT_DIR = "spark.checkpoint.dir"
-_FIRST_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
-
-# Input bytes per shuffle partition, and the most partitions a shuffle starts with. Adaptive
-# execution merges what turns out small, but cannot split an ordinary shuffle that starts too coarse.
-SHUFFLE_INPUT_BYTES = 256 << 20
-MAX_SHUFFLE_PARTITIONS = 20_000
-
 # Folders made for local sessions that name none, by application.
 _local_roots: dict[str, str] = {}
 
@@ -56,25 +51,26 @@ def build_session(app_name: str = "tidemill", master: str | None = None, **setti
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings to a session somebody else built."""
+    """Apply the runtime settings to a session somebody else built, and give its workers this package."""
     for key, value in RUNTIME_SETTINGS.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
+    ship_package(spark)
     return spark
 
 
-def fit_shuffles(df: DataFrame) -> DataFrame:
-    """Start later shuffles with as many partitions as the files behind ``df`` call for; returns ``df``.
-
-    The number only grows, and small inputs leave the session's own setting alone.
-    """
-    spark = df.sparkSession
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    wanted = min(-(-size // SHUFFLE_INPUT_BYTES), MAX_SHUFFLE_PARTITIONS)
-    now = spark.conf.get(_FIRST_PARTITIONS, None) or spark.conf.get("spark.sql.shuffle.partitions")
-    if wanted > int(now):
-        spark.conf.set(_FIRST_PARTITIONS, str(wanted))
-    return df
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the workers, once per application, so that tasks can import it anywhere."""
+    context = spark.sparkContext
+    if getattr(context, "_tidemill_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    with tempfile.TemporaryDirectory() as folder:  # only the driver reads it; Spark serves it to the others
+        archive = shutil.make_archive(
+            os.path.join(folder, "tidemill-package"), "zip", os.path.dirname(package), os.path.basename(package)
+        )
+        context.addPyFile(archive)
+    context._tidemill_shipped = True
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -127,7 +123,7 @@ def stage(df: DataFrame, label: str, folders: Sequence[str] = ()) -> DataFrame:
 def child_session(spark: SparkSession) -> SparkSession:
     """A session on the same catalog with its own temp views and settings."""
     child = spark.newSession()
-    for key in (*RUNTIME_SETTINGS, "spark.sql.shuffle.partitions", _FIRST_PARTITIONS):
+    for key in (*RUNTIME_SETTINGS, "spark.sql.shuffle.partitions"):
         value = spark.conf.get(key, None)
         if value is not None:
             child.conf.set(key, value)

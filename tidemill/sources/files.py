@@ -13,7 +13,6 @@ from pyspark.sql import types as T
 
 from tidemill.functions.columns import col
 from tidemill.functions.names import unique_names
-from tidemill.session import fit_shuffles
 
 # The delimiters a file without a declared one may use, in order of preference.
 DELIMITERS = (",", "\t", ";", "|")
@@ -47,7 +46,7 @@ def read_source(
     pass the schema of an earlier landing.
     """
     try:
-        return fit_shuffles(_reader(spark, path, delimiter, member, schema))
+        return _reader(spark, path, delimiter, member, schema)
     except AnalysisException as e:
         if e.getCondition() == "PATH_NOT_FOUND":
             raise FileNotFoundError(f"source not found: {path}") from e
