@@ -17,6 +17,7 @@ from typing import Any
 
 import pyarrow as pa
 from pyarrow.fs import FileType
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -65,11 +66,10 @@ def ship_package(spark: SparkSession) -> None:
     if getattr(context, "_tidemill_shipped", False):
         return
     package = os.path.dirname(os.path.abspath(__file__))
-    with tempfile.TemporaryDirectory() as folder:  # only the driver reads it; Spark serves it to the others
-        archive = shutil.make_archive(
-            os.path.join(folder, "tidemill-package"), "zip", os.path.dirname(package), os.path.basename(package)
-        )
-        context.addPyFile(archive)
+    # Spark's own folder on the driver, from which it serves files to the others and which it removes at the end.
+    archive = os.path.join(SparkFiles.getRootDirectory(), "shipped", "tidemill-package")
+    archive = shutil.make_archive(archive, "zip", os.path.dirname(package), os.path.basename(package))
+    context.addPyFile(archive)
     context._tidemill_shipped = True
 
 
