@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import bpe, shards
+from tidemill.llm import bpe, quality, shards, toxicity
+from tidemill.llm.labelled import examples, fold
 from tidemill.llm.text import session
 
 QUERIES = {}
@@ -14,6 +15,8 @@ ORACLES = {}
 
 RANKS = "byte_bpe_50k.tiktoken"
 SHARDS = 40
+TOXIC_FOLDS, TOXIC_HELD_OUT, TOXIC_FROM = 3, 1, 0.7
+QUALITY_FOLDS, QUALITY_HELD_OUT, QUALITY_FROM = 5, 0, 0.3
 
 
 def query(name: str, sql: str | None = None):
@@ -89,3 +92,40 @@ def op5_byte_bpe(spark, sf_dir):
         F.sha2("token_ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def toxicity_index(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Index:
+    """Nearest-example index over labelled rows of the training folds."""
+    trains = fold(F.col("doc_id"), TOXIC_FOLDS) != TOXIC_HELD_OUT
+    sample = examples(docs, labels(spark, sf_dir), "toxic", trains, toxicity.SAMPLE_DOCUMENTS)
+    return toxicity.build(docs, sample)
+
+
+@query("op7_toxicity")
+def op7_toxicity(spark, sf_dir):
+    """Toxicity of every document by its nearest labelled examples."""
+    docs = documents(spark, sf_dir)
+    scored = toxicity.score(docs, toxicity_index(spark, docs, sf_dir))
+    return scored.select(
+        "doc_id",
+        (fold(F.col("doc_id"), TOXIC_FOLDS) == TOXIC_HELD_OUT).alias("held_out"),
+        "score",
+        (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"),
+        "neighbours",
+    )
+
+
+@query("op8_quality")
+def op8_quality(spark, sf_dir):
+    """Quality of every document by attention over its passages."""
+    docs = documents(spark, sf_dir)
+    held_out = fold(F.col("doc_id"), QUALITY_FOLDS) == QUALITY_HELD_OUT
+    sample = examples(docs, labels(spark, sf_dir), "quality", ~held_out, quality.SAMPLE_DOCUMENTS)
+    scored = quality.score(docs, quality.train(sample))
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= QUALITY_FROM).cast("int").alias("predicted"), "top_passage"
+    )

@@ -27,6 +27,8 @@ _BYTE_VALUES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=n
 # Bytes between words: space, tab, line feed, vertical tab, form feed, carriage return.
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+# What stands between the terms of a classifier: every ASCII byte but letters and digits.
+NOT_ALPHANUMERIC = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
@@ -127,11 +129,11 @@ class Words:
     first: np.ndarray
 
 
-def words(chunk: Chunk, lower: bool = True) -> Words:
-    """Words are runs without ASCII white space; ``lower`` folds A to Z."""
+def words(chunk: Chunk, lower: bool = True, separators: np.ndarray = _SPACE) -> Words:
+    """Words are runs without separators, which are ASCII white space by default; ``lower`` folds A to Z."""
     data = _LOWER[chunk.bytes] if lower else chunk.bytes
     n = len(data)
-    inside = ~_SPACE[data]
+    inside = ~separators[data]
     before = np.zeros(n, bool)
     before[1:] = inside[:-1]
     after = np.zeros(n, bool)
@@ -183,3 +185,21 @@ def distinct_by_row(hashes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, n
     keep = np.ones(len(hashes), bool)
     keep[1:] = (hashes[1:] != hashes[:-1]) | (rows[1:] != rows[:-1])
     return hashes[keep], rows[keep]
+
+
+def counts_by_row(hashes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each row's distinct hashes with how often they occur: (hash, row, count), sorted by row and hash."""
+    order = np.lexsort((hashes, rows))
+    hashes, rows = hashes[order], rows[order]
+    new = np.ones(len(hashes), bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (rows[1:] != rows[:-1])
+    at = np.flatnonzero(new)
+    return hashes[at], rows[at], np.diff(np.append(at, len(hashes)))
+
+
+def positions(sorted_values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Where each wanted value stands in a sorted array, -1 where it does not."""
+    if not len(sorted_values):
+        return np.full(len(wanted), -1)
+    at = np.minimum(np.searchsorted(sorted_values, wanted), len(sorted_values) - 1)
+    return np.where(sorted_values[at] == wanted, at, -1)
