@@ -29,8 +29,8 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 # What stands between the terms of a classifier: every ASCII byte but letters and digits.
 NOT_ALPHANUMERIC = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[ord("A") : ord("Z") + 1] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[ord("A") : ord("Z") + 1] += 32
 
 _powers: dict[int, np.ndarray] = {}
 
@@ -131,7 +131,7 @@ class Words:
 
 def words(chunk: Chunk, lower: bool = True, separators: np.ndarray = _SPACE) -> Words:
     """Words are runs without separators, which are ASCII white space by default; ``lower`` folds A to Z."""
-    data = _LOWER[chunk.bytes] if lower else chunk.bytes
+    data = LOWER[chunk.bytes] if lower else chunk.bytes
     n = len(data)
     inside = ~separators[data]
     before = np.zeros(n, bool)

@@ -1,7 +1,7 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-Terms that go with the label are chosen by a chi-squared test on the examples; how rare each is, is counted
-over all documents. Examples stand in an inverted index whose posting lists are cut into blocks of
+Terms are words and word beginnings, and their repetitions. Those that go with the label are chosen by a
+chi-squared test on the examples; how rare each is, is counted over all documents. Examples stand in an inverted index whose posting lists are cut into blocks of
 neighbouring examples, each with the highest weight in it. A search takes the blocks in the order of the
 best similarity they could hold and stops when no block left can enter the nearest ones, so it is exact.
 Similar neighbours vote with their similarity; the votes are calibrated on the examples themselves, each
@@ -15,10 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.text import NOT_ALPHANUMERIC, chunks, counts_by_row, map_batches, positions, words
+from tidemill.llm.text import LOWER, NOT_ALPHANUMERIC, Chunk, chunks, counts_by_row, map_batches, mix, positions, prefix_hashes, stretch_hash, words
 
 # The most labelled documents that serve as examples, and the most terms that are chosen.
-SAMPLE_DOCUMENTS = 12_000
+SAMPLE_DOCUMENTS = 8_000
 MOST_TERMS = 4_096
 NEIGHBOURS = 15
 # Chi-squared with one degree of freedom for about one in 10 million.
@@ -26,49 +26,111 @@ LEAST_CHI2 = 28.0
 BLOCK = 32
 
 
-def _terms(chunk):
-    found = words(chunk, separators=NOT_ALPHANUMERIC)
-    return counts_by_row(found.hash, found.row)
+# Byte lengths of the word beginnings that are terms beside the whole word, and the counts from which a term
+# that a text repeats is a further term.
+PREFIXES = (4, 5, 6, 7, 8)
+LEVELS = (1, 2, 4)
+_KNOWN_BITS = 20
+
+
+class Vocabulary:
+    """Chosen terms, sorted, with a bitmap that lets through few others before they are looked up."""
+
+    def __init__(self, terms: np.ndarray, bases: np.ndarray):
+        self.terms, self.bases = terms, np.unique(bases)
+        self.maybe = np.zeros(1 << _KNOWN_BITS, bool)
+        self.maybe[self.bases & np.uint64((1 << _KNOWN_BITS) - 1)] = True
 
+    def __len__(self) -> int:
+        return len(self.terms)
 
-def choose_terms(examples: DataFrame, least_chi2: float = LEAST_CHI2, at_most: int = MOST_TERMS) -> np.ndarray:
-    """Hashes of the terms whose presence goes with label 1, sorted; none if a label is missing."""
+    def among(self, bases: np.ndarray) -> np.ndarray:
+        hit = np.flatnonzero(self.maybe[bases & np.uint64((1 << _KNOWN_BITS) - 1)])
+        return hit[positions(self.bases, bases[hit]) >= 0]
+
+
+def _terms(chunk: Chunk, vocabulary: Vocabulary | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Terms of every row as (term, base, row, count): words and word beginnings, and again at each level of
+    repetition. With a vocabulary, only terms whose base is in it."""
+    found = words(chunk, separators=NOT_ALPHANUMERIC)
+    size = found.end - found.start
+    prefixes = prefix_hashes(LOWER[chunk.bytes])
+    bases, rows = [], []
+    for length in (0, *PREFIXES):
+        at = np.flatnonzero(size > length)
+        if length:
+            base = mix(stretch_hash(prefixes, found.start[at], found.start[at] + length) + np.uint64(length << 32))
+        else:
+            base = found.hash
+        row = found.row[at]
+        if vocabulary is not None:
+            keep = vocabulary.among(base)
+            base, row = base[keep], row[keep]
+        bases.append(base)
+        rows.append(row)
+    base, row, n = counts_by_row(np.concatenate(bases), np.concatenate(rows))
+    parts = [(mix(base[n >= least] + np.uint64(least)), base[n >= least], row[n >= least], n[n >= least]) for least in LEVELS]
+    term, base, row, n = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(row, kind="stable")
+    return term[order], base[order], row[order], n[order]
+
+
+def _in_texts(texts: DataFrame, vocabulary: Vocabulary | None = None) -> DataFrame:
+    """(term, base, n): in how many texts each term stands."""
 
     def count(batch: pa.RecordBatch):
-        labels, row = batch.column(1).to_numpy(zero_copy_only=False), 0
         for chunk in chunks(batch.column(0)):
-            term, at, _ = _terms(chunk)
-            distinct, back = np.unique(term, return_inverse=True)
-            ones = np.bincount(back, labels[row + at] == 1, len(distinct)).astype(np.int64)
-            row += chunk.rows
-            yield pa.RecordBatch.from_arrays([pa.array(distinct.view(np.int64)), pa.array(np.bincount(back, minlength=len(distinct))), pa.array(ones)], names=["term", "n", "n1"])
+            term, base, _, _ = _terms(chunk, vocabulary)
+            distinct, at, n = np.unique(term, return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(distinct.view(np.int64)), pa.array(base[at].view(np.int64)), pa.array(n)], names=["term", "base", "n"]
+            )
 
+    counted = map_batches(texts.select("text"), count, "term long, base long, n long")
+    return counted.groupBy("term", "base").agg(F.sum("n").alias("n"))
+
+
+def choose_terms(examples: DataFrame, least_chi2: float = LEAST_CHI2, at_most: int = MOST_TERMS) -> Vocabulary:
+    """The terms whose presence goes with label 1; none if a label is missing.
+
+    Only terms of at least three examples with label 1 can pass the test, so these are counted first.
+    """
     sizes = examples.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("n1")).first()
     n, n1 = float(sizes["n"]), float(sizes["n1"])
+    none = np.zeros(0, np.uint64)
     if not 0 < n1 < n:
-        return np.zeros(0, np.uint64)
-    counted = map_batches(examples.select("text", "label"), count, "term long, n long, n1 long")
-    counted = counted.groupBy("term").agg(F.sum("n").alias("a"), F.sum("n1").alias("a1"))
-    a, a1 = F.col("a").cast("double"), F.col("a1").cast("double")
-    lift = a1 * n - a * n1
-    chi2 = n * (a1 * (n - n1) - (a - a1) * n1) ** 2 / (F.lit(n1 * (n - n1)) * a * (F.lit(n) - a))
-    best = counted.where((lift > 0) & (a < n) & (chi2 >= least_chi2)).orderBy(chi2.desc(), "term").limit(at_most)
-    return np.sort(np.array([r["term"] for r in best.select("term").collect()], np.int64).view(np.uint64))
-
-
-def document_frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[int, np.ndarray]:
+        return Vocabulary(none, none)
+    # Bounded by the examples, not by the corpus.
+    ones = _in_texts(examples.where("label = 1")).where("n >= 3").toPandas().sort_values("term")
+    if not len(ones):
+        return Vocabulary(none, none)
+    term = ones["term"].to_numpy(np.int64)
+    candidates = Vocabulary(term.view(np.uint64), ones["base"].to_numpy(np.int64).view(np.uint64))
+    zeros = _in_texts(examples.where("label = 0"), candidates).toPandas()
+    n0_of = dict(zip(zeros["term"], zeros["n"]))
+    a1 = ones["n"].to_numpy(np.float64)
+    a = a1 + np.array([n0_of.get(t, 0) for t in term], np.float64)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        chi2 = np.where((a1 * n > a * n1) & (a < n), n * (a1 * (n - n1) - (a - a1) * n1) ** 2 / (n1 * (n - n1) * a * (n - a)), 0)
+    best = np.lexsort((term, -chi2))[:at_most]
+    best = best[chi2[best] >= least_chi2]
+    chosen = np.sort(term[best].view(np.uint64))
+    return Vocabulary(chosen, ones["base"].to_numpy(np.int64).view(np.uint64)[best])
+
+
+def document_frequencies(docs: DataFrame, vocabulary: Vocabulary) -> tuple[int, np.ndarray]:
     """How many texts there are, and in how many of them each term stands, over all documents."""
 
     def count(batch: pa.RecordBatch):
-        total = np.zeros(len(terms) + 1, np.int64)
+        total = np.zeros(len(vocabulary) + 1, np.int64)
         total[-1] = batch.num_rows
         for chunk in chunks(batch.column(0)):
-            at = positions(terms, _terms(chunk)[0])
-            total[:-1] += np.bincount(at[at >= 0], minlength=len(terms))
+            at = positions(vocabulary.terms, _terms(chunk, vocabulary)[0])
+            total[:-1] += np.bincount(at[at >= 0], minlength=len(vocabulary))
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["at", "n"])
 
-    out = np.zeros(len(terms) + 1, np.int64)
+    out = np.zeros(len(vocabulary) + 1, np.int64)
     # At most one row for each chosen term.
     for r in map_batches(docs.select("text"), count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
         out[r["at"]] = r["n"]
@@ -79,7 +141,7 @@ class Index:
     """Terms, their weights, and the examples' postings in blocks. Read-only once built; its size is bounded
     by the number of examples and terms."""
 
-    def __init__(self, terms: np.ndarray, idf: np.ndarray, block: int = BLOCK):
+    def __init__(self, terms: Vocabulary, idf: np.ndarray, block: int = BLOCK):
         self.terms, self.idf, self.block = terms, idf, block
         self.ids, self.labels = np.zeros(0, np.int64), np.zeros(0)
         self.curve = (1.0, 0.0)
@@ -190,11 +252,11 @@ class Index:
         return self.apart, self.ids[:0], np.zeros(0)
 
 
-def _split(column: pa.Array, terms: np.ndarray):
+def _split(column: pa.Array, vocabulary: Vocabulary):
     """For every row: positions of its chosen terms and their counts."""
     for chunk in chunks(column):
-        term, row, n = _terms(chunk)
-        at = positions(terms, term)
+        term, _, row, n = _terms(chunk, vocabulary)
+        at = positions(vocabulary.terms, term)
         at, row, n = at[at >= 0], row[at >= 0], n[at >= 0]
         first = np.searchsorted(row, np.arange(chunk.rows + 1))
         for r in range(chunk.rows):
