@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import bpe, quality, shards, toxicity
+from tidemill.llm import bpe, ngram_join, quality, shards, toxicity
 from tidemill.llm.labelled import examples, fold
 from tidemill.llm.text import session
 
@@ -129,3 +129,34 @@ def op8_quality(spark, sf_dir):
     return scored.select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= QUALITY_FROM).cast("int").alias("predicted"), "top_passage"
     )
+
+
+_OP10_SQL = r"""
+WITH RECURSIVE worded AS (
+    SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+    FROM documents
+),
+sets AS (
+    SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i:i+2]))
+        WHEN len(w) > 0 THEN [w] ELSE [] END AS s
+    FROM worded
+),
+-- Sets that are similar share one of the first few elements in any fixed order: a tenth of them and one more.
+ranked AS (
+    SELECT doc_id, len(s) AS n, unnest(list_sort(list_transform(s, lambda x: md5(array_to_string(x, ' '))))) AS e, generate_subscripts(s, 1) AS i FROM sets WHERE len(s) > 0
+),
+prefixes AS (SELECT doc_id, n, e FROM ranked WHERE i <= n - ceil(0.9 * n) + 1),
+pairs AS (SELECT DISTINCT a.doc_id AS x, b.doc_id AS y FROM prefixes a JOIN prefixes b ON a.e = b.e AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)),
+common AS (SELECT x, y, count(*) AS c, any_value(a.n) AS nx, any_value(b.n) AS ny FROM pairs JOIN ranked a ON a.doc_id = x JOIN ranked b ON b.doc_id = y AND a.e = b.e GROUP BY x, y),
+links AS (SELECT x, y FROM common WHERE 100 * c >= 90 * (nx + ny - c)),
+edges AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+reach AS (SELECT x, y FROM edges UNION SELECT r.x, e.y FROM reach r JOIN edges e ON r.y = e.x)
+SELECT s.doc_id, any_value(len(s.s))::BIGINT AS n_shingles, least(s.doc_id, min(r.y)) AS component_id
+FROM sets s LEFT JOIN reach r ON r.x = s.doc_id GROUP BY s.doc_id
+"""
+
+
+@query("op10_ngram_join", _OP10_SQL)
+def op10_ngram_join(spark, sf_dir):
+    """Components of documents whose sets of 3-word shingles have a Jaccard similarity of 0.9 or more."""
+    return ngram_join.join(documents(spark, sf_dir), k=3, percent=90)
