@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import bpe, ngram_join, quality, shards, toxicity
+from tidemill.llm import bpe, ngram_join, quality, shards, suffix_dedup, toxicity
 from tidemill.llm.labelled import examples, fold
 from tidemill.llm.text import session
 
@@ -67,6 +67,20 @@ FROM summed d JOIN homes h ON d.doc_id IS NOT DISTINCT FROM h.doc_id
 """
 
 
+@query("op1_suffix_dedup")
+def op1_suffix_dedup(spark, sf_dir):
+    """What is left of every document without the 200-byte strings that occur more than once."""
+    deduped = suffix_dedup.dedup(documents(spark, sf_dir))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda total, r: total + r["end"] - r["start"])
+    return deduped.select(
+        "doc_id",
+        F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
+        removed.alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 @query("op2_shards", _OP2_SQL)
 def op2_shards(spark, sf_dir):
     """All documents in 40 shards by document key, with the shard each has when there are 41."""
