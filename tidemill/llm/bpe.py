@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from tidemill.llm.text import chunks, map_batches
 
 # Matches kept with their ids in each worker before the memory is cleared.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 
 _codecs: dict[str, Codec] = {}
 
@@ -81,15 +81,21 @@ class Codec:
 
     def __init__(self, data: bytes, pattern: str):
         self.tokens = parse_ranks(data)
-        self.processor = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_model(self.tokens))
-        self.whole = {token: struct.pack("<I", rank) for rank, token in enumerate(self.tokens)}
+        self.processor: sentencepiece.SentencePieceProcessor | None = None
         self.names = dict(enumerate(byte_characters()))
         # Python's \s takes four control characters that Unicode does not count as white space.
         self.split = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"(?!\S)", r"(?!\P{White_Space})").replace(r"\s", r"\p{White_Space}")).findall
         self.known: dict[str, bytes] = {}
 
+    def _prepare(self) -> None:
+        """What only encoding needs."""
+        self.processor = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_model(self.tokens))
+        self.whole = {token: struct.pack("<I", rank) for rank, token in enumerate(self.tokens)}
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids as little-endian 32-bit numbers."""
+        if self.processor is None:
+            self._prepare()
         split = [self.split(t) for t in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()

@@ -10,6 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from tidemill.llm.text import Chunk, chunks, map_batches, words
 
@@ -196,23 +197,24 @@ def train(examples: DataFrame, at_most_passages: int = SAMPLE_PASSAGES) -> Atten
 
 
 def score(docs: DataFrame, model: AttentionModel) -> DataFrame:
-    """(doc_id, score, top_passage, top_weight) of every whole text.
+    """``docs`` with ``score``, ``top_passage`` and ``top_weight`` of every whole text.
 
     ``top_passage`` is the number of the passage with the most attention (the first of equals) and
-    ``top_weight`` its share. Empty and NULL texts are scored as one empty passage. One row for each row of
-    ``docs``, repeated ids included.
+    ``top_weight`` its share. Empty and NULL texts are scored as one empty passage. Rows stay as they are;
+    columns with the outputs' names are replaced.
     """
+    docs = docs.drop("score", "top_passage", "top_weight")
+    at_text = docs.columns.index("text")
+    added = T.StructType.fromDDL("score double, top_passage int, top_weight double")
+    schema = T.StructType([*docs.schema.fields, *added.fields])
 
     def run(batch: pa.RecordBatch):
-        ids, row = batch.column(0), 0
-        for chunk in chunks(batch.column(1)):
+        for chunk in chunks(batch.column(at_text)):
             x, first = passages(chunk)
             scores, weight = model.scores(x, first)
             top = [int(np.argmax(w)) for w in np.split(weight, first[1:-1])]
-            yield pa.RecordBatch.from_arrays(
-                [ids.slice(row, chunk.rows), pa.array(scores), pa.array(top, pa.int32()), pa.array(weight[first[:-1] + top])],
-                names=["doc_id", "score", "top_passage", "top_weight"],
-            )
-            row += chunk.rows
+            rows = batch.slice(chunk.first, chunk.rows)
+            outputs = [pa.array(scores), pa.array(top, pa.int32()), pa.array(weight[first[:-1] + top])]
+            yield pa.RecordBatch.from_arrays([*rows.columns, *outputs], names=schema.names)
 
-    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, score double, top_passage int, top_weight double")
+    return map_batches(docs, run, schema)

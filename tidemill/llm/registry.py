@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import bpe, ngram_join, quality, shards, suffix_dedup, toxicity
+from tidemill.llm import bpe, contamination, language_model, ngram_join, quality, shards, suffix_dedup, toxicity
 from tidemill.llm.labelled import examples, fold
 from tidemill.llm.text import session
 
@@ -16,6 +16,7 @@ ORACLES = {}
 RANKS = "byte_bpe_50k.tiktoken"
 SHARDS = 40
 TOXIC_FOLDS, TOXIC_HELD_OUT, TOXIC_FROM = 3, 1, 0.7
+LM_FOLDS, LM_HELD_OUT = 5, 1
 QUALITY_FOLDS, QUALITY_HELD_OUT, QUALITY_FROM = 5, 0, 0.3
 
 
@@ -174,3 +175,28 @@ FROM sets s LEFT JOIN reach r ON r.x = s.doc_id GROUP BY s.doc_id
 def op10_ngram_join(spark, sf_dir):
     """Components of documents whose sets of 3-word shingles have a Jaccard similarity of 0.9 or more."""
     return ngram_join.join(documents(spark, sf_dir), k=3, percent=90)
+
+
+@query("op6_decontamination")
+def op6_decontamination(spark, sf_dir):
+    """Which benchmark items every document holds at least half of, in any order."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = contamination.contamination(documents(spark, sf_dir), benchmark)
+    return found.select(
+        "doc_id",
+        (F.size("hits") > 0).alias("contaminated"),
+        F.coalesce(F.array_max(F.transform("hits", lambda h: h["coverage"])), F.lit(0.0)).alias("coverage"),
+        F.array_sort(F.transform("hits", lambda h: h["item_id"])).alias("item_ids"),
+    )
+
+
+@query("op9_suffix_tree")
+def op9_suffix_tree(spark, sf_dir):
+    """log10 probability of every document under a suffix tree over words, and under word frequencies alone."""
+    docs = documents(spark, sf_dir)
+    held_out = fold(F.col("doc_id"), LM_FOLDS) == LM_HELD_OUT
+    tree, counts = language_model.train(docs.where(~held_out))
+    scored = language_model.score(docs, tree, counts)
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )

@@ -363,8 +363,8 @@ def repeated_ranges(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     return whole.union(part)
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """``docs`` with ``kept`` (binary) and ``removed`` (array of start and end) for every whole text.
+def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, as_text: bool = False) -> DataFrame:
+    """``docs`` with ``kept`` (binary; ``as_text``, a string without characters that were cut in two) and ``removed`` (array of start and end) for every whole text.
 
     Each byte of a string of ``length`` bytes that also starts elsewhere, in the same text or another, is
     removed; strings never run from one text into the next. NULL texts count as empty, and texts shorter
@@ -381,7 +381,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     merged = merged.select(F.col("key").alias("_k"), F.col("size").alias("_s"), "_ranges")
     both = keyed.join(merged, (F.col("_key") == F.col("_k")) & (F.col("_size") == F.col("_s")), "left").select(*names, "_ranges")
     spans = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
-    schema = T.StructType([*docs.schema.fields, T.StructField("kept", T.BinaryType()), T.StructField("removed", spans)])
+    schema = T.StructType([*docs.schema.fields, T.StructField("kept", T.StringType() if as_text else T.BinaryType()), T.StructField("removed", spans)])
     at = names.index("text")
 
     def run(batches):
@@ -398,11 +398,12 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
                 for s in spans:
                     rest.append(text[last : s["start"]])
                     last = s["end"]
-                kept.append(b"".join([*rest, text[last:]]))
+                left = b"".join([*rest, text[last:]])
+                kept.append(left.decode(errors="ignore") if as_text else left)
                 removed.append(spans)
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in range(len(names))), pa.array(kept, pa.binary()), pa.array(removed, kind)], names=schema.names
+                [*(batch.column(i) for i in range(len(names))), pa.array(kept, pa.string() if as_text else pa.binary()), pa.array(removed, kind)], names=schema.names
             )
 
     return both.mapInArrow(run, schema)

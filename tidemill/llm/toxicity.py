@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemill.llm.text import LOWER, NOT_ALPHANUMERIC, Chunk, chunks, counts_by_row, map_batches, mix, positions, prefix_hashes, stretch_hash, words
 
@@ -288,19 +289,22 @@ def build(docs: DataFrame, examples: DataFrame) -> Index:
 
 
 def score(docs: DataFrame, index: Index) -> DataFrame:
-    """(doc_id, score, neighbours, similarities): every whole text's score and the examples it rests on.
+    """``docs`` with ``score``, ``neighbours`` and ``similarities``: every whole text's score and the examples it rests on.
 
     Texts without a chosen term, empty and NULL ones too, share the smoothed rate of label 1 among the
-    examples without any, and have no neighbours. One row for each row of ``docs``.
+    examples without any, and have no neighbours. Rows stay as they are; columns with the outputs' names are
+    replaced.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+    docs = docs.drop("score", "neighbours", "similarities")
+    shared, at_text = docs.sparkSession.sparkContext.broadcast(index), docs.columns.index("text")
+    added = T.StructType.fromDDL("score double, neighbours array<long>, similarities array<double>")
+    schema = T.StructType([*docs.schema.fields, *added.fields])
 
     def run(batch: pa.RecordBatch):
         own = shared.value
-        found = [own.score(at, n.astype(np.float64)) for at, n in _split(batch.column(1), own.terms)]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([s for s, _, _ in found], pa.float64()), pa.array([i for _, i, _ in found], pa.list_(pa.int64())), pa.array([c for _, _, c in found], pa.list_(pa.float64()))],
-            names=["doc_id", "score", "neighbours", "similarities"],
-        )
+        found = [own.score(at, n.astype(np.float64)) for at, n in _split(batch.column(at_text), own.terms)]
+        outputs = [pa.array([s for s, _, _ in found], pa.float64())]
+        outputs += [pa.array([x[i] for x in found], pa.list_(k)) for i, k in ((1, pa.int64()), (2, pa.float64()))]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *outputs], names=schema.names)
 
-    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, score double, neighbours array<long>, similarities array<double>")
+    return map_batches(docs, run, schema)
