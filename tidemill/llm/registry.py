@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import bpe, contamination, language_model, ngram_join, quality, shards, suffix_dedup, toxicity
+from tidemill.llm import bpe, contamination, fingerprints, language_model, ngram_join, quality, shards, suffix_dedup, toxicity
 from tidemill.llm.labelled import examples, fold
 from tidemill.llm.text import session
 
@@ -200,3 +200,18 @@ def op9_suffix_tree(spark, sf_dir):
     return scored.select(
         "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
     )
+
+
+@query("op4_fingerprints")
+def op4_fingerprints(spark, sf_dir):
+    """Fingerprints of every document and of its edited form, and their likenesses."""
+    compared = fingerprints.compare_with_next(fingerprints.with_next(documents(spark, sf_dir)))
+    return compared.select(
+        "doc_id",
+        "n_chars",
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        F.lower(F.hex("fingerprint")).alias("fingerprint"),
+        F.lower(F.hex("edited_fingerprint")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
