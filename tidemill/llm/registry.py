@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import bpe, contamination, fingerprints, language_model, ngram_join, quality, shards, suffix_dedup, toxicity
+from tidemill.llm import bpe, contamination, fingerprints, language_model, licences, ngram_join, quality, shards, suffix_dedup, toxicity
 from tidemill.llm.labelled import examples, fold
 from tidemill.llm.text import session
 
@@ -215,3 +215,16 @@ def op4_fingerprints(spark, sf_dir):
         "near_edited",
         "near_next",
     )
+
+
+@query("op3_licences")
+def op3_licences(spark, sf_dir):
+    """Licence families that every document's paragraphs name."""
+    docs = documents(spark, sf_dir)
+    found = licences.scan(docs, licences.train(docs))
+    return found.select(
+        "doc_id",
+        F.size("notices").cast("long").alias("n_notices"),
+        F.array_sort(F.array_distinct(F.transform("notices", lambda n: n["family"]))).alias("families"),
+        F.coalesce(F.array_max(F.transform("notices", lambda n: n["probability"])), F.lit(0.0)).alias("probability"),
+    )
