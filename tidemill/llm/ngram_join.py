@@ -5,10 +5,13 @@ similarity of at least ``percent`` differ in at most k elements, so if the shing
 (k + 1) / 2 parts, some part has at most one difference; with that part cut in three again, two of the three
 agree in full. Every choice of part and two of its thirds is a signature: sets that similar share one.
 
-Sets that share a signature are compared exactly, but not all with all: in each group of a signature one
-leader, the member that shares most, is compared with the others. A group whose members have then grown
-together needs nothing more, since only components are asked for. Others go on with four times as many
-leaders until members are connected or all pairs are compared, so no link between components is missed.
+Sets that share a signature are compared exactly, but not all with all. In each group of a signature one
+leader, the member that shares most, is compared with the others; a group whose members are then connected
+needs nothing more, since only components are asked for. In the other groups members of different components
+are held against each other by short vectors: each element falls into one of the vector's cells, so sets that
+differ in k elements differ in at most k cells, and pairs that differ in more are ruled out without their
+sets. Large groups are dealt out in blocks. What is left is compared exactly, so no link between components is
+missed.
 """
 
 from __future__ import annotations
@@ -17,14 +20,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+from pyspark.sql import types as T
 
 from tidemill.llm.components import components
 from tidemill.llm.text import Chunk, chunks, distinct_by_row, map_batches, mix, shingles, words
 from tidemill.session import stage
 
-# Comparisons of one leader that go to one task.
+# Comparisons of one leader that go to one task, and members of a signature's group that stand in one block.
 PAIRS_A_TASK = 2_000
+BLOCK = 4_000
 _THIRDS = 3
 
 
@@ -183,8 +187,71 @@ def _compare(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     return rows.mapInArrow(run, "a long, b long")
 
 
+def _vectors(texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """(node, band, n, vector): for the two bands in which a set is compared, the sums of its elements' hashes
+    in twice as many cells as sets of the band may differ in, one byte each."""
+
+    def run(batch: pa.RecordBatch):
+        nodes, row = batch.column(0), 0
+        for chunk in chunks(batch.column(1)):
+            hashes, rows, counts = _sets(chunk, k)
+            ends = _bands(int(counts.max(initial=0)), percent)
+            band = np.searchsorted(ends, counts)
+            values = mix(hashes + np.uint64(3))
+            for above in (0, 1):
+                cells = 4 * _parts(ends[np.minimum(band + above, len(ends) - 1)], percent)
+                first = np.concatenate(([0], np.cumsum(cells)))
+                use = cells[rows] > 0
+                cell = first[rows[use]] + ((hashes[use] >> np.uint64(8)) % cells[rows[use]].astype(np.uint64)).astype(np.int64)
+                sums = np.zeros(first[-1], np.uint64)
+                np.add.at(sums, cell, values[use])
+                data = sums.astype(np.uint8).tobytes()
+                vectors = [data[first[r] : first[r + 1]] for r in range(chunk.rows)]
+                yield pa.RecordBatch.from_arrays(
+                    [nodes.slice(row, chunk.rows), pa.array(band + above, pa.int32()), pa.array(counts, pa.int32()), pa.array(vectors, pa.binary())],
+                    names=["node", "band", "n", "vector"],
+                )
+            row += chunk.rows
+
+    return map_batches(texts, run, "node long, band int, n int, vector binary")
+
+
+def _possible(percent: int):
+    """Mapper over rows sorted by (sig, band, left, right): pairs of one block pair, of different components,
+    whose vectors do not rule them out."""
+
+    def settle(rows: list[tuple]):
+        left, right = rows[0][2], rows[0][3]
+        nodes, roots, sizes = (np.array([r[i] for r in rows], np.int64) for i in (5, 6, 7))
+        own = np.array([r[4] for r in rows])
+        vectors = np.frombuffer(b"".join(r[8] for r in rows), np.uint8).reshape(len(rows), -1)
+        a, b = np.flatnonzero(own == left), np.flatnonzero(own == right)
+        found = []
+        for at, i in enumerate(a.tolist()):
+            others = b[at + 1 :] if left == right else b
+            others = others[(roots[others] != roots[i]) & (100 * np.minimum(sizes[others], sizes[i]) >= percent * np.maximum(sizes[others], sizes[i]))]
+            most = (sizes[others] + sizes[i]) * (100 - percent) // (100 + percent)
+            near = others[(vectors[others] != vectors[i]).sum(axis=1) <= most]
+            found += [(nodes[i], nodes[j]) for j in near]
+        x, y = np.array(found, np.int64).reshape(-1, 2).T
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+    def run(batches):
+        rows = []
+        for batch in batches:
+            for r in zip(*(batch.column(i).to_pylist() for i in range(9))):
+                if rows and r[:4] != rows[-1][:4]:
+                    yield settle(rows)
+                    rows = []
+                rows.append(r)
+        if rows:
+            yield settle(rows)
+
+    return run
+
+
 def _links(docs: DataFrame, described: DataFrame, k: int, percent: int) -> DataFrame | None:
-    """(node, root) of the sets that are linked with another; None if none is."""
+    """(node, root) of the sets that are linked with another; None if none has a candidate."""
     sigs = _emit_signatures(docs, k, percent).repartition("sig").sortWithinPartitions("sig", "node")
     shared = stage(sigs.mapInArrow(_shared, "sig long, node long"), "signatures")
     if shared.isEmpty():
@@ -203,30 +270,39 @@ def _links(docs: DataFrame, described: DataFrame, k: int, percent: int) -> DataF
 
     texts = stage(map_batches(at_hand, checked, "node long, text string").dropDuplicates(["node"]), "texts")
     size = shared.groupBy("sig").agg(F.count(F.lit(1)).alias("members"))
-    degree = stage(shared.join(size, "sig").groupBy("node").agg(F.sum("members").alias("degree")), "degrees")
-    active = shared.join(degree, "node").select("sig", "node", "degree")
-    leader = active.groupBy("sig").agg(F.max(F.struct("degree", "node")).alias("best")).select("sig", F.col("best.node").alias("a"))
+    degree = shared.join(size, "sig").groupBy("node").agg(F.sum("members").alias("degree"))
+    leader = shared.join(degree, "node").groupBy("sig").agg(F.max(F.struct("degree", "node")).alias("best")).select("sig", F.col("best.node").alias("a"))
     pairs = shared.join(leader, "sig").where("node <> a").select("a", F.col("node").alias("b")).distinct()
-    pairs = stage(pairs, "pairs")
-    tested, links, leaders = pairs, stage(_compare(pairs, texts, k, percent), "similar"), 1
-    while True:
-        roots = components(links)
-        labelled = active.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        spans = labelled.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("members"))
-        # With as many leaders as members, all pairs have been compared.
-        open_sigs = spans.where((F.col("low") < F.col("high")) & (F.col("members") > leaders + 1)).select("sig")
-        rest = stage(labelled.join(open_sigs, "sig", "left_semi"), "open")
-        if rest.isEmpty():
-            return roots
-        active, leaders = rest.drop("root"), leaders * 4
-        ranked = rest.withColumn("rank", F.row_number().over(W.partitionBy("sig").orderBy(F.desc("degree"), "node")))
-        heads = ranked.where(F.col("rank") <= leaders).select("sig", F.col("node").alias("a"), F.col("root").alias("a_root"))
-        both = rest.join(heads, "sig").where("root <> a_root")
-        fresh = both.select(F.col("a"), F.col("node").alias("b")).distinct()
-        known = tested.select("a", "b").union(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        fresh = stage(fresh.join(known, ["a", "b"], "left_anti"), "pairs")
-        tested = stage(tested.union(fresh), "tested")
-        links = stage(links.union(_compare(fresh, texts, k, percent)), "similar")
+    links = stage(_compare(stage(pairs, "pairs"), texts, k, percent), "similar")
+    roots = components(links)
+
+    labelled = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    spans = labelled.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("members"))
+    # Of two members, one is the leader.
+    split = spans.where("low < high AND members > 2").select("sig", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
+    open_ = labelled.join(split, "sig").join(_vectors(texts, k, percent), "node").where(F.octet_length("vector") > 0)
+    own = F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int")
+    # Every pair of blocks gets both blocks' members.
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    dealt = open_.withColumn("own", own).select("*", other).select(
+        "sig", "band", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), "own", "node", "root", "n", "vector"
+    )
+    dealt = dealt.repartition("sig", "band", "left", "right").sortWithinPartitions("sig", "band", "left", "right")
+    more = stage(dealt.mapInArrow(_possible(percent), "a long, b long").distinct(), "possible")
+    if more.isEmpty():
+        return roots
+    return components(links.union(_compare(more, texts, k, percent)))
+
+
+def _grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(doc_id, n_shingles, node, group) of all rows; texts without words are in no group."""
+    described = stage(describe(docs, k), "sets")
+    roots = _links(docs, described, k, percent)
+    if roots is None:
+        return described.withColumn("group", F.when(F.col("n_shingles") > 0, F.col("node")))
+    return described.join(roots, "node", "left").select(
+        "doc_id", "n_shingles", "node", F.when(F.col("n_shingles") > 0, F.coalesce("root", "node")).alias("group")
+    )
 
 
 def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -238,12 +314,33 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     ``component_id`` is the smallest ``doc_id`` that links reach. Rows that repeat an id are rows of their
     own; a NULL id never is the smallest unless all of its component are NULL. An empty table gives no rows.
     """
-    described = stage(describe(docs, k), "sets")
-    roots = _links(docs, described, k, percent)
-    nodes = described.where("n_shingles > 0")
-    group = nodes.withColumn("_group", F.col("node"))
-    if roots is not None:
-        group = nodes.join(roots, "node", "left").withColumn("_group", F.coalesce("root", "node"))
-    smallest = group.groupBy("_group").agg(F.min("doc_id").alias("component_id"))
-    out = group.join(smallest, "_group").select("doc_id", "n_shingles", "component_id")
-    return out.union(described.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    grouped = _grouped(docs, k, percent)
+    smallest = grouped.where("group IS NOT NULL").groupBy("group").agg(F.min("doc_id").alias("component_id"))
+    return grouped.join(smallest, "group", "left").select(
+        "doc_id", "n_shingles", F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+    )
+
+
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that stay when each group of similar texts keeps one: that of the smallest ``doc_id``.
+
+    Groups are the components of ``join``. Texts without words all stay. NULL ids come last; of rows that
+    share an id within a group, the one with the smallest set number stays, and one of rows equal in both.
+    """
+    grouped = stage(_grouped(docs, k, percent), "groups")
+    first = grouped.where("group IS NOT NULL").groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node")).alias("kept"))
+    none = F.lit(-(1 << 63))  # stands for NULL, so that it joins
+    kept = first.select(F.coalesce("kept.doc_id", none).alias("_id"), F.col("kept.node").alias("_node"))
+    names = docs.columns
+    at_text = names.index("text")
+    schema = T.StructType([*docs.schema.fields, *T.StructType.fromDDL("_node long, _some boolean").fields])
+
+    def run(batch: pa.RecordBatch):
+        for chunk in chunks(batch.column(at_text)):
+            hashes, rows, counts = _sets(chunk, k)
+            nodes = _identities(hashes, rows, chunk.rows).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.slice(chunk.first, chunk.rows).columns, pa.array(nodes), pa.array(counts > 0)], names=schema.names)
+
+    numbered = map_batches(docs, run, schema).withColumn("_id", F.coalesce("doc_id", none))
+    single = numbered.where("_some").join(kept, ["_id", "_node"], "left_semi").dropDuplicates(["_id", "_node"])
+    return single.select(*names).union(numbered.where("NOT _some").select(*names))
