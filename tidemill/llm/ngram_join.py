@@ -189,7 +189,7 @@ def _compare(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
 
 def _vectors(texts: DataFrame, k: int, percent: int) -> DataFrame:
     """(node, band, n, vector): for the two bands in which a set is compared, the sums of its elements' hashes
-    in twice as many cells as sets of the band may differ in, one byte each."""
+    in six times as many cells as sets of the band may differ in, one byte each."""
 
     def run(batch: pa.RecordBatch):
         nodes, row = batch.column(0), 0
@@ -199,7 +199,7 @@ def _vectors(texts: DataFrame, k: int, percent: int) -> DataFrame:
             band = np.searchsorted(ends, counts)
             values = mix(hashes + np.uint64(3))
             for above in (0, 1):
-                cells = 4 * _parts(ends[np.minimum(band + above, len(ends) - 1)], percent)
+                cells = 12 * _parts(ends[np.minimum(band + above, len(ends) - 1)], percent)
                 first = np.concatenate(([0], np.cumsum(cells)))
                 use = cells[rows] > 0
                 cell = first[rows[use]] + ((hashes[use] >> np.uint64(8)) % cells[rows[use]].astype(np.uint64)).astype(np.int64)
