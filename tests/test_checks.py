@@ -46,7 +46,7 @@ def test_report(spark, tables):
     report = checks.run_checks(spark, suite, tables)
     assert {(r["name"], r["status"], r["failures"]) for r in report.collect()} == {
         ("not_null_t_k", "fail", 2), ("not_null_p_k", "fail", 1), ("unique_t_k", "fail", 1), ("unique_p_k", "pass", 0),
-        ("accepted_values_t_s", "fail", 1), ("relationship_t_k", "fail", 1), ("none", "pass", 0),
+        ("accepted_values_t_s_a_b", "fail", 1), ("relationship_t_k_p_k", "fail", 1), ("none", "pass", 0),
         ("not_null_t_missing", "error", None), ("unique_nowhere_k", "error", None),
     }
     assert checks.totals(report).first().asDict() == {"passed": 2, "failed": 5, "errors": 2, "checks": 9}
@@ -68,8 +68,24 @@ def test_failing_rows(tables):
 def test_null_checks_of_a_table_are_one_scan(spark, tmp_path):
     spark.range(3).selectExpr("id AS a", "id AS b").write.parquet(str(tmp_path / "t"))
     tables = {"t": spark.read.parquet(str(tmp_path / "t"))}
-    report = checks.run_checks(spark, [checks.not_null("t", "a"), checks.not_null("t", "b")], tables)
-    assert plan_of(report).split("== Physical Plan ==")[1].count("FileScan") == 1
+    counted = checks._null_failures([checks.not_null("t", "a"), checks.not_null("t", "b")], tables["t"])
+    assert plan_of(counted).split("== Physical Plan ==")[1].count("FileScan") == 1
+    both = checks._value_failures([checks.unique("t", "a"), checks.accepted_values("t", "a", [0, None])], tables["t"])
+    assert plan_of(both).split("== Physical Plan ==")[1].count("FileScan") == 1
+    assert {r["name"]: r["failures"] for r in both.collect()} == {"unique_t_a": 0, "accepted_values_t_a_0_None": 2}
+
+
+def test_a_check_that_fails_to_run_leaves_the_others(spark, tables):
+    bad = checks.singular("bad_cast", tables["t"].where("CAST('x' || k AS INT) > 0"))
+    report = checks.run_checks(spark, [bad, checks.unique("p", "k")], tables)
+    assert {(r["name"], r["status"]) for r in report.collect()} == {("bad_cast", "error"), ("unique_p_k", "pass")}
+
+
+def test_names_tell_checks_apart(spark, tables):
+    a, b = checks.relationship("t", "k", "p", "k"), checks.relationship("t", "k", "q", "k")
+    assert a.name != b.name and checks.accepted_values("t", "s", ["x"]).name != checks.accepted_values("t", "s", ["y"]).name
+    with pytest.raises(ValueError, match="named"):
+        checks.run_checks(spark, [a, a], tables)
 
 
 def test_expectations(spark, animals):
@@ -125,12 +141,9 @@ def test_sanity_of_repeated_names(spark):
 def test_drift(spark):
     previous = spark.createDataFrame([("a", 100), ("b", 100), ("c", 0), ("d", 1000), ("e", 100), ("f", 10)], "table_name string, n_rows long")
     current = spark.createDataFrame([("a", 119), ("b", 120), ("c", 9), ("g", 2500), ("e", 80), ("f", 10)], "table_name string, n_rows long")
-    assert {r["table_name"]: r["message"] for r in rowcount_drift(previous, current).collect()} == {
-        "b": "b: 100 -> 120 (+20% up)",
-        "d": "DROPPED table d (was 1,000 rows)",
-        "e": "e: 100 -> 80 (-20% down)",
-        "g": "NEW table g (2,500 rows)",
-    }
+    assert {r["table_name"]: (r["kind"], r["previous_rows"], r["current_rows"]) for r in rowcount_drift(previous, current).collect()} == {
+        "b": ("up", 100, 120), "d": ("dropped", 1000, None), "e": ("down", 100, 80), "g": ("new", None, 2500),
+    }
 
 
 def test_snapshots(spark, zoo, tmp_path):

@@ -184,7 +184,26 @@ def test_chain_stops_at_the_first_failure(session):
     assert session.chain(["DROP TABLE x"]).outcome == "refused"
     assert session.chain([]).outcome == "failed"
     assert session.chain(["SELECT -1 AS n_x"]).outcome == "flagged"
-    assert len(session.chain(["SELECT 1 AS a"] * 7).hops) == 5
+    assert len(session.chain(["SELECT 1 AS a"] * 5).hops) == 5
+
+
+def test_a_chain_of_too_many_steps_is_refused_as_a_whole(session):
+    chain = session.chain(["SELECT 1 AS a"] * 7)
+    assert (chain.outcome, chain.display, chain.hops[0].refusal.kind) == ("refused", None, "too_many_steps")
+
+
+def test_denied_names_may_be_columns_and_texts(session):
+    outcome = session.run("SELECT 'to reflect' AS t, identifier FROM (SELECT 1 AS identifier) -- reflect(")
+    assert outcome.ok and outcome.rows[0]["identifier"] == 1
+    refused = session.run("WITH c AS (SELECT 1 AS x) SELECT x FROM c WHERE x IN (SELECT length(try_reflect('a', 'b')))")
+    assert refused.refusal.kind == "non_read_only"
+
+
+def test_all_rows_are_judged_and_columns_suggested(session):
+    outcome = session.run("SELECT CASE WHEN id < 2000 THEN 1 ELSE -1 END AS n_x FROM range(3000)")
+    assert [w["kind"] for w in outcome.warnings] == ["negative_count"]
+    (name,) = session.run("SELECT valeu FROM (SELECT 1 AS value)").refusal.suggestions
+    assert name.endswith("value")
 
 
 def test_empty_results_are_not_registered(session):
@@ -212,8 +231,8 @@ def test_display_hop(session):
 def test_sandbox(spark, session, zoo, tmp_path):
     root = str(tmp_path)
     built = sandbox_build(session, "mart_x", f"SELECT class, n_species FROM {M}", sample_limit=2, root=root)
-    assert built.ok and built.row_count == 4 and len(built.sample) == 2 and built.warnings == []
-    assert built.columns == [("class", "string"), ("n_species", "bigint")]
+    assert built.refusal is None and built.rows == 4 and built.sample.count() == 2 and built.oddities == ()
+    assert built.table.dtypes == [("class", "string"), ("n_species", "bigint")]
     assert table_exists(spark, "_sandbox", "mart_x")
     assert materialize(spark.table("_sandbox.mart_x"), zoo.marts, "mart_x") == 4
     assert not table_exists(spark, "_sandbox", "mart_x") and spark.table("zoo_marts.mart_x").count() == 4
@@ -231,9 +250,9 @@ def test_sandbox(spark, session, zoo, tmp_path):
 )
 def test_sandbox_warnings(session, tmp_path, sql, warnings):
     built = sandbox_build(session, "mart_w", sql, root=str(tmp_path))
-    assert built.ok and built.warnings == warnings
+    assert built.refusal is None and list(built.oddities) == warnings
 
 
 def test_sandbox_refuses_writes(session, tmp_path):
     built = sandbox_build(session, "mart_bad", f"DROP TABLE {M}", root=str(tmp_path))
-    assert not built.ok and "non_read_only" in built.error
+    assert built.table is None and built.refusal.kind == "non_read_only"

@@ -1,7 +1,7 @@
 import pytest
 
 from tidemill.functions.names import snake_case, unique_names
-from tidemill.plans.staging import clean_names, stage_columns, stage_names, staging_select, strip_prefix
+from tidemill.plans.staging import cast_rejects, clean_names, stage_columns, stage_names, staging_select, strip_prefix
 from tidemill.sources.catalog import Layers
 
 
@@ -51,9 +51,17 @@ def test_staging_select_is_the_same_rename(spark):
 
 def test_curated_staging_casts_and_drops_junk(spark):
     raw = spark.createDataFrame([("1", "k"), ("x", "k"), ("2", None)], "ID string, Kingdom string")
-    staged = stage_columns(raw, {"ID": "id", "Kingdom": "kingdom"}, {"id": "int"}, required=["id", "kingdom"])
+    names, casts = {"ID": "id", "Kingdom": "kingdom"}, {"id": "int"}
+    staged = stage_columns(raw, names, casts, required=["id", "kingdom"], lenient=["id"])
     assert staged.dtypes == [("id", "int"), ("kingdom", "string")]
     assert [tuple(r) for r in staged.collect()] == [(1, "k")]
+    assert [tuple(r) for r in cast_rejects(raw, names, casts).collect()] == [("x", "k", ["id"])]
+
+
+def test_a_value_that_does_not_fit_ends_the_job(spark):
+    raw = spark.createDataFrame([(3_000_000_000,)], "ID long")
+    with pytest.raises(Exception, match="CAST_OVERFLOW"):
+        stage_columns(raw, {"ID": "id"}, {"id": "int"}, required=["id"]).collect()
 
 
 def test_strip_prefix(spark):

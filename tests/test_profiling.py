@@ -15,6 +15,7 @@ from tidemill.operators.profiling import (
     profile_table,
     profile_tables,
     sample_values,
+    ground,
     schema_summary,
 )
 from tidemill.operators.relationships import infer_relationships, infer_relationships_by_grain
@@ -151,11 +152,39 @@ def test_schema_summary(spark):
     profile = profile_tables({k: v for k, v in tables(spark).items() if k != "cards"})
     prior = spark.sql("SELECT * FROM VALUES (1, NULL), (2, NULL) AS t(id, note)")
     prior = {"turn_1_result": prior.withColumn("note", F.col("note").cast("string"))}
-    lines = [r["line"] for r in schema_summary(profile, infer_relationships(profile), prior).collect()]
-    assert lines[0] == "### `customers`  (3 rows; grain = label)"
-    assert "  - `customer_id` int  (null_rate=0%; distinct=3; range=[1 .. 3]; samples=[1, 2, 3])" in lines
-    assert "  - `customers` -> `orders` on customer_id [1:many]" in lines
-    assert lines[-3:] == ["### `turn_1_result`  (2 rows)", "  - `id` int  (samples=[1, 2])", "  - `note` string"]
+    found = schema_summary(profile, infer_relationships(profile), prior).collect()
+    tables_ = {r["relation"]: (r["rows"], r["subject"]) for r in found if r["kind"] == "table"}
+    assert tables_["customers"] == (3, "label")
+    key = next(r for r in found if (r["kind"], r["relation"], r["subject"]) == ("column", "customers", "customer_id"))
+    assert (key["type"], key["not_null"], key["distinct_values"], key["exact"]) == ("int", True, 3, True)
+    assert (key["low"], key["high"], key["samples"]) == ("1", "3", ["1", "2", "3"])
+    links = {(r["relation"], r["target"], r["subject"], r["type"]) for r in found if r["kind"] == "link"}
+    assert ("customers", "orders", "customer_id", "1:many") in links
+    earlier = [(r["kind"], r["rows"], r["subject"], r["samples"]) for r in found if r["relation"] == "turn_1_result"]
+    assert sorted(earlier, key=str) == sorted(
+        [("result", 2, None, None), ("result_column", None, "id", ["1", "2"]), ("result_column", None, "note", [])], key=str
+    )
+
+
+def test_an_earlier_result_is_read_as_a_whole(spark):
+    late = {"r": spark.range(3000).select(F.when(F.col("id") >= 2000, F.lit("x")).alias("v"))}
+    empty = profile_tables({"t": spark.range(1)})
+    found = schema_summary(empty, infer_relationships(empty), late).where("kind = 'result_column'").collect()
+    assert [r["samples"] for r in found] == [["x"]]
+
+
+def test_grounding_names_all_tables_of_the_databases(spark, zoo):
+    found = ground(spark, zoo.databases).where("kind = 'table'").collect()
+    assert {"zoo_staging.stg_animals", "zoo_marts.mart_longevity_by_class"} <= {r["relation"] for r in found}
+    assert ground(spark, []).count() == 0
+
+
+def test_maps_anywhere_and_many_values_are_profiled(spark):
+    df = spark.range(50).selectExpr(
+        "id", "array(map('k', id % 3)) AS deep", "named_struct('m', map('k', 1)) AS nested", "parse_json(concat('{\"a\":', id, '}')) AS v"
+    )
+    p = by_name(profile_table(df))
+    assert p["deep"]["null_count"] == 0 and p["v"]["exact_distinct"] == 50 and p["id"]["sample_values"] == [str(i) for i in range(8)]
 
 
 @pytest.mark.parametrize("name", ["a.b", "x`y", "Body mass (g)"])

@@ -7,9 +7,7 @@ from pyspark.sql import functions as F
 from tidemill.operators.ranking import (
     global_rank,
     grouped_median,
-    has_wide_group,
     numbered_ranges,
-    ranged_median,
     top_k,
     top_values,
 )
@@ -72,33 +70,25 @@ def medians(data):
 
 def test_ranged_median_equals_brute_force(skewed):
     data, df = skewed
-    found = {r["g"]: r["median"] for r in ranged_median(df, ["g"], "v").collect()}
+    found = {r["g"]: r["median"] for r in grouped_median(df, ["g"], "v").collect()}
     assert found == pytest.approx(medians(data))
 
 
-def test_both_median_plans_agree(skewed):
+def test_median_without_keys(skewed):
     data, df = skewed
-    plain = {r["g"]: r["m"] for r in grouped_median(df, ["g"], "v", "m").collect()}
-    ranged = {r["g"]: r["m"] for r in grouped_median(df, ["g"], "v", "m", wide_group=10).collect()}
-    assert plain == pytest.approx(medians(data)) and ranged == pytest.approx(plain)
+    assert grouped_median(df, [], "v").first()["median"] == pytest.approx(statistics.median([v for _, _, v in data if v is not None]))
+    assert [r["median"] for r in grouped_median(df.where("false"), [], "v").collect()] == [None]
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 8, 101])
 def test_ranged_median_of_n(spark, n):
     df = spark.range(n).select(F.lit("x").alias("g"), F.col("id").cast("double").alias("v"))
-    assert ranged_median(df, ["g"], "v").first()["median"] == statistics.median(range(n))
+    assert grouped_median(df, ["g"], "v").first()["median"] == statistics.median(range(n))
 
 
 def test_median_over_two_keys(spark):
     df = spark.createDataFrame([(1, "a", 1), (1, "a", 4), (1, None, 7), (2, "a", 9)], "x int, y string, v int")
-    assert rows(ranged_median(df, ["x", "y"], "v")) == [(1, None, 7.0), (1, "a", 2.5), (2, "a", 9.0)]
-
-
-def test_width_counts_distinct_values_not_rows(skewed):
-    _, df = skewed
-    assert has_wide_group(df, ["g"], "v", 500)
-    assert not has_wide_group(df.withColumn("v", F.col("id") % 3), ["g"], "v", 500)
-    assert not has_wide_group(df.where("false"), ["g"], "v", 0)
+    assert rows(grouped_median(df, ["x", "y"], "v")) == [(1, None, 7.0), (1, "a", 2.5), (2, "a", 9.0)]
 
 
 def test_approximate_median(skewed):

@@ -6,7 +6,7 @@ import pytest
 from tidemill.session import new_scratch
 from tidemill.sinks.landing import Dataset, TableSpec, land_dataset, land_source, remove_old_versions, save_table
 from tidemill.sources.catalog import Layers, layer_databases, list_columns, require_table, table_exists, tables_in
-from tidemill.sources.files import best_delimiter, has_broken_lines, read_delimited, read_json, read_source, sniff_delimiter
+from tidemill.sources.files import read_delimited, read_json, read_source, sniff_delimiter, text_survey
 
 from conftest import rows
 
@@ -40,9 +40,50 @@ def test_sniffing(spark, tmp_path, sep):
     assert read_source(spark, path).columns == ["a", "b", "c"]
 
 
-def test_sniffing_one_column():
-    assert best_delimiter(["name", "x", "y"]) == ","
-    assert best_delimiter([]) == ","
+def test_sniffing_one_column_and_nothing(spark, tmp_path):
+    assert sniff_delimiter(spark, write(tmp_path / "a.txt", "name\nx\ny\n")) == ","
+    assert sniff_delimiter(spark, write(tmp_path / "b.txt", "")) == ","
+
+
+def test_sniffing_looks_at_every_line(spark, tmp_path):
+    text = "a;b,c\n" + "1;2,3\n" * 300 + "1;2\n"
+    assert sniff_delimiter(spark, write(tmp_path / "a.txt", text)) == ";"
+
+
+def test_ragged_lines_end_the_job(spark, tmp_path):
+    for name, line in (("long", "1,2,3"), ("short", "4")):
+        df = read_source(spark, write(tmp_path / f"{name}.csv", f"a,b\n5,6\n{line}\n"), delimiter=",", schema="a int, b int")
+        with pytest.raises(Exception, match="MALFORMED"):
+            df.select("a").collect()
+
+
+def test_a_declared_schema_is_matched_by_name(spark, tmp_path):
+    path = write(tmp_path / "a.csv", "b,a\n1,2\n")
+    assert rows(read_source(spark, path, schema="a int, b int")) == [(2, 1)]
+    with pytest.raises(ValueError, match="header"):
+        read_source(spark, path, schema="a int, c int")
+
+
+def test_only_files_with_broken_lines_are_read_whole(spark, tmp_path):
+    (tmp_path / "d.csv").mkdir()
+    write(tmp_path / "d.csv" / "one.csv", 'a,b\n1,"x\ny"\n')
+    write(tmp_path / "d.csv" / "two.csv", "a,b\n2,z\n")
+    assert sorted(r["broken"] for r in text_survey(spark, str(tmp_path / "d.csv"))) == [False, True]
+    assert rows(read_source(spark, str(tmp_path / "d.csv"))) == [(1, "x\ny"), (2, "z")]
+
+
+def test_json_lines_and_arrays_in_one_folder(spark, tmp_path):
+    (tmp_path / "d.json").mkdir()
+    write(tmp_path / "d.json" / "a b.json", '{"id": 1}\n{"id": 2}\n')
+    write(tmp_path / "d.json" / "b.json", '\n [{"id": 3, "x": "y"}, {"id": 4}]')
+    assert rows(read_source(spark, str(tmp_path / "d.json")).select("id", "x")) == [(1, None), (2, None), (3, "y"), (4, None)]
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST"):
+        read_source(spark, write(tmp_path / "bad.json", '{"id": 1}\n{oops\n')).collect()
+
+
+def test_zipped_json_lines_and_a_declared_parquet_schema(spark, tmp_path):
+    path = make_zip(tmp_path / "a.zip", {"rows.ndjson": '{"a": 1, "b": "q"}\n{"a": 2, "b": "r"}\n'})
+    assert rows(read_source(spark, path, member="rows.ndjson")) == [(1, "q"), (2, "r")]
 
 
 def test_repeated_headers_are_numbered(spark, tmp_path):
@@ -57,9 +98,8 @@ def test_names_are_kept_and_empty_fields_are_null(spark, tmp_path):
 
 def test_values_may_hold_line_breaks(spark, tmp_path):
     path = write(tmp_path / "a.csv", 'a,b\n1,"x\ny ""q"", z"\n2,w\n')
-    assert has_broken_lines(spark, path)
     assert rows(read_source(spark, path)) == [(1, 'x\ny "q", z'), (2, "w")]
-    assert read_delimited(spark, path, ",", multi_line=False).count() == 3
+    assert read_delimited(spark, path, ",", schema="a string, b string", multi_line=False).count() == 3
 
 
 def test_declared_schema_needs_no_inference(spark, tmp_path):

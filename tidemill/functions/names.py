@@ -6,9 +6,10 @@ import re
 from collections.abc import Iterable
 
 # Names that get a trailing underscore because they cannot be used bare.
-RESERVED_NAMES = frozenset(
-    "all any as asc case check column default desc from group order primary references select table where".split()
-)
+RESERVED_NAMES = frozenset({
+    "all", "any", "as", "asc", "case", "check", "column", "default", "desc", "from", "group", "order", "primary",
+    "references", "select", "table", "where",
+})
 
 
 def quoted(name: str) -> str:

@@ -10,8 +10,8 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException, PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.functions.columns import col
@@ -36,7 +36,10 @@ class Check:
 
     @property
     def name(self) -> str:
-        return self.label or "_".join(p for p in (self.kind, self.table, self.column) if p)
+        if self.label:
+            return self.label
+        parts = (self.kind, self.table, self.column, self.to, self.to_column, *map(str, self.values))
+        return "_".join(p for p in parts if p)
 
 
 def not_null(table: str, column: str) -> Check:
@@ -70,7 +73,9 @@ def failing_rows(
     elif check.kind == "unique":
         out = _value_counts(check, tables).where(F.col("value").isNotNull() & (F.col("n_rows") > 1))
     elif check.kind == "accepted_values":
-        out = _value_counts(check, tables).where(~F.col("value").isin(list(check.values)))
+        # NULL is no value: neither accepted by being listed nor a failure in the data.
+        accepted = [v for v in check.values if v is not None]
+        out = _value_counts(check, tables).where(F.col("value").isNotNull() & ~F.col("value").isin(accepted))
     elif check.kind == "relationship":
         out = orphan_rows(tables[check.table], check.column, tables[check.to], check.to_column)
     else:
@@ -97,39 +102,78 @@ def _failures(check: Check, tables: Mapping[str, DataFrame]) -> DataFrame:
 def _null_failures(checks: Sequence[Check], table: DataFrame) -> DataFrame:
     """All not_null checks of a table from one scan."""
     counts = table.agg(*[F.count_if(col(c.column).isNull()).alias(f"f{i}") for i, c in enumerate(checks)])
-    rows = [
+    return counts.select(F.inline(F.array(*_named(checks))))
+
+
+def _value_failures(checks: Sequence[Check], table: DataFrame) -> DataFrame:
+    """All unique and accepted_values checks of one column from one aggregation."""
+    values = _value_counts(checks[0], {checks[0].table: table}).where(F.col("value").isNotNull())
+    bad = {
+        "unique": lambda c: F.col("n_rows") > 1,
+        "accepted_values": lambda c: ~F.col("value").isin([v for v in c.values if v is not None]),
+    }
+    counts = values.agg(*[F.count_if(bad[c.kind](c)).alias(f"f{i}") for i, c in enumerate(checks)])
+    return counts.select(F.inline(F.array(*_named(checks))))
+
+
+def _named(checks: Sequence[Check]) -> list[Column]:
+    return [
         F.struct(F.lit(c.name).alias("name"), F.lit(c.kind).alias("kind"), F.col(f"f{i}").alias("failures"))
         for i, c in enumerate(checks)
     ]
-    return counts.select(F.inline(F.array(*rows)))
 
 
 def run_checks(spark: SparkSession, checks: Sequence[Check], tables: Mapping[str, DataFrame]) -> DataFrame:
     """Report ``(name, kind, status, failures, message)``, one row per check.
 
-    Everything that can be analysed is a branch of one union and runs as one job. A check that
-    cannot be analysed (a missing table or column) is reported as an error.
+    Checks of one table share a scan where they can, and all of them run as one job. A check that cannot be
+    analysed (a missing table or column), or fails while it runs, is reported as an error; the others still
+    count. Two checks of one name are refused.
     """
-    parts, errors = [], []
-    by_table: dict[str, list[Check]] = {}
+    names = [c.name for c in checks]
+    repeated = sorted({n for n in names if names.count(n) > 1})
+    if repeated:
+        raise ValueError(f"several checks are named {repeated}")
+    errors, groups = [], {}
     for check in checks:
         try:
-            if check.kind == "not_null":
-                failing_rows(check, tables)
-                by_table.setdefault(check.table, []).append(check)
-            else:
-                parts.append(_failures(check, tables))
+            _failures(check, tables)
         except (AnalysisException, KeyError) as e:
-            errors.append((check.name, check.kind, "error", None, str(e).splitlines()[0]))
-    parts += [_null_failures(group, tables[name]) for name, group in by_table.items()]
-    report = local_frame(spark, errors, REPORT_SCHEMA)
-    if parts:
-        counted = reduce(DataFrame.union, parts)
-        status = F.when(F.col("failures") == 0, "pass").otherwise("fail")
-        message = F.when(F.col("failures") > 0, F.format_string("%,d failures", "failures"))
-        counted = counted.select("name", "kind", status.alias("status"), "failures", message.alias("message"))
-        report = counted.union(report) if errors else counted
-    return report
+            errors.append(_error(check, e))
+            continue
+        if check.kind == "not_null":
+            key = (check.kind, check.table)
+        elif check.kind in ("unique", "accepted_values"):
+            key = ("values", check.table, check.column)
+        else:
+            key = ("alone", check.name)
+        groups.setdefault(key, []).append(check)
+
+    def counted(key: tuple, group: Sequence[Check]) -> DataFrame:
+        if key[0] == "not_null":
+            return _null_failures(group, tables[key[1]])
+        return _value_failures(group, tables[key[1]]) if key[0] == "values" else _failures(group[0], tables)
+
+    rows = []
+    if groups:
+        try:
+            rows = reduce(DataFrame.union, [counted(k, g) for k, g in groups.items()]).collect()
+        except PySparkException:
+            # Some check does not run: each on its own, to tell which.
+            for check in (c for group in groups.values() for c in group):
+                try:
+                    rows += _failures(check, tables).collect()
+                except PySparkException as e:
+                    errors.append(_error(check, e))
+    done = [
+        (r["name"], r["kind"], "fail" if r["failures"] else "pass", r["failures"], f"{r['failures']:,} failures" if r["failures"] else None)
+        for r in rows
+    ]
+    return local_frame(spark, done + errors, REPORT_SCHEMA)
+
+
+def _error(check: Check, error: Exception) -> tuple:
+    return (check.name, check.kind, "error", None, str(error).splitlines()[0])
 
 
 def totals(report: DataFrame) -> DataFrame:

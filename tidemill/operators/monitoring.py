@@ -67,15 +67,10 @@ def rowcount_drift(previous: DataFrame, current: DataFrame, threshold: float = 0
         .when(change >= threshold, "up")
         .when(change <= -threshold, "down")
     )
-    message = (
-        F.when(F.col("kind") == "new", F.format_string("NEW table %s (%,d rows)", "table_name", now))
-        .when(F.col("kind") == "dropped", F.format_string("DROPPED table %s (was %,d rows)", "table_name", before))
-        .otherwise(F.format_string("%s: %,d -> %,d (%+.0f%% %s)", "table_name", before, now, change * 100, "kind"))
-    )
     return (
         both.withColumn("kind", kind)
         .where(F.col("kind").isNotNull())
-        .select("table_name", "kind", "previous_rows", "current_rows", change.alias("change"), message.alias("message"))
+        .select("table_name", "kind", "previous_rows", "current_rows", change.alias("change"))
     )
 
 

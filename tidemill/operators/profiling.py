@@ -12,18 +12,16 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tidemill.functions.columns import col, display, is_numeric, is_temporal
 from tidemill.functions.names import quoted
-from tidemill.operators.relationships import QUERY_KEY_NAME
-from tidemill.session import local_frame, side_by_side
-
-# Rows of an earlier result that a session has seen.
-SHOWN_ROWS = 1000
+from tidemill.operators.relationships import QUERY_KEY_NAME, infer_relationships_by_grain
+from tidemill.session import local_frame, side_by_side, stage
+from tidemill.sources.catalog import tables_in
 
 PROFILE_SCHEMA = """
     table_name string, table_pos int, row_count long, column_count int, column_pos int, name string, type string,
@@ -40,7 +38,8 @@ class ProfileOptions:
     # 2 ** 12 registers err by 1.6 %: a true key stays inside the band above.
     sketch_bits: int = 12
     sample_values: int = 8
-    sample_max_distinct: int = 10_000
+    # Columns of more distinct values than this (by estimate) get no samples; None samples all.
+    sample_max_distinct: int | None = None
     sample_types: tuple[type[T.DataType], ...] | None = None
     exact_names: str | None = None
     null_rate_digits: int | None = 4
@@ -50,16 +49,23 @@ class ProfileOptions:
 
 # The variant a query session grounds itself on.
 GROUNDING_OPTIONS = ProfileOptions(
-    sample_max_distinct=2_000,
     sample_types=(T.StringType, T.BooleanType, T.IntegerType, T.LongType),
     exact_names=QUERY_KEY_NAME,
     null_rate_digits=None,
 )
 
 
+def _holds_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.ArrayType):
+        return _holds_map(kind.elementType)
+    if isinstance(kind, T.StructType):
+        return any(_holds_map(f.dataType) for f in kind.fields)
+    return isinstance(kind, (T.MapType, T.VariantType))
+
+
 def _hashable(field: T.StructField) -> Column:
-    """Maps cannot be hashed or grouped by; their JSON text stands in for them."""
-    return F.to_json(col(field.name)) if isinstance(field.dataType, T.MapType) else col(field.name)
+    """Maps and variants cannot be hashed or grouped by, wherever they stand; their JSON text stands in for them."""
+    return F.to_json(col(field.name)) if _holds_map(field.dataType) else col(field.name)
 
 
 def _estimate(field: T.StructField, bits: int) -> Column:
@@ -98,26 +104,34 @@ def _column_stats(df: DataFrame, fields: Sequence[T.StructField], options: Profi
 def exact_distincts(df: DataFrame, fields: Sequence[T.StructField], rows: int) -> dict[str, int]:
     """Exact distinct counts of non-null columns, one job for all of them.
 
-    Wide text is first counted by an 8-byte hash: as many hashes as rows proves as many values,
-    so the texts of a true key are never shuffled. Only where hashes repeat are values compared.
+    Texts and nested values are first counted by an 8-byte hash: as many hashes as rows proves as many
+    values, so those of a true key are never shuffled. Only where hashes repeat are values compared.
     """
     if not fields:
         return {}
-    wide = {f.name for f in fields if isinstance(f.dataType, (T.StringType, T.BinaryType))}
-    counts = _count_distincts(df, {f.name: F.xxhash64(col(f.name)) if f.name in wide else _hashable(f) for f in fields})
-    repeated = {name: col(name) for name in wide if counts[name] != rows}
-    return {**counts, **_count_distincts(df, repeated)}
+    wide = (T.StringType, T.BinaryType, T.ArrayType, T.StructType, T.MapType, T.VariantType)
+    values = {f.name: _hashable(f) for f in fields}
+    hashed = {f.name for f in fields if isinstance(f.dataType, wide)}
+    counts = _count_distincts(df, {name: F.xxhash64(v) if name in hashed else v for name, v in values.items()})
+    return {**counts, **_count_distincts(df, {name: values[name] for name in hashed if counts[name] != rows})}
 
 
 def _count_distincts(df: DataFrame, expressions: dict[str, Column]) -> dict[str, int]:
-    """Several COUNT(DISTINCT) as one union: in one aggregation Spark would multiply the rows instead."""
+    """Several COUNT(DISTINCT), those of one type from one scan and one shuffle of (column, value)."""
     if not expressions:
         return {}
-    parts = [
-        df.select(e.alias("v")).agg(F.lit(name).alias("name"), F.count_distinct("v").alias("n"))
-        for name, e in expressions.items()
-    ]
-    return {r["name"]: r["n"] for r in reduce(DataFrame.union, parts).collect()}
+    selected = df.select(*[e.alias(f"v{i}") for i, e in enumerate(expressions.values())])
+    by_type: dict[str, list[int]] = {}
+    for i, f in enumerate(selected.schema.fields):
+        by_type.setdefault(f.dataType.simpleString(), []).append(i)
+    parts = []
+    for of_type in by_type.values():
+        pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("at"), F.col(f"v{i}").alias("v")) for i in of_type])).alias("p")
+        pairs = selected.select(pairs).select("p.at", "p.v").where(F.col("v").isNotNull()).distinct()
+        parts.append(pairs.groupBy("at").agg(F.count(F.lit(1)).alias("n")))
+    names = list(expressions)
+    found = {names[r["at"]]: r["n"] for r in reduce(DataFrame.union, parts).collect()}
+    return {name: found.get(name, 0) for name in names}
 
 
 def _profile_rows(df: DataFrame, table: str, position: int, options: ProfileOptions) -> list[tuple]:
@@ -157,8 +171,8 @@ def sample_values(df: DataFrame, columns: Sequence[str], k: int = 8) -> DataFram
     """The ``k`` most frequent non-null values of every column: ``(column_name, rank, value, n)``.
 
     Columns of one type are unpivoted together, so ties are ordered by the typed value and each
-    column is read once. The caller picks columns with a bounded number of distinct values; that
-    bounds the rows the window sees per column.
+    column is read once. The first ``k`` are kept in every task before the window's shuffle, so a
+    column of many distinct values sends no more than others.
     """
     by_type: dict[str, list[T.StructField]] = {}
     for f in df.schema.fields:
@@ -172,7 +186,7 @@ def sample_values(df: DataFrame, columns: Sequence[str], k: int = 8) -> DataFram
         counts = long.groupBy("column_name", "v").agg(F.count(F.lit(1)).alias("n"))
         order = Window.partitionBy("column_name").orderBy(F.desc("n"), F.asc_nulls_last("v"))
         top = counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        text = F.col("v") if isinstance(dtype, T.MapType) else display(F.col("v"), dtype)
+        text = F.col("v") if _holds_map(dtype) else display(F.col("v"), dtype)
         parts.append(top.select("column_name", "rank", text.alias("value"), "n"))
     if not parts:
         return local_frame(df.sparkSession, [], "column_name string, rank int, value string, n long")
@@ -180,8 +194,9 @@ def sample_values(df: DataFrame, columns: Sequence[str], k: int = 8) -> DataFram
 
 
 def _sampled_columns(df: DataFrame, stats: DataFrame, options: ProfileOptions) -> list[str]:
-    narrow = {r["name"] for r in stats.where(F.col("approx_distinct") <= options.sample_max_distinct).select("name").collect()}
-    types = options.sample_types
+    types, most = options.sample_types, options.sample_max_distinct
+    kept = stats if most is None else stats.where(F.col("approx_distinct") <= most)
+    narrow = {r["name"] for r in kept.select("name").collect()}
     return [f.name for f in df.schema.fields if f.name in narrow and (types is None or isinstance(f.dataType, types))]
 
 
@@ -229,64 +244,57 @@ def grain(profile: DataFrame) -> DataFrame:
     return profile.where("is_candidate_key").groupBy("table_name").agg(first["name"].alias("grain"))
 
 
-def _shorten(c: Column, limit: int = 40) -> Column:
-    return F.when(F.length(c) <= limit, c).otherwise(F.concat(F.substring(c, 1, limit - 1), F.lit("...")))
+SUMMARY_SCHEMA = """
+    kind string, relation string, position int, subject string, type string, rows long, not_null boolean,
+    null_rate double, distinct_values long, exact boolean, low string, high string, samples array<string>, target string
+"""
 
 
-def _prior_lines(position: int, name: str, df: DataFrame) -> DataFrame:
-    """An earlier result: its size, and its columns with the first five values of the rows shown."""
-    count = df.agg(F.count(F.lit(1)).alias("n")).select(
-        F.lit(-1).alias("line_pos"), F.format_string("### `%s`  (%,d rows)", F.lit(name), "n").alias("line")
-    )
-    shown = df.limit(SHOWN_ROWS)
-    firsts = shown.agg(
-        *[F.slice(F.collect_list(display(col(f.name), f.dataType)), 1, 5).alias(f"v{i}") for i, f in enumerate(df.schema)]
-    )
-    lines = []
-    for i, f in enumerate(df.schema):
-        head = F.format_string("  - `%s` %s", F.lit(f.name), F.lit(f.dataType.simpleString()))
-        values = F.concat(F.lit("  (samples=["), F.array_join(f"v{i}", ", "), F.lit("])"))
-        line = F.when(F.size(f"v{i}") > 0, F.concat(head, values)).otherwise(head)
-        lines.append(F.struct(F.lit(i).alias("line_pos"), line.alias("line")))
-    columns = firsts.select(F.inline(F.array(*lines)))
-    return count.union(columns).select(
-        F.lit(2).alias("section"), F.lit(position).alias("table_pos"), "line_pos", "line"
-    )
+def schema_summary(profile: DataFrame, relationships: DataFrame, earlier: dict[str, DataFrame] | None = None) -> DataFrame:
+    """What a session may know before it asks, as typed rows (``SUMMARY_SCHEMA``).
 
+    Kinds: ``table`` (``subject`` is the grain, NULL without one), ``column``, ``link`` (``relation`` is the
+    parent, ``target`` the child, ``subject`` the column, ``type`` the cardinality), and for the whole of each
+    earlier result ``result`` and ``result_column``, of which ``samples`` are the most frequent values.
+    """
+    none = lambda kind: F.lit(None).cast(kind)
 
-def schema_summary(profile: DataFrame, relationships: DataFrame, prior_results: dict[str, DataFrame] | None = None) -> DataFrame:
-    """The profile as readable lines: ``(section, table_pos, line_pos, line)`` in reading order."""
-    heads = (
-        profile.select("table_name", "table_pos", "row_count").distinct().join(grain(profile), "table_name", "left")
-    ).select(
-        F.lit(0).alias("section"),
-        "table_pos",
-        F.lit(-1).alias("line_pos"),
-        F.format_string(
-            "### `%s`  (%,d rows; grain = %s)",
-            "table_name", "row_count", F.coalesce("grain", F.lit("(no unique key derived)")),
-        ).alias("line"),
-    )
-    distinct = F.when(F.col("exact_distinct").isNotNull(), F.format_string("distinct=%,d", "exact_distinct")).otherwise(
-        F.format_string("~distinct=%,d", "approx_distinct")
-    )
-    span = F.when(
-        F.col("min_value").isNotNull(),
-        F.format_string("range=[%s .. %s]", _shorten(F.col("min_value")), _shorten(F.col("max_value"))),
-    )
-    samples = F.when(
-        F.size("sample_values") > 0,
-        F.concat(F.lit("samples=["), F.array_join(F.slice("sample_values", 1, 5), ", "), F.lit("]")),
-    )
-    facts = F.concat_ws("; ", F.format_string("null_rate=%.0f%%", F.col("null_rate") * 100), distinct, span, samples)
-    lines = profile.select(
-        F.lit(0).alias("section"), "table_pos", F.col("column_pos").alias("line_pos"),
-        F.format_string("  - `%s` %s  (%s)", "name", "type", facts).alias("line"),
-    )
-    links = relationships.select(
-        F.lit(1).alias("section"), F.lit(0).alias("table_pos"), F.lit(0).alias("line_pos"),
-        F.format_string("  - `%s` -> `%s` on %s [%s]", "parent", "child", "column_name", "cardinality").alias("line"),
-    )
-    parts = [heads, lines, links]
-    parts += [_prior_lines(i, name, df) for i, (name, df) in enumerate((prior_results or {}).items())]
-    return reduce(DataFrame.union, parts).orderBy("section", "table_pos", "line_pos", "line")
+    def facts(df: DataFrame, kind: str, **columns: Column) -> DataFrame:
+        fields = T.StructType.fromDDL(SUMMARY_SCHEMA).fields
+        known = {"kind": F.lit(kind), **columns}
+        return df.select(*[known.get(f.name, none(f.dataType)).cast(f.dataType).alias(f.name) for f in fields])
+
+    c = F.col
+    heads = profile.select("table_name", "row_count").distinct().join(grain(profile), "table_name", "left")
+    parts = [
+        facts(heads, "table", relation=c("table_name"), subject=c("grain"), rows=c("row_count")),
+        facts(
+            profile, "column", relation=c("table_name"), position=c("column_pos"), subject=c("name"), type=c("type"),
+            rows=c("row_count"), not_null=c("null_count") == 0, null_rate=c("null_rate"), low=c("min_value"),
+            high=c("max_value"), distinct_values=F.coalesce("exact_distinct", "approx_distinct"),
+            exact=c("exact_distinct").isNotNull(), samples=c("sample_values"),
+        ),
+        facts(relationships, "link", relation=c("parent"), target=c("child"), subject=c("column_name"), type=c("cardinality")),
+    ]
+    for name, df in (earlier or {}).items():
+        rows = df.agg(F.count(F.lit(1)).alias("n"))
+        parts.append(facts(rows, "result", relation=F.lit(name), rows=c("n")))
+        top = sample_values(df, df.columns).groupBy("column_name").agg(
+            F.transform(F.array_sort(F.collect_list(F.struct("rank", "value"))), lambda s: s["value"]).alias("values")
+        )
+        named = local_frame(df.sparkSession, [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema.fields)], "at int, column string, kind string")
+        columns = named.join(top, named["column"] == top["column_name"], "left")
+        empty = F.array().cast("array<string>")
+        parts.append(
+            facts(columns, "result_column", relation=F.lit(name), position=c("at"), subject=c("column"), type=named["kind"], samples=F.coalesce("values", empty))
+        )
+    return reduce(DataFrame.union, parts)
+
+
+def ground(spark: SparkSession, databases: Sequence[str], earlier: dict[str, DataFrame] | None = None) -> DataFrame:
+    """``schema_summary`` of all tables of some databases, profiled now, and of a session's earlier results."""
+    tables = {f"{db}.{t}": spark.table(f"{quoted(db)}.{quoted(t)}") for db in databases for t in tables_in(spark, db)}
+    if not tables:
+        return local_frame(spark, [], SUMMARY_SCHEMA)
+    profile = stage(profile_tables(tables, GROUNDING_OPTIONS), "grounding")
+    return schema_summary(profile, infer_relationships_by_grain(profile), earlier)

@@ -7,7 +7,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from tidemill.functions.columns import col
@@ -60,52 +59,51 @@ def numbered_ranges(df: DataFrame, order: Sequence[Column]) -> DataFrame:
     )
 
 
-def has_wide_group(df: DataFrame, keys: Sequence[str], value: str, limit: int) -> bool:
-    """Whether some group holds more than about ``limit`` distinct values (5 % HyperLogLog error)."""
-    widths = df.groupBy(*[col(k) for k in keys]).agg(F.approx_count_distinct(col(value)).alias("w"))
-    return bool(widths.agg(F.max("w") > F.lit(limit)).first()[0])
-
-
 def grouped_median(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    name: str = "median",
-    wide_group: int = 200_000,
-    accuracy: int | None = None,
+    df: DataFrame, keys: Sequence[str], value: str, name: str = "median", accuracy: int | None = None
 ) -> DataFrame:
-    """Exact interpolated median of ``value`` per group, one row per group.
+    """Exact interpolated median of ``value`` per group, one row per group; without keys, of all rows.
 
-    Spark's ``median`` holds every distinct value of a group in one buffer. That is the right plan
-    while the buffers are small, which is measured first; otherwise ``ranged_median`` gives the same
-    numbers from range partitions. ``accuracy`` asks for ``percentile_approx`` instead.
+    Spark's ``median`` holds every distinct value of a group in one buffer, which no bound keeps small. Here
+    equal values are counted first and the weighted values range partitioned, so no task holds more than one
+    range of one group. A group of nothing but NULLs has a NULL median. ``accuracy`` asks for
+    ``percentile_approx`` instead.
     """
     if accuracy is not None:
         return df.groupBy(*[col(k) for k in keys]).agg(F.percentile_approx(col(value), 0.5, accuracy).alias(name))
-    if wide_group > 0 and not has_wide_group(df, keys, value, wide_group):
-        return df.groupBy(*[col(k) for k in keys]).agg(F.median(col(value)).alias(name))
-    return ranged_median(df, keys, value, name)
+    weighted = value_weights(df, keys, value)
+    medians = weighted_medians(weighted, keys, name)
+    return with_medians(weighted.select(*[col(k) for k in keys]).distinct(), medians, keys, name) if keys else medians
 
 
-def ranged_median(
-    df: DataFrame, keys: Sequence[str], value: str, name: str = "median", empty_groups: bool = True
-) -> DataFrame:
-    """Exact median per group with no task holding more than one range partition of one group.
+def value_weights(df: DataFrame, keys: Sequence[str], value: str, *more: Column) -> DataFrame:
+    """Every group's distinct values (``_v``, as double) with their numbers of rows (``_w``), in range
+    partitions by group and value (``_part``), written once. ``more`` are sums to keep beside them.
 
-    Equal values are counted first, so a frequent value is a single weighted row. The weighted rows
-    are range partitioned by group and value; sums per partition tell in which partition the middle
-    of each group lies, and only that partition's rows of the group are read again and sorted.
-    ``df`` is read once. ``empty_groups`` keeps groups of nothing but NULLs.
+    A group's NULLs are one row of no weight.
     """
-    keys = list(keys)
     key_cols = [col(k) for k in keys]
-    # A group's NULLs are one row of no weight: it keeps the group known and moves no middle.
-    rows = df if empty_groups else df.where(col(value).isNotNull())
-    weighted = rows.groupBy(*key_cols, col(value).cast("double").alias("_v")).agg(F.count(col(value)).alias("_w"))
+    weighted = df.groupBy(*key_cols, col(value).cast("double").alias("_v")).agg(F.count(col(value)).alias("_w"), *more)
     ranges = weighted.repartitionByRange(*[F.asc_nulls_first(c) for c in (*keys, "_v")])
-    # A task writes one partition, so this is one folder per task.
-    weighted = stage(ranges.withColumn("_part", F.spark_partition_id()), "median", ["_part"])
+    # Every file holds one partition number, so its footer tells whether a filter on it needs the file.
+    return stage(ranges.withColumn("_part", F.spark_partition_id()), "weights")
+
+
+def with_medians(groups: DataFrame, medians: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """``groups`` with their medians, NULL where a group has no value."""
+    theirs = medians.select(*[col(k).alias(f"_k{i}") for i, k in enumerate(keys)], col(name))
+    same = reduce(lambda a, b: a & b, [col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    return groups.join(theirs, same, "left").drop(*[f"_k{i}" for i in range(len(keys))])
+
 
+def weighted_medians(weighted: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """Medians of the groups of ``value_weights`` that have a value; without keys, one row.
+
+    Sums per partition tell in which partition the middle of each group lies, and only that partition's rows
+    of the group are read again and sorted.
+    """
+    keys = list(keys)
+    key_cols = [col(k) for k in keys]
     # One row per group and partition it touches, and of these the one or two around the middle.
     cells = weighted.groupBy(*key_cols, "_part").agg(F.sum("_w").alias("_n"))
     by_group = Window.partitionBy(*key_cols)
@@ -127,12 +125,9 @@ def ranged_median(
     cells = stage(cells, "cells")
     parts = [r["_p"] for r in cells.select("_p").distinct().collect()]
 
-    # The list has at most one entry per shuffle partition; folders outside it are not read.
-    near = weighted.where(F.col("_part").isin(parts)).join(
-        cells,
-        reduce(lambda a, b: a & b, [col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
-        & (F.col("_part") == F.col("_p")),
-    )
+    # The list has at most one entry per shuffle partition; files outside it are not read.
+    same = [col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    near = weighted.where(F.col("_part").isin(parts)).join(cells, reduce(lambda a, b: a & b, same, F.col("_part") == F.col("_p")))
     running = Window.partitionBy(*key_cols, "_part").orderBy("_v")
     upto = F.col("_before") + F.sum("_w").over(running.rowsBetween(Window.unboundedPreceding, 0))
     near = near.withColumn("_to", upto).withColumn("_from", F.col("_to") - F.col("_w"))
@@ -140,11 +135,4 @@ def ranged_median(
     middles = near.groupBy(*key_cols).agg(
         F.max(F.when(holds("_low"), F.col("_v"))).alias("_a"), F.max(F.when(holds("_high"), F.col("_v"))).alias("_b")
     )
-    medians = middles.select(*key_cols, ((F.col("_a") + F.col("_b")) / 2).alias(name))
-    if not empty_groups:
-        return medians
-    groups = weighted.select(*[col(k).alias(f"_g{i}") for i, k in enumerate(keys)]).distinct()
-    same = reduce(lambda a, b: a & b, [F.col(f"_g{i}").eqNullSafe(col(k)) for i, k in enumerate(keys)])
-    return groups.join(medians, same, "left").select(
-        *[F.col(f"_g{i}").alias(k) for i, k in enumerate(keys)], col(name).cast(T.DoubleType()).alias(name)
-    )
+    return middles.select(*key_cols, ((F.col("_a") + F.col("_b")) / 2).alias(name))

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.functions.columns import col
 
 
-def largest_for_size(outliers: DataFrame, columns: list[str], k: int = 5) -> DataFrame:
-    """The rows furthest above the power law."""
-    return outliers.select(*columns).orderBy("overperformer_rank").limit(k)
+def largest_for_size(scores: DataFrame, key: str, columns: list[str], k: int = 5) -> DataFrame:
+    """The rows furthest above the power law, numbered; only ``k`` rows are ever ranked."""
+    order = [F.desc("residual"), F.asc(key)]
+    top = scores.orderBy(*order).limit(k)
+    return top.withColumn("overperformer_rank", F.row_number().over(Window.orderBy(*order))).select(*columns)
 
 
-def top_overperformer(outliers: DataFrame, columns: list[str]) -> DataFrame:
-    return outliers.where(F.col("overperformer_rank") == 1).select(*columns)
+def top_overperformer(scores: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    return largest_for_size(scores, key, columns, 1)
 
 
 def rank_of(outliers: DataFrame, key: str, value: object) -> DataFrame:

@@ -14,13 +14,12 @@ import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+from py4j import java_gateway
 from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, Row, SparkSession
-from pyspark.sql import types as T
 
-from tidemill.functions.columns import is_numeric
 from tidemill.operators.sanity import result_sanity
-from tidemill.session import child_session, local_frame
+from tidemill.session import child_session
 
 ROW_CAP = 1000
 TIMEOUT_S = 60
@@ -31,13 +30,13 @@ NON_READ_ONLY = "non_read_only"
 DRY_RUN_NOT_PASSED = "dry_run_not_passed"
 EXECUTION_ERROR = "execution_error"
 
-# Functions that run code or tell file names, and IDENTIFIER, which can spell any of
-# them. The words are refused wherever they stand: some would already run during analysis.
-DENIED_WORDS = (
-    "identifier", "input_file_block_length", "input_file_block_start", "input_file_name", "java_method",
-    "reflect", "try_reflect",
-)
-_DENIED = re.compile(r"\b(" + "|".join(DENIED_WORDS) + r")\b", re.IGNORECASE)
+TOO_MANY_STEPS = "too_many_steps"
+
+# Functions that run code or tell file names. Some would already run during analysis, so they are
+# looked for in the parsed statement.
+DENIED_FUNCTIONS = frozenset({
+    "input_file_block_length", "input_file_block_start", "input_file_name", "java_method", "reflect", "try_reflect",
+})
 
 # Plan leaves that read nothing outside the plan itself.
 _INLINE_LEAVES = frozenset({"CTERelationRef", "LocalRelation", "OneRowRelation", "Range", "UnionLoopRef"})
@@ -49,9 +48,12 @@ _GROUP_PROPERTIES = ("spark.jobGroup.id", "spark.job.description", "spark.job.in
 
 @dataclass(frozen=True)
 class Refusal:
+    """Why a statement did not run; ``suggestions`` are the columns Spark thinks were meant."""
+
     kind: str
     message: str
     detail: str | None = None
+    suggestions: tuple[str, ...] = ()
 
 
 @dataclass(frozen=True)
@@ -121,10 +123,10 @@ class GuardedSession:
         body = sql.strip().rstrip(";").rstrip()
         if not body:
             return Planned(refusal=Refusal(NON_READ_ONLY, "empty statement"))
-        denied = _DENIED.search(body)
-        if denied:
-            return Planned(refusal=Refusal(NON_READ_ONLY, f"{denied.group(0)} is not permitted"))
         try:
+            denied = self._denied(f"SELECT * FROM (\n{body}\n) guarded")
+            if denied:
+                return Planned(refusal=Refusal(NON_READ_ONLY, f"{denied} is not permitted"))
             # The line break keeps a trailing comment from hiding the parenthesis. Text that closes
             # the parenthesis itself cannot fit both forms.
             self.spark.sql(f"WITH guarded AS (\n{body}\n) SELECT * FROM guarded")
@@ -133,12 +135,37 @@ class GuardedSession:
             return Planned(refusal=Refusal(NON_READ_ONLY, "not a single read-only query", e.getCondition()))
         except AnalysisException as e:
             kind = NON_READ_ONLY if self._names_outside(e) else DRY_RUN_NOT_PASSED
-            return Planned(refusal=Refusal(kind, e.getCondition() or "analysis failed", str(e)))
+            proposal = (e.getMessageParameters() or {}).get("proposal", "")
+            names = tuple(".".join(re.findall(r"`((?:[^`]|``)+)`", part)) for part in proposal.split(", ") if part)
+            return Planned(refusal=Refusal(kind, e.getCondition() or "analysis failed", str(e), names))
         reason = self._outside(frame._jdf.queryExecution().analyzed())
         if reason:
             return Planned(refusal=Refusal(NON_READ_ONLY, reason))
         return Planned(frame=frame)
 
+    def _denied(self, sql: str) -> str | None:
+        """A function of the parsed statement that may not be called, or a name that is put together."""
+        gateway = self.spark.sparkContext._gateway
+        is_instance = lambda node, name: java_gateway.is_instance_of(gateway, node, name)
+        waiting = [self.spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)]
+        while waiting:
+            node = waiting.pop()
+            kind = node.getClass().getSimpleName()
+            if "UnresolvedIdentifier" in kind:
+                return "IDENTIFIER"
+            if kind in ("UnresolvedFunction", "UnresolvedTableValuedFunction"):
+                parts = node.nameParts() if kind == "UnresolvedFunction" else node.name()
+                name = parts.last().lower()
+                if name in DENIED_FUNCTIONS:
+                    return name
+            groups = [node.children()]
+            if is_instance(node, "org.apache.spark.sql.catalyst.plans.logical.LogicalPlan"):
+                groups += [node.expressions(), node.innerChildren()]
+            elif is_instance(node, "org.apache.spark.sql.catalyst.expressions.PlanExpression"):
+                waiting.append(node.plan())
+            waiting += [group.apply(i) for group in groups for i in range(group.size())]
+        return None
+
     def _names_outside(self, error: AnalysisException) -> bool:
         """Whether the relation Spark could not find is qualified with something else than a database
         of the session: a file format and a path, for instance."""
@@ -184,22 +211,14 @@ class GuardedSession:
         try:
             # One row more than the cap tells whether the result was cut.
             rows = self._collect(planned.frame.limit(self.row_cap + 1))
+            # All rows are judged, not only those shown.
+            warnings = self._collect(result_sanity(planned.frame))
         except Exception as e:  # Spark errors, and the JVM error of a job the timer cancelled
             return Outcome(refusal=Refusal(EXECUTION_ERROR, "execution failed", str(e)))
         truncated = len(rows) > self.row_cap
         rows = rows[: self.row_cap]
         provenance = Provenance(sql, int((time.monotonic() - started) * 1000), len(rows), truncated)
-        return Outcome(planned.frame, rows, provenance, warnings=result_sanity(self._shown(rows, planned.frame)).collect())
-
-    def _shown(self, rows: Sequence[Row], frame: DataFrame) -> DataFrame:
-        """The collected rows again, with numbers kept and other values reduced to their presence."""
-        fields = [
-            f if is_numeric(f.dataType) else T.StructField(f.name, T.BooleanType()) for f in frame.schema.fields
-        ]
-        values = [
-            tuple(v if is_numeric(f.dataType) or v is None else True for v, f in zip(row, fields)) for row in rows
-        ]
-        return local_frame(self.spark, values, T.StructType(fields))
+        return Outcome(planned.frame, rows, provenance, warnings=warnings)
 
     def _collect(self, frame: DataFrame) -> list[Row]:
         context = self.spark.sparkContext
@@ -219,10 +238,14 @@ class GuardedSession:
         """Run queries in order; each may read ``hop_N_result`` of those before it.
 
         A hop's result is a view on its query, so later hops are planned through it and see all of
-        it, not the capped rows. The chain stops at the first refusal or failure.
+        it, not the capped rows. The chain stops at the first refusal or failure. One of more than
+        ``max_hops`` steps is refused as a whole.
         """
+        if len(steps) > max_hops:
+            refusal = Refusal(TOO_MANY_STEPS, f"{len(steps)} steps, at most {max_hops}")
+            return Chain([Outcome(refusal=refusal)], None, "refused")
         hops: list[Outcome] = []
-        for number, sql in enumerate(steps[:max_hops], start=1):
+        for number, sql in enumerate(steps, start=1):
             outcome = self.run(sql)
             hops.append(outcome)
             if not outcome.ok:
@@ -249,7 +272,7 @@ class GuardedSession:
 
 def _overall(hops: Sequence[Outcome]) -> str:
     kinds = {h.refusal.kind for h in hops if h.refusal is not None}
-    if kinds & {NON_READ_ONLY, EXECUTION_ERROR}:
+    if kinds & {NON_READ_ONLY, EXECUTION_ERROR, TOO_MANY_STEPS}:
         return "refused"
     if kinds or not hops:
         return "failed"

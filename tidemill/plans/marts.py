@@ -9,43 +9,34 @@ from pyspark.sql import functions as F
 
 from tidemill.functions.columns import col
 from tidemill.operators.joins import with_scalars
-from tidemill.operators.ranking import global_rank, has_wide_group, ranged_median
+from tidemill.operators.ranking import global_rank, value_weights, weighted_medians, with_medians
 from tidemill.plans.staging import present_any
 from tidemill.session import stage
 
 
-def stats_by_group(
-    df: DataFrame, group: str, value: str, second: str, wide_group: int = 200_000, digits: int = 2, second_digits: int = 1
-) -> DataFrame:
+def stats_by_group(df: DataFrame, group: str, value: str, second: str, digits: int = 2, second_digits: int = 1) -> DataFrame:
     """Statistics of ``value`` per group, for groups with at least one value, highest average first.
 
-    Everything but the median has constant-size buffers. The median joins the same aggregation while
-    no group has more than ``wide_group`` distinct values, and comes from range partitions otherwise.
+    ``df`` is read once: all figures, the median too, come from its weighted values.
     """
-    v = col(value)
-    aggs = [
-        F.count(F.lit(1)).alias("n_rows"),
-        F.count(v).alias("n_with_value"),
-        F.round(F.avg(v), digits).alias("avg_value"),
-        F.max(v).alias("max_value"),
-        F.min(v).alias("min_value"),
-        F.round(F.avg(col(second)), second_digits).alias("avg_second"),
-    ]
-    key = col(group).alias(group)
-    if has_wide_group(df, [group], value, wide_group):
-        stats = df.groupBy(key).agg(*aggs)
-        medians = ranged_median(df, [group], value, "median_value", empty_groups=False).withColumnRenamed(group, "_group")
-        stats = stats.join(medians, col(group).eqNullSafe(F.col("_group")), "left")
-    else:
-        stats = df.groupBy(key).agg(*aggs, F.median(v).alias("median_value"))
-    return (
-        stats.where("n_with_value > 0")
-        .select(
-            col(group), "n_rows", "n_with_value", "avg_value",
-            F.round("median_value", digits).alias("median_value"), "max_value", "min_value", "avg_second",
-        )
-        .orderBy(F.desc_nulls_last("avg_value"), F.asc_nulls_last(group))
-    )
+    s = col(second)
+    weighted = value_weights(
+        df, [group], value, F.count(F.lit(1)).alias("_rows"), F.sum(s).alias("_s"), F.count(s).alias("_c")
+    )
+    kind = df.schema[value].dataType
+    stats = weighted.groupBy(col(group).alias(group)).agg(
+        F.sum("_rows").alias("n_rows"),
+        F.sum("_w").alias("n_with_value"),
+        F.round(F.try_divide(F.sum(F.col("_v") * F.col("_w")), F.sum("_w")), digits).alias("avg_value"),
+        F.max("_v").cast(kind).alias("max_value"),
+        F.min("_v").cast(kind).alias("min_value"),
+        F.round(F.try_divide(F.sum("_s"), F.sum("_c")).cast("double"), second_digits).alias("avg_second"),
+    )
+    stats = with_medians(stats.where("n_with_value > 0"), weighted_medians(weighted, [group], "median_value"), [group], "median_value")
+    return stats.select(
+        col(group), "n_rows", "n_with_value", "avg_value",
+        F.round("median_value", digits).alias("median_value"), "max_value", "min_value", "avg_second",
+    ).orderBy(F.desc_nulls_last("avg_value"), F.asc_nulls_last(group))
 
 
 def power_fit(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -58,34 +49,38 @@ def power_fit(df: DataFrame, x: str, y: str) -> DataFrame:
     )
 
 
-def power_law_outliers(df: DataFrame, key: str, x: str, y: str, keep: Sequence[str] = (), write_base: bool = False) -> DataFrame:
-    """How far each row's ``y`` is from the power law of ``y`` in ``x`` fitted over all rows.
+def power_law_scores(df: DataFrame, key: str, x: str, y: str, keep: Sequence[str] = (), write_base: bool = False) -> DataFrame:
+    """How far each row's ``y`` is from the power law of ``y`` in ``x`` fitted over all rows, unranked.
 
-    ``key`` must be unique; it orders rows with equal residuals. ``write_base`` keeps an input that
-    is costly to compute (an aggregation or a join) from running once for the fit and again for
-    the scores. Rows come unsorted; ``overperformer_rank`` carries the order.
+    ``write_base`` keeps an input that is costly to compute (an aggregation or a join) from running once for
+    the fit and again for the scores. ``residual`` is the unrounded distance, by which rows are ranked.
     """
     base = df.where((col(x) > 0) & (col(y) > 0)).select(col(key), *[col(c) for c in keep], col(x), col(y))
     if write_base:
         base = stage(base, "base")
-    fit = power_fit(base, x, y)
-    scored = with_scalars(base, fit, ["slope", "intercept"])
+    scored = with_scalars(base, power_fit(base, x, y), ["slope", "intercept"])
     predicted = F.col("intercept") + F.col("slope") * F.ln(col(x))
     scored = scored.select(
-        *[col(c) for c in base.columns], predicted.alias("_ln_p"), (F.ln(col(y)) - predicted).alias("_residual")
+        *[col(c) for c in base.columns], predicted.alias("_ln_p"), (F.ln(col(y)) - predicted).alias("residual")
     )
-    ranked = global_rank(scored, [F.desc("_residual"), F.asc(key)], "overperformer_rank")
     size = F.exp("_ln_p")
-    return ranked.select(
+    return scored.select(
         *[col(c) for c in base.columns],
         F.round(size, 2).alias("predicted_value"),
         F.round(col(y) - size, 2).alias("value_gap"),
-        F.round(F.exp("_residual"), 3).alias("value_ratio"),
-        F.round("_residual", 4).alias("residual_ln"),
-        "overperformer_rank",
+        F.round(F.exp("residual"), 3).alias("value_ratio"),
+        F.round("residual", 4).alias("residual_ln"),
+        "residual",
     )
 
 
+def power_law_outliers(df: DataFrame, key: str, x: str, y: str, keep: Sequence[str] = (), write_base: bool = False) -> DataFrame:
+    """``power_law_scores`` with every row's rank. ``key`` must be unique; it orders rows with equal residuals.
+    Rows come unsorted; ``overperformer_rank`` carries the order."""
+    scored = power_law_scores(df, key, x, y, keep, write_base)
+    return global_rank(scored, [F.desc("residual"), F.asc(key)], "overperformer_rank").drop("residual")
+
+
 def filtered_projection(
     df: DataFrame, columns: Sequence[str], required: str, any_of: Sequence[str], order: Sequence[Column]
 ) -> DataFrame:
@@ -93,10 +88,10 @@ def filtered_projection(
     return df.where(col(required).isNotNull() & present_any(any_of)).select(*[col(c) for c in columns]).orderBy(*order)
 
 
-def ratio_by_group(outliers: DataFrame, group: str, min_rows: int = 10) -> DataFrame:
+def ratio_by_group(scores: DataFrame, group: str, min_rows: int = 10) -> DataFrame:
     """Average ratio to the power law per group, for groups of at least ``min_rows``."""
     return (
-        outliers.groupBy(col(group).alias(group))
+        scores.groupBy(col(group).alias(group))
         .agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.avg("value_ratio"), 3).alias("avg_ratio"))
         .where(F.col("n_rows") >= min_rows)
         .orderBy(F.desc_nulls_last("avg_ratio"), F.asc_nulls_last(group))

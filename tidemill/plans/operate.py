@@ -14,7 +14,8 @@ from tidemill.operators.checks import Check
 from tidemill.operators.profiling import profile_tables
 from tidemill.operators.relationships import infer_relationships
 from tidemill.plans.staging import staging_select
-from tidemill.sinks.landing import Dataset, land_dataset, save_table
+from tidemill.sinks.documents import save_profile_document
+from tidemill.sinks.landing import Dataset, land_dataset, remove_old_versions, save_table
 from tidemill.sinks.models import save_view
 from tidemill.session import stage
 
@@ -28,7 +29,8 @@ class Plan:
 
     A raw table that no staging view is declared for gets ``stg_<table>``, a plain rename.
     ``{raw}`` and ``{staging}`` in the SQL stand for the databases. ``state`` is the folder that
-    keeps row counts from run to run.
+    keeps row counts from run to run. ``document`` is the folder of the profile document, if one is wanted.
+    Once a run is done, versions of its tables from before the last one are removed.
     """
 
     dataset: Dataset
@@ -36,6 +38,7 @@ class Plan:
     marts: Mapping[str, Mart] = field(default_factory=dict)
     checks: Sequence[Check] = ()
     state: str | None = None
+    document: str | None = None
 
 
 @dataclass
@@ -78,4 +81,10 @@ def operate(spark: SparkSession, plan: Plan, run_id: str) -> Report:
         previous = monitoring.previous_snapshot(spark, plan.state, run_id)
         drift = None if previous is None else monitoring.rowcount_drift(previous, counts)
         monitoring.save_snapshot(counts, plan.state, run_id)
-    return Report(landed, profile, infer_relationships(profile), report, counts, drift, examples)
+    relationships = infer_relationships(profile)
+    if plan.document:
+        save_profile_document(profile, relationships, plan.document)
+    for db, names in ((layers.raw, landed), (layers.marts, plan.marts)):
+        for name in names:
+            remove_old_versions(spark, db, name)
+    return Report(landed, profile, relationships, report, counts, drift, examples)

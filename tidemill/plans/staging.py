@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from tidemill.functions.columns import col
 from tidemill.functions.names import quoted, snake_case, unique_names
@@ -33,22 +34,34 @@ def stage_columns(
     casts: Mapping[str, str] | None = None,
     derived: Mapping[str, Column] | None = None,
     required: Sequence[str] = (),
+    lenient: Sequence[str] = (),
 ) -> DataFrame:
     """A curated model: ``columns`` maps raw to clean names, ``casts`` types clean ones, ``derived``
     adds expressions over the raw columns, and rows with a NULL in ``required`` are dropped.
 
-    Text that does not fit its type becomes NULL, so a bad row meets the junk filter instead of
-    ending the job.
+    A value that does not fit its type ends the job, so no row is lost unseen. Casts of the ``lenient``
+    columns give NULL instead; ``cast_rejects`` returns the rows this concerns.
     """
     casts = casts or {}
     out = []
     for raw, clean in columns.items():
-        value = col(raw).try_cast(casts[clean]) if clean in casts else col(raw)
+        value = col(raw)
+        if clean in casts:
+            value = value.try_cast(casts[clean]) if clean in lenient else value.cast(casts[clean])
         out.append(value.alias(clean))
     out += [expression.alias(name) for name, expression in (derived or {}).items()]
     return any_missing_dropped(df.select(*out), required)
 
 
+def cast_rejects(df: DataFrame, columns: Mapping[str, str], casts: Mapping[str, str], name: str = "rejected") -> DataFrame:
+    """The rows of which a value does not fit its type, with the clean names of those columns in ``name``."""
+    raw_of = {clean: raw for raw, clean in columns.items()}
+    misfits = [
+        F.when(col(raw_of[c]).isNotNull() & col(raw_of[c]).try_cast(kind).isNull(), F.lit(c)) for c, kind in casts.items()
+    ]
+    return df.withColumn(name, F.array_compact(F.array(*misfits))).where(F.size(name) > 0)
+
+
 def any_missing_dropped(df: DataFrame, required: Sequence[str]) -> DataFrame:
     for name in required:
         df = df.where(col(name).isNotNull())

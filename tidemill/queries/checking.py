@@ -86,21 +86,22 @@ _FAILURES_SQL = f"""
     UNION ALL SELECT 'unique_labelled_doc_id', 'unique', count(*) - count(DISTINCT doc_id) FROM ({DOCUMENT_LABELS_SQL})
     UNION ALL SELECT 'unique_orders_o_custkey', 'unique', count(*) FROM
         (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) > 1)
-    UNION ALL SELECT 'accepted_values_orders_o_orderstatus', 'accepted_values', count(DISTINCT o_orderstatus) FROM orders
+    UNION ALL SELECT 'accepted_values_orders_o_orderstatus_O_F', 'accepted_values', count(DISTINCT o_orderstatus) FROM orders
         WHERE o_orderstatus NOT IN ('O', 'F')
-    UNION ALL SELECT 'relationship_documents_doc_id', 'relationship', count(*) FROM ({_ORPHANS_SQL})
-    UNION ALL SELECT 'relationship_orders_o_custkey', 'relationship', count(*) FROM orders
+    UNION ALL SELECT 'relationship_documents_doc_id_labels_doc_id', 'relationship', count(*) FROM ({_ORPHANS_SQL})
+    UNION ALL SELECT 'relationship_orders_o_custkey_customer_c_custkey', 'relationship', count(*) FROM orders
         WHERE o_custkey IS NOT NULL AND o_custkey NOT IN (SELECT c_custkey FROM customer)
     UNION ALL SELECT 'no_huge_orders', 'singular', count(*) FROM orders WHERE o_totalprice > 499000
+    UNION ALL SELECT 'cannot_run', 'singular', NULL
 """
 
 
 @query(
     "run_checks",
-    f"SELECT name, kind, CASE failures WHEN 0 THEN 'pass' ELSE 'fail' END AS status, failures FROM ({_FAILURES_SQL})",
+    f"SELECT name, kind, CASE WHEN failures IS NULL THEN 'error' WHEN failures = 0 THEN 'pass' ELSE 'fail' END AS status, failures FROM ({_FAILURES_SQL})",
 )
 def run_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A suite with one check of every kind, some of which fail."""
+    """A suite with one check of every kind, some of which fail and one that ends with an error."""
     tables = checked_tables(spark, sf_dir)
     suite = [
         checks.not_null("labelled", "doc_id"),
@@ -111,6 +112,7 @@ def run_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
         checks.relationship("documents", "doc_id", "labels", "doc_id"),
         checks.relationship("orders", "o_custkey", "customer", "c_custkey"),
         checks.singular("no_huge_orders", tables["orders"].where("o_totalprice > 499000")),
+        checks.singular("cannot_run", tables["orders"].where("CAST(o_orderpriority AS INT) > 0")),
     ]
     return checks.run_checks(spark, suite, tables).drop("message")
 
@@ -213,7 +215,7 @@ def rowcount_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
         counts = orders.where(condition).groupBy(F.col("o_orderpriority").alias("table_name"))
         monitoring.save_snapshot(counts.agg(F.count(F.lit(1)).alias("n_rows")), path, run_id)
     previous, current = (monitoring.load_snapshot(spark, path, r) for r in runs)
-    drift = monitoring.rowcount_drift(previous, current).drop("message")
+    drift = monitoring.rowcount_drift(previous, current)
     return drift.withColumn("change", F.round("change", 6))
 
 

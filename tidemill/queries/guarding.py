@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemill.plans.guarded import GuardedSession
 from tidemill.queries.registry import catalog_tables, query
+from tidemill.session import local_frame
 
 _SEGMENTS = """
     SELECT c.c_mktsegment, count(*) AS n_orders, round(sum(o.o_totalprice), 2) AS total
@@ -28,6 +29,14 @@ def guarded_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outcome.frame
 
 
+@query("capped_rows", "SELECT least(count(*), 1000) AS n_rows, count(*) > 1000 AS truncated FROM orders")
+def capped_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows of a result are shown, and whether there were more."""
+    session, db = guarded_session(spark, sf_dir)
+    shown = session.run(f"SELECT o_orderkey, o_totalprice FROM {db}.orders").provenance
+    return local_frame(spark, [(shown.row_count, shown.truncated)], "n_rows long, truncated boolean")
+
+
 _TOP = "SELECT o_custkey, sum(o_totalprice) AS spend FROM {}orders GROUP BY o_custkey ORDER BY spend DESC, o_custkey LIMIT 10"
 _THEIRS = """
     SELECT o.o_orderpriority, count(*) AS n_orders, round(sum(o.o_totalprice), 2) AS total

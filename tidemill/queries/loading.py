@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+import zipfile
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,16 +15,43 @@ from tidemill.queries.marts import STATS_BY_NATION_SQL, stats_by_nation
 from tidemill.queries.registry import catalog_tables, layers, query, read
 from tidemill.session import local_frame, new_scratch
 from tidemill.sinks.landing import Dataset, TableSpec, land_dataset, land_source, save_table
-from tidemill.sinks.models import materialize, sandbox_build
-from tidemill.sources.archives import write_zips
+from tidemill.sinks.models import SANDBOX, drop_sandbox, materialize, sandbox_build
 from tidemill.sources.catalog import list_columns
 from tidemill.sources.files import read_json, read_source
+from tidemill.sources.paths import filesystem
 
 CUSTOMER_AS_TEXT_SQL = """
     SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment FROM customer
 """
 
 
+def write_zips(df: DataFrame, path: str, prefix: str = "part", json: bool = False) -> int:
+    """Write a DataFrame as zipped CSV with header, or as JSON lines, one archive per partition; returns the row count."""
+    target_fs, folder = filesystem(path)
+    target_fs.create_dir(folder, recursive=True)
+    names = df.columns
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        out_fs, out = filesystem(path)
+        label = f"{prefix}-{TaskContext.get().partitionId():05d}"
+        partial = f"{out}/_{label}-{uuid.uuid4().hex}"
+        rows = 0
+        with out_fs.open_output_stream(partial) as raw, zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as archive:
+            with archive.open(f"{label}.ndjson" if json else f"{label}.csv", "w", force_zip64=True) as member:
+                if not json:
+                    member.write((",".join(names) + "\n").encode())
+                for batch in batches:
+                    rows += len(batch)
+                    text = batch.to_json(orient="records", lines=True) if json else batch.to_csv(index=False, header=False)
+                    member.write(text.encode())
+        out_fs.move(partial, f"{out}/{label}.zip")
+        yield pd.DataFrame({"rows": [rows]})
+
+    return df.mapInPandas(pack, "rows long").agg(F.sum("rows")).first()[0]
+
+
 @query("scan_parquet", "SELECT * FROM orders")
 def scan_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_source(spark, f"{sf_dir}/orders.parquet")
@@ -77,6 +109,27 @@ def scan_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_source(spark, path)
 
 
+@query("scan_zip_json", CUSTOMER_AS_TEXT_SQL)
+def scan_zip_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as JSON lines in archives."""
+    customers = read(spark, sf_dir, "customer")
+    path = new_scratch(spark, "customers") + ".zip"
+    write_zips(customers.repartition(3, "c_custkey"), path, json=True)
+    return read_source(spark, path).select(*customers.columns)
+
+
+@query("scan_json_mixed", "SELECT n_nationkey::BIGINT AS n_nationkey, n_name, n_regionkey::BIGINT AS n_regionkey FROM nation")
+def scan_json_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder of which some files hold one object per line and others one array."""
+    nations = read(spark, sf_dir, "nation")
+    path = new_scratch(spark, "nations")
+    low = F.col("n_nationkey") % 3 == 0
+    nations.where(low).write.json(path)
+    array = F.to_json(F.collect_list(F.struct(*nations.columns)))
+    nations.where(~low).groupBy(F.col("n_nationkey") % 2).agg(array.alias("value")).select("value").write.mode("append").text(path)
+    return read_json(spark, path, columns=nations.columns)
+
+
 @query(
     "catalog_listing",
     """
@@ -153,14 +206,24 @@ def sandbox_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"SELECT o_custkey, count(*) AS n_orders, sum(o_totalprice) AS spend FROM {db}.orders GROUP BY o_custkey",
         root=new_scratch(spark, "sandbox"),
     )
-    built = spark.table(preview.relation)
-    return built.agg(
+    return preview.table.agg(
         F.count(F.lit(1)).alias("row_count"),
-        F.lit(len(preview.columns)).alias("n_columns"),
-        F.lit(",".join(preview.warnings)).alias("warnings"),
+        F.lit(len(preview.table.columns)).alias("n_columns"),
+        F.lit(",".join(preview.oddities)).alias("warnings"),
     )
 
 
+@query("drop_sandbox", "SELECT true AS built, false AS there_after")
+def drop_sandbox_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model built from orders in the sandbox and dropped again."""
+    db = catalog_tables(spark, sf_dir, "tm_drop_staging", ["orders"])
+    sql = f"SELECT o_orderstatus, count(*) AS n_orders FROM {db}.orders GROUP BY o_orderstatus"
+    sandbox_build(GuardedSession(spark, [db]), "mart_dropped", sql, root=new_scratch(spark, "sandbox"))
+    built = spark.catalog.tableExists(f"{SANDBOX}.mart_dropped")
+    drop_sandbox(spark, "mart_dropped")
+    return local_frame(spark, [(built, spark.catalog.tableExists(f"{SANDBOX}.mart_dropped"))], "built boolean, there_after boolean")
+
+
 @query("save_table", "SELECT count(*) AS n_rows, round(sum(o_totalprice), 2) AS total FROM orders")
 def save_table_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A staging view written as a table, replaced, and read back."""

@@ -9,7 +9,7 @@ from tidemill.functions.columns import text_key
 from tidemill.operators import sets
 from tidemill.operators.joins import join_preaggregated, with_scalars
 from tidemill.operators.ranking import global_rank, grouped_median, top_k, top_values
-from tidemill.plans.staging import any_missing_dropped, clean_names, present_any, stage_columns, stage_names
+from tidemill.plans.staging import any_missing_dropped, cast_rejects, clean_names, present_any, stage_columns, stage_names
 from tidemill.queries.registry import query, read
 
 DOCUMENT_LABELS_SQL = """
@@ -66,7 +66,7 @@ def stage_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "stage_curated",
     """
-    SELECT CAST(c.c_custkey AS INTEGER) AS customer_id, c.c_name AS customer_name, c.c_mktsegment AS segment,
+    SELECT c.c_custkey AS customer_id, c.c_name AS customer_name, c.c_mktsegment AS segment,
            c.c_acctbal AS account_balance, n.n_name AS nation_name,
            nullif(trim(c.c_mktsegment || ' ' || n.n_name), '') AS market
     FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey
@@ -83,12 +83,28 @@ def stage_curated(spark: SparkSession, sf_dir: str) -> DataFrame:
             "c_custkey": "customer_id", "c_name": "customer_name", "c_mktsegment": "segment",
             "c_acctbal": "account_balance", "n_name": "nation_name",
         },
-        casts={"customer_id": "int"},
+        casts={"customer_id": "bigint"},
         derived={"market": text_key(F.col("c_mktsegment"), F.col("n_name"))},
         required=["customer_id", "nation_name"],
     )
 
 
+@query(
+    "stage_rejects",
+    """
+    SELECT 'item' AS column_name, count(*) AS n_rows FROM part WHERE p_partkey > 127
+    UNION ALL SELECT 'label', count(*) FROM part WHERE try_cast(p_brand AS INTEGER) IS NULL AND p_brand IS NOT NULL
+    """,
+)
+def stage_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that lenient casts would turn into NULLs, by column."""
+    rejects = cast_rejects(
+        read(spark, sf_dir, "part"), {"p_partkey": "item", "p_brand": "label"}, {"item": "tinyint", "label": "int"}
+    )
+    rows = rejects.select(F.explode("rejected").alias("column_name"))
+    return rows.groupBy("column_name").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 @query(
     "derive_text_key",
     """
@@ -339,16 +355,17 @@ def agg_median(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "agg_median_ranged",
-    """
-    SELECT l_returnflag, l_linestatus, median(l_extendedprice) AS median_price
-    FROM lineitem GROUP BY l_returnflag, l_linestatus
-    """,
+    "SELECT l_shipdate, median(l_extendedprice) AS median_price FROM lineitem GROUP BY l_shipdate",
 )
 def agg_median_ranged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The plan for groups too wide for one buffer, on groups of any width."""
-    return grouped_median(
-        read(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice", "median_price", wide_group=0
-    )
+    """By ship date: many groups, each in one or two ranges."""
+    return grouped_median(read(spark, sf_dir, "lineitem"), ["l_shipdate"], "l_extendedprice", "median_price")
+
+
+@query("agg_median_global", "SELECT median(l_extendedprice) AS median_price FROM lineitem")
+def agg_median_global(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of all rows, without keys."""
+    return grouped_median(read(spark, sf_dir, "lineitem"), [], "l_extendedprice", "median_price")
 
 
 @query(

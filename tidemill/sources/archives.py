@@ -87,32 +87,7 @@ def read_zip(spark: SparkSession, path: str, member: str | None = None, delimite
 
     target, kind = unpack_archives(spark, path, member)
     if kind == ".parquet":
-        return spark.read.parquet(target)
-    if kind == ".json":
+        return spark.read.parquet(target) if schema is None else spark.read.schema(schema).parquet(target)
+    if kind in (".json", ".ndjson"):
         return read_json(spark, target, schema=schema)
     return read_delimited(spark, target, delimiter, schema=schema)
-
-
-def write_zips(df: DataFrame, path: str, prefix: str = "part") -> int:
-    """Write a DataFrame as zipped CSV with header, one archive per partition; returns the row count."""
-    target_fs, folder = filesystem(path)
-    target_fs.create_dir(folder, recursive=True)
-    names = df.columns
-
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
-
-        out_fs, out = filesystem(path)
-        label = f"{prefix}-{TaskContext.get().partitionId():05d}"
-        partial = f"{out}/_{label}-{uuid.uuid4().hex}"
-        rows = 0
-        with out_fs.open_output_stream(partial) as raw, zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as archive:
-            with archive.open(f"{label}.csv", "w", force_zip64=True) as member:
-                member.write((",".join(names) + "\n").encode())
-                for batch in batches:
-                    rows += len(batch)
-                    member.write(batch.to_csv(index=False, header=False).encode())
-        out_fs.move(partial, f"{out}/{label}.zip")
-        yield pd.DataFrame({"rows": [rows]})
-
-    return df.mapInPandas(pack, "rows long").agg(F.sum("rows")).first()[0]

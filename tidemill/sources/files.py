@@ -5,9 +5,10 @@ from __future__ import annotations
 import csv
 import re
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,8 +21,7 @@ DELIMITERS = (",", "\t", ";", "|")
 # How a delimiter may be spelled in a configuration.
 _ESCAPES = {r"\t": "\t", r"\n": "\n", r"\r": "\r", r"\\": "\\"}
 
-_QUOTED = re.compile(r'"(?:[^"]|"")*"')
-_SNIFF_LINES = 100
+_QUOTED = r'"(?:[^"]|"")*"'
 
 
 def normalise_delimiter(delimiter: str | None) -> str | None:
@@ -67,18 +67,35 @@ def _reader(spark: SparkSession, path: str, delimiter: str | None, member: str |
 
 
 def read_json(spark: SparkSession, path: str, columns: Sequence[str] | None = None, schema=None) -> DataFrame:
-    """One object per line, or one array per file (which Spark cannot split).
+    """One object per line, or one array per file (which Spark cannot split); a folder may hold both.
 
-    Spark sorts inferred fields by name; ``columns`` restores an order.
+    A record that is no JSON ends the job. Spark sorts inferred fields by name; ``columns`` restores an order.
     """
-    first = spark.read.text(path).where(F.trim("value") != "").first()
-    is_array = first is not None and first[0].lstrip().startswith("[")
-    reader = spark.read.option("multiLine", is_array).option("inferTimestamp", True)
-    df = reader.json(path) if schema is None else reader.schema(schema).json(path)
-    df = _plain_types(df, widen=False)
+    text = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start")
+    text = text.withColumn("place", F.monotonically_increasing_id())
+    # The first split of a file holds its first line.
+    lines = text.where((F.trim("value") != "") & (F.col("file_block_start") == 0))
+    heads = lines.groupBy("file_path").agg(F.min_by(F.ltrim("value"), "place").alias("head"))
+    arrays = {r["file_path"]: r["head"].startswith("[") for r in heads.collect()}
+
+    def read(paths: str | list[str], multi_line: bool) -> DataFrame:
+        reader = spark.read.options(multiLine=multi_line, inferTimestamp=True, mode="FAILFAST")
+        df = reader.json(paths) if schema is None else reader.schema(schema).json(paths)
+        return _plain_types(df, widen=False)
+
+    df = _by_kind(path, arrays, read)
     return df.select(*[col(c) for c in columns]) if columns else df
 
 
+def _by_kind(path: str, files: dict[str, bool], read) -> DataFrame:
+    """``read(paths, kind)`` of all files of a path, once for each kind that occurs."""
+    kinds = set(files.values()) or {False}
+    if len(kinds) == 1:
+        return read(path, kinds.pop())
+    of_kind = lambda kind: [unquote(f) for f, k in files.items() if k == kind]
+    return read(of_kind(False), False).unionByName(read(of_kind(True), True), allowMissingColumns=True)
+
+
 def read_delimited(
     spark: SparkSession,
     path: str,
@@ -89,29 +106,55 @@ def read_delimited(
     """Delimited text with a header line; the delimiter is sniffed when none is given.
 
     ``multi_line`` says whether quoted values hold line breaks, which keeps Spark from splitting the
-    files; when it is not said, the text is searched for such values.
+    files; when it is not said, each file is searched for such values. A declared ``schema`` is matched with
+    the header by name. A line with more or fewer values than the header ends the job.
     """
-    delimiter = normalise_delimiter(delimiter) or sniff_delimiter(spark, path)
-    if multi_line is None:
-        multi_line = has_broken_lines(spark, path)
-    reader = spark.read.option("sep", delimiter).option("header", True).option("escape", '"')
-    reader = reader.option("multiLine", multi_line)
+    delimiter = normalise_delimiter(delimiter)
+    broken: dict[str, bool] = {}
+    if delimiter is None or multi_line is None:
+        found = text_survey(spark, path)
+        delimiter = delimiter or _chosen_delimiter(found, spark, path)
+        broken = {r["file_path"]: r["broken"] for r in found}
+    if multi_line is not None:
+        broken = {"": multi_line}
+    # Without pruning, as only whole lines can be checked.
+    options = {"sep": delimiter, "header": True, "escape": '"', "mode": "FAILFAST", "columnPruning": False}
+    names = _header(spark, path, delimiter)
     if schema is not None:
-        return reader.schema(schema).csv(path)
-    df = reader.option("inferSchema", True).csv(path)
-    return _plain_types(_given_names(df, spark, path, delimiter), widen=True)
+        declared = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        if set(declared.names) != set(names) or len(names) != len(declared.names):
+            raise ValueError(f"the header has {names}, the schema {declared.names}")
+        in_file = T.StructType([declared[n] for n in names])
+        # enforceSchema=False holds every file's header against the names.
+        reader = lambda paths, multi: spark.read.options(**options, multiLine=multi, enforceSchema=False).schema(in_file).csv(paths)
+        return _by_kind(path, broken, reader).select(*[col(n) for n in declared.names])
+
+    def read(paths: str | list[str], multi: bool) -> DataFrame:
+        df = spark.read.options(**options, multiLine=multi, inferSchema=True).csv(paths)
+        return _plain_types(_given_names(df, names), widen=True)
+
+    return _by_kind(path, broken, read)
+
+
+def text_survey(spark: SparkSession, path: str) -> list[Row]:
+    """One row per file, from one pass over all lines: whether a line holds an odd number of quotes, so that
+    a quoted value goes on in the next, and how often each delimiter stands outside quotes, at least and at most."""
+    lines = spark.read.text(path).select("value", "_metadata.file_path").where(F.trim("value") != "")
+    count = lambda c, d: F.length(c) - F.length(F.replace(c, F.lit(d), F.lit("")))
+    bare = F.regexp_replace("value", _QUOTED, "")
+    aggs = [(F.max(count(F.col("value"), '"') % 2) == 1).alias("broken")]
+    for i, d in enumerate(DELIMITERS):
+        aggs += [F.min(count(bare, d)).alias(f"least{i}"), F.max(count(bare, d)).alias(f"most{i}")]
+    return lines.groupBy("file_path").agg(*aggs).collect()
 
 
-def has_broken_lines(spark: SparkSession, path: str) -> bool:
-    """Whether some line holds an odd number of quotes, so that a quoted value goes on in the next."""
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    return not spark.read.text(path).where(quotes % 2 == 1).limit(1).isEmpty()
+def _header(spark: SparkSession, path: str, delimiter: str) -> list[str]:
+    line = spark.read.text(path).first()
+    return next(csv.reader([line[0].lstrip("\ufeff")], delimiter=delimiter)) if line else []
 
 
-def _given_names(df: DataFrame, spark: SparkSession, path: str, delimiter: str) -> DataFrame:
+def _given_names(df: DataFrame, names: list[str]) -> DataFrame:
     """Repeated header names get ``_1``, ``_2``; Spark would rename all of them."""
-    header = spark.read.text(path).first()
-    names = next(csv.reader([header[0].lstrip("﻿")], delimiter=delimiter)) if header else []
     if len(names) != len(df.columns) or len({n.lower() for n in names}) == len(names):
         return df
     return df.toDF(*unique_names(names))
@@ -131,17 +174,18 @@ def _plain_types(df: DataFrame, widen: bool) -> DataFrame:
 
 
 def sniff_delimiter(spark: SparkSession, path: str) -> str:
-    """The delimiter that splits the first lines into the same, largest number of fields."""
-    lines = [r[0] for r in spark.read.text(path).limit(_SNIFF_LINES).collect() if r[0].strip()]
-    return best_delimiter(lines)
+    """The delimiter that splits all lines into the same, largest number of fields."""
+    return _chosen_delimiter(text_survey(spark, path), spark, path)
 
 
-def best_delimiter(lines: Sequence[str]) -> str:
-    bare = [_QUOTED.sub("", line) for line in lines]
-    counts = {d: [line.count(d) for line in bare] for d in DELIMITERS}
-    steady = {d: c[0] for d, c in counts.items() if c and c[0] and len(set(c)) == 1}
+def _chosen_delimiter(found: Sequence[Row], spark: SparkSession, path: str) -> str:
+    least = [min((r[f"least{i}"] for r in found), default=0) for i in range(len(DELIMITERS))]
+    most = [max((r[f"most{i}"] for r in found), default=0) for i in range(len(DELIMITERS))]
+    steady = {d: n for d, n, m in zip(DELIMITERS, least, most) if n and n == m}
     if steady:
         return max(steady, key=steady.get)
     # Ragged or quoted-over-lines text: trust the header line.
-    header = {d: c[0] for d, c in counts.items() if c and c[0]}
+    line = spark.read.text(path).where(F.trim("value") != "").first()
+    bare = re.sub(_QUOTED, "", line[0]) if line else ""
+    header = {d: bare.count(d) for d in DELIMITERS if bare.count(d)}
     return max(header, key=header.get) if header else DELIMITERS[0]
