@@ -75,8 +75,9 @@ def test_only_files_with_broken_lines_are_read_whole(spark, tmp_path):
 def test_json_lines_and_arrays_in_one_folder(spark, tmp_path):
     (tmp_path / "d.json").mkdir()
     write(tmp_path / "d.json" / "a b.json", '{"id": 1}\n{"id": 2}\n')
-    write(tmp_path / "d.json" / "b.json", '\n [{"id": 3, "x": "y"}, {"id": 4}]')
-    assert rows(read_source(spark, str(tmp_path / "d.json")).select("id", "x")) == [(1, None), (2, None), (3, "y"), (4, None)]
+    write(tmp_path / "d.json" / "b.json", '\n [{"id": 3,\n "x": "y"}, {"id": 4}]')
+    write(tmp_path / "d.json" / "c.json", '[{"id": 5}]\n[{"id": 6}, {"id": 7}]\n')
+    assert rows(read_source(spark, str(tmp_path / "d.json")).select("id", "x")) == [(1, None), (2, None), (3, "y"), (4, None), (5, None), (6, None), (7, None)]
     with pytest.raises(Exception, match="MALFORMED|FAILFAST"):
         read_source(spark, write(tmp_path / "bad.json", '{"id": 1}\n{oops\n')).collect()
 

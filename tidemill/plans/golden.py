@@ -12,7 +12,7 @@ def largest_for_size(scores: DataFrame, key: str, columns: list[str], k: int = 5
     """The rows furthest above the power law, numbered; only ``k`` rows are ever ranked."""
     order = [F.desc("residual"), F.asc(key)]
     top = scores.orderBy(*order).limit(k)
-    return top.withColumn("overperformer_rank", F.row_number().over(Window.orderBy(*order))).select(*columns)
+    return top.withColumn("overperformer_rank", F.row_number().over(Window.orderBy(*order)).cast("long")).select(*columns)
 
 
 def top_overperformer(scores: DataFrame, key: str, columns: list[str]) -> DataFrame:

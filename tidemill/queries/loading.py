@@ -39,7 +39,7 @@ def write_zips(df: DataFrame, path: str, prefix: str = "part", json: bool = Fals
         partial = f"{out}/_{label}-{uuid.uuid4().hex}"
         rows = 0
         with out_fs.open_output_stream(partial) as raw, zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as archive:
-            with archive.open(f"{label}.ndjson" if json else f"{label}.csv", "w", force_zip64=True) as member:
+            with archive.open(f"{label}.json" if json else f"{label}.csv", "w", force_zip64=True) as member:
                 if not json:
                     member.write((",".join(names) + "\n").encode())
                 for batch in batches:

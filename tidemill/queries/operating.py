@@ -53,8 +53,8 @@ def sales_plan(spark: SparkSession, sf_dir: str, state: str | None = None) -> Pl
     UNION ALL SELECT 'not_null_stg_customer_customer_id', 'pass', 0
     UNION ALL SELECT 'unique_stg_customer_customer_id', 'pass', 0
     UNION ALL SELECT 'unique_mart_balance_by_nation_nation_name', 'pass', 0
-    UNION ALL SELECT 'relationship_stg_orders_o_custkey', 'pass', 0
-    UNION ALL SELECT 'accepted_values_stg_orders_o_orderstatus', 'fail', count(DISTINCT o_orderstatus) FROM orders
+    UNION ALL SELECT 'relationship_stg_orders_o_custkey_stg_customer_customer_id', 'pass', 0
+    UNION ALL SELECT 'accepted_values_stg_orders_o_orderstatus_O_F', 'fail', count(DISTINCT o_orderstatus) FROM orders
               WHERE o_orderstatus NOT IN ('O', 'F')
     """,
 )

@@ -21,7 +21,8 @@ DELIMITERS = (",", "\t", ";", "|")
 # How a delimiter may be spelled in a configuration.
 _ESCAPES = {r"\t": "\t", r"\n": "\n", r"\r": "\r", r"\\": "\\"}
 
-_QUOTED = r'"(?:[^"]|"")*"'
+# A doubled quote inside reads as two quoted stretches, which is the same for counting.
+_QUOTED = r'"[^"]*"'
 
 
 def normalise_delimiter(delimiter: str | None) -> str | None:
@@ -76,7 +77,8 @@ def read_json(spark: SparkSession, path: str, columns: Sequence[str] | None = No
     # The first split of a file holds its first line.
     lines = text.where((F.trim("value") != "") & (F.col("file_block_start") == 0))
     heads = lines.groupBy("file_path").agg(F.min_by(F.ltrim("value"), "place").alias("head"))
-    arrays = {r["file_path"]: r["head"].startswith("[") for r in heads.collect()}
+    # An array that ends on its line is read as a line; several of them may follow each other.
+    arrays = {r["file_path"]: r["head"].startswith("[") and not r["head"].rstrip().endswith("]") for r in heads.collect()}
 
     def read(paths: str | list[str], multi_line: bool) -> DataFrame:
         reader = spark.read.options(multiLine=multi_line, inferTimestamp=True, mode="FAILFAST")
