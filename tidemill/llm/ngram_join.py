@@ -80,7 +80,8 @@ def signatures(hashes: np.ndarray, rows: np.ndarray, counts: np.ndarray, percent
         part = sums.reshape(-1, _THIRDS).sum(1, dtype=np.uint64)
         two = np.repeat(part, _THIRDS) - sums
         name = ((band[owner] + above).astype(np.uint64) << np.uint64(40)) + place.astype(np.uint64)
-        out.append(mix(two + mix(name)))
+        # The last bit tells the band, of the two in which a set is compared.
+        out.append((mix(two + mix(name)) & ~np.uint64(1)) | ((band[owner] + above) & 1).astype(np.uint64))
         owners.append(owner)
     if not out:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -188,8 +189,8 @@ def _compare(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
 
 
 def _vectors(texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """(node, band, n, vector): for the two bands in which a set is compared, the sums of its elements' hashes
-    in six times as many cells as sets of the band may differ in, one byte each."""
+    """(node, odd, n, vector): for the two bands in which a set is compared, of which one is odd, the sums of
+    its elements' hashes in six times as many cells as sets of the band may differ in, half a byte each."""
 
     def run(batch: pa.RecordBatch):
         nodes, row = batch.column(0), 0
@@ -205,33 +206,38 @@ def _vectors(texts: DataFrame, k: int, percent: int) -> DataFrame:
                 cell = first[rows[use]] + ((hashes[use] >> np.uint64(8)) % cells[rows[use]].astype(np.uint64)).astype(np.int64)
                 sums = np.zeros(first[-1], np.uint64)
                 np.add.at(sums, cell, values[use])
-                data = sums.astype(np.uint8).tobytes()
-                vectors = [data[first[r] : first[r + 1]] for r in range(chunk.rows)]
+                low = (sums & np.uint64(15)).astype(np.uint8).reshape(-1, 2)
+                data = (low[:, 0] << 4 | low[:, 1]).tobytes()
+                vectors = [data[first[r] // 2 : first[r + 1] // 2] for r in range(chunk.rows)]
                 yield pa.RecordBatch.from_arrays(
-                    [nodes.slice(row, chunk.rows), pa.array(band + above, pa.int32()), pa.array(counts, pa.int32()), pa.array(vectors, pa.binary())],
-                    names=["node", "band", "n", "vector"],
+                    [nodes.slice(row, chunk.rows), pa.array((band + above) & 1, pa.int32()), pa.array(counts, pa.int32()), pa.array(vectors, pa.binary())],
+                    names=["node", "odd", "n", "vector"],
                 )
             row += chunk.rows
 
-    return map_batches(texts, run, "node long, band int, n int, vector binary")
+    return map_batches(texts, run, "node long, odd int, n int, vector binary")
+
+
+# How many of the two cells of a byte are not zero.
+_CELLS = np.array([(b > 15) + (b & 15 > 0) for b in range(256)], np.uint8)
 
 
 def _possible(percent: int):
-    """Mapper over rows sorted by (sig, band, left, right): pairs of one block pair, of different components,
-    whose vectors do not rule them out."""
+    """Mapper over rows sorted by (sig, left, right): pairs of one block pair, of different components, whose
+    vectors do not rule them out."""
 
     def settle(rows: list[tuple]):
-        left, right = rows[0][2], rows[0][3]
-        nodes, roots, sizes = (np.array([r[i] for r in rows], np.int64) for i in (5, 6, 7))
-        own = np.array([r[4] for r in rows])
-        vectors = np.frombuffer(b"".join(r[8] for r in rows), np.uint8).reshape(len(rows), -1)
+        left, right = rows[0][1], rows[0][2]
+        nodes, roots, sizes = (np.array([r[i] for r in rows], np.int64) for i in (4, 5, 6))
+        own = np.array([r[3] for r in rows])
+        vectors = np.frombuffer(b"".join(r[7] for r in rows), np.uint8).reshape(len(rows), -1)
         a, b = np.flatnonzero(own == left), np.flatnonzero(own == right)
         found = []
         for at, i in enumerate(a.tolist()):
             others = b[at + 1 :] if left == right else b
             others = others[(roots[others] != roots[i]) & (100 * np.minimum(sizes[others], sizes[i]) >= percent * np.maximum(sizes[others], sizes[i]))]
             most = (sizes[others] + sizes[i]) * (100 - percent) // (100 + percent)
-            near = others[(vectors[others] != vectors[i]).sum(axis=1) <= most]
+            near = others[_CELLS[vectors[others] ^ vectors[i]].sum(axis=1, dtype=np.int64) <= most]
             found += [(nodes[i], nodes[j]) for j in near]
         x, y = np.array(found, np.int64).reshape(-1, 2).T
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
@@ -239,8 +245,8 @@ def _possible(percent: int):
     def run(batches):
         rows = []
         for batch in batches:
-            for r in zip(*(batch.column(i).to_pylist() for i in range(9))):
-                if rows and r[:4] != rows[-1][:4]:
+            for r in zip(*(batch.column(i).to_pylist() for i in range(8))):
+                if rows and r[:3] != rows[-1][:3]:
                     yield settle(rows)
                     rows = []
                 rows.append(r)
@@ -277,17 +283,22 @@ def _links(docs: DataFrame, described: DataFrame, k: int, percent: int) -> DataF
     roots = components(links)
 
     labelled = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    spans = labelled.groupBy("sig").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("members"))
-    # Of two members, one is the leader.
-    split = spans.where("low < high AND members > 2").select("sig", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-    open_ = labelled.join(split, "sig").join(_vectors(texts, k, percent), "node").where(F.octet_length("vector") > 0)
+    spans = labelled.groupBy("sig").agg(
+        F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("members"),
+        F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who"),
+    )
+    # Of two members, one is the leader. Of groups with the same members, one is enough.
+    split = spans.where("low < high AND members > 2").withColumn("odd", F.col("sig").bitwiseAND(F.lit(1)).cast("int"))
+    split = split.groupBy("members", "who", "odd").agg(F.min("sig").alias("sig"))
+    split = split.select("sig", "odd", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
+    open_ = labelled.join(split, "sig").join(_vectors(texts, k, percent), ["node", "odd"])
     own = F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int")
     # Every pair of blocks gets both blocks' members.
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     dealt = open_.withColumn("own", own).select("*", other).select(
-        "sig", "band", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), "own", "node", "root", "n", "vector"
+        "sig", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), "own", "node", "root", "n", "vector"
     )
-    dealt = dealt.repartition("sig", "band", "left", "right").sortWithinPartitions("sig", "band", "left", "right")
+    dealt = dealt.repartition("sig", "left", "right").sortWithinPartitions("sig", "left", "right")
     more = stage(dealt.mapInArrow(_possible(percent), "a long, b long").distinct(), "possible")
     if more.isEmpty():
         return roots
