@@ -206,6 +206,17 @@ def test_all_rows_are_judged_and_columns_suggested(session):
     assert name.endswith("value")
 
 
+def test_joins_that_repeat_rows_are_told(session):
+    one = "SELECT * FROM VALUES (1, 10), (2, 20) AS t(k, v)"
+    many = "SELECT * FROM VALUES (1, 5), (1, 6), (2, 7) AS t(k, w)"
+    warned = lambda sql: sorted(w["column_name"] for w in session.run(sql).warnings if w["kind"] == "join_fanout")
+    joined = f"FROM ({one}) a JOIN ({many}) b ON a.k = b.k"
+    assert warned(f"SELECT sum(v) AS sv, sum(w) AS sw, count(*) AS c, count(DISTINCT a.k) AS d {joined}") == ["c", "sv"]
+    assert warned(f"SELECT max(v) AS m, sum(w) AS sw {joined}") == []
+    assert warned(f"SELECT sum(v) AS sv FROM ({one}) a JOIN (SELECT k, sum(w) AS w FROM ({many}) GROUP BY k) b ON a.k = b.k") == []
+    assert warned(f"SELECT sum(v) AS sv FROM ({one}) a JOIN ({one}) b USING (k)") == []
+
+
 def test_empty_results_are_not_registered(session):
     chain = session.chain(["SELECT 1 AS a WHERE false", "SELECT * FROM hop_1_result"])
     assert chain.outcome == "failed" and len(chain.hops) == 2

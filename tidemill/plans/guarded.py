@@ -17,6 +17,7 @@ from dataclasses import dataclass, field
 from py4j import java_gateway
 from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 
 from tidemill.operators.sanity import result_sanity
 from tidemill.session import child_session
@@ -104,6 +105,59 @@ def _subplans(plan):
             yield group.apply(i)
 
 
+def _items(seq) -> list:
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def _joins_below(plan) -> list:
+    """Joins whose rows reach ``plan`` as they are: through renames, filters, projections and other joins."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "Join":
+        inner = [j for side in (plan.left(), plan.right()) for j in _joins_below(side)]
+        return [plan, *inner] if plan.joinType().sql() in ("INNER", "LEFT OUTER", "RIGHT OUTER", "FULL OUTER") else inner
+    if kind in ("Project", "Filter", "SubqueryAlias", "View"):
+        return _joins_below(plan.child())
+    return []
+
+
+def _equal_keys(join) -> list[tuple[int, int]]:
+    """Pairs (column of the left side, column of the right side) that the join holds equal."""
+    left, right = ({a.exprId().id() for a in _items(side.output())} for side in (join.left(), join.right()))
+    waiting = [join.condition().get()] if join.condition().isDefined() else []
+    pairs = []
+    while waiting:
+        e = waiting.pop()
+        kind = e.getClass().getSimpleName()
+        if kind == "And":
+            waiting += [e.left(), e.right()]
+        elif kind in ("EqualTo", "EqualNullSafe"):
+            sides = [[a.exprId().id() for a in _items(x.references().toSeq())] for x in (e.left(), e.right())]
+            if all(len(s) == 1 for s in sides):
+                a, b = sides[0][0], sides[1][0]
+                if a in right and b in left:
+                    a, b = b, a
+                if a in left and b in right:
+                    pairs.append((a, b))
+    return pairs
+
+
+def _summed_from(aggregate, side) -> list[str]:
+    """Outputs of an aggregation that sum, count or average columns of one side alone, or count rows."""
+    own = {a.exprId().id() for a in _items(side.output())}
+    names = []
+    for output in _items(aggregate.aggregateExpressions()):
+        waiting = [output]
+        while waiting:
+            e = waiting.pop()
+            if e.getClass().getSimpleName() == "AggregateExpression":
+                used = {a.exprId().id() for a in _items(e.references().toSeq())}
+                if not e.isDistinct() and e.aggregateFunction().prettyName() in ("sum", "count", "avg", "mean") and used <= own:
+                    names.append(output.name())
+                continue
+            waiting += _items(e.children())
+    return names
+
+
 class GuardedSession:
     """Queries over the tables of ``databases`` and over earlier results, nothing else."""
 
@@ -212,7 +266,7 @@ class GuardedSession:
             # One row more than the cap tells whether the result was cut.
             rows = self._collect(planned.frame.limit(self.row_cap + 1))
             # All rows are judged, not only those shown.
-            warnings = self._collect(result_sanity(planned.frame))
+            warnings = self._collect(result_sanity(planned.frame)) + self._fanouts(planned.frame)
         except Exception as e:  # Spark errors, and the JVM error of a job the timer cancelled
             return Outcome(refusal=Refusal(EXECUTION_ERROR, "execution failed", str(e)))
         truncated = len(rows) > self.row_cap
@@ -220,6 +274,49 @@ class GuardedSession:
         provenance = Provenance(sql, int((time.monotonic() - started) * 1000), len(rows), truncated)
         return Outcome(planned.frame, rows, provenance, warnings=warnings)
 
+    def _fanouts(self, frame: DataFrame) -> list[Row]:
+        """A warning for every sum, count or average of one side's values that a join has repeated before.
+
+        The analysed plan tells which joins stand below an aggregation and on which columns; how often the
+        other side holds a key is measured on the data. An aggregation between join and sum ends the search.
+        """
+        found = {}
+        waiting = [frame._jdf.queryExecution().analyzed()]
+        while waiting:
+            node = waiting.pop()
+            waiting += list(_subplans(node))
+            if node.getClass().getSimpleName() == "Aggregate":
+                for join in _joins_below(node.child()):
+                    for column, most in self._repeated(node, join):
+                        found[column] = max(most, found.get(column, 0))
+        return [Row(kind="join_fanout", column_name=c, low=None, high=float(n)) for c, n in sorted(found.items())]
+
+    def _repeated(self, aggregate, join) -> list[tuple[str, int]]:
+        """(column, most rows of one key) for the aggregates over a side whose rows ``join`` repeats."""
+        out = []
+        keys = _equal_keys(join)
+        if not keys:
+            return out
+        for mine, other, at in ((join.left(), join.right(), 1), (join.right(), join.left(), 0)):
+            columns = _summed_from(aggregate, mine)
+            if not columns:
+                continue
+            theirs = self._columns(other, [pair[at] for pair in keys])
+            # Keys that meet nothing repeat nothing.
+            met = theirs.join(self._columns(mine, [pair[1 - at] for pair in keys]).distinct(), theirs.columns, "left_semi")
+            counts = met.groupBy(*theirs.columns).agg(F.count(F.lit(1)).alias("n"))
+            most = self._collect(counts.agg(F.max("n")))[0][0] or 0
+            if most > 1:
+                out += [(c, most) for c in columns]
+        return out
+
+    def _columns(self, plan, ids: Sequence[int]) -> DataFrame:
+        """Columns of an analysed plan by expression id, named by position, without rows that lack one."""
+        place = {a.exprId().id(): i for i, a in enumerate(_items(plan.output()))}
+        rows = DataFrame(self.spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(self.spark._jsparkSession, plan), self.spark)
+        rows = rows.toDF(*[f"c{i}" for i in range(len(place))])
+        return rows.select(*[F.col(f"c{place[x]}").alias(f"k{i}") for i, x in enumerate(ids)]).dropna()
+
     def _collect(self, frame: DataFrame) -> list[Row]:
         context = self.spark.sparkContext
         group = f"guarded-{uuid.uuid4().hex}"

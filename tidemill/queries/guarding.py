@@ -64,3 +64,29 @@ def chain_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     session, db = guarded_session(spark, sf_dir)
     session.turn([_URGENT.format(f"{db}.")])
     return session.turn([_BY_SEGMENT.format("turn_1_result", f"{db}.")]).frame
+
+
+_REPEATING = """
+    SELECT c.c_mktsegment, sum(c.c_acctbal) AS balance, count(*) AS n_orders, sum(o.o_totalprice) AS spend
+    FROM {0}customer c JOIN {0}orders o ON c.c_custkey = o.o_custkey GROUP BY c.c_mktsegment
+"""
+_REDUCED = """
+    SELECT c.c_mktsegment, sum(c.c_acctbal) AS balance, count(*) AS n_customers, sum(o.spend) AS spend
+    FROM {0}customer c JOIN (SELECT o_custkey, sum(o_totalprice) AS spend FROM {0}orders GROUP BY o_custkey) o
+    ON c.c_custkey = o.o_custkey GROUP BY c.c_mktsegment
+"""
+
+
+@query(
+    "guarded_fanout",
+    """
+    SELECT unnest(['balance', 'n_orders']) AS column_name, max(n)::DOUBLE AS most
+    FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey) HAVING max(n) > 1
+    """,
+)
+def guarded_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which results a join has multiplied: those of customers, not those of orders, and none of orders reduced first."""
+    session, db = guarded_session(spark, sf_dir)
+    warnings = [w for sql in (_REPEATING, _REDUCED) for w in session.run(sql.format(f"{db}.")).warnings]
+    rows = [(w["column_name"], w["high"]) for w in warnings if w["kind"] == "join_fanout"]
+    return local_frame(spark, rows, "column_name string, most double")
