@@ -1,13 +1,7 @@
-import os
-import sys
-
 import pytest
+from llm.corpus import SCHEMA, records
 
-sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
-
-from corpus import SCHEMA, records  # noqa: E402
-
-from tidemill.llm.text import session  # noqa: E402
+from tidemill.llm.text import session
 
 
 @pytest.fixture(scope="session")

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
-from corpus import prose
+from llm.corpus import prose
 from pyspark.sql import functions as F
 
 from tidemill.llm import quality, toxicity

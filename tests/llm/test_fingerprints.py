@@ -1,7 +1,7 @@
 import numpy as np
 import pyarrow as pa
 import pytest
-from test_text import split
+from llm.test_text import split
 
 from tidemill.llm import fingerprints as fp
 from tidemill.llm.text import chunks

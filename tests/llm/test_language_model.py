@@ -3,7 +3,7 @@ import math
 
 import numpy as np
 import pytest
-from test_text import split
+from llm.test_text import split
 
 from tidemill.llm import language_model as lm
 

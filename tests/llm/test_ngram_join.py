@@ -2,8 +2,8 @@ import random
 
 import numpy as np
 import pytest
-from corpus import SCHEMA
-from test_text import split
+from llm.corpus import SCHEMA
+from llm.test_text import split
 
 from tidemill.llm import ngram_join as nj
 from tidemill.llm.components import components

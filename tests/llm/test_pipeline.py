@@ -1,7 +1,7 @@
 import pytest
-from corpus import prose
-from test_ngram_join import brute as groups
-from test_suffix_dedup import brute as repeats
+from llm.corpus import prose
+from llm.test_ngram_join import brute as groups
+from llm.test_suffix_dedup import brute as repeats
 
 import corpus_pipeline
 from tidemill.session import new_scratch
