@@ -5,12 +5,12 @@ similarity of at least ``percent`` differ in at most k elements, so if the shing
 (k + 1) / 2 parts, some part has at most one difference; with that part cut in three again, two of the three
 agree in full. Every choice of part and two of its thirds is a signature: sets that similar share one.
 
-Sets that share a signature are compared exactly, but not all with all. In each group of a signature one
-leader, the member that shares most, is compared with the others; a group whose members are then connected
-needs nothing more, since only components are asked for. In the other groups members of different components
-are held against each other by short vectors: each element falls into one of the vector's cells, so sets that
-differ in k elements differ in at most k cells, and pairs that differ in more are ruled out without their
-sets. Large groups are dealt out in blocks. What is left is compared exactly, so no link between components is
+Sets that share a signature are compared exactly, but not all with all. First, sizes and short vectors are
+held against each other: each element falls into one of a vector's cells, so sets that differ in k elements
+differ in at most k cells, and pairs that differ in more are ruled out without their sets. In each group of a
+signature one leader, the member that shares most, is compared with the others; a group whose members are then
+connected needs nothing more, since only components are asked for. In the other groups members of different
+components are compared. Large groups are dealt out in blocks. What is left is compared exactly, so no link between components is
 missed.
 """
 
@@ -80,8 +80,7 @@ def signatures(hashes: np.ndarray, rows: np.ndarray, counts: np.ndarray, percent
         part = sums.reshape(-1, _THIRDS).sum(1, dtype=np.uint64)
         two = np.repeat(part, _THIRDS) - sums
         name = ((band[owner] + above).astype(np.uint64) << np.uint64(40)) + place.astype(np.uint64)
-        # The last bit tells the band, of the two in which a set is compared.
-        out.append((mix(two + mix(name)) & ~np.uint64(1)) | ((band[owner] + above) & 1).astype(np.uint64))
+        out.append(mix(two + mix(name)))
         owners.append(owner)
     if not out:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -154,14 +153,8 @@ def _shared(batches):
 
 
 def _compare(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those (a, b) of ``pairs`` whose sets are similar. ``a``'s text is sent once for every task that
-    compares with it."""
-    load = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PAIRS_A_TASK).cast("int").alias("shares"))
-    share = F.pmod(F.xxhash64("b"), F.col("shares").cast("long")).cast("int")
-    members = pairs.join(load, "a").select("a", share.alias("share"), F.col("b").alias("node"))
-    leaders = load.select("a", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.col("a").alias("node"))
-    rows = members.union(leaders).join(texts, "node").select("a", "share", "node", "text")
-    rows = rows.repartition("a", "share").sortWithinPartitions("a", "share", F.col("node") != F.col("a"))
+    """Those (a, b) of ``pairs`` whose sets are similar."""
+    rows = _with_leaders(pairs, texts)
 
     def run(batches):
         leader, leader_set = None, None
@@ -188,38 +181,82 @@ def _compare(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     return rows.mapInArrow(run, "a long, b long")
 
 
-def _vectors(texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """(node, odd, n, vector): for the two bands in which a set is compared, of which one is odd, the sums of
-    its elements' hashes in six times as many cells as sets of the band may differ in, half a byte each."""
+def _vectors(texts: DataFrame, k: int) -> DataFrame:
+    """(node, n, vector): the sums of a set's element hashes in cells, half a byte each.
+
+    The cells are a power of two, at least two thirds of the elements, and chosen by an element's low bits, so
+    a vector folds to half its cells by adding its halves.
+    """
 
     def run(batch: pa.RecordBatch):
         nodes, row = batch.column(0), 0
         for chunk in chunks(batch.column(1)):
             hashes, rows, counts = _sets(chunk, k)
-            ends = _bands(int(counts.max(initial=0)), percent)
-            band = np.searchsorted(ends, counts)
-            values = mix(hashes + np.uint64(3))
-            for above in (0, 1):
-                cells = 12 * _parts(ends[np.minimum(band + above, len(ends) - 1)], percent)
-                first = np.concatenate(([0], np.cumsum(cells)))
-                use = cells[rows] > 0
-                cell = first[rows[use]] + ((hashes[use] >> np.uint64(8)) % cells[rows[use]].astype(np.uint64)).astype(np.int64)
-                sums = np.zeros(first[-1], np.uint64)
-                np.add.at(sums, cell, values[use])
-                low = (sums & np.uint64(15)).astype(np.uint8).reshape(-1, 2)
-                data = (low[:, 0] << 4 | low[:, 1]).tobytes()
-                vectors = [data[first[r] // 2 : first[r + 1] // 2] for r in range(chunk.rows)]
-                yield pa.RecordBatch.from_arrays(
-                    [nodes.slice(row, chunk.rows), pa.array((band + above) & 1, pa.int32()), pa.array(counts, pa.int32()), pa.array(vectors, pa.binary())],
-                    names=["node", "odd", "n", "vector"],
-                )
+            cells = 1 << np.ceil(np.log2(np.maximum(2, counts * 2 / 3))).astype(np.int64)
+            first = np.concatenate(([0], np.cumsum(cells)))
+            cell = first[rows] + (mix(hashes + np.uint64(4)) & (cells[rows] - 1).astype(np.uint64)).astype(np.int64)
+            sums = np.zeros(first[-1], np.uint64)
+            np.add.at(sums, cell, mix(hashes + np.uint64(3)))
+            low = (sums & np.uint64(15)).astype(np.uint8).reshape(-1, 2)
+            data = (low[:, 0] << 4 | low[:, 1]).tobytes()
+            vectors = [data[first[r] // 2 : first[r + 1] // 2] for r in range(chunk.rows)]
+            yield pa.RecordBatch.from_arrays(
+                [nodes.slice(row, chunk.rows), pa.array(counts, pa.int32()), pa.array(vectors, pa.binary())], names=["node", "n", "vector"]
+            )
             row += chunk.rows
 
-    return map_batches(texts, run, "node long, odd int, n int, vector binary")
+    return map_batches(texts, run, "node long, n int, vector binary")
+
+
+def _cells(vector: bytes) -> np.ndarray:
+    packed = np.frombuffer(vector, np.uint8)
+    return np.stack([packed >> 4, packed & 15], axis=1).reshape(-1)
+
+
+def _folded(cells: np.ndarray, to: int) -> np.ndarray:
+    while len(cells) > to:
+        half = len(cells) // 2
+        cells = (cells[:half] + cells[half:]) & 15
+    return cells
+
 
+def _most_differences(n: np.ndarray | int, m: np.ndarray | int, percent: int):
+    """In how many elements similar sets of these sizes may differ; -1 if their sizes alone rule it out."""
+    fits = 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+    return np.where(fits, (n + m) * (100 - percent) // (100 + percent), -1)
+
+
+def _with_leaders(pairs: DataFrame, table: DataFrame) -> DataFrame:
+    """(a, share, node, ...): for every pair (a, b) the row of ``table`` for b, behind that for a, which is
+    sent once for every task that compares with it."""
+    load = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PAIRS_A_TASK).cast("int").alias("shares"))
+    share = F.pmod(F.xxhash64("b"), F.col("shares").cast("long")).cast("int")
+    members = pairs.join(load, "a").select("a", share.alias("share"), F.col("b").alias("node"))
+    leaders = load.select("a", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.col("a").alias("node"))
+    rest = [c for c in table.columns if c != "node"]
+    rows = members.union(leaders).join(table, "node").select("a", "share", "node", *rest)
+    return rows.repartition("a", "share").sortWithinPartitions("a", "share", F.col("node") != F.col("a"))
+
+
+def _likely(pairs: DataFrame, vectors: DataFrame, percent: int) -> DataFrame:
+    """Those (a, b) of ``pairs`` whose sizes and vectors do not rule them out."""
+
+    def run(batches):
+        n, own = 0, np.zeros(0, np.uint8)
+        for batch in batches:
+            kept = []
+            for a, b, m, vector in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3, 4))):
+                cells = _cells(vector)
+                if a == b:
+                    n, own = m, cells
+                    continue
+                size = min(len(own), len(cells))
+                if (_folded(own, size) != _folded(cells, size)).sum() <= _most_differences(n, m, percent):
+                    kept.append((a, b))
+            x, y = np.array(kept, np.int64).reshape(-1, 2).T
+            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
 
-# How many of the two cells of a byte are not zero.
-_CELLS = np.array([(b > 15) + (b & 15 > 0) for b in range(256)], np.uint8)
+    return _with_leaders(pairs, vectors).mapInArrow(run, "a long, b long")
 
 
 def _possible(percent: int):
@@ -230,14 +267,16 @@ def _possible(percent: int):
         left, right = rows[0][1], rows[0][2]
         nodes, roots, sizes = (np.array([r[i] for r in rows], np.int64) for i in (4, 5, 6))
         own = np.array([r[3] for r in rows])
-        vectors = np.frombuffer(b"".join(r[7] for r in rows), np.uint8).reshape(len(rows), -1)
+        cells = [_cells(r[7]) for r in rows]
+        size = min(map(len, cells))
+        vectors = np.stack([_folded(c, size) for c in cells])
         a, b = np.flatnonzero(own == left), np.flatnonzero(own == right)
         found = []
         for at, i in enumerate(a.tolist()):
             others = b[at + 1 :] if left == right else b
-            others = others[(roots[others] != roots[i]) & (100 * np.minimum(sizes[others], sizes[i]) >= percent * np.maximum(sizes[others], sizes[i]))]
-            most = (sizes[others] + sizes[i]) * (100 - percent) // (100 + percent)
-            near = others[_CELLS[vectors[others] ^ vectors[i]].sum(axis=1, dtype=np.int64) <= most]
+            others = others[roots[others] != roots[i]]
+            most = _most_differences(sizes[others], sizes[i], percent)
+            near = others[(vectors[others] != vectors[i]).sum(axis=1) <= most]
             found += [(nodes[i], nodes[j]) for j in near]
         x, y = np.array(found, np.int64).reshape(-1, 2).T
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
@@ -279,7 +318,9 @@ def _links(docs: DataFrame, described: DataFrame, k: int, percent: int) -> DataF
     degree = shared.join(size, "sig").groupBy("node").agg(F.sum("members").alias("degree"))
     leader = shared.join(degree, "node").groupBy("sig").agg(F.max(F.struct("degree", "node")).alias("best")).select("sig", F.col("best.node").alias("a"))
     pairs = shared.join(leader, "sig").where("node <> a").select("a", F.col("node").alias("b")).distinct()
-    links = stage(_compare(stage(pairs, "pairs"), texts, k, percent), "similar")
+    vectors = stage(_vectors(texts, k), "vectors")
+    likely = stage(_likely(stage(pairs, "pairs"), vectors, percent), "likely")
+    links = stage(_compare(likely, texts, k, percent), "similar")
     roots = components(links)
 
     labelled = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -288,10 +329,9 @@ def _links(docs: DataFrame, described: DataFrame, k: int, percent: int) -> DataF
         F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who"),
     )
     # Of two members, one is the leader. Of groups with the same members, one is enough.
-    split = spans.where("low < high AND members > 2").withColumn("odd", F.col("sig").bitwiseAND(F.lit(1)).cast("int"))
-    split = split.groupBy("members", "who", "odd").agg(F.min("sig").alias("sig"))
-    split = split.select("sig", "odd", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-    open_ = labelled.join(split, "sig").join(_vectors(texts, k, percent), ["node", "odd"])
+    split = spans.where("low < high AND members > 2").groupBy("members", "who").agg(F.min("sig").alias("sig"))
+    split = split.select("sig", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
+    open_ = labelled.join(split, "sig").join(vectors, "node")
     own = F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int")
     # Every pair of blocks gets both blocks' members.
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
