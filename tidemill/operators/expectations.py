@@ -41,12 +41,11 @@ def expect(
     summary = df.agg(*aggs)
     if first_row:
         known = {k: v for k, v in first_row.items() if k in present}
-        head = df.limit(1).agg(
-            *[F.max(_matches(col(k), v).cast("int")).alias(f"m{i}") for i, (k, v) in enumerate(known.items())]
-        ) if known else None
-        for i, k in enumerate(known):
-            matched = head.select(f"m{i}").scalar()
-            results.append((f"first_row.{k}", F.coalesce(matched == 1, F.lit(False))))
+        if known:
+            # One struct, so that the first row is fetched once for all its columns.
+            checks = [F.max(_matches(col(k), v).cast("int")).alias(f"m{i}") for i, (k, v) in enumerate(known.items())]
+            matched = df.limit(1).agg(*checks).select(F.struct("*")).scalar()
+            results += [(f"first_row.{k}", F.coalesce(matched[f"m{i}"] == 1, F.lit(False))) for i, k in enumerate(known)]
         results += [(f"first_row.{k}", F.lit(False)) for k in first_row if k not in present]
     rows = [F.struct(F.lit(n).alias("expectation"), F.coalesce(ok, F.lit(False)).alias("ok")) for n, ok in results]
     return summary.select(F.inline(F.array(*rows)))
