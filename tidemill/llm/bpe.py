@@ -140,14 +140,17 @@ def encode(df: DataFrame, ranks_file: str, pattern: str, text: str = "text", out
     df, schema = _with_binary(df, output)
     at = df.columns.index(text)
 
-    def run(batch: pa.RecordBatch):
+    def run(batches):
         codec = _codec(shared.value, pattern)
-        ids = []
-        for chunk in chunks(batch.column(at)):
-            ids += codec.encode([str(chunk.slice(r), "utf-8") for r in range(chunk.rows)])
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], names=schema.names)
-
-    return map_batches(df, run, schema)
+        for batch in batches:
+            ids = []
+            for chunk in chunks(batch.column(at)):
+                ids += codec.encode([str(chunk.slice(r), "utf-8") for r in range(chunk.rows)])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], names=schema.names)
+        # Workers stay for other tasks, which need the memory.
+        codec.known.clear()
+
+    return df.mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, ranks_file: str, pattern: str, ids: str = "token_ids", output: str = "decoded") -> DataFrame:

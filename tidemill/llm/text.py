@@ -52,8 +52,11 @@ class Chunk:
 
 
 def session(spark: SparkSession) -> SparkSession:
-    """The library's settings, and shuffle files removed as soon as the job that wrote them is done."""
+    """The library's settings, small batches for the Python workers, and shuffle files removed as soon as the
+    job that wrote them is done."""
     prepare(spark)
+    # A batch of texts stands in the executor and in its worker at once.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     return spark
 
