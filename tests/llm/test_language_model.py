@@ -106,3 +106,34 @@ def test_nothing_to_learn_from(docs, no_docs, rows):
     assert lm.score(no_docs, tree, counts).count() == 0
     with pytest.raises(ValueError):
         lm.train(docs, depth=3)
+
+
+def test_rare_phrases_are_learned_from_a_large_corpus(spark):
+    """What occurs three times stays in the tree however many tokens there are besides."""
+    phrase = "seven grey geese watch from the old stone wall"
+    table = [(i, "pad " * 5000 + (phrase if i < 3 else "")) for i in range(100)]
+    train = spark.createDataFrame(table, "doc_id long, text string")
+    tree, counts = lm.train(train)
+    assert tree.total > 400_000
+    (got,) = lm.score(spark.createDataFrame([(1, phrase)], train.schema), tree, counts).collect()
+    # All words but the first follow their context with probability 5 in 6.
+    first = math.log10((3 + 0.5) / (tree.total + 0.5 * (tree.vocabulary + 1)))
+    assert abs(got["score"] - (first + 9 * math.log10(2.5 / 3))) < 1e-6
+
+
+def test_depth_grows_while_contexts_diverge(spark):
+    """The word behind two equal words depends on the third before it."""
+    table = [(i, ("a x y left", "b x y right", "z y other")[i % 3]) for i in range(90)]
+    train = spark.createDataFrame(table, "doc_id long, text string")
+    two, grown = lm.train(train), lm.train(train, depth=None)
+    texts = spark.createDataFrame([(1, "a x y left"), (2, "a x y right")], train.schema)
+    a, b = ({r["doc_id"]: r["score"] for r in lm.score(texts, *t).collect()} for t in (two, grown))
+    assert grown[0].depth == 3 and b[1] > a[1] + 0.2 and b[2] < a[2] - 0.5 and abs(a[1] - a[2]) < 1e-9
+
+
+def test_runs_by_join_score_like_runs_sent_along(docs, trained, rows, monkeypatch):
+    tree, counts = trained
+    score = lambda: sorted((r["doc_id"] or -1, round(r["score"], 5)) for r in lm.score(docs, tree, counts).collect())
+    sent = score()
+    monkeypatch.setattr(lm, "SENT_SHARE", 1.0)
+    assert np.allclose(np.array(score()), np.array(sent), atol=2e-4)

@@ -1,31 +1,37 @@
 """Language-model scores by a probabilistic suffix tree over words.
 
-The tree's nodes are contexts, the one or more words before a symbol. A context is a candidate if it makes up
-at least ``context_share`` of the training tokens, and keeps the next words that follow it in at least
-``follow_share`` of them; it is retained if its next-word distribution diverges enough from that of its
-longest retained suffix. A word is predicted by the longest context in the tree. What a context has kept is
-discounted, and the freed mass follows the shorter context, down to word frequencies with half a count added.
-
-The shares bound the tree's size whatever the corpus, so it can be sent to every task. Word frequencies are
-exact for all words: frequent ones (again bounded by their share) are sent along, the others are joined.
+The tree's nodes are contexts, the one or more words before a symbol. A context that occurs twice or more is a
+candidate and keeps the next words that follow it twice or more; it is retained if its next-word distribution
+diverges enough from that of its longest retained suffix. A word is predicted by the longest context in the
+tree. What a context has kept is discounted, and the freed mass follows the shorter context, down to word
+frequencies with half a count added.
+
+The tree grows with the corpus, so it is a table of Spark. A text's score is the sum, over all its runs of
+words, of what each run adds: the factor of a retained context, and for a kept next word what it has above the
+shorter context. Only runs in the table add anything, and texts are joined with it by the runs' hashes. Runs
+and words that make up ``SENT_SHARE`` of the training tokens are sent to the tasks instead, which bounds what is
+sent and changes no score.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import functools
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm.text import Chunk, chunks, counts_by_row, mix, positions, words
 from tidemill.session import stage
 
 DEPTH = 2
-CONTEXT_SHARE = 1e-5
-FOLLOW_SHARE = 1e-6
+# The fewest occurrences of a context, and of a next word behind it.
+LEAST = 2
+# Words and runs of this share of the training tokens are looked up within tasks, others by a join.
+SENT_SHARE = 1e-6
 # Bits by which a context's distribution must differ from that of its suffix.
 DIVERGENCE = 0.02
 DISCOUNT = 0.5
@@ -36,38 +42,61 @@ _END = mix(np.array([0xE9D], np.uint64))[0]
 _HELD = 3_000_000
 
 
-@dataclass
-class Level:
-    """Contexts of one length and what follows them.
+# Depths at which texts without a run that could be longer are left out of further passes.
+_NARROWED = (2, 4, 8, 16, 32)
+# The most bits, as a power of two, of a sieve.
+_SIEVE_BITS = 28
 
-    ``contexts`` are row numbers into the table of grams of that length, sorted; ``keys`` are sorted
-    (context * words + next word); ``logs`` their log10 probabilities; ``backoff`` log10 of the factor for
-    all other words; ``retained`` tells which contexts are nodes of the tree.
-    """
 
-    contexts: np.ndarray
-    keys: np.ndarray
-    counts: np.ndarray
-    logs: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    backoff: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    retained: np.ndarray = field(default_factory=lambda: np.zeros(0, bool))
+class Sieve:
+    """Bits of the hashes of a table: it lets through all of them and few others. Its size is bounded; more
+    hashes only let more others through."""
+
+    def __init__(self, keys: DataFrame):
+        n = keys.count()
+        self.bits = min(_SIEVE_BITS, max(10, (16 * n).bit_length()))
+        at = F.col("key").bitwiseAND(F.lit((1 << self.bits) - 1))
+        bit = F.expr("bit_or(shiftleft(1L, cast(_at & 63 AS int)))")
+        table = keys.select(at.alias("_at")).groupBy(F.shiftright("_at", 6).alias("at")).agg(bit.alias("bits")).toArrow()
+        self.words = np.zeros(1 << (self.bits - 6), np.uint64)
+        self.words[table.column("at").to_numpy()] = table.column("bits").to_numpy().view(np.uint64)
+
+    def lets_through(self, keys: np.ndarray) -> np.ndarray:
+        at = keys & np.uint64((1 << self.bits) - 1)
+        return (self.words[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) > 0
 
 
 @dataclass
 class Tree:
-    """Frequent words (sorted hashes) with their counts, and the levels of contexts."""
+    """Frequent words (sorted hashes) with their counts, and the table (key, n, value) of what runs of one to
+    ``longest`` words add to a score; ``n`` is how often the run occurs."""
 
     total: int
     vocabulary: int
     words: np.ndarray
     counts: np.ndarray
-    levels: list[Level] = field(default_factory=list)
+    runs: DataFrame
+    longest: int = 0
+    depth: int = 0
 
     def base(self, counts: np.ndarray) -> np.ndarray:
         """log10 of the base probability of words counted so often."""
         return np.log10((counts + 0.5) / (self.total + 0.5 * (self.vocabulary + 1)))
 
 
+@dataclass
+class _Sent:
+    """What every scoring task gets: frequent words with their base terms, frequent runs with what they add, and
+    the sieve of all other runs."""
+
+    words: np.ndarray
+    base: np.ndarray
+    runs: np.ndarray
+    values: np.ndarray
+    others: Sieve
+    longest: int
+
+
 def _tokens(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash and row of every token, each row's end symbol included, and the first token of every row."""
     found = words(chunk)
@@ -79,19 +108,44 @@ def _tokens(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return token, row, first
 
 
-def _count(texts: DataFrame, keys_of) -> DataFrame:
-    """(key, n): how often each key of ``keys_of(chunk)`` occurs; summed up within a task first."""
+def _longer(run, word):
+    """The hash of a run and one more word; the hash of a single word is its own."""
+    return ((run << np.uint64(23)) | (run >> np.uint64(41))) ^ word
+
+
+def _longer_column(run: Column, word: Column) -> Column:
+    return F.shiftleft(run, 23).bitwiseOR(F.shiftrightunsigned(run, 41)).bitwiseXOR(word)
+
+
+def _runs(token: np.ndarray, row: np.ndarray, first: np.ndarray, longest: int):
+    """(run, whole) for runs of 1, 2, ... words: the hash of the run that ends at each token, and whether it
+    lies in one text."""
+    within = np.arange(len(token)) - first[row]
+    run = token
+    yield run, np.ones(len(token), bool)
+    for length in range(2, longest + 1):
+        longer = token.copy()
+        longer[1:] = _longer(run[:-1], token[1:])
+        run = longer
+        yield run, within >= length - 1
+
+
+def _count(texts: DataFrame, pairs_of) -> DataFrame:
+    """(context, word, n): how often each of the pairs ``pairs_of(chunk)`` occurs; summed up within a task first."""
+
+    def summed(context, word, n):
+        _, at, back = np.unique(_longer(context, word), return_index=True, return_inverse=True)
+        return context[at], word[at], np.bincount(back, n, len(at)).astype(np.int64)
 
     def merged(parts):
-        keys, back = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-        n = np.bincount(back, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["key", "n"])
+        context, word, n = summed(*(np.concatenate(x) for x in zip(*parts)))
+        return pa.RecordBatch.from_arrays([pa.array(context.view(np.int64)), pa.array(word.view(np.int64)), pa.array(n)], names=["context", "word", "n"])
 
     def run(batches):
         parts, held = [], 0
         for batch in batches:
             for chunk in chunks(batch.column(0), 2 << 20):
-                parts.append(np.unique(keys_of(chunk), return_counts=True))
+                parts.append(summed(*pairs_of(chunk), None))
                 held += len(parts[-1][0])
                 if held > _HELD:
                     yield merged(parts)
@@ -99,134 +153,112 @@ def _count(texts: DataFrame, keys_of) -> DataFrame:
         if parts:
             yield merged(parts)
 
-    counted = texts.select("text").mapInArrow(run, "key long, n long")
-    return counted.groupBy("key").agg(F.sum("n").alias("n"))
-
-
-def _collected(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Keys and counts, sorted by key; the caller has bounded their number."""
-    table = df.toArrow()
-    key, n = (table.column(c).to_numpy() for c in ("key", "n"))
-    order = np.argsort(key)
-    return key[order], n[order]
-
-
-def _numbers(tree: Tree, token: np.ndarray) -> np.ndarray:
-    """Numbers of frequent words, -1 for others."""
-    distinct, back = np.unique(token, return_inverse=True)
-    return positions(tree.words, distinct)[back]
-
-
-def _entries(tree: Tree, number: np.ndarray, first: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For every level: the context (its place in the level, -1 if none) before each token, the key of context
-    and token (-1 where either is unknown), and the key's place in the level's table (-1 if not kept)."""
-    out = []
-    n, width = len(number), len(tree.words)
-    place = number  # of the gram that ends at each token
-    for depth, level in enumerate(tree.levels, 1):
-        before = np.full(n, -1)
-        before[1:] = place[:-1]
-        # A context does not reach into the text before.
-        for j in range(depth):
-            at = first[:-1] + j
-            before[at[at < first[1:]]] = -1
-        known = np.flatnonzero(before >= 0)
-        context = np.full(n, -1)
-        context[known] = positions(level.contexts, before[known])
-        key = np.where((context >= 0) & (number >= 0), context * width + number, -1)
-        kept = np.full(n, -1)
-        usable = np.flatnonzero(key >= 0)
-        kept[usable] = positions(level.keys, key[usable])
-        out.append((context, key, kept))
-        place = kept
-    return out
-
-
-def train(texts: DataFrame, depth: int = DEPTH, context_share: float = CONTEXT_SHARE, follow_share: float = FOLLOW_SHARE, divergence: float = DIVERGENCE) -> tuple[Tree, DataFrame]:
+    counted = texts.select("text").mapInArrow(run, "context long, word long, n long")
+    return counted.groupBy("context", "word").agg(F.sum("n").alias("n"))
+
+
+def _collected(df: DataFrame, column: str) -> tuple[np.ndarray, np.ndarray]:
+    """Keys as unsigned hashes, sorted, and a column; the caller has bounded their number."""
+    table = df.select("key", column).toArrow()
+    key, value = (table.column(c).to_numpy() for c in ("key", column))
+    order = np.argsort(key.view(np.uint64))
+    return key.view(np.uint64)[order], value[order].astype(np.float64)
+
+
+def _single_words(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
+    token = _tokens(chunk)[0]
+    return np.zeros(len(token), np.uint64), token
+
+
+def _with_pairs(texts: DataFrame, pairs) -> DataFrame:
+    """The texts in which ``pairs(chunk)`` finds any."""
+
+    def run(batches):
+        for batch in batches:
+            for chunk in chunks(batch.column(0)):
+                found = np.unique(pairs(chunk)[2]) + chunk.first
+                if len(found):
+                    yield batch.take(pa.array(found))
+
+    return texts.select("text").mapInArrow(run, "text string")
+
+
+def train(texts: DataFrame, depth: int | None = DEPTH, context_share: float = 0.0, follow_share: float = 0.0, divergence: float = DIVERGENCE) -> tuple[Tree, DataFrame]:
     """The tree, and the staged counts (key, n) of all words, from every one of ``texts``.
 
-    ``depth`` is 1 or 2 words. No texts give a tree without words, by which every token has the same
-    probability.
+    ``depth`` is 1 or 2 words, or None for as many as there are contexts that diverge. A context must occur
+    ``LEAST`` times and a next word behind it too; shares of the training tokens above 0 ask for more. No texts
+    give a tree without words, by which every token has the same probability.
     """
-    if depth not in (1, 2):
+    if depth not in (1, 2, None):
         raise ValueError("contexts have one or two words")
-    counts = stage(_count(texts, lambda chunk: _tokens(chunk)[0].view(np.int64)), "words")
+    counts = stage(_count(texts, _single_words).select(F.col("word").alias("key"), "n"), "words")
     total, vocabulary = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    # At most 1 / follow_share words.
-    key, n = _collected(counts.where(F.col("n") >= F.lit(follow_share * total)))
-    order = np.argsort(key.view(np.uint64))
-    tree = Tree(int(total), int(vocabulary), key.view(np.uint64)[order], n[order].astype(np.float64))
-    gram_counts = tree.counts
-    for _ in range(depth):
-        contexts = np.flatnonzero(gram_counts >= max(2.0, context_share * total))
-        if not len(contexts):
-            break
-        level = Level(contexts, np.zeros(0, np.int64), np.zeros(0))
-        tree.levels.append(level)
-        shared = texts.sparkSession.sparkContext.broadcast(tree)
-
-        def keys_of(chunk: Chunk, shared=shared) -> np.ndarray:
-            own = shared.value
-            token, _, first = _tokens(chunk)
-            entries = _entries(own, _numbers(own, token), first)
-            key = entries[-1][1]
-            usable = key >= 0
-            if len(entries) > 1:  # what follows the longer context must be kept with the shorter one
-                usable &= entries[-2][2] >= 0
-            return key[usable]
-
-        # At most 1 / follow_share entries.
-        follow = _count(texts, keys_of).where(F.col("n") >= F.lit(max(2.0, follow_share * total)))
-        level.keys, n = _collected(follow)
-        level.counts = gram_counts[contexts]
-        gram_counts = n.astype(np.float64)
-        _fit(tree, level, gram_counts, divergence)
+    # At most 1 / SENT_SHARE words.
+    key, n = _collected(counts.where(F.col("n") >= F.lit(max(SENT_SHARE, follow_share) * total)), "n")
+    tree = Tree(int(total), int(vocabulary), key, n, counts.limit(0).select("key", "n", F.lit(0.0).alias("value")))
+    base = F.log10((F.col("n") + 0.5) / F.lit(total + 0.5 * (vocabulary + 1)))
+    # Every run that is kept: how often it occurs, the run without its first word, and log10 of the
+    # probability of its last word behind the others.
+    known = counts.select("key", "n", F.lit(0).cast("long").alias("suffix"), base.alias("log"))
+    known = known.where(F.col("n") >= F.lit(max(LEAST, follow_share * total)))
+    parts = []
+    while depth is None or tree.depth < depth:
+        shared = texts.sparkSession.sparkContext.broadcast(Sieve(known.select("key")))
+
+        def pairs(chunk: Chunk, shared=shared, longest=tree.depth + 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            token, row, first = _tokens(chunk)
+            for run, whole in _runs(token, row, first, longest):
+                pass
+            # A run occurs often enough only if it does so without its first and without its last word.
+            usable = whole & shared.value.lets_through(run)
+            end = np.flatnonzero(usable[:-1] & usable[1:] & (row[:-1] == row[1:])) + 1
+            return run[end - 1], token[end], row[end]
+
+        if tree.depth in _NARROWED:
+            texts = stage(_with_pairs(texts, pairs), "texts")
+        follow = _count(texts, lambda chunk, pairs=pairs: pairs(chunk)[:2]).where(F.col("n") >= F.lit(max(LEAST, follow_share * total)))
+        candidates = known.where(F.col("n") >= F.lit(max(LEAST, context_share * total)))
+        known, contexts = _fit(follow, candidates, known, divergence, tree.depth)
         shared.unpersist()
+        if contexts.isEmpty():
+            # A fixed depth looks further: a longer context may diverge where its suffix does not.
+            if depth is None or known.isEmpty():
+                break
+        else:
+            tree.longest = tree.depth + 2
+        parts += [known.where("value IS NOT NULL").select("key", "n", "value"), contexts]
+        tree.depth += 1
+    if parts:
+        both = functools.reduce(DataFrame.union, parts).groupBy("key").agg(F.max("n").alias("n"), F.sum("value").alias("value"))
+        tree.runs = stage(both, "tree")
     return tree, counts
 
 
-def _fit(tree: Tree, level: Level, n: np.ndarray, divergence: float) -> None:
-    """Probabilities of the newest level, and which of its contexts the tree retains."""
-    width = len(tree.words)
-    context, word = level.keys // width, level.keys % width
-    of = len(level.contexts)
-    p = (n - DISCOUNT) / level.counts[context]
-    parent = tree.base(tree.counts[word])
-    if len(tree.levels) > 1:
-        shorter = tree.levels[-2]
-        # The suffix of a context of two words is its last word.
-        suffix = positions(shorter.contexts, shorter.keys[level.contexts] % width)
-        parent = _predict(tree, suffix[context], word, parent)
-    mass, parent_mass = np.bincount(context, p, of), np.minimum(np.bincount(context, 10**parent, of), 1 - 1e-9)
-    rest, parent_rest = np.maximum(1 - mass, 1e-9), 1 - parent_mass
-    bits = np.bincount(context, p * (np.log2(p) - parent * np.log2(10)), of) + rest * np.log2(rest / parent_rest)
-    level.logs, level.backoff = np.log10(p), np.log10(rest / parent_rest)
+def _fit(follow: DataFrame, candidates: DataFrame, shorter: DataFrame, divergence: float, depth: int) -> tuple[DataFrame, DataFrame]:
+    """The kept runs that are one word longer than ``depth`` + 1 words (key, n, suffix, log, and value where the
+    context is retained), and the retained contexts (key, n, value)."""
+    of = candidates.select(F.col("key").alias("context"), F.col("n").alias("of"), F.col("suffix").alias("_shorter"))
+    kept = follow.join(of, "context")
+    suffix = _longer_column(F.col("_shorter"), F.col("word")) if depth else F.col("word")
+    kept = kept.withColumn("suffix", suffix).join(shorter.select(F.col("key").alias("suffix"), F.col("log").alias("parent")), "suffix")
+    kept = stage(kept.select("context", "word", "n", "of", "suffix", "parent", ((F.col("n") - DISCOUNT) / F.col("of")).alias("p")), "follow")
+    sums = kept.groupBy("context").agg(
+        F.max("of").alias("n"), F.count(F.lit(1)).alias("_kept"), F.sum("p").alias("_mass"), F.sum(F.pow(F.lit(10.0), F.col("parent"))).alias("_parent"),
+        F.sum(F.col("p") * (F.log2("p") - F.col("parent") * float(np.log2(10)))).alias("_bits"),
+    )
+    sums = sums.withColumn("_rest", F.greatest(1 - F.col("_mass"), F.lit(1e-9))).withColumn("_ratio", F.col("_rest") / (1 - F.least("_parent", F.lit(1 - 1e-9))))
+    bits = F.col("_bits") + F.col("_rest") * F.log2("_ratio")
     # Besides diverging, a context must gain more bits over its occurrences than its own figures take to write down.
-    kept = np.bincount(context, minlength=of)
-    level.retained = (bits >= divergence) & (bits * level.counts >= kept * np.log2(level.counts + 1) / 2)
-
-
-def _predict(tree: Tree, context: np.ndarray, word: np.ndarray, base: np.ndarray) -> np.ndarray:
-    """log10 probability of ``word`` behind contexts of one word (-1: none), or the root's where not retained."""
-    level, out = tree.levels[0], base.copy()
-    at = np.flatnonzero((context >= 0) & np.where(context >= 0, level.retained[context], False))
-    kept = positions(level.keys, context[at] * len(tree.words) + word[at])
-    out[at] = np.where(kept >= 0, level.logs[kept], level.backoff[context[at]] + base[at])
-    return out
-
-
-def _known_part(tree: Tree, token: np.ndarray, number: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(base, score, rare): log10 terms of every token; for rare words without their base term, which both lack."""
-    frequent = number >= 0
-    base = np.zeros(len(token))
-    base[frequent] = tree.base(tree.counts[number[frequent]])
-    score = base.copy()
-    for level, (context, _, kept) in zip(tree.levels, _entries(tree, number, first)):
-        node = np.flatnonzero((context >= 0) & np.where(context >= 0, level.retained[context], False)) if len(level.contexts) else []
-        k = kept[node]
-        # What the context has not kept follows the shorter context, found in the rounds before.
-        score[node] = np.where(k >= 0, level.logs[k] if len(level.logs) else 0, level.backoff[context[node]] + score[node])
-    return base, score, ~frequent
+    worth = (bits >= divergence) & (bits * F.col("n") >= F.col("_kept") * F.log2(F.col("n") + 1.0) / 2)
+    contexts = stage(sums.where(worth).select(F.col("context").alias("key"), "n", F.log10("_ratio").alias("value")), "contexts")
+    joined = kept.join(contexts.select(F.col("key").alias("context"), F.col("value").alias("_backoff")), "context", "left")
+    known = joined.select(
+        _longer_column(F.col("context"), F.col("word")).alias("key"), "n", "suffix",
+        F.when(F.col("_backoff").isNotNull(), F.log10("p")).otherwise(F.col("parent")).alias("log"),
+        (F.log10("p") - F.col("parent") - F.col("_backoff")).alias("value"),
+    )
+    return stage(known, "runs"), contexts
 
 
 def score(docs: DataFrame, tree: Tree, counts: DataFrame) -> DataFrame:
@@ -236,42 +268,66 @@ def score(docs: DataFrame, tree: Tree, counts: DataFrame) -> DataFrame:
     sum of the tokens' base log10 probabilities, ``score`` that of the tree. Empty and NULL texts are the end
     alone. One row for each row of ``docs``, repeated ids included.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(tree)
-    schema = "id long, doc_id long, key long, n long, n_tokens long, n_known long, base double, score double"
+    often = F.col("n") >= F.lit(SENT_SHARE * tree.total)
+    # At most 1 / SENT_SHARE runs of each length.
+    runs, values = _collected(tree.runs.where(often), "value")
+    others = tree.runs.where(~often)
+    sent = _Sent(tree.words, tree.base(tree.counts) if len(tree.words) else tree.counts, runs, values, Sieve(others), tree.longest)
+    shared = docs.sparkSession.sparkContext.broadcast(sent)
+    schema = "id long, doc_id long, key long, run long, n long, n_tokens long, n_known long, base double, score double"
 
     def run(batches):
         own, serial = shared.value, TaskContext.get().partitionId() << 40
         for batch in batches:
             for chunk in chunks(batch.column(1)):
                 token, row, first = _tokens(chunk)
-                number = _numbers(own, token)
-                base, scores, rare = _known_part(own, token, number, first)
-                sums = [np.bincount(row, x, chunk.rows) for x in (base, scores)]
-                known = np.bincount(row, number >= 0, chunk.rows).astype(np.int64)
+                distinct, back = np.unique(token, return_inverse=True)
+                number = positions(own.words, distinct)[back]
+                rare = number < 0
+                base = np.zeros(len(token))
+                base[~rare] = own.base[number[~rare]]
+                added, left = base.copy(), []
+                for at_run, whole in _runs(token, row, first, own.longest) if own.longest else ():
+                    at = np.flatnonzero(whole)
+                    distinct, back = np.unique(at_run[at], return_inverse=True)
+                    place = positions(own.runs, distinct)
+                    value = np.zeros(len(distinct))
+                    value[place >= 0] = own.values[place[place >= 0]]
+                    added[at] += value[back]
+                    at = at[((place < 0) & own.others.lets_through(distinct))[back]]
+                    left.append((at_run[at], row[at]))
+                sums = [np.bincount(row, x, chunk.rows) for x in (base, added)]
+                known = np.bincount(row, ~rare, chunk.rows).astype(np.int64)
                 name = serial + np.arange(chunk.rows)
                 serial += chunk.rows
                 mine = batch.column(0).slice(chunk.first, chunk.rows)
                 yield _batch(id=name, doc_id=mine, n_tokens=np.diff(first), n_known=known, base=sums[0], score=sums[1])
                 key, of, n = counts_by_row(token[rare], row[rare])
                 yield _batch(id=name[of], key=key.view(np.int64), n=n)
+                if left:
+                    key, of, n = counts_by_row(*(np.concatenate(x) for x in zip(*left)))
+                    yield _batch(id=name[of], run=key.view(np.int64), n=n)
 
-    # Written once: the numbers given to rows must be the same for the rows and for their rare words.
+    # Written once: the numbers given to rows must be the same for the rows and for their rare words and runs.
     parts = stage(docs.select("doc_id", "text").mapInArrow(run, schema), "scored")
-    rows = parts.where("key IS NULL").select("id", "doc_id", "n_tokens", "n_known", "base", "score")
+    rows = parts.where("key IS NULL AND run IS NULL").select("id", "doc_id", "n_tokens", "n_known", "base", "score")
     n = F.coalesce(counts["n"], F.lit(0))
     log = F.log10((n + 0.5) / F.lit(max(tree.total + 0.5 * (tree.vocabulary + 1), 0.5)))
     rare = parts.where("key IS NOT NULL").select("id", "key", F.col("n").alias("times")).join(counts, "key", "left")
-    rare = rare.select("id", (F.col("times") * log).alias("log"), F.when(n > 0, F.col("times")).otherwise(0).alias("known"))
-    rare = rare.groupBy("id").agg(F.sum("log").alias("log"), F.sum("known").alias("known"))
-    log, known = F.coalesce("log", F.lit(0.0)), F.coalesce("known", F.lit(0))
+    rare = rare.select("id", (F.col("times") * log).alias("log"), F.when(n > 0, F.col("times")).otherwise(0).alias("known"), F.lit(0.0).alias("more"))
+    # A run that the sieve let through by chance is in no row of the tree.
+    longer = parts.where("run IS NOT NULL").select("id", F.col("run").alias("key"), F.col("n").alias("times")).join(others.select("key", "value"), "key")
+    longer = longer.select("id", F.lit(0.0).alias("log"), F.lit(0).cast("long").alias("known"), (F.col("times") * F.col("value")).alias("more"))
+    rare = rare.union(longer).groupBy("id").agg(F.sum("log").alias("log"), F.sum("known").alias("known"), F.sum("more").alias("more"))
+    log, known, more = F.coalesce("log", F.lit(0.0)), F.coalesce("known", F.lit(0)), F.coalesce("more", F.lit(0.0))
     return rows.join(rare, "id", "left").select(
         "doc_id", "n_tokens", (F.col("n_known") + known).alias("n_known"), F.lit(tree.total).cast("long").alias("train_tokens"),
-        (F.col("base") + log).alias("base_score"), (F.col("score") + log).alias("score"),
+        (F.col("base") + log).alias("base_score"), (F.col("score") + log + more).alias("score"),
     )
 
 
 def _batch(**columns) -> pa.RecordBatch:
     """Rows of the staged table; columns not given are NULL."""
-    kinds = {k: pa.int64() for k in ("id", "doc_id", "key", "n", "n_tokens", "n_known")} | {"base": pa.float64(), "score": pa.float64()}
+    kinds = {k: pa.int64() for k in ("id", "doc_id", "key", "run", "n", "n_tokens", "n_known")} | {"base": pa.float64(), "score": pa.float64()}
     rows = len(columns["id"])
     return pa.RecordBatch.from_arrays([pa.array(columns[k], t) if k in columns else pa.nulls(rows, t) for k, t in kinds.items()], names=list(kinds))

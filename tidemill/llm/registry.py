@@ -195,7 +195,7 @@ def op9_suffix_tree(spark, sf_dir):
     """log10 probability of every document under a suffix tree over words, and under word frequencies alone."""
     docs = documents(spark, sf_dir)
     held_out = fold(F.col("doc_id"), LM_FOLDS) == LM_HELD_OUT
-    tree, counts = language_model.train(docs.where(~held_out))
+    tree, counts = language_model.train(docs.where(~held_out), depth=None)
     scored = language_model.score(docs, tree, counts)
     return scored.select(
         "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
