@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm.text import Chunk, chunks, counts_by_row, mix, positions, words
-from tidemill.session import stage
+from tidemill.session import stage, unstage
 
 DEPTH = 2
 # The fewest occurrences of a context, and of a next word behind it.
@@ -202,7 +202,7 @@ def train(texts: DataFrame, depth: int | None = DEPTH, context_share: float = 0.
     # probability of its last word behind the others.
     known = counts.select("key", "n", F.lit(0).cast("long").alias("suffix"), base.alias("log"))
     known = known.where(F.col("n") >= F.lit(max(LEAST, follow_share * total)))
-    parts = []
+    parts, whole_texts, staged = [], texts, None
     while depth is None or tree.depth < depth:
         shared = texts.sparkSession.sparkContext.broadcast(Sieve(known.select("key")))
 
@@ -216,22 +216,31 @@ def train(texts: DataFrame, depth: int | None = DEPTH, context_share: float = 0.
             return run[end - 1], token[end], row[end]
 
         if tree.depth in _NARROWED:
-            texts = stage(_with_pairs(texts, pairs), "texts")
+            fewer = stage(_with_pairs(texts, pairs), "texts")
+            if texts is not whole_texts:
+                unstage(texts)
+            texts = fewer
         follow = _count(texts, lambda chunk, pairs=pairs: pairs(chunk)[:2]).where(F.col("n") >= F.lit(max(LEAST, follow_share * total)))
         candidates = known.where(F.col("n") >= F.lit(max(LEAST, context_share * total)))
         known, contexts = _fit(follow, candidates, known, divergence, tree.depth)
         shared.unpersist()
+        # What this level was made from is not read again.
+        if staged is not None:
+            unstage(staged)
+        staged = known
         if contexts.isEmpty():
             # A fixed depth looks further: a longer context may diverge where its suffix does not.
             if depth is None or known.isEmpty():
                 break
         else:
             tree.longest = tree.depth + 2
-        parts += [known.where("value IS NOT NULL").select("key", "n", "value"), contexts]
+        parts += [stage(known.where("value IS NOT NULL").select("key", "n", "value"), "values"), contexts]
         tree.depth += 1
     if parts:
         both = functools.reduce(DataFrame.union, parts).groupBy("key").agg(F.max("n").alias("n"), F.sum("value").alias("value"))
         tree.runs = stage(both, "tree")
+        for part in parts:
+            unstage(part)
     return tree, counts
 
 
@@ -242,7 +251,8 @@ def _fit(follow: DataFrame, candidates: DataFrame, shorter: DataFrame, divergenc
     kept = follow.join(of, "context")
     suffix = _longer_column(F.col("_shorter"), F.col("word")) if depth else F.col("word")
     kept = kept.withColumn("suffix", suffix).join(shorter.select(F.col("key").alias("suffix"), F.col("log").alias("parent")), "suffix")
-    kept = stage(kept.select("context", "word", "n", "of", "suffix", "parent", ((F.col("n") - DISCOUNT) / F.col("of")).alias("p")), "follow")
+    kept = stage(kept.select("context", "word", "n", "of", "suffix", "parent"), "follow")
+    follow, kept = kept, kept.withColumn("p", (F.col("n") - DISCOUNT) / F.col("of"))
     sums = kept.groupBy("context").agg(
         F.max("of").alias("n"), F.count(F.lit(1)).alias("_kept"), F.sum("p").alias("_mass"), F.sum(F.pow(F.lit(10.0), F.col("parent"))).alias("_parent"),
         F.sum(F.col("p") * (F.log2("p") - F.col("parent") * float(np.log2(10)))).alias("_bits"),
@@ -258,7 +268,9 @@ def _fit(follow: DataFrame, candidates: DataFrame, shorter: DataFrame, divergenc
         F.when(F.col("_backoff").isNotNull(), F.log10("p")).otherwise(F.col("parent")).alias("log"),
         (F.log10("p") - F.col("parent") - F.col("_backoff")).alias("value"),
     )
-    return stage(known, "runs"), contexts
+    known = stage(known, "runs")
+    unstage(follow)
+    return known, contexts
 
 
 def score(docs: DataFrame, tree: Tree, counts: DataFrame) -> DataFrame:

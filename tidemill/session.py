@@ -117,7 +117,16 @@ def stage(df: DataFrame, label: str, folders: Sequence[str] = ()) -> DataFrame:
     schema = df.schema
     df.write.partitionBy(*folders).parquet(path)
     # The schema is known, so reading back needs no inference job.
-    return spark.read.schema(schema).parquet(path)
+    staged = spark.read.schema(schema).parquet(path)
+    staged._tidemill_path = path
+    return staged
+
+
+def unstage(staged: DataFrame) -> None:
+    """Delete what ``stage`` wrote for this frame; neither it nor frames that read it may be used any more."""
+    context = staged.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(staged._tidemill_path)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def child_session(spark: SparkSession) -> SparkSession:
