@@ -55,6 +55,17 @@ def test_examples_are_bounded_and_have_one_label(labelled):
     assert sorted(got) == sorted(examples(docs, labels, "toxic", present, 50).collect())
 
 
+def test_repeated_ids_stay_within_the_bound(spark):
+    """One id with many copies and many texts leaves room for every other id."""
+    hot = [(7, "the same text")] * 200 + [(7, f"text {i}") for i in range(200)]
+    docs = spark.createDataFrame([*hot, *((i, f"other {i}") for i in range(10, 30)), (40, None), (40, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in (7, 40, *range(10, 30))], "doc_id long, toxic int")
+    got = sorted(((r["doc_id"], r["text"] or "") for r in examples(docs, labels, "toxic", F.lit(True), 50).collect()))
+    assert len(got) == len(set(got)) == 50 and {i for i, _ in got} == {7, 40, *range(10, 30)}
+    copies = docs.where("text = 'the same text' OR doc_id = 40")
+    assert examples(copies, labels, "toxic", F.lit(True), 50).count() == 2
+
+
 def test_nearest_is_exact():
     rng = np.random.default_rng(0)
     n_terms, terms = 12, np.arange(12, dtype=np.uint64)
