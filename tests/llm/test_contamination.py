@@ -43,6 +43,14 @@ def test_tiles_cover_as_much_as_one_at_a_time():
         assert abs(sum(x[2] for x in ours) - sum(x[2] for x in plain)) <= 3
 
 
+def test_tiles_are_those_of_one_at_a_time():
+    rng = random.Random(5)
+    for _ in range(1500):
+        item = [rng.randrange(3) for _ in range(rng.randrange(0, 24))]
+        text = [rng.randrange(3) for _ in range(rng.randrange(0, 30))]
+        assert greedy_tiles(item, text, 2) == naive(item, text, 2)
+
+
 @pytest.fixture(scope="module")
 def benchmark(spark):
     items = [(1, " ".join(ITEM)), (2, "one two three"), (3, None), (4, "alpha beta gamma delta epsilon zeta eta theta"), (4, "alpha beta gamma delta epsilon zeta eta theta")]

@@ -8,6 +8,8 @@ same whatever the order of its parts.
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -66,13 +68,23 @@ def greedy_tiles(item: list[int], text: list[int], least: int) -> list[tuple[int
                 while p + end < len(item) and t + end < len(text) and free_item[p + end] and free_text[t + end] and item[p + end] == text[t + end]:
                     end += 1
                 matches.append((-end, p, t))
-        for length, p, t in sorted(matches):
+        heapq.heapify(matches)
+        seen = set(matches)
+        while matches:
+            length, p, t = heapq.heappop(matches)
             length = -length
-            if all(free_item[p : p + length]) and all(free_text[t : t + length]):
+            taken = [i for i in range(length) if not (free_item[p + i] and free_text[t + i])]
+            if not taken:
                 tiles.append((p, t, length))
                 free_item[p : p + length] = [False] * length
                 free_text[t : t + length] = [False] * length
-        # What is left of a match that another one cut is found at a smaller size.
+                continue
+            # What other tiles left of this match takes its turn among the others of its length.
+            for start, end in zip([-1, *taken], [*taken, length]):
+                part = (start + 1 - end, p + start + 1, t + start + 1)
+                if end - start - 1 >= size and part not in seen:
+                    seen.add(part)
+                    heapq.heappush(matches, part)
         size = size // 2 if size > 2 * least else size - 1
     return tiles
 
