@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import bpe, contamination, fingerprints, language_model, licences, ngram_join, quality, shards, suffix_dedup, toxicity
+from tidemill.llm import bpe, contamination, fingerprints, language_model, licences, ngram_join, quality, shards, suffix_dedup, token_counts, toxicity
 from tidemill.llm.labelled import examples, fold
 from tidemill.llm.text import session
 
@@ -14,6 +14,8 @@ QUERIES = {}
 ORACLES = {}
 
 RANKS = "byte_bpe_50k.tiktoken"
+WORDS = "word_bpe_49k.json"
+TOKEN_LIMIT = 2048
 SHARDS = 40
 TOXIC_FOLDS, TOXIC_HELD_OUT, TOXIC_FROM = 3, 1, 0.7
 LM_FOLDS, LM_HELD_OUT = 5, 1
@@ -228,3 +230,12 @@ def op3_licences(spark, sf_dir):
         F.array_sort(F.array_distinct(F.transform("notices", lambda n: n["family"]))).alias("families"),
         F.coalesce(F.array_max(F.transform("notices", lambda n: n["probability"])), F.lit(0.0)).alias("probability"),
     )
+
+
+@query("op12_token_counts")
+def op12_token_counts(spark, sf_dir):
+    """Tokens of every document, and which documents have more than a model's limit."""
+    counted = token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path(WORDS))
+    return counted.select(
+        "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit")
+    )

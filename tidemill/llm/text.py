@@ -7,6 +7,9 @@ gets one of its own. NULL texts are read as empty.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -61,14 +64,34 @@ def session(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def give_back() -> None:
+    """Return freed memory to the system: Python workers stay for other tasks and for other stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only some C libraries have it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def map_stream(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``mapInArrow``, with the worker's memory given back at the end of every task."""
+
+    def tidy(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return df.mapInArrow(tidy, schema)
+
+
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """Run ``fn`` over the Arrow batches of ``df``."""
 
     def run(batches):
         for batch in batches:
             yield from fn(batch)
 
-    return df.mapInArrow(run, schema)
+    return map_stream(df, run, schema)
 
 
 def chunks(column: pa.Array, size: int = CHUNK_BYTES) -> Iterator[Chunk]:
