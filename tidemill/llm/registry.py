@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm import bpe, contamination, fingerprints, language_model, licences, ngram_join, quality, shards, suffix_dedup, token_counts, toxicity
+from tidemill.llm import bpe, collocations, contamination, fingerprints, language_model, licences, ngram_join, prefix_trie, quality, shards, suffix_dedup, token_counts, toxicity
 from tidemill.llm.labelled import examples, fold
 from tidemill.llm.text import session
 
@@ -239,3 +239,87 @@ def op12_token_counts(spark, sf_dir):
     return counted.select(
         "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit")
     )
+
+
+_OP13_SQL = r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents
+),
+worded AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM worded GROUP BY lang),
+grams AS (
+    SELECT lang, k, w[i:i + k - 1] AS p
+    FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM worded, range(1, 6) AS r(k) WHERE len(w) >= k)
+),
+counted AS (SELECT lang, k, p, count(*)::BIGINT AS a FROM grams GROUP BY lang, k, p HAVING count(*) >= 100),
+longer AS (
+    SELECT lang, p, max(a) AS most FROM (
+        SELECT lang, p[1:k - 1] AS p, a FROM counted WHERE k > 2 UNION ALL SELECT lang, p[2:k] AS p, a FROM counted WHERE k > 2)
+    GROUP BY lang, p
+),
+kept AS (
+    SELECT c.* FROM counted c LEFT JOIN longer l ON c.lang = l.lang AND c.p = l.p WHERE c.k >= 2 AND (l.most IS NULL OR l.most < c.a)
+),
+cuts AS (SELECT lang, k, p, a, unnest(range(1, k)) AS cut FROM kept),
+scored AS (
+    SELECT c.lang, c.p, c.a, c.cut, l.a AS l, r.a AS r, t.n, ((1000::HUGEINT * c.a * t.n) // (l.a::HUGEINT * r.a))::BIGINT AS score
+    FROM cuts c JOIN counted l ON l.lang = c.lang AND l.p = c.p[1:c.cut] JOIN counted r ON r.lang = c.lang AND r.p = c.p[c.cut + 1:c.k] JOIN totals t ON t.lang = c.lang
+),
+lowest AS (SELECT *, row_number() OVER (PARTITION BY lang, p ORDER BY score, cut) AS o FROM scored),
+ranked AS (
+    SELECT lang, array_to_string(p, ' ') AS phrase, a, l, r, n, score,
+        row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(array_to_string(p, ' '))) AS rank
+    FROM lowest WHERE o = 1
+)
+SELECT lang, rank::BIGINT AS rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+"""
+
+
+@query("op13_collocations", _OP13_SQL)
+def op13_collocations(spark, sf_dir):
+    """The phrases of every language whose words stand together most above chance."""
+    return collocations.collocations(documents(spark, sf_dir, "lang", "text"))
+
+
+_OP11_SQL = """
+WITH -- CRC-32 (reflected polynomial 0xEDB88320) byte by byte.
+crc_table AS (
+    SELECT list(list_reduce([c] || range(8), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(3988292384, x >> 1) ELSE x >> 1 END) ORDER BY c) AS steps
+    FROM range(256) AS r(c)
+),
+own AS (
+    SELECT conv_id, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST, role, text) AS turns FROM conversations GROUP BY conv_id
+),
+heads AS (
+    SELECT conv_id, turns, hex(encode(conv_id::VARCHAR)) AS bytes, (xor(4294967295, list_reduce(
+        [4294967295] || list_transform(range(length(conv_id::VARCHAR)), lambda i: ('0x' || substr(hex(encode(conv_id::VARCHAR)), 2 * i + 1, 2))::BIGINT),
+        lambda x, y: xor(x >> 8, steps[(xor(x, y) & 255) + 1]))) % 6)::BIGINT AS h
+    FROM own, crc_table
+),
+rebuilt AS (
+    SELECT a.conv_id, coalesce(b.turns[1:a.h], []) || coalesce(a.turns[a.h + 1:], []) AS turns FROM heads a LEFT JOIN own b ON b.conv_id = a.conv_id - a.conv_id % 100
+),
+prefixes AS (SELECT conv_id, turns, d::BIGINT AS d, turns[1:d] AS p FROM (SELECT conv_id, turns, unnest(range(0, len(turns) + 1)) AS d FROM rebuilt)),
+nodes AS (
+    SELECT d, p, min(conv_id) AS conv_id, count(*)::BIGINT AS n_convs, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (d = len(turns)) AS ids,
+        coalesce(length(p[-1].t), 0) AS chars
+    FROM prefixes GROUP BY d, p
+),
+children AS (SELECT d - 1 AS d, p[1:d - 1] AS p, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL),
+full_nodes AS (SELECT n.*, coalesce(c.n_children, 0)::BIGINT AS n_children FROM nodes n LEFT JOIN children c USING (d, p)),
+ancestors AS (SELECT p, chars, n_convs, n_children, unnest(range(0, d + 1)) AS up FROM full_nodes),
+sums AS (
+    SELECT up::BIGINT AS d, p[1:up] AS p, sum((n_children = 0)::BIGINT)::BIGINT AS n_leaves, sum((n_convs - 1) * chars)::BIGINT AS saved_tokens FROM ancestors GROUP BY ALL
+)
+SELECT n.conv_id, n.d AS depth, u.conv_id AS parent_conv_id, n.n_convs, n.n_children, s.n_leaves, s.saved_tokens, sha256(coalesce(n.ids, '')) AS ends_sha256
+FROM full_nodes n JOIN sums s USING (d, p) LEFT JOIN nodes u ON u.d = n.d - 1 AND u.p = n.p[1:n.d - 1]
+"""
+
+
+@query("op11_prefix_trie", _OP11_SQL)
+def op11_prefix_trie(spark, sf_dir):
+    """The trie of all conversations, each rebuilt on the first turns of the first of its hundred."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    conv = F.col("conv")
+    return prefix_trie.prefix_trie(turns, conv - conv % 100, F.crc32(conv.cast("string").cast("binary")) % 6, 5)
