@@ -1,12 +1,16 @@
+import csv
 import json
+import random
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemill.session import new_scratch
 from tidemill.sinks.landing import Dataset, TableSpec, land_dataset, land_source, remove_old_versions, save_table
 from tidemill.sources.catalog import Layers, layer_databases, list_columns, require_table, table_exists, tables_in
-from tidemill.sources.files import read_delimited, read_json, read_source, sniff_delimiter, text_survey
+from tidemill.sources import records as records_module
+from tidemill.sources.files import _survey, read_delimited, read_json, read_source, sniff_delimiter, text_survey
 
 from conftest import rows
 
@@ -208,3 +212,87 @@ def test_landing_a_missing_file(spark, tmp_path):
 
 def test_scratch_paths_are_new(spark):
     assert new_scratch(spark, "a") != new_scratch(spark, "a")
+
+
+@pytest.fixture
+def small_splits(spark):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    yield
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_quoted_text_is_cut_into_records_by_many_tasks(spark, tmp_path, small_splits):
+    rng = random.Random(4)
+    parts = ["a", "é", ",", '"', "\n", "\r\n", " ", "\n\n", "x" * 150, ""]
+    records = [(i, "".join(rng.choice(parts) for _ in range(rng.randint(0, 7))) + "!") for i in range(300)]
+    folder = tmp_path / "d.csv"
+    folder.mkdir()
+    for name, own in (("one.csv", records[:299]), ("two.csv", records[299:]), ("none.csv", [])):
+        with open(folder / name, "w", newline="") as f:
+            csv.writer(f, lineterminator="\r\n" if name == "one.csv" else "\n").writerows([("id", "text"), *own])
+    found = read_source(spark, str(folder), delimiter=",")
+    assert rows(found) == [(i, t.replace("\r\n", "\n")) for i, t in records]
+    declared = read_source(spark, str(folder), delimiter=",", schema="text string, id int")
+    assert rows(declared) == sorted((t.replace("\r\n", "\n"), i) for i, t in records)
+    # The cutting itself is spread.
+    states = records_module.starting_states(_survey(spark, str(folder)).selectExpr("file_path", "start", "quotes AS flips", "0 AS outside", "0 AS inside"), "s")
+    cut = records_module.records(records_module.units(spark, str(folder), records_module.CSV), states, records_module.CSV)
+    assert cut.count() == 303 and cut.where("first").count() == 3
+    assert states.where("quoted").count() > 2 and len(cut.select(F.spark_partition_id()).distinct().collect()) > 10
+
+
+@pytest.mark.parametrize("indent", [None, 1])
+def test_json_arrays_are_cut_into_objects_by_many_tasks(spark, tmp_path, small_splits, indent):
+    rng = random.Random(7)
+    parts = ["a", "é", ",", '"', "\n", "\\", "{", "}", "[", "]", "\\u0041", "x" * 120]
+    text = lambda: "".join(rng.choice(parts) for _ in range(rng.randint(0, 9)))
+    data = [{"id": i, "text": text(), "inner": {"list": [{"v": text()}, {"v": i}][: i % 3]}} for i in range(200)]
+    folder = tmp_path / "d.json"
+    folder.mkdir()
+    (folder / "array.json").write_text(" \n" + json.dumps(data[:150], indent=indent, ensure_ascii=False) + "\n")
+    (folder / "objects.json").write_text("\n".join(json.dumps(d, indent=indent) for d in data[150:199]))
+    (folder / "lines of arrays.json").write_text(json.dumps(data[199:], indent=indent) + "\n[]\n")
+    (folder / "empty.json").write_text("")
+    found = read_json(spark, str(folder))
+    assert [(r["id"], r["text"]) for r in found.orderBy("id").collect()] == [(d["id"], d["text"]) for d in data]
+    inner = [[str(x["v"]) for x in d["inner"]["list"]] for d in data]
+    assert [[x["v"] for x in r["inner"]["list"]] for r in found.orderBy("id").collect()] == inner
+    text = records_module.units(spark, str(folder), records_module.JSON)
+    states = records_module.starting_states(records_module.json_changes(text), "s")
+    cut = records_module.records(text, states, records_module.JSON)
+    assert cut.count() == 200 and len(cut.select(F.spark_partition_id()).distinct().collect()) > 10
+
+
+def test_files_that_end_inside_a_record_end_the_job(spark, tmp_path):
+    with pytest.raises(ValueError, match="MALFORMED"):
+        read_source(spark, write(tmp_path / "a.csv", 'a,b\n1,"x\ny\n'))
+    with pytest.raises(ValueError, match="MALFORMED"):
+        read_source(spark, write(tmp_path / "a.json", '[{"a": 1},\n{"a": '))
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST"):
+        read_source(spark, write(tmp_path / "b.json", '[{"a": 1}, oops, {"a": 2}]'), schema="a int").collect()
+
+
+def test_values_of_a_folder_meet_by_their_own_headers(spark, tmp_path):
+    folder = tmp_path / "d.csv"
+    folder.mkdir()
+    write(folder / "a.csv", "a,b\n1,2\n")
+    write(folder / "b.csv", "\ufeffb,a\n3,4\n")
+    found = read_source(spark, str(folder))
+    assert found.dtypes == [("a", "bigint"), ("b", "bigint")] and rows(found) == [(1, 2), (4, 3)]
+    assert rows(read_source(spark, str(folder), schema="b int, a int")) == [(2, 1), (3, 4)]
+    write(folder / "c.csv", 'a,c\n5,"x\ny"\n')
+    write(folder / "d.csv", "b,a\n1.5,6\n")
+    found = read_source(spark, str(folder))
+    assert dict(found.dtypes) == {"a": "bigint", "b": "double", "c": "string"}
+    assert rows(found.select("a", "b", "c")) == [(1, 2.0, None), (4, 3.0, None), (5, None, "x\ny"), (6, 1.5, None)]
+    with pytest.raises(ValueError, match="header"):
+        read_source(spark, str(folder), schema="a int, b int")
+
+
+def test_heads_tell_lines_from_other_json(tmp_path):
+    heads = {'{"a": 1}\n{': True, "": True, '{"a":\n1}': False, "[1]": False, '\n {"a": {"b": 2}}': True, "{oops}\n": True}
+    for i, (text, lines) in enumerate(heads.items()):
+        assert records_module._starts_with_object(write(tmp_path / f"{i}.json", text)) is lines
+    assert not records_module._starts_with_object("viewfs://store/a.json")

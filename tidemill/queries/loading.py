@@ -130,6 +130,37 @@ def scan_json_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_json(spark, path, columns=nations.columns)
 
 
+@query("scan_json_array", CUSTOMER_AS_TEXT_SQL)
+def scan_json_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as a few files of one JSON array each, every object over several lines."""
+    customers = read(spark, sf_dir, "customer")
+    path = new_scratch(spark, "customers")
+    objects = customers.repartition(3, "c_custkey").select(F.to_json(F.struct(*customers.columns), {"pretty": "true"}).alias("value"))
+    objects.mapInPandas(_as_array, "value string").write.text(path)
+    return read_json(spark, path, columns=customers.columns)
+
+
+def _as_array(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The lines of a file that is one array of the given objects."""
+    before = "["
+    for batch in batches:
+        for value in batch["value"]:
+            yield pd.DataFrame({"value": [before + value]})
+            before = ","
+    yield pd.DataFrame({"value": ["]" if before == "," else "[]"]})
+
+
+@query("scan_csv_headers", CUSTOMER_AS_TEXT_SQL)
+def scan_csv_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder whose files name their columns in different orders."""
+    customers = read(spark, sf_dir, "customer")
+    path = new_scratch(spark, "customers")
+    low = F.col("c_custkey") % 3 == 0
+    customers.where(low).write.option("header", True).csv(path)
+    customers.where(~low).select(*reversed(customers.columns)).write.mode("append").option("header", True).csv(path)
+    return read_source(spark, path, delimiter=",").select(*customers.columns)
+
+
 @query(
     "catalog_listing",
     """

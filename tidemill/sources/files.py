@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 import csv
+import functools
 import re
 from collections.abc import Sequence
-from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemill.functions.columns import col
 from tidemill.functions.names import unique_names
+from tidemill.session import stage
+from tidemill.sources import records
 
 # The delimiters a file without a declared one may use, in order of preference.
 DELIMITERS = (",", "\t", ";", "|")
@@ -23,6 +25,8 @@ _ESCAPES = {r"\t": "\t", r"\n": "\n", r"\r": "\r", r"\\": "\\"}
 
 # A doubled quote inside reads as two quoted stretches, which is the same for counting.
 _QUOTED = r'"[^"]*"'
+# May stand before the first name.
+_MARK = "\ufeff"
 
 
 def normalise_delimiter(delimiter: str | None) -> str | None:
@@ -68,36 +72,24 @@ def _reader(spark: SparkSession, path: str, delimiter: str | None, member: str |
 
 
 def read_json(spark: SparkSession, path: str, columns: Sequence[str] | None = None, schema=None) -> DataFrame:
-    """One object per line, or one array per file (which Spark cannot split); a folder may hold both.
+    """Objects, one on a line, over several lines, or in arrays; a folder may hold all of these, and every file is
+    read by many tasks.
 
     A record that is no JSON ends the job. Spark sorts inferred fields by name; ``columns`` restores an order.
     """
-    text = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start")
-    text = text.withColumn("place", F.monotonically_increasing_id())
-    # The first split of a file holds its first line.
-    lines = text.where((F.trim("value") != "") & (F.col("file_block_start") == 0))
-    heads = lines.groupBy("file_path").agg(F.min_by(F.ltrim("value"), "place").alias("head"))
-    # An array that ends on its line is read as a line; several of them may follow each other.
-    arrays = {r["file_path"]: r["head"].startswith("[") and not r["head"].rstrip().endswith("]") for r in heads.collect()}
-
-    def read(paths: str | list[str], multi_line: bool) -> DataFrame:
-        reader = spark.read.options(multiLine=multi_line, inferTimestamp=True, mode="FAILFAST")
-        df = reader.json(paths) if schema is None else reader.schema(schema).json(paths)
-        return _plain_types(df, widen=False)
-
-    df = _by_kind(path, arrays, read)
+    reader = spark.read.options(inferTimestamp=True, mode="FAILFAST")
+    reader = reader if schema is None else reader.schema(schema)
+    if records.all_json_lines(spark, path):
+        df = reader.json(path)
+    else:
+        text = records.units(spark, path, records.JSON)
+        states = records.starting_states(records.json_changes(text), "json-states")
+        found = records.records(text, states, records.JSON)
+        df = records.parsed(found if schema is not None else stage(found, "json-records"), reader, "json")
+    df = _plain_types(df, widen=False)
     return df.select(*[col(c) for c in columns]) if columns else df
 
 
-def _by_kind(path: str, files: dict[str, bool], read) -> DataFrame:
-    """``read(paths, kind)`` of all files of a path, once for each kind that occurs."""
-    kinds = set(files.values()) or {False}
-    if len(kinds) == 1:
-        return read(path, kinds.pop())
-    of_kind = lambda kind: [unquote(f) for f, k in files.items() if k == kind]
-    return read(of_kind(False), False).unionByName(read(of_kind(True), True), allowMissingColumns=True)
-
-
 def read_delimited(
     spark: SparkSession,
     path: str,
@@ -107,52 +99,115 @@ def read_delimited(
 ) -> DataFrame:
     """Delimited text with a header line; the delimiter is sniffed when none is given.
 
-    ``multi_line`` says whether quoted values hold line breaks, which keeps Spark from splitting the
-    files; when it is not said, each file is searched for such values. A declared ``schema`` is matched with
-    the header by name. A line with more or fewer values than the header ends the job.
+    ``multi_line`` says whether quoted values hold line breaks; when it is not said, all lines are searched for such
+    values. Files with them are read by many tasks too, from the states that a first pass finds. Every file is read by
+    its own header: values meet by name, and a name that a file lacks is NULL in its rows. A declared ``schema`` is
+    matched with the headers by name, and a header with other names ends the job, as does a line with more or fewer
+    values than its header.
     """
     delimiter = normalise_delimiter(delimiter)
-    broken: dict[str, bool] = {}
-    if delimiter is None or multi_line is None:
-        found = text_survey(spark, path)
-        delimiter = delimiter or _chosen_delimiter(found, spark, path)
-        broken = {r["file_path"]: r["broken"] for r in found}
-    if multi_line is not None:
-        broken = {"": multi_line}
+    survey = stage(_survey(spark, path), "survey")
+    found = survey.agg(*_summary(), F.max("odd").alias("odd")).first()
+    delimiter = delimiter or _chosen_delimiter([found], found["head"])
+    broken = bool(found["odd"]) if multi_line is None else multi_line
     # Without pruning, as only whole lines can be checked.
-    options = {"sep": delimiter, "header": True, "escape": '"', "mode": "FAILFAST", "columnPruning": False}
-    names = _header(spark, path, delimiter)
-    if schema is not None:
-        declared = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-        if set(declared.names) != set(names) or len(names) != len(declared.names):
-            raise ValueError(f"the header has {names}, the schema {declared.names}")
-        in_file = T.StructType([declared[n] for n in names])
-        # enforceSchema=False holds every file's header against the names.
-        reader = lambda paths, multi: spark.read.options(**options, multiLine=multi, enforceSchema=False).schema(in_file).csv(paths)
-        return _by_kind(path, broken, reader).select(*[col(n) for n in declared.names])
+    options = {"sep": delimiter, "escape": '"', "mode": "FAILFAST", "columnPruning": False}
+    lines = None
+    if broken:
+        states = records.starting_states(survey.select("file_path", "start", F.col("quotes").alias("flips"), F.lit(0).alias("outside"), F.lit(0).alias("inside")), "csv-states")
+        lines = stage(records.records(records.units(spark, path, records.CSV), states, records.CSV), "csv-records")
+        heads = lines.where("first").select("file_path", F.col("value").alias("head"))
+    else:
+        heads = survey.groupBy("file_path").agg(F.min_by("head", "start").alias("head")).where("head IS NOT NULL")
+    # A row for each different header; files come with few.
+    headers = [r["head"] for r in heads.select("head").distinct().orderBy("head").collect()]
+    names = {h: _names(h, delimiter) for h in headers}
+    declared = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    for found_names in names.values():
+        if declared is not None and (set(declared.names) != set(found_names) or len(found_names) != len(declared.names)):
+            raise ValueError(f"the header has {found_names}, the schema {declared.names}")
+    if not broken and len(headers) <= 1:
+        reader = spark.read.options(**options, header=True)
+        if declared is None:
+            return _plain_types(_given_names(reader.options(inferSchema=True).csv(path), names[headers[0]] if headers else []), widen=True)
+        in_file = T.StructType([declared[n] for n in (names[headers[0]] if headers else declared.names)])
+        return reader.options(enforceSchema=False).schema(in_file).csv(path).select(*[col(n) for n in declared.names])
+    if lines is None:
+        lines = _lines(spark, path, heads)
+    if len(headers) > 1:
+        lines = lines.join(heads, "file_path")
+    reader = spark.read.options(**options, header=False)
+    parts = []
+    for head in headers:
+        own = (lines if len(headers) == 1 else lines.where(F.col("head") == head)).where("NOT first").select("value")
+        if declared is not None:
+            parts.append(records.parsed(own, reader.schema(T.StructType([declared[n] for n in names[head]])), "csv").select(*[col(n) for n in declared.names]))
+        else:
+            parts.append(_plain_types(_columns_of(records.parsed(own, reader.options(inferSchema=True), "csv"), names[head], spark), widen=True))
+    if not parts:
+        return spark.createDataFrame([], declared or T.StructType([]))
+    if declared is None:
+        parts = _one_type_each(parts)
+    return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def _lines(spark: SparkSession, path: str, heads: DataFrame) -> DataFrame:
+    """Lines as records, without the first one of every file, which is its header."""
+    text = records.units(spark, path, records.CSV)
+    none = heads.limit(0).select("file_path", F.lit(0).cast("long").alias("start"), F.lit(False).alias("quoted"), F.lit(0).cast("long").alias("depth"))
+    return records.records(text, none, records.LINES)
+
+
+def _columns_of(df: DataFrame, names: list[str], spark: SparkSession) -> DataFrame:
+    """Columns by the header; a file without further lines has columns of text."""
+    if not df.columns:
+        return spark.createDataFrame([], T.StructType([T.StructField(n, T.StringType()) for n in unique_names(names)]))
+    return df.toDF(*unique_names(names)) if len({n.lower() for n in names}) < len(names) else df.toDF(*names)
+
+
+def _one_type_each(parts: list[DataFrame]) -> list[DataFrame]:
+    """Files with different headers are inferred one by one; a column of several types is what holds them all."""
+    kinds: dict[str, set[str]] = {}
+    for part in parts:
+        for name, kind in part.dtypes:
+            kinds.setdefault(name, set()).add(kind)
+    numbers = {"bigint", "double"}
+    common = {n: next(iter(k)) if len(k) == 1 else "double" if k <= numbers else "string" for n, k in kinds.items()}
+    return [p.select(*[col(n).cast(common[n]).alias(n) for n in p.columns]) for p in parts]
+
+
+def _survey(spark: SparkSession, path: str) -> DataFrame:
+    """One row for each split of the files, from one pass over all lines: quotes, whether a line holds an odd number of
+    them, so that a quoted value goes on in the next, how often each delimiter stands outside quotes in a line, at
+    least and at most, and the first line."""
+    text = spark.read.option("lineSep", "\n").text(path)
+    lines = text.select("value", "_metadata.file_path", F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("place"))
+    lines = lines.where(F.trim("value", F.lit(" \r")) != "")
+    count = lambda c, d: F.length(c) - F.length(F.replace(c, F.lit(d), F.lit("")))
+    bare = F.regexp_replace("value", _QUOTED, "")
+    quotes = count(F.col("value"), '"')
+    aggs = [F.sum(quotes).alias("quotes"), (F.max(quotes % 2) == 1).alias("odd"), F.min_by("value", "place").alias("head")]
+    for i, d in enumerate(DELIMITERS):
+        aggs += [F.min(count(bare, d)).alias(f"least{i}"), F.max(count(bare, d)).alias(f"most{i}")]
+    found = lines.groupBy("file_path", "start").agg(*aggs)
+    # Files that end their lines in the oldest way are one line here.
+    head = F.regexp_extract(F.ltrim("head", F.lit(_MARK)), r"^([^\r]*)", 1)
+    return found.withColumn("head", F.when(F.col("start") == F.min("start").over(Window.partitionBy("file_path")), head))
 
-    def read(paths: str | list[str], multi: bool) -> DataFrame:
-        df = spark.read.options(**options, multiLine=multi, inferSchema=True).csv(paths)
-        return _plain_types(_given_names(df, names), widen=True)
 
-    return _by_kind(path, broken, read)
+def _summary() -> list:
+    """A survey of several splits as one."""
+    return [f(F.col(f"{n}{i}")).alias(f"{n}{i}") for i in range(len(DELIMITERS)) for n, f in (("least", F.min), ("most", F.max))] + [F.min_by("head", F.struct("file_path", "start")).alias("head")]
 
 
 def text_survey(spark: SparkSession, path: str) -> list[Row]:
-    """One row per file, from one pass over all lines: whether a line holds an odd number of quotes, so that
-    a quoted value goes on in the next, and how often each delimiter stands outside quotes, at least and at most."""
-    lines = spark.read.text(path).select("value", "_metadata.file_path").where(F.trim("value") != "")
-    count = lambda c, d: F.length(c) - F.length(F.replace(c, F.lit(d), F.lit("")))
-    bare = F.regexp_replace("value", _QUOTED, "")
-    aggs = [(F.max(count(F.col("value"), '"') % 2) == 1).alias("broken")]
-    for i, d in enumerate(DELIMITERS):
-        aggs += [F.min(count(bare, d)).alias(f"least{i}"), F.max(count(bare, d)).alias(f"most{i}")]
-    return lines.groupBy("file_path").agg(*aggs).collect()
+    """One row per file: whether quoted values go on over lines, and how often each delimiter stands in a line."""
+    found = _survey(spark, path).groupBy("file_path").agg(F.max("odd").alias("broken"), *_summary())
+    return found.collect()
 
 
-def _header(spark: SparkSession, path: str, delimiter: str) -> list[str]:
-    line = spark.read.text(path).first()
-    return next(csv.reader([line[0].lstrip("\ufeff")], delimiter=delimiter)) if line else []
+def _names(head: str, delimiter: str) -> list[str]:
+    return next(csv.reader([head.lstrip(_MARK)], delimiter=delimiter))
 
 
 def _given_names(df: DataFrame, names: list[str]) -> DataFrame:
@@ -177,17 +232,17 @@ def _plain_types(df: DataFrame, widen: bool) -> DataFrame:
 
 def sniff_delimiter(spark: SparkSession, path: str) -> str:
     """The delimiter that splits all lines into the same, largest number of fields."""
-    return _chosen_delimiter(text_survey(spark, path), spark, path)
+    found = text_survey(spark, path)
+    return _chosen_delimiter(found, min(found, key=lambda r: r["file_path"])["head"] if found else None)
 
 
-def _chosen_delimiter(found: Sequence[Row], spark: SparkSession, path: str) -> str:
-    least = [min((r[f"least{i}"] for r in found), default=0) for i in range(len(DELIMITERS))]
-    most = [max((r[f"most{i}"] for r in found), default=0) for i in range(len(DELIMITERS))]
+def _chosen_delimiter(found: Sequence[Row], head: str | None) -> str:
+    least = [min((r[f"least{i}"] or 0 for r in found), default=0) for i in range(len(DELIMITERS))]
+    most = [max((r[f"most{i}"] or 0 for r in found), default=0) for i in range(len(DELIMITERS))]
     steady = {d: n for d, n, m in zip(DELIMITERS, least, most) if n and n == m}
     if steady:
         return max(steady, key=steady.get)
     # Ragged or quoted-over-lines text: trust the header line.
-    line = spark.read.text(path).where(F.trim("value") != "").first()
-    bare = re.sub(_QUOTED, "", line[0]) if line else ""
+    bare = re.sub(_QUOTED, "", head) if head else ""
     header = {d: bare.count(d) for d in DELIMITERS if bare.count(d)}
     return max(header, key=header.get) if header else DELIMITERS[0]
