@@ -5,6 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemill.operators.ranking import (
+    bracket,
+    bracketed_medians,
     global_rank,
     grouped_median,
     numbered_ranges,
@@ -86,6 +88,37 @@ def test_ranged_median_of_n(spark, n):
     assert grouped_median(df, ["g"], "v").first()["median"] == statistics.median(range(n))
 
 
+def test_only_values_near_the_middle_are_shuffled(spark):
+    n = 40_000
+    df = spark.range(n).select((F.col("id") % 3).alias("g"), F.rand(5).alias("v"))
+    brackets = df.groupBy("g").agg(*bracket("v"))
+    ends = {r["g"]: (r["_low"], r["_high"]) for r in brackets.collect()}
+    data = {}
+    for r in df.collect():
+        data.setdefault(r["g"], []).append(r["v"])
+    for g, values in data.items():
+        low, high = ends[g]
+        assert low <= statistics.median(values) <= high and sum(low <= v <= high for v in values) < len(values) / 50
+    assert {r["g"]: r["median"] for r in grouped_median(df, ["g"], "v").collect()} == {g: statistics.median(v) for g, v in data.items()}
+
+
+@pytest.mark.parametrize(("low", "high"), [(0.9, 0.95), (-5.0, 0.2), (0.5, 0.5)])
+def test_a_bracket_that_misses_the_middle_is_noticed(spark, low, high):
+    df = spark.range(1000).select((F.col("id") % 2 == 0).alias("g"), (F.col("id") / 1000).alias("v"))
+    brackets = spark.createDataFrame([(True, low, high), (False, 0.4, 0.6)], "g boolean, _low double, _high double")
+    found = {r["g"]: r["m"] for r in bracketed_medians(df, brackets, ["g"], "v", "m").collect()}
+    assert found == pytest.approx({True: 0.499, False: 0.5})
+    alone = spark.createDataFrame([(low, high)], "_low double, _high double")
+    assert bracketed_medians(df, alone, [], "v", "m").first()["m"] == pytest.approx(0.4995)
+
+
+def test_medians_at_the_ends_of_the_scale(spark):
+    inf, nan = float("inf"), float("nan")
+    df = spark.createDataFrame([(1, -inf), (1, -inf), (1, 5.0), (2, nan), (2, nan), (2, 1.0), (3, inf), (3, inf), (3, -inf)], "g int, v double")
+    found = {r["g"]: r["median"] for r in grouped_median(df, ["g"], "v").collect()}
+    assert found[1] == -inf and found[2] != found[2] and found[3] == inf
+
+
 def test_median_over_two_keys(spark):
     df = spark.createDataFrame([(1, "a", 1), (1, "a", 4), (1, None, 7), (2, "a", 9)], "x int, y string, v int")
     assert rows(grouped_median(df, ["x", "y"], "v")) == [(1, None, 7.0), (1, "a", 2.5), (2, "a", 9.0)]

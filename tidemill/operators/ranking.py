@@ -64,16 +64,82 @@ def grouped_median(
 ) -> DataFrame:
     """Exact interpolated median of ``value`` per group, one row per group; without keys, of all rows.
 
-    Spark's ``median`` holds every distinct value of a group in one buffer, which no bound keeps small. Here
-    equal values are counted first and the weighted values range partitioned, so no task holds more than one
-    range of one group. A group of nothing but NULLs has a NULL median. ``accuracy`` asks for
+    Spark's ``median`` holds every distinct value of a group in one buffer, which no bound keeps small. Here a
+    mergeable sketch brackets the middle of every group in a first pass; the second counts what lies below and
+    above, and only values inside the bracket are shuffled, counted and range partitioned, so that no task holds
+    more than one range of one group. A group of nothing but NULLs has a NULL median. ``accuracy`` asks for
     ``percentile_approx`` instead.
     """
     if accuracy is not None:
         return df.groupBy(*[col(k) for k in keys]).agg(F.percentile_approx(col(value), 0.5, accuracy).alias(name))
-    weighted = value_weights(df, keys, value)
-    medians = weighted_medians(weighted, keys, name)
-    return with_medians(weighted.select(*[col(k) for k in keys]).distinct(), medians, keys, name) if keys else medians
+    brackets = stage(df.groupBy(*[col(k) for k in keys]).agg(*bracket(value)), "brackets")
+    medians = bracketed_medians(df, brackets, keys, value, name)
+    return with_medians(brackets.select(*[col(k) for k in keys]), medians, keys, name) if keys else medians
+
+
+# Ranks of the sketch are off by at most one part in so many, so twice that on either side holds the middle.
+BRACKET_ACCURACY = 1000
+
+
+def bracket(value: str) -> list[Column]:
+    """Aggregates that bracket the median of a column: ``_low`` and ``_high``, NULL where there is no value."""
+    ends = F.percentile_approx(col(value).cast("double"), [0.5 - 2 / BRACKET_ACCURACY, 0.5 + 2 / BRACKET_ACCURACY], BRACKET_ACCURACY)
+    return [F.get(ends, F.lit(0)).alias("_low"), F.get(ends, F.lit(1)).alias("_high")]
+
+
+def bracketed_medians(df: DataFrame, brackets: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
+    """Medians of the groups with a value, from staged ``brackets``: one row of keys, ``_low`` and ``_high`` each.
+
+    What is outside a bracket becomes one row of a task and group, at an end of the scale. Should a middle come to
+    lie outside, its group is counted in full.
+    """
+    ends = brackets.select(*[col(k).alias(f"_b{i}") for i, k in enumerate(keys)], "_low", "_high")
+    v = col(value).cast("double")
+    rows = df.where(col(value).isNotNull()).select(*[col(k) for k in keys], v.alias("_v"))
+    same = reduce(lambda a, b: a & b, [col(k).eqNullSafe(F.col(f"_b{i}")) for i, k in enumerate(keys)], F.lit(True))
+    rows = rows.join(ends, same) if keys else with_one_row(rows, ends)
+    lowest, highest = F.lit(float("-inf")), F.lit(float("nan"))
+    place = F.when(F.col("_v") < F.col("_low"), lowest).when(F.col("_v") > F.col("_high"), highest).otherwise(F.col("_v"))
+    inside = (F.col("_v") >= F.col("_low")) & (F.col("_v") <= F.col("_high"))
+    placed = rows.select(*[col(k) for k in keys], place.alias("_v"), inside.alias("_inside"))
+    # An end of the scale may be a value of its own; then it is told apart by the flag.
+    counted = placed.groupBy(*[col(k) for k in keys], "_v", "_inside").agg(F.count(F.lit(1)).alias("_w"))
+    weighted = _ranged(counted, keys)
+    found = weighted_medians(weighted, keys, name)
+    missed = _missed(weighted, keys)
+    if missed.isEmpty():
+        return found
+    key_cols = [col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    theirs = missed.select(*key_cols) if keys else missed
+    again = df.join(theirs, reduce(lambda a, b: a & b, [col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]), "left_semi") if keys else df
+    full = weighted_medians(value_weights(again, keys, value), keys, name)
+    if not keys:
+        return full
+    right = found.join(theirs, reduce(lambda a, b: a & b, [col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]), "left_anti")
+    return right.unionByName(full)
+
+
+def with_one_row(rows: DataFrame, one: DataFrame) -> DataFrame:
+    """Every row with the columns of a table of one row, which is read once."""
+    values = one.first()
+    return rows.withColumns({c: F.lit(values[c]).cast(one.schema[c].dataType) for c in one.columns})
+
+
+def _missed(weighted: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Groups whose middle is not inside their bracket."""
+    w = lambda condition: F.sum(F.when(condition, F.col("_w")).otherwise(0))
+    below = w(~F.col("_inside") & (F.col("_v") == float("-inf")))
+    total = F.sum("_w")
+    sums = weighted.groupBy(*[col(k) for k in keys]).agg(below.alias("_below"), w(F.col("_inside")).alias("_within"), total.alias("_total"))
+    low, high = F.floor((F.col("_total") + 1) / 2), F.floor(F.col("_total") / 2) + 1
+    return sums.where((F.col("_total") > 0) & ((low <= F.col("_below")) | (high > F.col("_below") + F.col("_within"))))
+
+
+def _ranged(weighted: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Weighted values in range partitions by group and value (``_part``), written once."""
+    ranges = weighted.repartitionByRange(*[F.asc_nulls_first(c) for c in (*keys, "_v")])
+    # Every file holds one partition number, so its footer tells whether a filter on it needs the file.
+    return stage(ranges.withColumn("_part", F.spark_partition_id()), "weights")
 
 
 def value_weights(df: DataFrame, keys: Sequence[str], value: str, *more: Column) -> DataFrame:
@@ -83,10 +149,7 @@ def value_weights(df: DataFrame, keys: Sequence[str], value: str, *more: Column)
     A group's NULLs are one row of no weight.
     """
     key_cols = [col(k) for k in keys]
-    weighted = df.groupBy(*key_cols, col(value).cast("double").alias("_v")).agg(F.count(col(value)).alias("_w"), *more)
-    ranges = weighted.repartitionByRange(*[F.asc_nulls_first(c) for c in (*keys, "_v")])
-    # Every file holds one partition number, so its footer tells whether a filter on it needs the file.
-    return stage(ranges.withColumn("_part", F.spark_partition_id()), "weights")
+    return _ranged(df.groupBy(*key_cols, col(value).cast("double").alias("_v")).agg(F.count(col(value)).alias("_w"), *more), keys)
 
 
 def with_medians(groups: DataFrame, medians: DataFrame, keys: Sequence[str], name: str) -> DataFrame:

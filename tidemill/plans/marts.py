@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions.columns import col
 from tidemill.operators.joins import with_scalars
-from tidemill.operators.ranking import global_rank, value_weights, weighted_medians, with_medians
+from tidemill.operators.ranking import bracket, bracketed_medians, global_rank, with_medians
 from tidemill.plans.staging import present_any
 from tidemill.session import stage
 
@@ -17,22 +17,21 @@ from tidemill.session import stage
 def stats_by_group(df: DataFrame, group: str, value: str, second: str, digits: int = 2, second_digits: int = 1) -> DataFrame:
     """Statistics of ``value`` per group, for groups with at least one value, highest average first.
 
-    ``df`` is read once: all figures, the median too, come from its weighted values.
+    ``df`` is read twice: all figures and a bracket around the median come from one aggregation, and the median from
+    a second pass that shuffles only what lies inside the brackets.
     """
-    s = col(second)
-    weighted = value_weights(
-        df, [group], value, F.count(F.lit(1)).alias("_rows"), F.sum(s).alias("_s"), F.count(s).alias("_c")
+    v, s = col(value), col(second)
+    stats = df.groupBy(col(group).alias(group)).agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count(v).alias("n_with_value"),
+        F.round(F.avg(v).cast("double"), digits).alias("avg_value"),
+        F.max(v).alias("max_value"),
+        F.min(v).alias("min_value"),
+        F.round(F.avg(s).cast("double"), second_digits).alias("avg_second"),
+        *bracket(value),
     )
-    kind = df.schema[value].dataType
-    stats = weighted.groupBy(col(group).alias(group)).agg(
-        F.sum("_rows").alias("n_rows"),
-        F.sum("_w").alias("n_with_value"),
-        F.round(F.try_divide(F.sum(F.col("_v") * F.col("_w")), F.sum("_w")), digits).alias("avg_value"),
-        F.max("_v").cast(kind).alias("max_value"),
-        F.min("_v").cast(kind).alias("min_value"),
-        F.round(F.try_divide(F.sum("_s"), F.sum("_c")).cast("double"), second_digits).alias("avg_second"),
-    )
-    stats = with_medians(stats.where("n_with_value > 0"), weighted_medians(weighted, [group], "median_value"), [group], "median_value")
+    stats = stage(stats.where("n_with_value > 0"), "stats")
+    stats = with_medians(stats, bracketed_medians(df, stats, [group], value, "median_value"), [group], "median_value")
     return stats.select(
         col(group), "n_rows", "n_with_value", "avg_value",
         F.round("median_value", digits).alias("median_value"), "max_value", "min_value", "avg_second",
