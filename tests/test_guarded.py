@@ -1,5 +1,7 @@
 """The guard as a security boundary: every payload that was ever thought of stays here."""
 
+import os
+
 import pytest
 
 from tidemill.plans.guarded import GuardedSession
@@ -217,6 +219,33 @@ def test_joins_that_repeat_rows_are_told(session):
     assert warned(f"SELECT sum(v) AS sv FROM ({one}) a JOIN ({one}) b USING (k)") == []
 
 
+def test_joins_that_repeat_rows_are_told_wherever_they_stand(session):
+    one = "SELECT * FROM VALUES (1, 10), (2, 20) AS t(k, v)"
+    many = "SELECT * FROM VALUES (1, 5), (1, 6), (2, 7) AS t(k, w)"
+    joined = f"SELECT a.k, v, v + 1 AS more, w FROM ({one}) a JOIN ({many}) b ON a.k = b.k"
+    warned = lambda sql: {w["column_name"]: w["high"] for w in session.run(sql).warnings if w["kind"] == "join_fanout"}
+    assert warned(f"WITH j AS ({joined}) SELECT sum(more) AS s, sum(w) AS t FROM j") == {"s": 2.0}
+    assert warned(f"WITH j AS ({joined}) SELECT sum(x.v) AS s FROM j x WHERE x.v > 0 UNION ALL SELECT count(*) AS c FROM j") == {"s": 2.0, "c": 2.0}
+    assert warned(f"SELECT sum(v) AS s FROM ({joined} ORDER BY v)") == {"s": 2.0}
+    assert warned(f"SELECT sum(v) AS s FROM (SELECT v, row_number() OVER (ORDER BY w) AS r FROM ({joined}))") == {"s": 2.0}
+    assert warned(f"SELECT sum(x) AS s FROM (SELECT v AS x FROM ({joined}) UNION ALL SELECT w AS x FROM ({many}))") == {"s": 2.0}
+    assert warned(f"SELECT sum(v) AS s, sum(w) AS t FROM ({one}) a CROSS JOIN ({many}) b") == {"s": 3.0, "t": 2.0}
+    assert warned(f"SELECT sum(v) AS s FROM ({one}) a CROSS JOIN (SELECT max(w) AS m FROM ({many})) b") == {}
+    assert warned(f"WITH j AS (SELECT DISTINCT k, v FROM ({joined})) SELECT sum(v) AS s FROM j") == {}
+
+
+def test_a_query_runs_once_and_later_hops_read_what_it_wrote(spark, zoo):
+    session = GuardedSession(spark, [zoo.marts])
+    chain = session.chain(["SELECT id, rand() AS x FROM range(50)", "SELECT id, x, NULL AS none FROM hop_1_result ORDER BY x DESC", "SELECT max(x) AS m FROM hop_2_result"])
+    first, second, third = ({r["id"]: r["x"] for r in h.rows} if "id" in h.frame.columns else h.rows for h in chain.hops)
+    assert first == second == {r["id"]: r["x"] for r in chain.hops[0].frame.collect()} and third[0]["m"] == max(first.values())
+    assert [r["x"] for r in chain.hops[1].frame.collect()] == sorted(first.values(), reverse=True)
+    assert chain.hops[1].frame.dtypes[2] == ("none", "void")
+    written = list(session.results.paths)
+    session.close()
+    assert len(written) == 3 and not any(os.path.exists(p.removeprefix("file:")) for p in written)
+
+
 def test_empty_results_are_not_registered(session):
     chain = session.chain(["SELECT 1 AS a WHERE false", "SELECT * FROM hop_1_result"])
     assert chain.outcome == "failed" and len(chain.hops) == 2

@@ -11,8 +11,9 @@ import re
 import threading
 import time
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from typing import Any
 
 from py4j import java_gateway
 from pyspark.errors import AnalysisException, ParseException
@@ -20,6 +21,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.operators.sanity import result_sanity
+from tidemill.plans.results import ResultStore
 from tidemill.session import child_session
 
 ROW_CAP = 1000
@@ -109,17 +111,52 @@ def _items(seq) -> list:
     return [seq.apply(i) for i in range(seq.size())]
 
 
-def _joins_below(plan) -> list:
-    """Joins whose rows reach ``plan`` as they are: through renames, filters, projections and other joins."""
+class _Lineage:
+    """Which columns further down in a plan the columns used above are made of, by expression id."""
+
+    def __init__(self, made: dict[int, frozenset[int]] | None = None):
+        self.made = made or {}
+
+    def below(self, expression_id: int) -> frozenset[int]:
+        return self.made.get(expression_id, frozenset([expression_id]))
+
+    def through(self, named: list[tuple[int, frozenset[int]]]) -> _Lineage:
+        """One projection further down: outputs and the columns each is made of."""
+        own = dict(named)
+        step = lambda ids: frozenset(y for x in ids for y in own.get(x, (x,)))
+        return _Lineage({**own, **{k: step(v) for k, v in self.made.items()}})
+
+
+# Nodes that hand all rows of their child on, each once.
+_ROW_KEEPING = frozenset({"Filter", "SubqueryAlias", "View", "Sort", "Window", "RepartitionByExpression", "Repartition", "ResolvedHint", "GlobalLimit", "LocalLimit"})
+_REPEATING_JOINS = frozenset({"INNER", "CROSS", "LEFT OUTER", "RIGHT OUTER", "FULL OUTER"})
+
+
+def _ids(expression) -> frozenset[int]:
+    return frozenset(a.exprId().id() for a in _items(expression.references().toSeq()))
+
+
+def _joins_below(plan, lineage: _Lineage) -> list[tuple]:
+    """(join, lineage) of joins whose rows reach ``plan`` as they are: through renames, filters, projections, sorts,
+    windows, unions and other joins."""
     kind = plan.getClass().getSimpleName()
     if kind == "Join":
-        inner = [j for side in (plan.left(), plan.right()) for j in _joins_below(side)]
-        return [plan, *inner] if plan.joinType().sql() in ("INNER", "LEFT OUTER", "RIGHT OUTER", "FULL OUTER") else inner
-    if kind in ("Project", "Filter", "SubqueryAlias", "View"):
-        return _joins_below(plan.child())
+        inner = [j for side in (plan.left(), plan.right()) for j in _joins_below(side, lineage)]
+        return [(plan, lineage), *inner] if plan.joinType().sql() in _REPEATING_JOINS else inner
+    if kind == "Project":
+        made = [(e.exprId().id(), _ids(e)) for e in _items(plan.projectList()) if e.getClass().getSimpleName() == "Alias"]
+        return _joins_below(plan.child(), lineage.through(made))
+    if kind == "Union":
+        return [j for side in _items(plan.children()) for j in _joins_below(side, lineage.through(_same_places(plan, side)))]
+    if kind in _ROW_KEEPING:
+        return _joins_below(plan.child(), lineage)
     return []
 
 
+def _same_places(outer, inner) -> list[tuple[int, frozenset[int]]]:
+    return [(a.exprId().id(), frozenset([b.exprId().id()])) for a, b in zip(_items(outer.output()), _items(inner.output()))]
+
+
 def _equal_keys(join) -> list[tuple[int, int]]:
     """Pairs (column of the left side, column of the right side) that the join holds equal."""
     left, right = ({a.exprId().id() for a in _items(side.output())} for side in (join.left(), join.right()))
@@ -141,7 +178,7 @@ def _equal_keys(join) -> list[tuple[int, int]]:
     return pairs
 
 
-def _summed_from(aggregate, side) -> list[str]:
+def _summed_from(aggregate, side, lineage: _Lineage) -> list[str]:
     """Outputs of an aggregation that sum, count or average columns of one side alone, or count rows."""
     own = {a.exprId().id() for a in _items(side.output())}
     names = []
@@ -150,7 +187,7 @@ def _summed_from(aggregate, side) -> list[str]:
         while waiting:
             e = waiting.pop()
             if e.getClass().getSimpleName() == "AggregateExpression":
-                used = {a.exprId().id() for a in _items(e.references().toSeq())}
+                used = {x for i in _ids(e) for x in lineage.below(i)}
                 if not e.isDistinct() and e.aggregateFunction().prettyName() in ("sum", "count", "avg", "mean") and used <= own:
                     names.append(output.name())
                 continue
@@ -171,6 +208,7 @@ class GuardedSession:
         self.row_cap = row_cap
         self.timeout_s = timeout_s
         self.turns = 0
+        self.results = ResultStore(self.spark)
 
     def plan(self, sql: str) -> Planned:
         """Check and analyse; runs no query."""
@@ -238,7 +276,12 @@ class GuardedSession:
             return self._not_allowed(plan.desc().identifier())
         if name == "LogicalRelation":
             table = plan.catalogTable()
-            return self._not_allowed(table.get().identifier()) if table.isDefined() else "a file is not a relation"
+            if table.isDefined():
+                return self._not_allowed(table.get().identifier())
+            location = getattr(plan.relation(), "location", None)
+            own = location is not None and all(self.results.holds(p.toString()) for p in _items(location().rootPaths()))
+            # What an earlier query of this session has written may be read again.
+            return None if own else "a file is not a relation"
         if name == "HiveTableRelation":
             return self._not_allowed(plan.tableMeta().identifier())
         below = list(_subplans(plan))
@@ -257,55 +300,67 @@ class GuardedSession:
         return f"{identifier.unquotedString()} is outside {sorted(self.databases)}"
 
     def run(self, sql: str) -> Outcome:
-        """Run a query; at most the row cap reaches the driver."""
+        """Run a query, once: its whole result is written, and rows and warnings are read from there. At most the row
+        cap reaches the driver."""
         planned = self.plan(sql)
         if planned.refusal is not None:
             return Outcome(refusal=planned.refusal)
         started = time.monotonic()
         try:
+            stored = self._within_time(lambda: self.results.write(planned.frame))
             # One row more than the cap tells whether the result was cut.
-            rows = self._collect(planned.frame.limit(self.row_cap + 1))
+            rows = self._collect(stored.first(self.row_cap + 1))
             # All rows are judged, not only those shown.
-            warnings = self._collect(result_sanity(planned.frame)) + self._fanouts(planned.frame)
+            warnings = self._collect(result_sanity(stored.frame_of(stored.rows))) + self._fanouts(planned.frame)
         except Exception as e:  # Spark errors, and the JVM error of a job the timer cancelled
             return Outcome(refusal=Refusal(EXECUTION_ERROR, "execution failed", str(e)))
         truncated = len(rows) > self.row_cap
         rows = rows[: self.row_cap]
         provenance = Provenance(sql, int((time.monotonic() - started) * 1000), len(rows), truncated)
-        return Outcome(planned.frame, rows, provenance, warnings=warnings)
+        return Outcome(stored.frame, rows, provenance, warnings=warnings)
+
+    def close(self) -> None:
+        """Delete the results; frames and views that read them may not be used any more."""
+        self.results.clear()
 
     def _fanouts(self, frame: DataFrame) -> list[Row]:
         """A warning for every sum, count or average of one side's values that a join has repeated before.
 
         The analysed plan tells which joins stand below an aggregation and on which columns; how often the
-        other side holds a key is measured on the data. An aggregation between join and sum ends the search.
+        other side holds a key is measured on the data, and of a join without a condition, how many rows the other
+        side has. An aggregation between join and sum ends the search. Joins on a range alone are not measured.
         """
         found = {}
-        waiting = [frame._jdf.queryExecution().analyzed()]
+        # Common tables stand where they are named, so that any part of the plan can be counted by itself.
+        inline = self.spark._jvm.org.apache.spark.sql.catalyst.optimizer.InlineCTE(True, False)
+        waiting = [inline.apply(frame._jdf.queryExecution().analyzed())]
         while waiting:
             node = waiting.pop()
             waiting += list(_subplans(node))
             if node.getClass().getSimpleName() == "Aggregate":
-                for join in _joins_below(node.child()):
-                    for column, most in self._repeated(node, join):
+                for join, lineage in _joins_below(node.child(), _Lineage()):
+                    for column, most in self._repeated(node, join, lineage):
                         found[column] = max(most, found.get(column, 0))
         return [Row(kind="join_fanout", column_name=c, low=None, high=float(n)) for c, n in sorted(found.items())]
 
-    def _repeated(self, aggregate, join) -> list[tuple[str, int]]:
+    def _repeated(self, aggregate, join, lineage: _Lineage) -> list[tuple[str, int]]:
         """(column, most rows of one key) for the aggregates over a side whose rows ``join`` repeats."""
         out = []
         keys = _equal_keys(join)
-        if not keys:
+        if not keys and join.condition().isDefined():
             return out
         for mine, other, at in ((join.left(), join.right(), 1), (join.right(), join.left(), 0)):
-            columns = _summed_from(aggregate, mine)
+            columns = _summed_from(aggregate, mine, lineage)
             if not columns:
                 continue
-            theirs = self._columns(other, [pair[at] for pair in keys])
-            # Keys that meet nothing repeat nothing.
-            met = theirs.join(self._columns(mine, [pair[1 - at] for pair in keys]).distinct(), theirs.columns, "left_semi")
-            counts = met.groupBy(*theirs.columns).agg(F.count(F.lit(1)).alias("n"))
-            most = self._collect(counts.agg(F.max("n")))[0][0] or 0
+            if keys:
+                theirs = self._columns(other, [pair[at] for pair in keys])
+                # Keys that meet nothing repeat nothing.
+                met = theirs.join(self._columns(mine, [pair[1 - at] for pair in keys]).distinct(), theirs.columns, "left_semi")
+                counts = met.groupBy(*theirs.columns).agg(F.count(F.lit(1)).alias("n"))
+                most = self._collect(counts.agg(F.max("n")))[0][0] or 0
+            else:
+                most = self._collect(self._columns(other, []).agg(F.count(F.lit(1))))[0][0]
             if most > 1:
                 out += [(c, most) for c in columns]
         return out
@@ -315,9 +370,12 @@ class GuardedSession:
         place = {a.exprId().id(): i for i, a in enumerate(_items(plan.output()))}
         rows = DataFrame(self.spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(self.spark._jsparkSession, plan), self.spark)
         rows = rows.toDF(*[f"c{i}" for i in range(len(place))])
-        return rows.select(*[F.col(f"c{place[x]}").alias(f"k{i}") for i, x in enumerate(ids)]).dropna()
+        return rows.select(*[F.col(f"c{place[x]}").alias(f"k{i}") for i, x in enumerate(ids)]).dropna() if ids else rows
 
     def _collect(self, frame: DataFrame) -> list[Row]:
+        return self._within_time(frame.collect)
+
+    def _within_time(self, step: Callable[[], Any]) -> Any:
         context = self.spark.sparkContext
         group = f"guarded-{uuid.uuid4().hex}"
         before = {k: context.getLocalProperty(k) for k in _GROUP_PROPERTIES}
@@ -325,7 +383,7 @@ class GuardedSession:
         timer = threading.Timer(self.timeout_s, context.cancelJobGroup, [group])
         timer.start()
         try:
-            return frame.collect()
+            return step()
         finally:
             timer.cancel()
             for key, value in before.items():
@@ -334,7 +392,7 @@ class GuardedSession:
     def chain(self, steps: Sequence[str], display: int | None = None, max_hops: int = MAX_HOPS) -> Chain:
         """Run queries in order; each may read ``hop_N_result`` of those before it.
 
-        A hop's result is a view on its query, so later hops are planned through it and see all of
+        A hop's result is a view on what its query wrote, so later hops compute none of it again and see all of
         it, not the capped rows. The chain stops at the first refusal or failure. One of more than
         ``max_hops`` steps is refused as a whole.
         """
@@ -349,7 +407,7 @@ class GuardedSession:
                 break
             if outcome.rows:
                 outcome.frame.createOrReplaceTempView(f"hop_{number}_result")
-        # The frames keep the plans; the names belong to this chain only.
+        # The frames keep their files; the names belong to this chain only.
         for number in range(1, len(hops) + 1):
             self.spark.catalog.dropTempView(f"hop_{number}_result")
         done = [i for i, h in enumerate(hops, start=1) if h.ok]

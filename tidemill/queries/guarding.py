@@ -90,3 +90,17 @@ def guarded_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
     warnings = [w for sql in (_REPEATING, _REDUCED) for w in session.run(sql.format(f"{db}.")).warnings]
     rows = [(w["column_name"], w["high"]) for w in warnings if w["kind"] == "join_fanout"]
     return local_frame(spark, rows, "column_name string, most double")
+
+
+_IN_CTE = """
+    WITH joined AS (SELECT c.c_mktsegment, c.c_acctbal AS balance, o.o_totalprice FROM {0}customer c JOIN {0}orders o ON c.c_custkey = o.o_custkey)
+    SELECT c_mktsegment, sum(balance + 1) AS balance, sum(o_totalprice) AS spend FROM (SELECT * FROM joined ORDER BY balance) GROUP BY c_mktsegment
+"""
+
+
+@query("guarded_fanout_cte", "SELECT 'balance' AS column_name, max(n)::DOUBLE AS most FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey) HAVING max(n) > 1")
+def guarded_fanout_cte(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same behind a common table, a renamed column and a sort."""
+    session, db = guarded_session(spark, sf_dir)
+    rows = [(w["column_name"], w["high"]) for w in session.run(_IN_CTE.format(f"{db}.")).warnings if w["kind"] == "join_fanout"]
+    return local_frame(spark, rows, "column_name string, most double")
