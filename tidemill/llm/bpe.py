@@ -9,7 +9,6 @@ separately; a match that is a token as a whole is that token.
 from __future__ import annotations
 
 import base64
-import hashlib
 import struct
 
 import numpy as np
@@ -19,14 +18,11 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tidemill.llm.text import chunks, map_batches
+from tidemill.llm.text import chunks, map_stream
 
 # Matches kept with their ids in each worker before the memory is cleared.
 REMEMBERED = 200_000
 
-_codecs: dict[str, Codec] = {}
-
-
 def byte_characters() -> list[str]:
     """One printable character for each byte: itself where printable, else the next free one above 255."""
     printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -79,8 +75,9 @@ def sentencepiece_model(tokens: list[bytes]) -> bytes:
 class Codec:
     """Encodes and decodes with the ranks of one file."""
 
-    def __init__(self, data: bytes, pattern: str):
+    def __init__(self, data: bytes, pattern: str, model: bytes | None = None):
         self.tokens = parse_ranks(data)
+        self.model = model
         self.processor: sentencepiece.SentencePieceProcessor | None = None
         self.names = dict(enumerate(byte_characters()))
         # Python's \s takes four control characters that Unicode does not count as white space.
@@ -89,7 +86,7 @@ class Codec:
 
     def _prepare(self) -> None:
         """What only encoding needs."""
-        self.processor = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_model(self.tokens))
+        self.processor = sentencepiece.SentencePieceProcessor(model_proto=self.model or sentencepiece_model(self.tokens))
         self.whole = {token: struct.pack("<I", rank) for rank, token in enumerate(self.tokens)}
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -116,14 +113,6 @@ class Codec:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-def _codec(data: bytes, pattern: str) -> Codec:
-    key = hashlib.sha256(data + pattern.encode()).hexdigest()
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(data, pattern)
-    return _codecs[key]
-
-
 def _with_binary(df: DataFrame, output: str) -> tuple[DataFrame, T.StructType]:
     df = df.drop(output)
     return df, T.StructType([*df.schema.fields, T.StructField(output, T.BinaryType())])
@@ -136,21 +125,22 @@ def encode(df: DataFrame, ranks_file: str, pattern: str, text: str = "text", out
     output is replaced. The rank file is read on the driver and sent along; its size is the vocabulary's.
     """
     with open(ranks_file, "rb") as f:
-        shared = df.sparkSession.sparkContext.broadcast(f.read())
+        ranks = f.read()
+    # Written here once, so that tasks only load it.
+    shared = df.sparkSession.sparkContext.broadcast((ranks, sentencepiece_model(parse_ranks(ranks))))
     df, schema = _with_binary(df, output)
     at = df.columns.index(text)
 
     def run(batches):
-        codec = _codec(shared.value, pattern)
+        # Gone with the task: workers stay for other tasks and stages, which need the memory.
+        codec = Codec(shared.value[0], pattern, shared.value[1])
         for batch in batches:
             ids = []
             for chunk in chunks(batch.column(at)):
                 ids += codec.encode([str(chunk.slice(r), "utf-8") for r in range(chunk.rows)])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.binary())], names=schema.names)
-        # Workers stay for other tasks, which need the memory.
-        codec.known.clear()
 
-    return df.mapInArrow(run, schema)
+    return map_stream(df, run, schema)
 
 
 def decode(df: DataFrame, ranks_file: str, pattern: str, ids: str = "token_ids", output: str = "decoded") -> DataFrame:
@@ -160,9 +150,10 @@ def decode(df: DataFrame, ranks_file: str, pattern: str, ids: str = "token_ids",
     df, schema = _with_binary(df, output)
     at = df.columns.index(ids)
 
-    def run(batch: pa.RecordBatch):
-        codec = _codec(shared.value, pattern)
-        texts = [codec.decode(v.as_buffer() if v.is_valid else b"") for v in batch.column(at)]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=schema.names)
+    def run(batches):
+        codec = Codec(shared.value, pattern)
+        for batch in batches:
+            texts = [codec.decode(v.as_buffer() if v.is_valid else b"") for v in batch.column(at)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=schema.names)
 
-    return map_batches(df, run, schema)
+    return map_stream(df, run, schema)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemill.llm.text import NOT_ALPHANUMERIC, chunks, positions, shingles, words
+from tidemill.llm.text import NOT_ALPHANUMERIC, chunks, map_stream, positions, shingles, words
 from tidemill.session import stage
 
 LEAST_RUN = 4
@@ -172,7 +172,7 @@ def _scan(docs: DataFrame, items: Items, share: float) -> DataFrame:
             columns = [pa.array(hits, kind) if i == hits_at else batch.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_stream(docs, run, docs.schema)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, least: int = LEAST_RUN, share: float = COVERAGE, block_bytes: int = BLOCK_BYTES) -> DataFrame:

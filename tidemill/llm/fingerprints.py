@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemill.llm.text import Chunk, chunks, map_batches, shingles, words
+from tidemill.llm.text import Chunk, chunks, map_batches, map_stream, shingles, words
 
 SHINGLE_WORDS = 5
 BIN_BITS = 9
@@ -144,7 +144,7 @@ def with_next(docs: DataFrame) -> DataFrame:
                     out = []
             yield _texts(out)
 
-    return dealt.mapInArrow(follow, "doc_id long, text string, next_text string")
+    return map_stream(dealt, follow, "doc_id long, text string, next_text string")
 
 
 def _texts(rows: list[tuple]) -> pa.RecordBatch:

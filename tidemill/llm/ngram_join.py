@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemill.llm.components import components
-from tidemill.llm.text import Chunk, chunks, distinct_by_row, map_batches, mix, shingles, words
+from tidemill.llm.text import Chunk, chunks, distinct_by_row, map_batches, map_stream, mix, shingles, words
 from tidemill.session import stage
 
 # Comparisons of one leader that go to one task, and members of a signature's group that stand in one block.
@@ -118,7 +118,7 @@ def _emit_signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 sigs, owner = signatures(hashes[keep], rows[keep], np.where(fresh, counts, 0), percent)
                 yield pa.RecordBatch.from_arrays([pa.array(sigs.view(np.int64)), pa.array(nodes[owner])], names=["sig", "node"])
 
-    return docs.select("text").mapInArrow(run, "sig long, node long")
+    return map_stream(docs.select("text"), run, "sig long, node long")
 
 
 def _shared(batches):
@@ -178,7 +178,7 @@ def _compare(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
                 yield pa.RecordBatch.from_arrays([pa.array(a[linked]), pa.array(b[linked])], names=["a", "b"])
                 at += chunk.rows
 
-    return rows.mapInArrow(run, "a long, b long")
+    return map_stream(rows, run, "a long, b long")
 
 
 def _vectors(texts: DataFrame, k: int) -> DataFrame:
@@ -256,7 +256,7 @@ def _likely(pairs: DataFrame, vectors: DataFrame, percent: int) -> DataFrame:
             x, y = np.array(kept, np.int64).reshape(-1, 2).T
             yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
 
-    return _with_leaders(pairs, vectors).mapInArrow(run, "a long, b long")
+    return map_stream(_with_leaders(pairs, vectors), run, "a long, b long")
 
 
 def _possible(percent: int):
@@ -298,7 +298,7 @@ def _possible(percent: int):
 def _links(docs: DataFrame, described: DataFrame, k: int, percent: int) -> DataFrame | None:
     """(node, root) of the sets that are linked with another; None if none has a candidate."""
     sigs = _emit_signatures(docs, k, percent).repartition("sig").sortWithinPartitions("sig", "node")
-    shared = stage(sigs.mapInArrow(_shared, "sig long, node long"), "signatures")
+    shared = stage(map_stream(sigs, _shared, "sig long, node long"), "signatures")
     if shared.isEmpty():
         return None
     # One text for each set that has a candidate. Ids may repeat, so the set of the text found is computed again.
@@ -339,7 +339,7 @@ def _links(docs: DataFrame, described: DataFrame, k: int, percent: int) -> DataF
         "sig", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), "own", "node", "root", "n", "vector"
     )
     dealt = dealt.repartition("sig", "left", "right").sortWithinPartitions("sig", "left", "right")
-    more = stage(dealt.mapInArrow(_possible(percent), "a long, b long").distinct(), "possible")
+    more = stage(map_stream(dealt, _possible(percent), "a long, b long").distinct(), "possible")
     if more.isEmpty():
         return roots
     return components(links.union(_compare(more, texts, k, percent)))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemill.llm.text import chunks, mix, prefix_hashes, stretch_hash
+from tidemill.llm.text import chunks, map_stream, mix, prefix_hashes, stretch_hash
 from tidemill.session import stage
 
 LENGTH = 200
@@ -348,18 +348,18 @@ def repeated_ranges(texts: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
 
     ``key`` and ``size`` stand for the text; equal texts have equal ones. Ranges may overlap.
     """
-    mapped = texts.select("key", "text").mapInArrow(_map_segments(length, gram), f"{_RESULT}, seal long, twice boolean")
+    mapped = map_stream(texts.select("key", "text"), _map_segments(length, gram), f"{_RESULT}, seal long, twice boolean")
     dealt = mapped.repartition("anchor").sortWithinPartitions("kind", "anchor", "seal")
-    settled = stage(dealt.mapInArrow(_settle, _RESULT), "segments")
+    settled = stage(map_stream(dealt, _settle, _RESULT), "segments")
     whole = settled.where(F.col("kind") == _WHOLE).select("key", "size", "start", (F.col("start") + F.col("span") + length).alias("end"))
     places = settled.where(F.col("kind") == _OPEN)
     crowd = places.groupBy("anchor").agg((F.count(F.lit(1)) > SEGMENTS_A_TASK).alias("crowded")).where("crowded")
     places = places.join(crowd, "anchor", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
     by_text = places.groupBy("key", "size").agg(F.collect_list(F.struct("anchor", "start", "back", "span", "crowded")).alias("places"))
     cut = texts.select("key", "size", "text").join(by_text, ["key", "size"]).select("key", "size", "text", "places")
-    cut = cut.mapInArrow(_cut(length), "anchor long, key long, size int, start int, back int, span int, bytes binary")
+    cut = map_stream(cut, _cut(length), "anchor long, key long, size int, start int, back int, span int, bytes binary")
     sorted_ = cut.repartition("anchor").sortWithinPartitions("anchor")
-    part = stage(sorted_.mapInArrow(_sort_groups(length), "key long, size int, start int, end int"), "repeats")
+    part = stage(map_stream(sorted_, _sort_groups(length), "key long, size int, start int, end int"), "repeats")
     return whole.union(part)
 
 
@@ -406,4 +406,4 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, as_text: bool
                 [*(batch.column(i) for i in range(len(names))), pa.array(kept, pa.string() if as_text else pa.binary()), pa.array(removed, kind)], names=schema.names
             )
 
-    return both.mapInArrow(run, schema)
+    return map_stream(both, run, schema)

@@ -20,11 +20,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemill.session import prepare
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 # An odd base has an inverse modulo 2**64, so hashes of stretches come from prefix sums by one product.
 _BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
+INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTE_VALUES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 
 # Bytes between words: space, tab, line feed, vertical tab, form feed, carriage return.
@@ -60,12 +60,14 @@ def session(spark: SparkSession) -> SparkSession:
     prepare(spark)
     # A batch of texts stands in the executor and in its worker at once.
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     return spark
 
 
 def give_back() -> None:
     """Return freed memory to the system: Python workers stay for other tasks and for other stages."""
+    _powers.clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # only some C libraries have it
@@ -141,7 +143,7 @@ def prefix_hashes(data: np.ndarray) -> np.ndarray:
 def stretch_hash(prefixes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hash of the bytes ``start`` to ``end``, the same wherever they stand (not yet mixed)."""
     # The inverse powers undo the position; both tables have the chunk's length.
-    return (prefixes[end] - prefixes[start]) * powers(len(prefixes), _INVERSE)[start]
+    return (prefixes[end] - prefixes[start]) * powers(len(prefixes), INVERSE)[start]
 
 
 @dataclass
@@ -229,3 +231,19 @@ def positions(sorted_values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
         return np.full(len(wanted), -1)
     at = np.minimum(np.searchsorted(sorted_values, wanted), len(sorted_values) - 1)
     return np.where(sorted_values[at] == wanted, at, -1)
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Numbers from 0 in as few bytes as the largest needs, equal bytes next to each other, compressed."""
+    width = next(w for w in (1, 2, 4, 8) if not len(values) or int(values.max()) < 1 << (8 * w))
+    planes = values.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()
+    small = pa.compress(planes, codec="zstd", asbytes=True)
+    return np.array([width, len(small)], np.int64).tobytes() + small
+
+
+def unpacked(data: bytes, at: int, n: int) -> tuple[np.ndarray, int]:
+    """``n`` numbers that ``packed`` wrote at a place, and the place behind them."""
+    width, size = np.frombuffer(data, np.int64, 2, at).tolist()
+    planes = pa.decompress(data[at + 16 : at + 16 + size], n * width, codec="zstd", asbytes=True)
+    values = np.frombuffer(planes, np.uint8).reshape(width, n).T.copy().view(f"<u{width}").ravel()
+    return values, at + 16 + size
