@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemill.llm.language_model import Sieve
-from tidemill.llm.text import LOWER, Chunk, chunks, map_stream, mix, words
+from tidemill.llm.text import LOWER, Chunk, chunks, map_batches, map_stream, mix, packed, unpacked, words
 from tidemill.session import stage
 
 # What ends a piece of text, and what stands between words.
@@ -36,7 +36,7 @@ _SEPARATORS[[0x20, 0x09]] = True
 NO_LANGUAGE = "und"
 # Different n-grams that a task holds, and tokens of the corpus for each range of prefixes.
 _HELD = 1_000_000
-_TOKENS_A_RANGE = 1 << 19
+_TOKENS_A_RANGE = 1 << 22
 # Rows whose automaton is walked at once; phrases with the same first two words stay together.
 _WALKED = 200_000
 _SALTS = 64
@@ -124,35 +124,42 @@ class CountAutomaton:
         return out
 
     def to_bytes(self) -> bytes:
-        """Sizes, symbols, and for every level the number of arcs behind each state, labels and weights."""
+        """Sizes, symbols, and for every level the number of arcs behind each state and the labels, as steps from one
+        arc of a state to the next; then the weights of the last level."""
         levels = [self.level(j) for j in range(len(self.sizes))]
         symbols = np.unique(np.concatenate([x[0] for x in levels]))
-        out = [np.array([len(symbols), len(levels), *self.sizes], np.int64).tobytes(), symbols.tobytes()]
+        out = [np.array([len(symbols), len(levels), *self.sizes], np.int64).tobytes(), packed(symbols)]
         states = 1
         for label, parent, _ in levels:
-            out += [np.bincount(parent, minlength=states).astype(np.uint32).tobytes(), np.searchsorted(symbols, label).astype(np.uint32).tobytes()]
+            step = np.searchsorted(symbols, label)
+            step[1:] -= np.where(parent[1:] == parent[:-1], step[:-1], 0)
+            out += [packed(np.bincount(parent, minlength=states)), packed(step)]
             states = len(label)
-        return b"".join([*out, levels[-1][2].tobytes()])
+        return b"".join([*out, packed(levels[-1][2])])
 
     @staticmethod
     def from_bytes(data: bytes) -> CountAutomaton:
         """What ``to_bytes`` wrote; weights are those of full paths."""
         n, depth = np.frombuffer(data, np.int64, 2).tolist()
         sizes = np.frombuffer(data, np.int64, depth, 16).tolist()
-        at = 16 + 8 * depth
-        symbols = np.frombuffer(data, np.uint64, n, at)
-        at += 8 * n
+        symbols, at = unpacked(data, 16 + 8 * depth, n)
+        symbols = symbols.astype(np.uint64)
         out = CountAutomaton(depth)
         out.sizes = sizes
         states = 1
         for j, size in enumerate(sizes):
-            arcs = np.frombuffer(data, np.uint32, states, at)
-            label = np.frombuffer(data, np.uint32, size, at + 4 * states)
-            at += 4 * (states + size)
-            out.parents[j], out.labels[j] = [np.repeat(np.arange(states), arcs)], [symbols[label]]
+            arcs, at = unpacked(data, at, states)
+            step, at = unpacked(data, at, size)
+            label = np.cumsum(step.astype(np.int64))
+            first = (np.cumsum(arcs) - arcs)[arcs > 0].astype(np.int64)
+            # Sums begin anew with every state.
+            before = label[first] - step[first].astype(np.int64)
+            label -= np.repeat(before, arcs[arcs > 0].astype(np.int64))
+            out.parents[j], out.labels[j] = [np.repeat(np.arange(states), arcs.astype(np.int64))], [symbols[label]]
             out.weights[j] = [np.zeros(size, np.int64)]
             states = size
-        out.weights[-1] = [np.frombuffer(data, np.int64, sizes[-1], at)]
+        weights, _ = unpacked(data, at, sizes[-1])
+        out.weights[-1] = [weights.astype(np.int64)]
         return out
 
 
@@ -198,7 +205,7 @@ def _grams(tokens: _Tokens, length: int) -> np.ndarray:
 
 
 def _word_counts(texts: DataFrame) -> DataFrame:
-    """(language, word, key, n) of all words, summed up within a task first."""
+    """(language, word, n) of all words, summed up within a task first."""
 
     def merged(parts):
         language, word, n = (np.concatenate(x) for x in zip(*parts))
@@ -207,7 +214,7 @@ def _word_counts(texts: DataFrame) -> DataFrame:
 
     def rows(parts) -> pa.RecordBatch:
         language, word, n = merged(parts)
-        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (language, word, _next(language, word), n)], names=["language", "word", "key", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (language, word, n)], names=["language", "word", "n"])
 
     def run(batches):
         parts, held = [], 0
@@ -226,8 +233,18 @@ def _word_counts(texts: DataFrame) -> DataFrame:
         if parts:
             yield rows(parts)
 
-    counted = map_stream(texts, run, "language long, word long, key long, n long")
-    return counted.groupBy("key").agg(F.min("language").alias("language"), F.min("word").alias("word"), F.sum("n").alias("n"))
+    counted = map_stream(texts, run, "language long, word long, n long")
+    return counted.groupBy("language", "word").agg(F.sum("n").alias("n"))
+
+
+def _with_keys(counted: DataFrame) -> DataFrame:
+    """(key, language, word, n): with the path hash of a language and one word."""
+
+    def run(batch: pa.RecordBatch):
+        key = _next(*(batch.column(i).to_numpy().view(np.uint64) for i in range(2)))
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), *batch.columns], names=["key", "language", "word", "n"])
+
+    return map_batches(counted.select("language", "word", "n"), run, "key long, language long, word long, n long")
 
 
 def _range_of(paths: np.ndarray, ranges: int) -> np.ndarray:
@@ -413,7 +430,7 @@ def frequent_phrases(texts: DataFrame, longest: int, least: int) -> tuple[DataFr
     totals = stage(all_words.groupBy("language").agg(F.sum("n").alias("total")), "totals")
     tokens = totals.agg(F.coalesce(F.sum("total"), F.lit(0))).first()[0]
     ranges = 1 << max(6, min(20, int(tokens // _TOKENS_A_RANGE).bit_length()))
-    frequent = all_words.where(F.col("n") >= least)
+    frequent = stage(_with_keys(all_words.where(F.col("n") >= least)), "frequent")
     shorter, parts = frequent, []
     for length in range(2, longest + 1):
         shared = spark.sparkContext.broadcast(Sieve(shorter.select("key")))
