@@ -1,5 +1,7 @@
 import collections
+import functools
 import math
+import random
 
 import numpy as np
 import pytest
@@ -39,64 +41,95 @@ def test_shares_change_the_tree_but_not_the_base(docs, trained):
     assert a == b
 
 
+class PlainTree:
+    """The same model from plain counts, every context looked at: retained where its plain frequencies diverge from
+    those of its longest retained suffix, discounted, else the shorter one."""
+
+    def __init__(self, train, depth):
+        self.one = collections.Counter(w for ts in train for w in ts)
+        self.total, self.vocabulary = sum(self.one.values()), len(self.one)
+        self.retained = {}
+        for k in range(1, depth + 1):
+            follow = collections.defaultdict(collections.Counter)
+            for ts in train:
+                for i in range(k, len(ts)):
+                    follow[tuple(ts[i - k : i])][ts[i]] += 1
+            found = {}
+            for s, words in follow.items():
+                of, kept = sum(words.values()), {w: n for w, n in words.items() if n >= 2}
+                if of < 2 or not kept:
+                    continue
+                q = {w: self.plain(s[1:], w) for w in kept}
+                saved = sum(n * math.log2(n / of / q[w]) for w, n in kept.items())
+                if saved >= lm.DIVERGENCE * of and saved >= len(kept) * math.log2(of + 1) / 2:
+                    p = {w: (n - lm.DISCOUNT) / of for w, n in kept.items()}
+                    rest = max(1 - sum(p.values()), 1e-9) / (1 - min(sum(self.probability(s[1:], w) for w in kept), 1 - 1e-9))
+                    found[s] = (p, {w: n / of for w, n in kept.items()}, rest)
+            self.retained.update(found)
+
+    def longest(self, s):
+        while s and s not in self.retained:
+            s = s[1:]
+        return s
+
+    def plain(self, s, w):
+        s = self.longest(s)
+        return self.retained[s][1][w] if s else self.one[w] / self.total
+
+    def probability(self, s, w):
+        s = self.longest(s)
+        if not s:
+            return (self.one[w] + 0.5) / (self.total + 0.5 * (self.vocabulary + 1))
+        p, _, gamma = self.retained[s]
+        return p[w] if w in p else gamma * self.probability(s[1:], w)
+
+    def score(self, ts, depth):
+        return sum(math.log10(self.probability(tuple(ts[max(0, i - depth) : i]), w)) for i, w in enumerate(ts))
+
+
 def test_scores_follow_the_tree_word_by_word(docs, trained, rows):
-    """The same probabilities from plain counts: longest retained context, discounted, else the shorter one."""
     tree, counts = trained
-    train = [tokens(r[1]) for r in rows if r[0] is not None and r[0] % 5 != 1]
-    one, two, three = collections.Counter(), collections.Counter(), collections.Counter()
-    for ts in train:
-        one.update(ts)
-        two.update(zip(ts, ts[1:]))
-        three.update(zip(ts, ts[1:], ts[2:]))
-    total, vocabulary = sum(one.values()), len(one)
-    base = lambda w: (one[w] + 0.5) / (total + 0.5 * (vocabulary + 1))
-
-    def level(grams, sizes, parent):
-        follow = collections.defaultdict(dict)
-        for g, n in grams.items():
-            if n >= 2 and sizes[g[:-1]] >= 2:
-                follow[g[:-1]][g[-1]] = n
-        out = {}
-        for s, kept in follow.items():
-            p = {w: (n - lm.DISCOUNT) / sizes[s] for w, n in kept.items()}
-            q = {w: parent(s, w) for w in kept}
-            rest, q_rest = 1 - sum(p.values()), 1 - min(sum(q.values()), 1 - 1e-9)
-            rest = max(rest, 1e-9)
-            bits = sum(p[w] * math.log2(p[w] / q[w]) for w in kept) + rest * math.log2(rest / q_rest)
-            if bits >= lm.DIVERGENCE and bits * sizes[s] >= len(kept) * math.log2(sizes[s] + 1) / 2:
-                out[s] = (p, rest / q_rest)
-        return out
-
-    singles = {(w,): n for w, n in one.items()}
-    first = level(two, collections.Counter(singles), lambda s, w: base(w))
-
-    def by_one(v, w):
-        if (v,) not in first:
-            return base(w)
-        p, gamma = first[(v,)]
-        return p.get(w, gamma * base(w))
-
-    kept_two = collections.Counter({g: n for g, n in two.items() if n >= 2})
-    usable = {g: n for g, n in three.items() if kept_two[g[:2]] >= 2 and kept_two[g[1:]] >= 2}
-    second = level(usable, kept_two, lambda s, w: by_one(s[1], w))
-
-    def text_score(ts):
-        out = 0.0
-        for i, w in enumerate(ts):
-            if i == 0:
-                p = base(w)
-            else:
-                p = by_one(ts[i - 1], w)
-                if i > 1 and (ts[i - 2], ts[i - 1]) in second:
-                    kept, gamma = second[ts[i - 2], ts[i - 1]]
-                    p = kept.get(w, gamma * p)
-            out += math.log10(p)
-        return out
-
-    wanted = sorted((r[0] or -1, round(text_score(tokens(r[1])), 5)) for r in rows)
+    plain = PlainTree([tokens(r[1]) for r in rows if r[0] is not None and r[0] % 5 != 1], 2)
+    wanted = sorted((r[0] or -1, round(plain.score(tokens(r[1]), 2), 5)) for r in rows)
     got = sorted((r["doc_id"] or -1, round(r["score"], 5)) for r in lm.score(docs, tree, counts).collect())
     assert np.allclose(np.array(got), np.array(wanted), atol=2e-4)
-    assert first and second
+    assert {len(s) for s in plain.retained} == {1, 2}
+
+
+def repetitive():
+    """Near copies of long passages, a change here and there, lines said over and over, and common prose."""
+    rng = random.Random(8)
+    prose = lambda n: [rng.choice("the a of in on it was by to and so but".split()) for _ in range(n)]
+    passage = [f"w{i}" for i in range(45)]
+    texts = []
+    for i in range(24):
+        words = list(passage)
+        for _ in range(i % 4):
+            words[rng.randrange(15, 45)] = rng.choice(["red", "blue"])
+        texts.append(prose(rng.randint(0, 12)) + words + prose(rng.randint(0, 30)))
+    # What comes at the end depends on a word far before it.
+    texts += [[f"key{i % 9}", *"so it went on and on as ever before".split(), f"value{i % 9}"] for i in range(63)]
+    texts += [prose(80) for _ in range(30)] + [["loop"] * 40, ["tick", "tock"] * 20, ["tick", "tock", "tack"] * 15, []]
+    return [" ".join(t) for t in texts]
+
+
+@functools.cache
+def plain_tree():
+    return PlainTree([tokens(t) for t in repetitive()[::2]], 100)
+
+
+@pytest.mark.parametrize(("before", "further", "group", "grown"), [(24, 8, 500_000, 100_000), (3, 3, 4, 50)])
+def test_contexts_of_any_length_as_if_all_were_looked_at(spark, monkeypatch, before, further, group, grown):
+    for name, value in (("BEFORE", before), ("FURTHER", further), ("GROUP", group), ("_GROWN", grown)):
+        monkeypatch.setattr(lm, name, value)
+    texts = repetitive()
+    plain = plain_tree()
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    tree, counts = lm.train(frame.where("doc_id % 2 = 0"), depth=None)
+    got = {r["doc_id"]: r["score"] for r in lm.score(frame, tree, counts).collect()}
+    assert tree.depth == max(map(len, plain.retained)) > 10
+    contexts = sum(len(s) > 3 for s in plain.retained)
+    assert contexts > 10 and np.allclose([got[i] for i in range(len(texts))], [plain.score(tokens(t), 100) for t in texts], atol=2e-4)
 
 
 def test_nothing_to_learn_from(docs, no_docs, rows):

@@ -1,16 +1,21 @@
 """Language-model scores by a probabilistic suffix tree over words.
 
-The tree's nodes are contexts, the one or more words before a symbol. A context that occurs twice or more is a
-candidate and keeps the next words that follow it twice or more; it is retained if its next-word distribution
-diverges enough from that of its longest retained suffix. A word is predicted by the longest context in the
-tree. What a context has kept is discounted, and the freed mass follows the shorter context, down to word
-frequencies with half a count added.
-
-The tree grows with the corpus, so it is a table of Spark. A text's score is the sum, over all its runs of
-words, of what each run adds: the factor of a retained context, and for a kept next word what it has above the
-shorter context. Only runs in the table add anything, and texts are joined with it by the runs' hashes. Runs
-and words that make up ``SENT_SHARE`` of the training tokens are sent to the tasks instead, which bounds what is
-sent and changes no score.
+The tree's nodes are contexts, the one or more words before a symbol. A context that occurs twice or more keeps the
+next words that follow it twice or more; it is retained if the plain frequencies of these words diverge enough from
+those behind its longest retained suffix. A word is predicted by the longest context in the tree. What a context has
+kept is discounted, and the freed mass follows the shorter context, down to word frequencies with half a count added.
+
+Longer contexts are looked at only where they can still be retained. What a longer context may gain on a word is at
+most what the word costs now, so a context whose words are all predicted well enough is closed with everything that
+ends in it, which loses no context. Contexts of one to three words are counted over the corpus, longer ones as long
+as one is too frequent for a task; the occurrences of what is open then are dealt out by context with some words
+before each, and tasks grow their subtrees word by word. What is still open at the end of these words is dealt out
+again with more words, until nothing is open.
+
+The tree grows with the corpus, so it is a table of Spark. A text's score is the sum, over all its runs of words, of
+what each run adds: the factor of a retained context, and for a kept next word what it has above the shorter context.
+Only runs behind open contexts can add anything, and texts are joined with the table by the runs' hashes. Words and
+runs that are most frequent are sent to the tasks instead, a bounded number, which changes no score.
 """
 
 from __future__ import annotations
@@ -24,33 +29,36 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.llm.text import Chunk, chunks, counts_by_row, mix, positions, words
+from tidemill.llm.text import INVERSE, Chunk, chunks, counts_by_row, map_stream, mix, packed, positions, powers, unpacked, words
 from tidemill.session import stage, unstage
 
 DEPTH = 2
 # The fewest occurrences of a context, and of a next word behind it.
 LEAST = 2
-# Words and runs of this share of the training tokens are looked up within tasks, others by a join.
+# Words of this share of the training tokens, and at most so many runs, are looked up within tasks, others by a join.
 SENT_SHARE = 1e-6
-# Bits by which a context's distribution must differ from that of its suffix.
+SENT_RUNS = 1_000_000
+# Bits a word by which a context's distribution must differ from that of its suffix.
 DIVERGENCE = 0.02
 DISCOUNT = 0.5
+# Words before an occurrence that are dealt out with it at first, and how many times as many in every further round.
+BEFORE, FURTHER = 16, 2
+# Occurrences up to which a context is grown in a task, and occurrences that a task grows at once.
+GROUP = 500_000
+_GROWN = 100_000
 
 # The symbol behind every text.
 _END = mix(np.array([0xE9D], np.uint64))[0]
+_LENGTH = np.uint64(0xD1B54A32D192ED03)
 # Distinct entries a counting task keeps before it hands them on.
-_HELD = 3_000_000
-
-
-# Depths at which texts without a run that could be longer are left out of further passes.
-_NARROWED = (2, 4, 8, 16, 32)
+_HELD = 2_000_000
 # The most bits, as a power of two, of a sieve.
 _SIEVE_BITS = 28
 
 
 class Sieve:
-    """Bits of the hashes of a table: it lets through all of them and few others. Its size is bounded; more
-    hashes only let more others through."""
+    """Bits of the hashes of a table: it lets through all of them and few others. Its size is bounded; beyond about
+    1e8 hashes it lets through most others too, which costs time and changes no result."""
 
     def __init__(self, keys: DataFrame):
         n = keys.count()
@@ -68,8 +76,9 @@ class Sieve:
 
 @dataclass
 class Tree:
-    """Frequent words (sorted hashes) with their counts, and the table (key, n, value) of what runs of one to
-    ``longest`` words add to a score; ``n`` is how often the run occurs."""
+    """Frequent words (sorted hashes) with their counts, and the table (key, n, value, open) of what runs of one to
+    ``longest`` words add to a score, NULL for those that add nothing and are open only; ``n`` is how often the run
+    occurs, ``depth`` the length of the longest retained context."""
 
     total: int
     vocabulary: int
@@ -84,16 +93,26 @@ class Tree:
         return np.log10((counts + 0.5) / (self.total + 0.5 * (self.vocabulary + 1)))
 
 
+@dataclass
+class _Limits:
+    """What a context and a next word need to be kept."""
+
+    context: int
+    follow: int
+    divergence: float
+
+
 @dataclass
 class _Sent:
-    """What every scoring task gets: frequent words with their base terms, frequent runs with what they add, and
-    the sieve of all other runs."""
+    """What every scoring task gets: frequent words with their base terms, frequent runs with what they add, the
+    sieve of all other runs, and that of open contexts."""
 
     words: np.ndarray
     base: np.ndarray
     runs: np.ndarray
     values: np.ndarray
     others: Sieve
+    opened: Sieve
     longest: int
 
 
@@ -108,53 +127,117 @@ def _tokens(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return token, row, first
 
 
-def _longer(run, word):
-    """The hash of a run and one more word; the hash of a single word is its own."""
-    return ((run << np.uint64(23)) | (run >> np.uint64(41))) ^ word
+class _Runs:
+    """Hashes of the runs of words in a sequence of tokens; a single word's is its own."""
+
+    def __init__(self, token: np.ndarray):
+        self.token = token
+        self.sums = np.zeros(len(token) + 1, np.uint64)
+        np.cumsum(token * powers(len(token)), out=self.sums[1:])
+        self.inverse = powers(len(token) + 1, INVERSE)
 
+    def keys(self, start: np.ndarray, length: int) -> np.ndarray:
+        if length == 1:
+            return self.token[start]
+        raw = (self.sums[start + length] - self.sums[start]) * self.inverse[start]
+        return mix(raw + _LENGTH * np.uint64(length))
 
-def _longer_column(run: Column, word: Column) -> Column:
-    return F.shiftleft(run, 23).bitwiseOR(F.shiftrightunsigned(run, 41)).bitwiseXOR(word)
 
+def _path_keys(paths: np.ndarray) -> np.ndarray:
+    """The hashes of runs given word by word."""
+    length = paths.shape[1]
+    if length == 1:
+        return paths[:, 0]
+    raw = sum(paths[:, j] * weight for j, weight in enumerate(powers(length)))
+    return mix(raw + _LENGTH * np.uint64(length))
 
-def _runs(token: np.ndarray, row: np.ndarray, first: np.ndarray, longest: int):
-    """(run, whole) for runs of 1, 2, ... words: the hash of the run that ends at each token, and whether it
-    lies in one text."""
-    within = np.arange(len(token)) - first[row]
-    run = token
-    yield run, np.ones(len(token), bool)
-    for length in range(2, longest + 1):
-        longer = token.copy()
-        longer[1:] = _longer(run[:-1], token[1:])
-        run = longer
-        yield run, within >= length - 1
 
+def _packed_words(word: np.ndarray) -> bytes:
+    """Hashes of words, few of them different, as numbers into the list of those."""
+    symbols, at = np.unique(word, return_inverse=True)
+    return np.array([len(symbols), len(word)], np.int64).tobytes() + packed(symbols) + packed(at)
 
-def _count(texts: DataFrame, pairs_of) -> DataFrame:
-    """(context, word, n): how often each of the pairs ``pairs_of(chunk)`` occurs; summed up within a task first."""
 
-    def summed(context, word, n):
-        _, at, back = np.unique(_longer(context, word), return_index=True, return_inverse=True)
-        return context[at], word[at], np.bincount(back, n, len(at)).astype(np.int64)
+def _unpacked_words(data: bytes, at: int) -> tuple[np.ndarray, int]:
+    n, length = np.frombuffer(data, np.int64, 2, at).tolist()
+    symbols, at = unpacked(data, at + 16, n)
+    index, at = unpacked(data, at, length)
+    return symbols.astype(np.uint64)[index], at
 
-    def merged(parts):
-        context, word, n = summed(*(np.concatenate(x) for x in zip(*parts)))
-        return pa.RecordBatch.from_arrays([pa.array(context.view(np.int64)), pa.array(word.view(np.int64)), pa.array(n)], names=["context", "word", "n"])
+
+def _count(texts: DataFrame, length: int, ends_of, bits: int) -> DataFrame:
+    """(range, data): how often runs of ``length`` words occur in each task's share, by ranges of their hashes.
+
+    ``ends_of(chunk)`` gives the tokens, the places of the runs' last words, and whether those words are to be told
+    apart. Rows are few and large: what tasks hand on is summed up in tasks again."""
+
+    def summed(key, paths, n):
+        key, at, back = np.unique(key, return_index=True, return_inverse=True)
+        return key, paths[at], np.bincount(back, n, len(at)).astype(np.int64)
+
+    def ranged(parts):
+        key, paths, n = summed(*(np.concatenate(x) for x in zip(*parts)))
+        # Keys are sorted, so ranges are too.
+        of = (key >> np.uint64(64 - bits)).astype(np.int64)
+        bounds = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+        data = [_packed_words(paths[a:b].T.ravel()) + packed(n[a:b]) for a, b in zip(bounds, [*bounds[1:], len(of)])]
+        return pa.RecordBatch.from_arrays([pa.array(of[bounds]), pa.array(data, pa.binary())], names=["range", "data"])
 
     def run(batches):
         parts, held = [], 0
         for batch in batches:
             for chunk in chunks(batch.column(0), 2 << 20):
-                parts.append(summed(*pairs_of(chunk), None))
+                token, end, apart = ends_of(chunk)
+                if not len(end):
+                    continue
+                paths = np.stack([token[end - back] for back in range(length - 1, -1, -1)], axis=1)
+                paths[~apart, -1] = 0
+                parts.append(summed(mix(_path_keys(paths)), paths, None))
                 held += len(parts[-1][0])
                 if held > _HELD:
-                    yield merged(parts)
+                    yield ranged(parts)
                     parts, held = [], 0
         if parts:
-            yield merged(parts)
+            yield ranged(parts)
+
+    return map_stream(texts.select("text"), run, "range long, data binary")
+
 
-    counted = texts.select("text").mapInArrow(run, "context long, word long, n long")
-    return counted.groupBy("context", "word").agg(F.sum("n").alias("n"))
+def _united(counted: DataFrame, length: int, least: float, totals: bool) -> DataFrame:
+    """(key, context, suffix, n) of the runs that occur ``least`` times in all, from ``_count``. With ``totals`` also
+    what every context's runs have together in each range, those that are not told apart included, without a key."""
+
+    def rows(parts):
+        paths, n = (np.concatenate(x) for x in zip(*parts))
+        key, at, back = np.unique(_path_keys(paths), return_index=True, return_inverse=True)
+        paths, n = paths[at], np.bincount(back, n, len(at)).astype(np.int64)
+        context = _path_keys(paths[:, :-1])
+        kept = (n >= least) & (paths[:, -1] != 0)
+        columns = [key[kept], context[kept], _path_keys(paths[:, 1:])[kept]]
+        yield pa.RecordBatch.from_arrays([*(pa.array(c.view(np.int64)) for c in columns), pa.array(n[kept])], names=["key", "context", "suffix", "n"])
+        if totals:
+            context, back = np.unique(context, return_inverse=True)
+            n = np.bincount(back, n, len(context)).astype(np.int64)
+            none = pa.nulls(len(n), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, pa.array(context.view(np.int64)), none, pa.array(n)], names=["key", "context", "suffix", "n"])
+
+    def run(batches):
+        current, parts = None, []
+        for batch in batches:
+            for at, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if at != current and parts:
+                    yield from rows(parts)
+                    parts = []
+                current = at
+                data = data.as_buffer().to_pybytes()
+                word, place = _unpacked_words(data, 0)
+                n, _ = unpacked(data, place, len(word) // length)
+                parts.append((word.reshape(length, -1).T, n.astype(np.int64)))
+        if parts:
+            yield from rows(parts)
+
+    dealt = counted.repartition("range").sortWithinPartitions("range")
+    return map_stream(dealt, run, "key long, context long, suffix long, n long")
 
 
 def _collected(df: DataFrame, column: str) -> tuple[np.ndarray, np.ndarray]:
@@ -165,114 +248,385 @@ def _collected(df: DataFrame, column: str) -> tuple[np.ndarray, np.ndarray]:
     return key.view(np.uint64)[order], value[order].astype(np.float64)
 
 
-def _single_words(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
-    token = _tokens(chunk)[0]
-    return np.zeros(len(token), np.uint64), token
+def _word_counts(texts: DataFrame) -> DataFrame:
+    """(key, n) of all words, summed up within a task first."""
 
-
-def _with_pairs(texts: DataFrame, pairs) -> DataFrame:
-    """The texts in which ``pairs(chunk)`` finds any."""
+    def summed(parts):
+        key, n = (np.concatenate(x) for x in zip(*parts))
+        key, back = np.unique(key, return_inverse=True)
+        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.bincount(back, n, len(key)).astype(np.int64))], names=["key", "n"])
 
     def run(batches):
+        parts, held = [], 0
         for batch in batches:
-            for chunk in chunks(batch.column(0)):
-                found = np.unique(pairs(chunk)[2]) + chunk.first
-                if len(found):
-                    yield batch.take(pa.array(found))
+            for chunk in chunks(batch.column(0), 2 << 20):
+                parts.append(np.unique(_tokens(chunk)[0], return_counts=True))
+                held += len(parts[-1][0])
+                if held > _HELD:
+                    yield summed(parts)
+                    parts, held = [], 0
+        if parts:
+            yield summed(parts)
 
-    return texts.select("text").mapInArrow(run, "text string")
+    return map_stream(texts.select("text"), run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def train(texts: DataFrame, depth: int | None = DEPTH, context_share: float = 0.0, follow_share: float = 0.0, divergence: float = DIVERGENCE) -> tuple[Tree, DataFrame]:
     """The tree, and the staged counts (key, n) of all words, from every one of ``texts``.
 
     ``depth`` is 1 or 2 words, or None for as many as there are contexts that diverge. A context must occur
-    ``LEAST`` times and a next word behind it too; shares of the training tokens above 0 ask for more. No texts
-    give a tree without words, by which every token has the same probability.
+    ``LEAST`` times and a next word behind it too; shares of the training tokens above 0 ask for more. It is retained
+    if the bits that its plain frequencies save on its kept words, against those of its longest retained suffix, are
+    ``divergence`` for each of its occurrences and pay for writing the frequencies down. No texts give a tree without
+    words, by which every token has the same probability.
     """
     if depth not in (1, 2, None):
         raise ValueError("contexts have one or two words")
-    counts = stage(_count(texts, _single_words).select(F.col("word").alias("key"), "n"), "words")
+    counts = stage(_word_counts(texts), "words")
     total, vocabulary = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    limits = _Limits(max(LEAST, context_share * total), max(LEAST, follow_share * total), divergence)
     # At most 1 / SENT_SHARE words.
     key, n = _collected(counts.where(F.col("n") >= F.lit(max(SENT_SHARE, follow_share) * total)), "n")
-    tree = Tree(int(total), int(vocabulary), key, n, counts.limit(0).select("key", "n", F.lit(0.0).alias("value")))
+    empty = counts.limit(0).select("key", "n", F.lit(0.0).alias("value"), F.lit(False).alias("open"))
+    tree = Tree(int(total), int(vocabulary), key, n, empty)
     base = F.log10((F.col("n") + 0.5) / F.lit(total + 0.5 * (vocabulary + 1)))
-    # Every run that is kept: how often it occurs, the run without its first word, and log10 of the
-    # probability of its last word behind the others.
-    known = counts.select("key", "n", F.lit(0).cast("long").alias("suffix"), base.alias("log"))
-    known = known.where(F.col("n") >= F.lit(max(LEAST, follow_share * total)))
-    parts, whole_texts, staged = [], texts, None
-    while depth is None or tree.depth < depth:
-        shared = texts.sparkSession.sparkContext.broadcast(Sieve(known.select("key")))
-
-        def pairs(chunk: Chunk, shared=shared, longest=tree.depth + 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            token, row, first = _tokens(chunk)
-            for run, whole in _runs(token, row, first, longest):
-                pass
-            # A run occurs often enough only if it does so without its first and without its last word.
-            usable = whole & shared.value.lets_through(run)
-            end = np.flatnonzero(usable[:-1] & usable[1:] & (row[:-1] == row[1:])) + 1
-            return run[end - 1], token[end], row[end]
-
-        if tree.depth in _NARROWED:
-            fewer = stage(_with_pairs(texts, pairs), "texts")
-            if texts is not whole_texts:
-                unstage(texts)
-            texts = fewer
-        follow = _count(texts, lambda chunk, pairs=pairs: pairs(chunk)[:2]).where(F.col("n") >= F.lit(max(LEAST, follow_share * total)))
-        candidates = known.where(F.col("n") >= F.lit(max(LEAST, context_share * total)))
-        known, contexts = _fit(follow, candidates, known, divergence, tree.depth)
-        shared.unpersist()
-        # What this level was made from is not read again.
-        if staged is not None:
-            unstage(staged)
-        staged = known
-        if contexts.isEmpty():
-            # A fixed depth looks further: a longer context may diverge where its suffix does not.
-            if depth is None or known.isEmpty():
-                break
-        else:
-            tree.longest = tree.depth + 2
-        parts += [stage(known.where("value IS NOT NULL").select("key", "n", "value"), "values"), contexts]
-        tree.depth += 1
-    if parts:
-        both = functools.reduce(DataFrame.union, parts).groupBy("key").agg(F.max("n").alias("n"), F.sum("value").alias("value"))
-        tree.runs = stage(both, "tree")
-        for part in parts:
-            unstage(part)
+    # Runs that are kept behind open contexts: how often they occur, log10 of the probability of their last word behind
+    # the others, and log2 of its plain frequency behind the longest retained suffix.
+    known = counts.where(F.col("n") >= F.lit(limits.follow)).select("key", "n", base.alias("log"), F.log2(F.col("n") / F.lit(max(total, 1))).alias("q"))
+    of = counts.select(F.col("key").alias("context"), F.col("n").alias("of"))
+    bits = max(5, min(20, int(total >> 20).bit_length()))
+    parts, length, opened, doubles = [], 0, None, None
+    while depth is None or length < depth:
+        length += 1
+        counted = _count(texts, length + 1, _ends(texts, length, known, opened, doubles), bits)
+        follow = _united(counted, length + 1, limits.follow, totals=length > 2)
+        if length > 2:
+            follow = counts_of_runs = stage(follow, "counted")
+            of = follow.where("key IS NULL").groupBy("context").agg(F.sum("n").alias("of"))
+            follow = follow.where("key IS NOT NULL")
+        kept, contexts = _fit(follow, of, known, limits, every=length == 1)
+        if length > 2:
+            unstage(counts_of_runs)
+        parts += [kept.where("value IS NOT NULL").select("key", "n", "value", F.lit(False).alias("open")), contexts.select("key", "n", "value", "open")]
+        opened = contexts.where("open")
+        known = kept.where("open").select("key", "context", "n", "log", "q")
+        if length == 1:
+            # Every pair of words that occurs twice is a context of two words, whatever the first predicts.
+            of = kept.select(F.col("key").alias("context"), F.col("n").alias("of"))
+            doubles = texts.sparkSession.sparkContext.broadcast(Sieve(kept.select("key")))
+        largest, retained = contexts.agg(F.max(F.when(F.col("open"), F.col("n"))), F.count("value")).first()
+        if retained:
+            tree.depth, tree.longest = length, length + 1
+        if largest is None or (length >= 3 and largest <= GROUP):
+            break
+    if depth is None and largest is not None:
+        parts += _grow_all(texts, known, opened, length, limits, tree, bits)
+    both = functools.reduce(DataFrame.union, parts).groupBy("key").agg(F.max("n").alias("n"), F.sum("value").alias("value"), F.max("open").alias("open"))
+    tree.runs = stage(both, "tree")
     return tree, counts
 
 
-def _fit(follow: DataFrame, candidates: DataFrame, shorter: DataFrame, divergence: float, depth: int) -> tuple[DataFrame, DataFrame]:
-    """The kept runs that are one word longer than ``depth`` + 1 words (key, n, suffix, log, and value where the
-    context is retained), and the retained contexts (key, n, value)."""
-    of = candidates.select(F.col("key").alias("context"), F.col("n").alias("of"), F.col("suffix").alias("_shorter"))
-    kept = follow.join(of, "context")
-    suffix = _longer_column(F.col("_shorter"), F.col("word")) if depth else F.col("word")
-    kept = kept.withColumn("suffix", suffix).join(shorter.select(F.col("key").alias("suffix"), F.col("log").alias("parent")), "suffix")
-    kept = stage(kept.select("context", "word", "n", "of", "suffix", "parent"), "follow")
-    follow, kept = kept, kept.withColumn("p", (F.col("n") - DISCOUNT) / F.col("of"))
+def _ends(texts: DataFrame, length: int, known: DataFrame, opened: DataFrame | None, doubles):
+    """By chunk, the last words of the runs of a context of ``length`` words and a next word that have to be counted,
+    and which of them can be kept.
+
+    The context without its first word must be open, and its first two words occur as often as a context has to
+    (``doubles``). A run is kept only if it is without its first word; of contexts of three and more words, whose own
+    counts are not known, the others are counted too."""
+    context = texts.sparkSession.sparkContext
+    kept = context.broadcast(Sieve(known.select("key")))
+    sieve = context.broadcast(Sieve(opened.select("key"))) if opened is not None else None
+
+    def ends(chunk: Chunk):
+        token, row, first = _tokens(chunk)
+        runs = _Runs(token)
+        at = np.arange(len(token))
+        at = at[at - first[row] >= length]
+        if length == 1:
+            at = at[kept.value.lets_through(token[at - 1])]
+        else:
+            at = at[sieve.value.lets_through(runs.keys(at - length + 1, length - 1))]
+            at = at[doubles.value.lets_through(runs.keys(at - length, 2))]
+        apart = kept.value.lets_through(runs.keys(at - length + 1, length))
+        if length < 3:
+            at, apart = at[apart], apart[apart]
+        return token, at, apart
+
+    return ends
+
+
+def _least_cost(n):
+    """Bits for writing down one frequency of a context with ``n`` occurrences."""
+    return F.log2(n + 1.0) / 2 if isinstance(n, Column) else np.log2(n + 1.0) / 2
+
+
+def _fit(follow: DataFrame, of: DataFrame, shorter: DataFrame, limits: _Limits, every: bool) -> tuple[DataFrame, DataFrame]:
+    """The kept runs (key, context, n, log, q, value, open) of contexts that are retained or open, or of ``every``
+    context, and the contexts (key, n, value, open) that are retained or open; ``value`` is NULL where nothing is
+    retained. ``shorter`` are the kept runs without their first word."""
+    kept = follow.where(F.col("n") >= F.lit(limits.follow)).join(of.where(F.col("of") >= F.lit(limits.context)), "context")
+    kept = kept.join(shorter.select(F.col("key").alias("suffix"), "log", "q"), "suffix").select("key", "context", "n", "of", "log", "q")
+    kept = stage(kept, "follow")
+    p, plain = (F.col("n") - DISCOUNT) / F.col("of"), F.log2(F.col("n") / F.col("of"))
+
+    def hope(q: Column) -> list[Column]:
+        """The most that a word behind a longer context can save: a word, and above its cost."""
+        return [F.max(-q), F.max(-q * F.col("n") - _least_cost(F.col("n")))]
+
     sums = kept.groupBy("context").agg(
-        F.max("of").alias("n"), F.count(F.lit(1)).alias("_kept"), F.sum("p").alias("_mass"), F.sum(F.pow(F.lit(10.0), F.col("parent"))).alias("_parent"),
-        F.sum(F.col("p") * (F.log2("p") - F.col("parent") * float(np.log2(10)))).alias("_bits"),
+        F.max("of").alias("n"), F.count(F.lit(1)).alias("_kept"), F.sum(p).alias("_mass"), F.sum(F.pow(F.lit(10.0), F.col("log"))).alias("_parent"),
+        F.sum(F.col("n") * (plain - F.col("q"))).alias("_saved"), *(c.alias(f"_hope{i}") for i, c in enumerate([*hope(plain), *hope(F.col("q"))])),
     )
-    sums = sums.withColumn("_rest", F.greatest(1 - F.col("_mass"), F.lit(1e-9))).withColumn("_ratio", F.col("_rest") / (1 - F.least("_parent", F.lit(1 - 1e-9))))
-    bits = F.col("_bits") + F.col("_rest") * F.log2("_ratio")
-    # Besides diverging, a context must gain more bits over its occurrences than its own figures take to write down.
-    worth = (bits >= divergence) & (bits * F.col("n") >= F.col("_kept") * F.log2(F.col("n") + 1.0) / 2)
-    contexts = stage(sums.where(worth).select(F.col("context").alias("key"), "n", F.log10("_ratio").alias("value")), "contexts")
-    joined = kept.join(contexts.select(F.col("key").alias("context"), F.col("value").alias("_backoff")), "context", "left")
+    worth = (F.col("_saved") >= limits.divergence * F.col("n")) & (F.col("_saved") >= F.col("_kept") * _least_cost(F.col("n")))
+    ratio = F.greatest(1 - F.col("_mass"), F.lit(1e-9)) / (1 - F.least("_parent", F.lit(1 - 1e-9)))
+    opened = F.when(worth, (F.col("_hope0") >= limits.divergence) & (F.col("_hope1") >= 0)).otherwise((F.col("_hope2") >= limits.divergence) & (F.col("_hope3") >= 0))
+    contexts = sums.select(F.col("context").alias("key"), "n", F.when(worth, F.log10(ratio)).alias("value"), opened.alias("open"))
+    contexts = stage(contexts.where(F.col("open") | F.col("value").isNotNull()), "contexts")
+    of_context = contexts.select(F.col("key").alias("context"), F.col("value").alias("_backoff"), "open")
+    joined = kept.join(of_context, "context", "left")
+    retained = F.col("_backoff").isNotNull()
     known = joined.select(
-        _longer_column(F.col("context"), F.col("word")).alias("key"), "n", "suffix",
-        F.when(F.col("_backoff").isNotNull(), F.log10("p")).otherwise(F.col("parent")).alias("log"),
-        (F.log10("p") - F.col("parent") - F.col("_backoff")).alias("value"),
+        "key", "context", "n", F.when(retained, F.log10(p)).otherwise(F.col("log")).alias("log"), F.when(retained, plain).otherwise(F.col("q")).alias("q"),
+        (F.log10(p) - F.col("log") - F.col("_backoff")).alias("value"), F.coalesce("open", F.lit(False)).alias("open"),
     )
-    known = stage(known, "runs")
-    unstage(follow)
+    known = stage(known if every else known.where("open OR value IS NOT NULL"), "runs")
+    unstage(kept)
     return known, contexts
 
 
+def _gathered(texts: DataFrame, opened: DataFrame, length: int, before: int, bits: int) -> DataFrame:
+    """(range, data): for the open contexts of ``length`` words, by ranges of their hashes, stretches of texts with
+    all occurrences: the places of the next words, each with ``before`` words or the whole beginning of its text."""
+    sieve = texts.sparkSession.sparkContext.broadcast(Sieve(opened.select("key")))
+
+    def stretches(chunk: Chunk):
+        token, row, first = _tokens(chunk)
+        runs = _Runs(token)
+        at = np.arange(len(token))
+        at = at[at - first[row] > length]
+        context = runs.keys(at - length, length)
+        passes = np.flatnonzero(sieve.value.lets_through(context))
+        order = passes[np.argsort(context[passes], kind="stable")]
+        at, context = at[order], context[order]
+        # Occurrences near each other share a stretch.
+        new = np.ones(len(at), bool)
+        new[1:] = (context[1:] != context[:-1]) | (row[at[1:]] != row[at[:-1]]) | (at[1:] - at[:-1] > before)
+        starts = np.flatnonzero(new)
+        often = np.diff(np.append(starts, len(at)))
+        begin = np.maximum(first[row[at[starts]]], at[starts] - length - before)
+        lengths = at[starts + often - 1] + 1 - begin
+        offsets = np.append(0, np.cumsum(lengths))
+        words = token[np.repeat(begin - offsets[:-1], lengths) + np.arange(offsets[-1])]
+        return context[starts], often, lengths, at - np.repeat(begin, often), words
+
+    def ranged(parts):
+        context, often, lengths, places, words = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(context, kind="stable")
+        of = (context[order] >> np.uint64(64 - bits)).astype(np.int64)
+        bounds = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+        word_at, place_at = np.append(0, np.cumsum(lengths)), np.append(0, np.cumsum(often))
+
+        def picked(values, starts, sizes, rows):
+            total = sizes[rows]
+            offsets = np.append(0, np.cumsum(total))
+            return values[np.repeat(starts[rows] - offsets[:-1], total) + np.arange(offsets[-1])]
+
+        data = []
+        for a, b in zip(bounds, [*bounds[1:], len(of)]):
+            rows = order[a:b]
+            numbers = [packed(x) for x in (context[rows], often[rows], lengths[rows], picked(places, place_at, often, rows))]
+            data.append(np.array([len(rows), often[rows].sum()], np.int64).tobytes() + b"".join(numbers) + _packed_words(picked(words, word_at, lengths, rows)))
+        return pa.RecordBatch.from_arrays([pa.array(of[bounds]), pa.array(data, pa.binary())], names=["range", "data"])
+
+    def run(batches):
+        parts, held = [], 0
+        for batch in batches:
+            for chunk in chunks(batch.column(0)):
+                found = stretches(chunk)
+                if len(found[0]):
+                    parts.append(found)
+                    held += len(found[4])
+                if held > _HELD:
+                    yield ranged(parts)
+                    parts, held = [], 0
+        if parts:
+            yield ranged(parts)
+
+    return map_stream(texts.select("text"), run, "range long, data binary")
+
+
+def _stretches_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    rows, n = np.frombuffer(data, np.int64, 2).tolist()
+    out, at = [], 16
+    for size in (rows, rows, rows, n):
+        values, at = unpacked(data, at, size)
+        out.append(values)
+    words, _ = _unpacked_words(data, at)
+    context, often, lengths, places = out
+    return context.astype(np.uint64), often.astype(np.int64), lengths.astype(np.int64), places.astype(np.int64), words
+
+
+_GROWTH = "known boolean, context long, key long, n long, value double, open boolean, log double, q double, length int"
+
+
+def _grow(known: tuple, context: np.ndarray, often: np.ndarray, sizes: np.ndarray, places: np.ndarray, token: np.ndarray, length: int, before: int, limits: _Limits):
+    """Rows of the subtrees of some open contexts of ``length`` words, from all their occurrences: the tree's rows,
+    and at last the kept runs of what is open still (``known``)."""
+    base = np.append(0, np.cumsum(sizes))[:-1]
+    runs = _Runs(token)
+    _, word = np.unique(token, return_inverse=True)
+    n_words = int(word.max()) + 1
+    next_at = np.repeat(base, often) + places
+    limit = np.repeat(base, often)
+    # Runs that are not kept behind the shorter context are none behind longer ones.
+    keys, log, q = known
+    place = positions(keys, runs.keys(next_at - length, length + 1))
+    log, q = np.where(place >= 0, log[place], np.nan), np.where(place >= 0, q[place], np.nan)
+    _, group = np.unique(np.repeat(context, often), return_inverse=True)
+    for k in range(length + 1, length + before + 1):
+        inside = np.flatnonzero(next_at - k >= limit)
+        _, group = np.unique(group[inside] * np.int64(n_words) + word[next_at[inside] - k], return_inverse=True)
+        many = np.bincount(group) >= limits.context if len(group) else np.zeros(0, bool)
+        keep = many[group]
+        inside, group = inside[keep], (np.cumsum(many) - 1)[group[keep]]
+        next_at, limit, log, q = next_at[inside], limit[inside], log[inside], q[inside]
+        if not len(next_at):
+            return
+        n = np.bincount(group)
+        _, first, pair = np.unique(group * np.int64(n_words) + word[next_at], return_index=True, return_inverse=True)
+        m, of, parent, shorter = np.bincount(pair), group[first], log[first], q[first]
+        kept = np.flatnonzero((m >= limits.follow) & ~np.isnan(parent))
+        of_kept, m_kept = of[kept], m[kept]
+        plain = np.log2(m_kept / n[of_kept])
+        p = (m_kept - DISCOUNT) / n[of_kept]
+
+        def total(values, of_kept=of_kept, groups=len(n)):
+            return np.bincount(of_kept, values, groups)
+
+        saved, count = total(m_kept * (plain - shorter[kept])), total(np.ones(len(kept)))
+        retained = (count > 0) & (saved >= limits.divergence * n) & (saved >= count * _least_cost(n))
+        rest = np.maximum(1 - total(p), 1e-9)
+        backoff = np.log10(rest / (1 - np.minimum(total(10.0 ** parent[kept]), 1 - 1e-9)))
+        there = retained[of_kept]
+        value = np.log10(p) - parent[kept] - backoff[of_kept]
+        new_log, new_q = np.where(there, np.log10(p), parent[kept]), np.where(there, plain, shorter[kept])
+        hope = np.full((2, len(n)), -np.inf)
+        np.maximum.at(hope[0], of_kept, -new_q)
+        np.maximum.at(hope[1], of_kept, -new_q * m_kept - _least_cost(m_kept))
+        opened = (hope[0] >= limits.divergence) & (hope[1] >= 0)
+        _, one = np.unique(group, return_index=True)
+        contexts = np.flatnonzero(retained | opened)
+        yield dict(key=runs.keys(next_at[one[contexts]] - k, k), n=n[contexts], value=np.where(retained, backoff, np.nan)[contexts], open=opened[contexts], length=k)
+        rows = kept[there]
+        yield dict(key=runs.keys(next_at[first[rows]] - k, k + 1), n=m[rows], value=value[there], length=k)
+        log, q = np.full(len(m), np.nan), np.full(len(m), np.nan)
+        log[kept], q[kept] = new_log, new_q
+        stays = opened[of]
+        if k == length + before:
+            rows = kept[stays[kept]]
+            at = next_at[first[rows]] - k
+            yield dict(known=True, context=runs.keys(at, k), key=runs.keys(at, k + 1), n=m[rows], log=log[rows], q=q[rows], length=k)
+            return
+        inside = np.flatnonzero(opened[group])
+        log, q, next_at, limit, group = log[pair[inside]], q[pair[inside]], next_at[inside], limit[inside], group[inside]
+
+
+def _growth_batch(rows: dict) -> pa.RecordBatch:
+    size = len(rows["key"])
+    out = []
+    for name, kind in (x.split() for x in _GROWTH.split(", ")):
+        if name in ("known", "open") and name not in rows:
+            out.append(pa.array(np.zeros(size, bool)))
+        elif name in ("known", "length"):
+            out.append(pa.array(np.full(size, rows[name]), pa.bool_() if name == "known" else pa.int32()))
+        elif name not in rows:
+            out.append(pa.nulls(size, pa.int64() if kind == "long" else pa.float64()))
+        elif kind == "double":
+            out.append(pa.array(rows[name], mask=np.isnan(rows[name])))
+        else:
+            out.append(pa.array(rows[name].view(np.int64) if kind == "long" else rows[name]))
+    return pa.RecordBatch.from_arrays(out, names=[x.split()[0] for x in _GROWTH.split(", ")])
+
+
+def _grow_all(texts: DataFrame, known: DataFrame, opened: DataFrame, length: int, limits: _Limits, tree: Tree, bits: int) -> list[DataFrame]:
+    """Tables (key, n, value, open) of all contexts longer than ``length`` words, until none is open."""
+    parts, before = [], BEFORE
+    while True:
+        gathered = _gathered(texts, opened, length, before, bits).withColumns({c: F.lit(None).cast("double" if c in ("log", "q") else "long") for c in ("context", "key", "log", "q")})
+        names = ["range", "data", "context", "key", "log", "q"]
+        of_known = known.select(F.shiftrightunsigned("context", 64 - bits).alias("range"), F.lit(None).cast("binary").alias("data"), "context", "key", "log", "q")
+        both = gathered.select(*names).union(of_known)
+
+        def run(batches, length=length, before=before):
+            def grown(stretches, kept):
+                if not stretches or not kept:
+                    return  # nothing kept, or let through by chance only
+                table = pa.Table.from_batches(kept)
+                key = table.column("key").to_numpy().view(np.uint64)
+                order = np.argsort(key)
+                own = (key[order], table.column("log").to_numpy()[order], table.column("q").to_numpy()[order])
+                for group in _groups(*(np.concatenate(x) for x in zip(*stretches))):
+                    for rows in _grow(own, *group, length, before, limits):
+                        yield _growth_batch(rows)
+
+            current, stretches, kept = None, [], []
+            for batch in batches:
+                of = batch.column(0).to_numpy()
+                bounds = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+                for a, b in zip(bounds, [*bounds[1:], len(of)]):
+                    if of[a] != current:
+                        yield from grown(stretches, kept)
+                        current, stretches, kept = of[a], [], []
+                    rows = batch.slice(a, b - a)
+                    stretches += [_stretches_of(x.as_buffer().to_pybytes()) for x in rows.column(1).drop_null()]
+                    known_rows = rows.filter(rows.column(3).is_valid())
+                    kept += [known_rows] if known_rows.num_rows else []
+            yield from grown(stretches, kept)
+
+        grown = stage(map_stream(both.repartition("range").sortWithinPartitions("range"), run, _GROWTH), "grown")
+        parts.append(grown.where("NOT known").select("key", "n", "value", "open"))
+        deepest = grown.where("value IS NOT NULL").agg(F.max("length")).first()[0]
+        if deepest:
+            tree.depth, tree.longest = deepest, deepest + 1
+        length, before = length + before, before * FURTHER
+        known = grown.where("known").select("context", "key", "n", "log", "q")
+        opened = known.select(F.col("context").alias("key")).distinct()
+        if known.isEmpty():
+            return parts
+
+
+def _groups(context, often, lengths, places, words):
+    """Stretches by context, some whole contexts at a time with about ``_GROWN`` occurrences."""
+    order = np.argsort(context, kind="stable")
+    word_at, place_at = np.append(0, np.cumsum(lengths)), np.append(0, np.cumsum(often))
+    sorted_context = context[order]
+    last = np.append(np.flatnonzero(sorted_context[1:] != sorted_context[:-1]) + 1, len(order))
+    total = np.cumsum(often[order])[last - 1]
+    start = 0
+    while start < len(order):
+        before = total[np.searchsorted(last, start, side="right") - 1] if start else 0
+        stop = int(last[min(int(np.searchsorted(total, before + _GROWN)), len(last) - 1)])
+        rows = order[start:stop]
+        yield (
+            context[rows], often[rows], lengths[rows],
+            np.concatenate([places[place_at[r] : place_at[r + 1]] for r in rows.tolist()]), np.concatenate([words[word_at[r] : word_at[r + 1]] for r in rows.tolist()]),
+        )
+        start = stop
+
+
+def _most_frequent(runs: DataFrame, at_most: int) -> Column:
+    """A condition that holds for at most so many of the runs, the most frequent ones by powers of two."""
+    size = F.floor(F.log2(F.col("n").cast("double")))
+    found, least = 0, 64
+    # A row for each power of two.
+    for row in runs.groupBy(size.alias("size")).count().orderBy(F.desc("size")).collect():
+        found += row["count"]
+        if found > at_most:
+            break
+        least = row["size"]
+    return size >= least
+
+
 def score(docs: DataFrame, tree: Tree, counts: DataFrame) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of every whole text.
 
@@ -280,11 +634,11 @@ def score(docs: DataFrame, tree: Tree, counts: DataFrame) -> DataFrame:
     sum of the tokens' base log10 probabilities, ``score`` that of the tree. Empty and NULL texts are the end
     alone. One row for each row of ``docs``, repeated ids included.
     """
-    often = F.col("n") >= F.lit(SENT_SHARE * tree.total)
-    # At most 1 / SENT_SHARE runs of each length.
-    runs, values = _collected(tree.runs.where(often), "value")
-    others = tree.runs.where(~often)
-    sent = _Sent(tree.words, tree.base(tree.counts) if len(tree.words) else tree.counts, runs, values, Sieve(others), tree.longest)
+    adding = tree.runs.where("value IS NOT NULL")
+    often = (F.col("n") >= F.lit(SENT_SHARE * tree.total)) & _most_frequent(adding, SENT_RUNS)
+    runs, values = _collected(adding.where(often), "value")
+    others = adding.where(~often)
+    sent = _Sent(tree.words, tree.base(tree.counts) if len(tree.words) else tree.counts, runs, values, Sieve(others), Sieve(tree.runs.where("open")), tree.longest)
     shared = docs.sparkSession.sparkContext.broadcast(sent)
     schema = "id long, doc_id long, key long, run long, n long, n_tokens long, n_known long, base double, score double"
 
@@ -299,15 +653,14 @@ def score(docs: DataFrame, tree: Tree, counts: DataFrame) -> DataFrame:
                 base = np.zeros(len(token))
                 base[~rare] = own.base[number[~rare]]
                 added, left = base.copy(), []
-                for at_run, whole in _runs(token, row, first, own.longest) if own.longest else ():
-                    at = np.flatnonzero(whole)
-                    distinct, back = np.unique(at_run[at], return_inverse=True)
+                for at, keys in _candidates(token, row, first, own):
+                    distinct, back = np.unique(keys, return_inverse=True)
                     place = positions(own.runs, distinct)
                     value = np.zeros(len(distinct))
                     value[place >= 0] = own.values[place[place >= 0]]
                     added[at] += value[back]
-                    at = at[((place < 0) & own.others.lets_through(distinct))[back]]
-                    left.append((at_run[at], row[at]))
+                    still = ((place < 0) & own.others.lets_through(distinct))[back]
+                    left.append((keys[still], row[at[still]]))
                 sums = [np.bincount(row, x, chunk.rows) for x in (base, added)]
                 known = np.bincount(row, ~rare, chunk.rows).astype(np.int64)
                 name = serial + np.arange(chunk.rows)
@@ -321,7 +674,7 @@ def score(docs: DataFrame, tree: Tree, counts: DataFrame) -> DataFrame:
                     yield _batch(id=name[of], run=key.view(np.int64), n=n)
 
     # Written once: the numbers given to rows must be the same for the rows and for their rare words and runs.
-    parts = stage(docs.select("doc_id", "text").mapInArrow(run, schema), "scored")
+    parts = stage(map_stream(docs.select("doc_id", "text"), run, schema), "scored")
     rows = parts.where("key IS NULL AND run IS NULL").select("id", "doc_id", "n_tokens", "n_known", "base", "score")
     n = F.coalesce(counts["n"], F.lit(0))
     log = F.log10((n + 0.5) / F.lit(max(tree.total + 0.5 * (tree.vocabulary + 1), 0.5)))
@@ -338,6 +691,28 @@ def score(docs: DataFrame, tree: Tree, counts: DataFrame) -> DataFrame:
     )
 
 
+def _candidates(token: np.ndarray, row: np.ndarray, first: np.ndarray, own: _Sent):
+    """(places, keys) of the runs of 1, 2, ... words, by their last word, that may be in the tree.
+
+    A context is in it only if it is open without its first word, a run only if its context is."""
+    runs = _Runs(token)
+    at = np.arange(len(token))
+    within = at - first[row]
+    open_here, open_before = at, at
+    for length in range(1, own.longest + 1):
+        after = open_before + 1
+        after = after[after < len(token)] if length > 1 else open_here
+        places = after if len(after) == len(token) - 1 else np.union1d(open_here, after)
+        places = places[within[places] >= length - 1]
+        if not len(places):
+            return
+        keys = runs.keys(places - length + 1, length)
+        yield places, keys
+        here = np.zeros(len(token), bool)
+        here[places] = own.opened.lets_through(keys)
+        open_before, open_here = open_here, open_here[here[open_here]]
+
+
 def _batch(**columns) -> pa.RecordBatch:
     """Rows of the staged table; columns not given are NULL."""
     kinds = {k: pa.int64() for k in ("id", "doc_id", "key", "run", "n", "n_tokens", "n_known")} | {"base": pa.float64(), "score": pa.float64()}
