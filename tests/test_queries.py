@@ -1,12 +1,13 @@
 """Every registered query against its SQL on the test tables."""
 
 import math
+import re
 
 import duckdb
 import pytest
 
 import __spark_entry__ as contract
-from conftest import TESTDATA
+from conftest import TESTDATA, plan_of
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
@@ -54,3 +55,13 @@ def test_query(spark, oracle, name):
     expected = result.fetchall()
     assert {c: TYPES[t] for c, t in df.dtypes} == described
     assert table(df.columns, records) == table(list(described), expected)
+
+
+def test_no_sketch_for_every_distinct_key(spark, tmp_path):
+    made = [(i % 50 or None, i % 7 or None) for i in range(200)]
+    spark.createDataFrame(made, "o_orderkey long, o_custkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    df = contract.queries()["agg_approx_distinct"](spark, str(tmp_path))
+    assert tuple(df.first()) == (49, 6, True, True)
+    # An aggregate that has keys holds no sketch.
+    assert "approx_count_distinct" in plan_of(df)
+    assert not re.search(r"keys=\[[^\]]+\], functions=[^\n]*approx_count_distinct", plan_of(df))
