@@ -3,9 +3,11 @@ import json
 import random
 import zipfile
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tidemill.queries.loading import _as_array
 from tidemill.session import new_scratch
 from tidemill.sinks.landing import Dataset, TableSpec, land_dataset, land_source, remove_old_versions, save_table
 from tidemill.sources.catalog import Layers, layer_databases, list_columns, require_table, table_exists, tables_in
@@ -296,3 +298,11 @@ def test_heads_tell_lines_from_other_json(tmp_path):
     for i, (text, lines) in enumerate(heads.items()):
         assert records_module._starts_with_object(write(tmp_path / f"{i}.json", text)) is lines
     assert not records_module._starts_with_object("viewfs://store/a.json")
+
+
+def test_an_array_is_written_a_batch_at_a_time():
+    frames = [pd.DataFrame({"value": []}, dtype=object), pd.DataFrame({"value": ['{"a": 1}', "{}"]}), pd.DataFrame({"value": ['{"b": 2}'] * 500})]
+    found = list(_as_array(iter(frames)))
+    assert [len(f) for f in found] == [2, 500, 1]
+    assert json.loads("\n".join(v for f in found for v in f["value"])) == [{"a": 1}, {}, *[{"b": 2}] * 500]
+    assert [list(f["value"]) for f in _as_array(iter(frames[:1]))] == [["[]"]]

@@ -142,12 +142,15 @@ def scan_json_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _as_array(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The lines of a file that is one array of the given objects."""
-    before = "["
+    begun = False
     for batch in batches:
-        for value in batch["value"]:
-            yield pd.DataFrame({"value": [before + value]})
-            before = ","
-    yield pd.DataFrame({"value": ["]" if before == "," else "[]"]})
+        if len(batch):
+            lines = "," + batch["value"]
+            if not begun:
+                lines.iloc[0] = "[" + batch["value"].iloc[0]
+            begun = True
+            yield lines.to_frame()
+    yield pd.DataFrame({"value": ["]" if begun else "[]"]})
 
 
 @query("scan_csv_headers", CUSTOMER_AS_TEXT_SQL)
