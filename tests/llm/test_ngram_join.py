@@ -7,6 +7,7 @@ from llm.test_text import split
 
 from tidemill.llm import ngram_join as nj
 from tidemill.llm.components import components
+from tidemill.session import stage
 
 
 def grams(text, k):
@@ -69,6 +70,26 @@ def test_chains_and_stars(spark, monkeypatch, block):
     assert order(map(tuple, got)) == order(b[:3] for b in brute(rows, 3, 80))
 
 
+@pytest.mark.parametrize("known", [256, 1])
+def test_a_pair_is_named_in_the_first_group_it_meets_in(spark, monkeypatch, known):
+    named, plain = [], nj.map_stream
+
+    def spied(df, run, schema):
+        out = plain(df, run, schema)
+        if {"left", "right"} <= set(df.columns):
+            named.append(out := stage(out, "named"))
+        return out
+
+    monkeypatch.setattr(nj, "map_stream", spied)
+    monkeypatch.setattr(nj, "BLOCK", 3)
+    monkeypatch.setattr(nj, "KNOWN_GROUPS", known, raising=False)
+    rows = chains(14)
+    got = nj.join(spark.createDataFrame(rows, SCHEMA), 3, 80).collect()
+    assert order(map(tuple, got)) == order(b[:3] for b in brute(rows, 3, 80))
+    pairs = [tuple(r) for r in named[0].collect()]
+    assert pairs and (known == 1 or len(pairs) == len(set(pairs)))
+
+
 def test_similar_sets_share_a_signature():
     rng = np.random.default_rng(5)
     for percent in (60, 80, 90):

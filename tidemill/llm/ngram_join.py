@@ -10,7 +10,8 @@ held against each other: each element falls into one of a vector's cells, so set
 differ in at most k cells, and pairs that differ in more are ruled out without their sets. In each group of a
 signature one leader, the member that shares most, is compared with the others; a group whose members are then
 connected needs nothing more, since only components are asked for. In the other groups members of different
-components are compared. Large groups are dealt out in blocks. What is left is compared exactly, so no link between components is
+components are compared. Large groups are dealt out in blocks. A pair that meets in several groups is named in the first of
+them alone, which its members' lists of groups tell. What is left is compared exactly, so no link between components is
 missed.
 """
 
@@ -18,7 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,6 +30,8 @@ from tidemill.session import stage
 # Comparisons of one leader that go to one task, and members of a signature's group that stand in one block.
 PAIRS_A_TASK = 2_000
 BLOCK = 4_000
+# Groups that a set's list of them names. A pair is named again in groups that follow, which costs time only.
+KNOWN_GROUPS = 256
 _THIRDS = 3
 
 
@@ -261,7 +264,7 @@ def _likely(pairs: DataFrame, vectors: DataFrame, percent: int) -> DataFrame:
 
 def _possible(percent: int):
     """Mapper over rows sorted by (sig, left, right): pairs of one block pair, of different components, whose
-    vectors do not rule them out."""
+    vectors do not rule them out and that have not met in an earlier group."""
 
     def settle(rows: list[tuple]):
         left, right = rows[0][1], rows[0][2]
@@ -270,6 +273,7 @@ def _possible(percent: int):
         cells = [_cells(r[7]) for r in rows]
         size = min(map(len, cells))
         vectors = np.stack([_folded(c, size) for c in cells])
+        met = lambda i, j: np.isin(rows[i][8], rows[j][8], assume_unique=True).any()
         a, b = np.flatnonzero(own == left), np.flatnonzero(own == right)
         found = []
         for at, i in enumerate(a.tolist()):
@@ -277,14 +281,17 @@ def _possible(percent: int):
             others = others[roots[others] != roots[i]]
             most = _most_differences(sizes[others], sizes[i], percent)
             near = others[(vectors[others] != vectors[i]).sum(axis=1) <= most]
-            found += [(nodes[i], nodes[j]) for j in near]
+            found += [(nodes[i], nodes[j]) for j in near.tolist() if not met(i, j)]
         x, y = np.array(found, np.int64).reshape(-1, 2).T
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
     def run(batches):
         rows = []
         for batch in batches:
-            for r in zip(*(batch.column(i).to_pylist() for i in range(8))):
+            earlier, ends = batch.column(8), batch.column(8).offsets.to_numpy()
+            sigs = earlier.values.to_numpy()
+            lists = [sigs[x:y] for x, y in zip(ends, ends[1:])]
+            for r in zip(*(batch.column(i).to_pylist() for i in range(8)), lists):
                 if rows and r[:3] != rows[-1][:3]:
                     yield settle(rows)
                     rows = []
@@ -330,13 +337,16 @@ def _links(docs: DataFrame, described: DataFrame, k: int, percent: int) -> DataF
     )
     # Of two members, one is the leader. Of groups with the same members, one is enough.
     split = spans.where("low < high AND members > 2").groupBy("members", "who").agg(F.min("sig").alias("sig"))
-    split = split.select("sig", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-    open_ = labelled.join(split, "sig").join(vectors, "node")
+    split = split.select("sig", "members", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
+    order = Window.partitionBy("node").orderBy(F.desc("members"), "sig")
+    known = labelled.join(split, "sig").withColumn("place", F.row_number().over(order))
+    earlier = F.collect_list(F.when(F.col("place") <= KNOWN_GROUPS, F.col("sig"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    open_ = known.withColumn("earlier", earlier).join(vectors, "node")
     own = F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int")
     # Every pair of blocks gets both blocks' members.
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     dealt = open_.withColumn("own", own).select("*", other).select(
-        "sig", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), "own", "node", "root", "n", "vector"
+        "sig", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), "own", "node", "root", "n", "vector", "earlier"
     )
     dealt = dealt.repartition("sig", "left", "right").sortWithinPartitions("sig", "left", "right")
     more = stage(map_stream(dealt, _possible(percent), "a long, b long").distinct(), "possible")
