@@ -70,8 +70,8 @@ def test_chains_and_stars(spark, monkeypatch, block):
     assert order(map(tuple, got)) == order(b[:3] for b in brute(rows, 3, 80))
 
 
-@pytest.mark.parametrize("known", [256, 1])
-def test_a_pair_is_named_in_the_first_group_it_meets_in(spark, monkeypatch, known):
+@pytest.mark.parametrize("known,few", [(256, 0), (1, 0), (256, 16)])
+def test_a_pair_is_named_in_the_first_group_it_meets_in(spark, monkeypatch, known, few):
     named, plain = [], nj.map_stream
 
     def spied(df, run, schema):
@@ -83,11 +83,12 @@ def test_a_pair_is_named_in_the_first_group_it_meets_in(spark, monkeypatch, know
     monkeypatch.setattr(nj, "map_stream", spied)
     monkeypatch.setattr(nj, "BLOCK", 3)
     monkeypatch.setattr(nj, "KNOWN_GROUPS", known, raising=False)
+    monkeypatch.setattr(nj, "FEW", few, raising=False)
     rows = chains(14)
     got = nj.join(spark.createDataFrame(rows, SCHEMA), 3, 80).collect()
     assert order(map(tuple, got)) == order(b[:3] for b in brute(rows, 3, 80))
     pairs = [tuple(r) for r in named[0].collect()]
-    assert pairs and (known == 1 or len(pairs) == len(set(pairs)))
+    assert pairs and (known == 1 or few or len(pairs) == len(set(pairs)))
 
 
 def test_similar_sets_share_a_signature():

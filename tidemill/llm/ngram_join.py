@@ -30,8 +30,10 @@ from tidemill.session import stage
 # Comparisons of one leader that go to one task, and members of a signature's group that stand in one block.
 PAIRS_A_TASK = 2_000
 BLOCK = 4_000
-# Groups that a set's list of them names. A pair is named again in groups that follow, which costs time only.
+# Groups that a set's list of them names, and members up to which a group needs no list. A pair is named again in other
+# groups, which costs time only.
 KNOWN_GROUPS = 256
+FEW = 16
 _THIRDS = 3
 
 
@@ -340,7 +342,9 @@ def _links(docs: DataFrame, described: DataFrame, k: int, percent: int) -> DataF
     split = split.select("sig", "members", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
     order = Window.partitionBy("node").orderBy(F.desc("members"), "sig")
     known = labelled.join(split, "sig").withColumn("place", F.row_number().over(order))
-    earlier = F.collect_list(F.when(F.col("place") <= KNOWN_GROUPS, F.col("sig"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    listed = F.when((F.col("place") <= KNOWN_GROUPS) & (F.col("members") > FEW), F.col("sig"))
+    earlier = F.collect_list(listed).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    earlier = F.when(F.col("members") > FEW, earlier).otherwise(F.array().cast("array<long>"))
     open_ = known.withColumn("earlier", earlier).join(vectors, "node")
     own = F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int")
     # Every pair of blocks gets both blocks' members.
