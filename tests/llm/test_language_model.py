@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm.test_text import split
 
@@ -170,3 +171,21 @@ def test_runs_by_join_score_like_runs_sent_along(docs, trained, rows, monkeypatc
     sent = score()
     monkeypatch.setattr(lm, "SENT_SHARE", 1.0)
     assert np.allclose(np.array(score()), np.array(sent), atol=2e-4)
+
+
+def test_a_passage_is_dealt_out_once_for_neighbouring_contexts(spark):
+    """Contexts of 40 words of one long passage, all of them open: their stretches overlap no more than their anchors do."""
+    passage = " ".join(f"w{i}" for i in range(400))
+    texts = spark.createDataFrame([(i, passage) for i in range(3)], "doc_id long, text string").repartition(1)
+    token = lm._tokens(next(lm.chunks(pa.array([passage]))))[0]
+    contexts = lm._Runs(token).keys(np.arange(360), 40)
+    opened = spark.createDataFrame([(int(key),) for key in contexts.view(np.int64)], "key long")
+    rows = [lm._stretches_of(bytes(r["data"])) for r in lm._gathered(texts, opened, 40, 60, 5).collect()]
+    places, dealt = (sum(int(x.sum()) for x in parts) for parts in zip(*((r[1], r[2]) for r in rows)))
+    # Every place with a word before its context; a stretch of 100 words for each of them before.
+    assert places == 3 * 359 and dealt < 20 * places
+    # Equal contexts are dealt out by the same anchor wherever they stand.
+    shifted = np.concatenate([token[100:], token[:100]])
+    assert len(token) == 401
+    one, other = lm._Runs(token), lm._Runs(shifted)
+    assert (lm._anchors(one, np.arange(100, 360), 40) == 100 + lm._anchors(other, np.arange(260), 40)).all()
