@@ -2,6 +2,7 @@ import collections
 import functools
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -189,3 +190,48 @@ def test_a_passage_is_dealt_out_once_for_neighbouring_contexts(spark):
     assert len(token) == 401
     one, other = lm._Runs(token), lm._Runs(shifted)
     assert (lm._anchors(one, np.arange(100, 360), 40) == 100 + lm._anchors(other, np.arange(260), 40)).all()
+
+
+def test_equal_places_are_dealt_out_once_with_their_number(spark):
+    passage = " ".join(f"w{i}" for i in range(400))
+    texts = spark.createDataFrame([(i, passage) for i in range(3)], "doc_id long, text string").repartition(1)
+    token = lm._tokens(next(lm.chunks(pa.array([passage]))))[0]
+    contexts = lm._Runs(token).keys(np.arange(360), 40)
+    opened = spark.createDataFrame([(int(key),) for key in contexts.view(np.int64)], "key long")
+    rows = [lm._stretches_of(bytes(r["data"])) for r in lm._gathered(texts, opened, 40, 60, 5).collect()]
+    assert sum(len(r[4]) for r in rows) == 359 and sum(int(r[5].sum()) for r in rows) == 3 * 359
+
+
+class Texts:
+    """Stands for a table: what a pass does in a task is run here instead."""
+
+    def select(self, *columns):
+        return self
+
+
+def test_a_counting_task_holds_little(monkeypatch):
+    """Seven megabytes of words, pairs of which hardly repeat, one of them common: counts are whole, memory is bounded."""
+    monkeypatch.setattr(lm, "_HELD", 100_000)
+    monkeypatch.setattr(lm, "map_stream", lambda df, run, schema: run)
+    rng = np.random.default_rng(5)
+    texts = [" ".join(map(str, rng.integers(0, 40_000, 12_000).tolist())) + " common pair" for _ in range(100)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+
+    def ends(chunk):
+        token, row, first = lm._tokens(chunk)
+        at = np.arange(len(token))
+        at = at[at - first[row] >= 1]
+        return token, at, np.ones(len(at), bool)
+
+    run = lm._count(Texts(), 2, ends, 5)
+    tracemalloc.start()
+    out = list(run(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    total, most = 0, 0
+    for data in (x.as_py() for b in out for x in b.column(1)):
+        word, place = lm._unpacked_words(data, 0)
+        n, _ = lm.unpacked(data, place, len(word) // 2)
+        total, most = total + int(n.sum()), max(most, len(n))
+    assert total == sum(len(t.split()) for t in texts)
+    assert most <= 10_000 and peak < 60e6
